@@ -264,10 +264,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = [c for c in docs.columns if c not in {text, "n_shingles", "component_id", "kept"} and not c.startswith("_nd_")]
     if doc_id not in keep:
         raise ValueError(f"docs has no column {doc_id}")
-    schema = docs.select(*keep).schema.simpleString()[7:-1]
     plain = docs.select(F.col(text).cast("string").alias("_nd_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    assert schema
     rows = cut(plain.mapInArrow(_sketch(shingle), f"{fields}, _nd_n long, _nd_one long, _nd_two long, _nd_regs binary"), "sketches")
     same = ["_nd_one", "_nd_two", "_nd_n"]
     classes = rows.where(F.col(doc_id).isNotNull() & (F.col("_nd_n") > 0)).groupBy(*same).agg(F.min(F.col(doc_id).cast("long")).alias("node"), F.first("_nd_regs").alias("regs"))
@@ -281,9 +279,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     clusters = cut(connected_components(near), "clusters")
 
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component")
-    # every text of a node that is not the copy of another
+    # every text of a node that is not the copy of another; the nodes grow with the
+    # data, so this is a merge join at any size and never a broadcast
     texts = plain.select(F.col("_nd_text"), F.col(doc_id).cast("long").alias("node"))
-    sets = texts.join(sized, "node").select("_nd_text", "node", "component", "size").mapInArrow(_sets(shingle), "node long, component long, size long, set binary").where("length(set) > 0")
+    sets = texts.join(sized.hint("merge"), "node").select("_nd_text", "node", "component", "size").mapInArrow(_sets(shingle), "node long, component long, size long, set binary").where("length(set) > 0")
     meet = blocks(sets, "size", CLUSTER_BLOCK).select("component", "i", "j", "node", "set")
     links = meet.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_verify(percent), "u long, v long")
     # rows that share an id but not a text are one document
