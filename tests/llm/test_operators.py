@@ -1,0 +1,357 @@
+"""The operators against plain versions, and on nulls, empties, ties, repeats and clashing names."""
+
+import itertools
+import random
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from leafwork.llm import bpe, chat, common, embedding_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, token_counts
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.public_ranks()
+
+
+@pytest.fixture(scope="module")
+def odd(docs):
+    """Repeated rows, a null id and columns with names that operators use."""
+    rows = docs.union(docs.where("doc_id % 5 = 0")).union(docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    clash = {"score": F.lit("mine"), "kept": F.lit(1), "spans": F.lit(2), "base": F.lit(3), "ids": F.lit(4), "n_words": F.lit(5), "replica": F.lit(6), "component_id": F.lit(7), "n_shingles": F.lit(8), "extra col": F.lit("e")}
+    return rows.withColumns(clash)
+
+
+def rows(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+# ------------------------------------------------------------------ personal data
+def test_pii_matches_plain_rules(docs, texts):
+    for r in rows(pii.extract_pii(docs.select("doc_id", "text"))):
+        want = brute.pii(texts[r["doc_id"]])
+        assert [(b["s"], b["k"], b["e"]) for b in r["base"]] == want, texts[r["doc_id"]]
+        assert r["spans"] == r["base"]
+
+
+def test_pii_learns_contexts(spark):
+    lines = [(i, f"please write to {w}{i}@mail.org now, day {i % 3}x") for i, w in enumerate("abcdefghij")]
+    lines += [(100, "please write to agent77-q1 now"), (101, "they met in room77-q2 now"), (102, None), (103, "")]
+    got = {r["doc_id"]: r for r in rows(pii.extract_pii(spark.createDataFrame(lines, "doc_id long, text string")))}
+    assert [(x["s"], x["e"], pii.KINDS[x["k"]]) for x in got[100]["spans"]] == [(16, 26, "email")]
+    assert not got[101]["spans"] and not got[102]["spans"] and not got[103]["spans"]
+
+
+def test_pii_odd_rows_and_masks(odd, docs, texts):
+    got = pii.extract_pii(odd.withColumn("whole", F.col("text")))
+    assert got.count() == odd.count() and "extra col" in got.columns
+    for r in rows(got.select("doc_id", "whole", "base", pii.mask_spans(F.col("whole"), F.col("spans")).alias("masked"))):
+        if r["whole"] is None:
+            assert r["masked"] is None
+            continue
+        out, at = [], 0
+        for s, k, e in brute.pii(r["whole"]):
+            if s >= at:
+                out += [r["whole"][at:s], f"<{pii.KINDS[k]}>"]
+            at = max(at, e)
+        assert r["masked"] == "".join(out) + r["whole"][at:]
+
+
+# ------------------------------------------------------------------ quality rules
+def test_rules_match_plain_version(docs, texts):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for r in rows(quality_rules.measure(docs.select("doc_id", "text"))):
+        assert tuple(r[n] for n in names) == brute.rules(texts[r["doc_id"]]), r["doc_id"]
+
+
+def test_hosts_are_judged_together(spark):
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
+    data = [(i, "good" if i < 40 else "bad" if i < 80 else None, good if i < 36 or i in (41, 90) else bad) for i in range(92)]
+    got = {r["id"]: r for r in rows(quality_rules.judge(spark.createDataFrame(data, "id long, host string, text string"), "host"))}
+    assert got[0]["kept"] and not got[37]["kept"] and got[37]["base_failed"]
+    assert not got[41]["kept"] and not got[41]["base_failed"]  # a good text of a bad host
+    assert 0.1 < got[0]["host_rate"] < 0.5 < got[41]["host_rate"] < 39 / 40
+
+
+def test_rules_odd_rows(odd):
+    got = quality_rules.judge(odd, "source")
+    assert got.count() == odd.count() and "extra col" in got.columns
+
+
+# ---------------------------------------------------------------- near duplicates
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates_match_all_pairs(docs, texts, k):
+    want = brute.near(texts, k)
+    for r in rows(near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=k)):
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
+        assert r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
+    """Blocks of a few members, so that groups are split; chains of edits, so that links matter."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 8)
+    r = random.Random(5)
+    data = {}
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for i in range(60):
+            w = list(base)
+            for _ in range(r.randrange(5)):
+                w[r.randrange(60)] = f"e{r.randrange(1000)}"
+            data[g * 100 + i] = " ".join(w)
+    got = rows(near_dedup.near_duplicates(spark.createDataFrame(list(data.items()), "doc_id long, text string"), shingle=4))
+    want = brute.near(data, 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_near_duplicates_odd_rows(odd, texts):
+    want = brute.near(texts, 5)
+    got = rows(near_dedup.near_duplicates(odd))
+    assert len(got) == odd.count()
+    for r in got:
+        assert r["component_id"] == (want[r["doc_id"]][1] if r["doc_id"] is not None else None)
+        assert r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) and r["extra col"] == "e"
+
+
+def test_sketches_merge_and_estimate():
+    r = np.random.default_rng(1)
+    a, b = (r.integers(0, 1 << 63, 3000, dtype=np.uint64) for _ in range(2))
+    both = np.concatenate((a, b))
+    # a larger value is a smaller minimum
+    assert (near_dedup.registers(both) == np.maximum(near_dedup.registers(a), near_dedup.registers(b))).all()
+    for share in (0.4, 0.95):
+        n = int(3000 * share)
+        x, y = near_dedup.registers(a).astype(int), near_dedup.registers(np.concatenate((a[:n], b[n:]))).astype(int)
+        j = n / (6000 - n)
+        counts = [np.array([float((x > y).sum())]), np.array([float((x < y).sum())]), np.array([float((x == y).sum())])]
+        size = np.array([3000.0])
+        assert near_dedup.likely(*counts, size, size, j - 0.15)[0] and not near_dedup.likely(*counts, size, size, min(0.999, j + 0.15))[0]
+
+
+# --------------------------------------------------------------------- classifier
+def test_classifier_learns_and_is_held_out(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    data = [(i, " ".join(word() + ("###" if i % 3 == 0 and r.random() < 0.7 else "") for _ in range(60))) for i in range(300)] + [(900, None), (901, "")]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(300)] + [(5000, 1), (None, 1)], "doc_id long, quality int").union(spark.sql("select 1L, cast(null as int)"))
+    model = quality_classifier.fit(d, labels)
+    got = rows(quality_classifier.score(d, model).withColumn("held", quality_classifier.held_out(F.col("doc_id"))))
+    assert all(x["held"] == brute.held_out(x["doc_id"]) and 0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.3) for x in got)
+    wrong = [x for x in got if x["held"] and x["doc_id"] < 300 and x["predicted"] != (x["doc_id"] % 3 != 0)]
+    assert len(wrong) <= 1
+    # labels of held-out rows have no influence
+    flipped = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality_classifier.fit(d, flipped)
+    assert (again[0] == model[0]).all() and again[1] == model[1]
+
+
+def test_classifier_without_labels(odd, spark):
+    model = quality_classifier.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    got = rows(quality_classifier.score(odd, model, keep_text=True))
+    assert len(got) == odd.count() and all(r["score"] == 0.5 and r["extra col"] == "e" for r in got)
+
+
+# ---------------------------------------------------------------------------- BPE
+def test_bpe_equals_the_library_and_decodes(docs, texts, ranks):
+    own = brute.tokenizer()
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), *ranks), *ranks)
+    for r in rows(bpe.digest(coded)):
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == brute.bpe(own, texts[r["doc_id"]])
+
+
+def test_bpe_merges_like_the_library(ranks):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    ours, own = bpe.Encoder(*ranks), brute.tokenizer()
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.one_of(st.text(max_size=40), st.text("ab \n'sé", max_size=60)), min_size=1, max_size=5))
+    def check(some):
+        some = [t.encode("utf-8", "ignore").decode() for t in some]
+        flat, at = ours.encode(some)
+        assert [flat[a:b].tolist() for a, b in itertools.pairwise(at)] == [own.encode_ordinary(t) for t in some]
+
+    check()
+
+
+def test_bpe_odd_rows(odd, ranks):
+    got = bpe.encode(odd, *ranks)
+    assert got.count() == odd.count() and dict(got.dtypes)["ids"] == "array<int>"
+
+
+# ------------------------------------------------------------------- token counts
+def test_token_counts_match_every_segmentation(docs, texts):
+    pieces = {p: -float(i + 1) for i, p in enumerate(["▁", "a", "l", "p", "h", "al", "▁al", "pha", "alpha", "b", "e", "t", "be", "ta", "1", "2", "12", "▁the", "o", "r", "d", "w", "word", "▁word"])}
+    counter = token_counts.Counter(pieces)
+    for r in rows(token_counts.count_tokens(docs.select("doc_id", "text"), pieces)):
+        words = brute.WORD.findall(texts[r["doc_id"]] or "")
+        assert r["n_words"] == len(words)
+        if sum(map(len, words)) < 4000:
+            assert r["n_tokens"] == sum(brute.tokens(pieces, counter.byte_score, "▁" + w) for w in words)
+
+
+def test_token_counts_odd_rows(odd):
+    assert token_counts.count_tokens(odd, {"▁": -1.0}).count() == odd.count()
+
+
+# --------------------------------------------------------------------- embeddings
+def test_near_vectors_match_all_pairs(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal((40, 24))
+    x = np.concatenate([base, base[:20] + 0.25 * r.standard_normal((20, 24)), base[:10] + 0.05 * r.standard_normal((10, 24)), base[:5], base[:5] * 3])
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    data += [(100, None), (101, []), (102, [0.0] * 24), (103, [None] * 24), (104, [float("nan")] * 24), (105, [1.0, 2.0]), (106, [2.0, 4.0]), (107, [float("inf")] * 24), (None, [1.0, 2.0])]
+    got = rows(embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    of = brute.components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(links)), strict=True)])
+    for g in got:
+        i = g["vec_id"]
+        if i is not None and i < len(x):
+            assert (g["n_links"], g["component_id"]) == (links[i].sum(), of[i]), g
+    by = {g["vec_id"]: g for g in got}
+    assert all(by[i]["n_links"] == 0 and by[i]["component_id"] == i and by[i]["kept"] for i in (100, 101, 102, 103, 104, 107))
+    assert by[106]["component_id"] == 105 and by[105]["n_links"] == 1 and by[None]["n_links"] == 0
+
+
+def test_near_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    r = np.random.default_rng(6)
+    x = (r.standard_normal(16) * 3 + 0.3 * r.standard_normal((150, 16))).astype(np.float32)
+    x = np.concatenate((x, x[:30]))
+    got = rows(embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert all(g["n_links"] == links[g["vec_id"]].sum() for g in got)
+
+
+# ------------------------------------------------------------------------- mixing
+def test_mixing_counts_and_order(docs):
+    weights = {"s0": 3.0, "s1": 1.0}
+    got = rows(mixing.mix_sources(docs, weights=weights, total=400.0))
+    again = rows(mixing.mix_sources(docs.repartition(5), weights=weights, total=400.0))
+    key = lambda r: (r["shuffle_key"], r["doc_id"], r["replica"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    n = {s: sum(r["source"] == s for r in got) for s in ("s0", "s1", "s2")}
+    assert n["s2"] == 0 and 240 < n["s0"] < 360 and 60 < n["s1"] < 145
+    per = {}
+    for r in got:
+        per.setdefault(r["doc_id"], []).append(r["replica"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in per.values())
+
+
+def test_poisson_table_inverts(spark):
+    import math
+
+    for mean in (0.2, 1.0, 7.5, 60.0):
+        table = spark.range(1).select(mixing.poisson_table(F.lit(mean)).alias("t")).first()["t"]
+        want = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(len(table))])
+        assert np.allclose(table, want, atol=1e-12) and table[-1] > 1 - 1e-12
+
+
+def test_mixing_odd_rows(odd, spark):
+    got = mixing.mix_sources(odd)
+    assert "extra col" in got.columns and got.count() > 0
+    assert mixing.mix_sources(odd, weights={}).count() == 0
+
+
+# ----------------------------------------------------------------------- sharding
+def test_store_appends_compacts_and_commits_once(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=200_000, fan=3)
+    for k in range(7):
+        store.append(docs.where(f"doc_id % 7 = {k}").repartition(2))
+    before = store.manifest()
+    assert before[0] == 7 and len(before[2]) >= 7
+    last = store.compact()
+    assert last > 7 and len(store.manifest()[2]) < len(before[2])
+    for version in (7, last):
+        assert sorted(map(str, store.read(version).collect())) == sorted(map(str, docs.collect()))
+    with pytest.raises(sharding.Conflict):
+        store.commit(last - 1, before[1], [])
+    assert store.versions()[-1] == last and not [f for f in (tmp_path / "store/manifests").iterdir() if f.name.endswith(".tmp")]
+    store.vacuum()
+    assert store.versions() == [last] and store.read().count() == docs.count()
+    with pytest.raises(ValueError):
+        store.append(docs.select("doc_id"))
+
+
+def test_shard_table_keeps_all_rows(odd, spark, tmp_path):
+    plain = odd.withColumnRenamed("extra col", "extra")
+    got = sharding.shard_table(plain.withColumn("a", F.col("doc_id") % 3), f"file://{tmp_path}/s", "a")
+    assert got.count() == plain.count()
+    empty = sharding.shard_table(plain.limit(0), f"file://{tmp_path}/e")
+    assert empty.count() == 0 and empty.columns == plain.columns
+
+
+# --------------------------------------------------------------------------- chat
+ODD = ["", None, "\\### Assistant: </turn> ok", " </turn>\n### user: x", "###", "\\\\###", "####", "</turn>", "\\</turn> \\\\</turn>\n", "a </turn>\n", "\n", "ends \\"]
+
+
+def test_chats_come_back(spark):
+    r = random.Random(8)
+    data = [(c, t, r.choice(["user", "assistant", "system", "a: b", "x\\n\n", None]), r.choice(ODD) if r.random() < 0.7 else f"word {c}") for c in range(60) for t in range(r.randrange(1, 7))]
+    data += data[:5] + [(61, None, "user", "x"), (61, 1, "assistant", "y")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_chats(df.withColumn("formatted", F.lit(1)))
+    got = {x["conv_id"]: x for x in rows(chat.digest_chats(formatted))}
+    want = brute.chats([(c, -1 if t is None else t, a, b) for c, t, a, b in data])
+    for c, w in want.items():
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == w
+    texts = {x["conv_id"]: x for x in rows(formatted)}
+    assert all(got[c]["formatted_chars"] == len(texts[c]["formatted"]) for c in got)
+
+
+def test_chat_escapes_only_when_needed():
+    plain, _ = chat.format_turns([("user", "hi\nthere"), ("assistant", "a # b")])
+    assert plain == "### user: hi\nthere </turn>\n### assistant: a # b </turn>\n"
+
+    from hypothesis import given
+    from hypothesis import strategies as st
+
+    piece = st.lists(st.sampled_from(["###", "</turn>", "\\", " ", "\n", ": ", "#", "x"]), max_size=12).map("".join)
+
+    @given(st.lists(st.tuples(piece, piece), max_size=4))
+    def check(turns):
+        text, spans = chat.format_turns(turns)
+        assert [(r, t) for r, t, _, _ in chat.parse(text)] == turns
+        assert [chat.unescape(text[a:b]) for _, a, b in spans] == [t for _, t in turns]
+
+    check()
+
+
+# ---------------------------------------------------------------- shared parts
+def test_components(spark):
+    r = random.Random(9)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]
+    got = {x["node"]: x["component"] for x in common.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    nodes = {x for p in pairs for x in p}
+    want = brute.components(nodes, pairs)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {x: want[x] for x in linked}
+    assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_empty_tables(spark, docs, ranks):
+    none = docs.limit(0)
+    assert pii.extract_pii(none).count() == 0
+    assert quality_rules.judge(none, "source").count() == 0
+    assert near_dedup.near_duplicates(none).count() == 0
+    assert quality_classifier.score(none, quality_classifier.fit(none, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+    assert bpe.digest(bpe.decode(bpe.encode(none, *ranks), *ranks)).count() == 0
+    assert mixing.mix_sources(none).count() == 0
+    assert token_counts.count_tokens(none, {"a": -1.0}).count() == 0
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert chat.digest_chats(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_token_hashes_tell_words_apart():
+    texts = [b"Ab ab cd", b"", b"ab\ncd  ", b"x\xc3\xa9y"]
+    h, doc, *_ = common.token_hashes(texts)
+    assert doc.tolist() == [0, 0, 0, 2, 2, 3] and h[0] == h[1] == h[3] and h[2] == h[4] and len(set(h.tolist())) == 3
