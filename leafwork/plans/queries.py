@@ -498,3 +498,35 @@ def cover_metadata(spark, d):
     w = words_of(spark, d)
     w = w.where("page = 0 and li < 25 and wi < 60").withColumn("y2", F.col("y1") + F.col("font_size"))
     return covers.cover_metadata(w, layout.page_sizes(w))
+
+
+@query("SELECT page_id, length(url) AS n FROM pages WHERE html LIKE '%<%'")
+def html_pages(spark, d):
+    return table(spark, d, "pages").where(F.col("html").contains("<")).select("page_id", F.length("url").cast("long").alias("n"))
+
+
+@query()
+def html_table_grid(spark, d):
+    from leafwork.sources import html_tables
+
+    return html_tables.table_cells(table(spark, d, "pages").select("page_id", "html"))
+
+
+EVENTS_AT = "(SELECT user_id, event_type, value, ts FROM events)"
+
+
+@query(f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM {EVENTS_AT}),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def sessions(spark, d):
+    from leafwork.streaming import jobs
+
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.sessions(e, delay=None).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query(f"SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {EVENTS_AT} GROUP BY 1, 2")
+def tumbling_windows(spark, d):
+    from leafwork.streaming import jobs
+
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.windows(e, delay=None).select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -1,0 +1,202 @@
+"""Operators on small tables with known results, and folds against plain loops."""
+
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from leafwork.functions import geometry as G
+from leafwork.functions import text as T
+from leafwork.operators import covers, edits, folds, layout, service, spatial
+
+
+def one(spark, value, f, kind="string"):
+    return spark.createDataFrame([(value,)], f"v {kind}").select(f(F.col("v")).alias("r")).first()["r"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("1973", "1973"), ("1995 1996", "1995-1996"), ("1949-50 to 1966-67", "1949-50 to 1966-67"), ("PRICE 1973", None), ("Rs. 25", None), ("", None)],
+)
+def test_year_only(spark, text, want):
+    assert one(spark, text, T.year_only) == want == covers.lone_year(text)
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("A_ACC_NO._1087_X.pdf", "D-1087"), ("ACC_NO.10693", "D-10693"), ("ACC_NO-3606_", "D-3606"), ("ACC NO 8916", "D-8916"), ("(ACC NO-8957)", "D-8957"), ("accession no: E-12", "E-12"), ("none", None)],
+)
+def test_accession_number(spark, name, want):
+    assert one(spark, name, T.accession_number) == want
+
+
+@pytest.mark.parametrize(
+    ("f", "text", "want"),
+    [
+        (T.detect_script, "हिन्दी", "hi"), (T.detect_script, "हिन्दी and", "hi-en"), (T.detect_script, "word", "en"), (T.detect_script, "12", "num"), (T.detect_script, " ", "und"), (T.detect_script, None, "und"),
+        (T.clean_tokens, "T०  ८ rep०rt १९९५ x८y", "TO report १९९५"), (T.sanitize_filename, "a\\b/..my file?.pdf", "my_file_.pdf"), (T.sanitize_filename, "...", "file"),
+        (T.first_year, "printed 1949-50 in", "1949-50"), (T.first_year, "no 19491", None), (T.tidy, " -- a b., ", "a b"), (T.author_name, "Mrs. K. Rathore, M.S.", "Mrs. K. Rathore"),
+        (T.creator_like, "GOVERNMENT OF INDIA", True), (T.creator_like, "A sentence.", False), (T.export_basename, "x/y.tar.gz", "y.tar"), (T.export_basename, ".pdf", "document"),
+        (T.substantial, "a bc", False), (T.substantial, "The book", True), (T.clean_enough, "NO a ry Ta ble s", False), (T.clean_enough, "real words to 1973", True), (T.org_keyword, "DEP ARTMENT of x", True),
+    ],
+)
+def test_text_functions(spark, f, text, want):
+    assert one(spark, text, f) == want
+
+
+def test_json_is_found_inside_text(spark):
+    for raw, want in (('{"k": 3}', 3), ('so: {"k": 4} ok', 4), ("nothing", None), (None, None)):
+        assert one(spark, raw, lambda c: T.json_field(c, "k bigint")) == want
+
+
+def test_boxes(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 10.0, 10.0, 5.0, 5.0, 25.0, 15.0)], "x1 double, y1 double, x2 double, y2 double, r_x1 double, r_y1 double, r_x2 double, r_y2 double")
+    a, b = G.box(), G.box("r_")
+    r = df.select(G.overlap_of(a, b).alias("o"), G.overlap_of(b, a).alias("p"), G.overlap_of_smaller(a, b).alias("s"), G.iou(a, b).alias("i"), G.x_overlap_ratio(a, b).alias("x"), G.center_in(a, b).alias("c"), G.overlaps_horizontally(a, b).alias("h")).first()
+    assert (r.o, r.p, r.s, round(r.i, 6), r.x, r.c, r.h) == (0.25, 0.125, 0.25, round(25 / 275, 6), 0.2, True, True)
+
+
+def test_page_transform_fills_the_page(spark):
+    df = spark.createDataFrame([(100, 100, 900, 1300)], "x1 int, y1 int, x2 int, y2 int")
+    crop = G.box()
+    t = G.page_transform(crop, F.lit(150))
+    placed = G.apply_transform(crop, crop, F.lit(150), t)
+    r = df.select(*[v.alias(k) for k, v in t.items()], placed.struct().alias("b")).first()
+    assert abs(r.b.x1 - r.offset_x) < 1e-9 and abs(r.b.x1 + r.b.x2 - r.page_width) < 1e-6 and r.page_width < r.page_height
+    assert abs(r.b.y1 - 18 * 72 / 25.4) < 1e-6 or abs(r.b.x1 - 18 * 72 / 25.4) < 1e-6
+
+
+def test_blocks_break_at_gaps(spark):
+    rows = [(1, 0, 0, "a", 0, 0, 50, 10, 10), (1, 0, 1, "b", 0, 12, 50, 22, 10), (1, 0, 2, "c", 0, 60, 50, 70, 20), (1, 0, 3, "d", 60, 72, 90, 82, 10)]
+    w = spark.createDataFrame([(d, p, li, 0, t, x1, y1, x2, y2, f, 0.9) for d, p, li, t, x1, y1, x2, y2, f in rows], "doc_id long, page int, li int, wi int, text string, x1 long, y1 long, x2 long, y2 long, font_size int, confidence double")
+    got = {r.block: r for r in layout.text_blocks(w).collect()}
+    assert [got[i].text for i in range(3)] == ["a\nb", "c", "d"] and got[1].font == 20
+
+
+def words(spark, seed=1, pages=3, n=60):
+    r = random.Random(seed)
+    rows = []
+    for p in range(pages):
+        for i in range(n):
+            x, y = r.randrange(0, 900), r.randrange(0, 700)
+            rows.append((1, p, i, f"w{i}", x, y, x + r.randrange(5, 90), y + r.randrange(5, 30), round(r.random(), 2)))
+    return rows, spark.createDataFrame(rows, "doc_id long, page int, wi int, text string, x1 long, y1 long, x2 long, y2 long, confidence double")
+
+
+def test_tiled_join_equals_page_join(spark):
+    _, a = words(spark, 1)
+    _, b = words(spark, 2)
+    b = b.select("doc_id", "page", F.col("wi").alias("j"), "x1", "y1", "x2", "y2")
+    rule = lambda p, q: G.intersection(p, q) > 0
+    keys = ["doc_id", "page"]
+    want = sorted(map(tuple, spatial.page_join(a, b, keys, rule).select("page", "wi", "j").collect()))
+    assert want and sorted(map(tuple, spatial.tiled_join(a, b, keys, rule, tile=64).select("page", "wi", "j").collect())) == want
+    for how in ("left_semi", "left_anti"):
+        got = sorted(map(tuple, spatial.tiled_join(a, b, keys, rule, 64, how).select("page", "wi").collect()))
+        assert got == sorted(map(tuple, spatial.page_join(a, b, keys, rule, how).select("page", "wi").collect()))
+
+
+def share(a, b):
+    w, h = min(a[6], b[6]) - max(a[4], b[4]), min(a[7], b[7]) - max(a[5], b[5])
+    return max(0, w) * max(0, h)
+
+
+def area(a):
+    return (a[6] - a[4]) * (a[7] - a[5])
+
+
+def test_greedy_suppression(spark):
+    rows, df = words(spark, 3)
+    want = set()
+    for p in range(3):
+        kept = []
+        for a in sorted((r for r in rows if r[1] == p), key=lambda r: (-area(r), r[2])):
+            if all(share(a, k) < 0.6 * max(1, area(a)) for k in kept):
+                kept.append(a)
+        want |= {(p, k[2]) for k in kept}
+    assert {(r.page, r.wi) for r in folds.greedy_suppression(df, "wi").collect()} == want
+
+
+def test_overlap_merge(spark):
+    rows, df = words(spark, 4, n=40)
+    more, new = words(spark, 5, n=40)
+    want = set()
+    for p in range(3):
+        kept = [r for r in rows if r[1] == p]
+        for c in (r for r in more if r[1] == p):
+            hit = next((i for i, k in enumerate(kept) if share(c, k) > 0 and share(c, k) >= 0.5 * min(area(c), area(k))), None)
+            if hit is None:
+                kept.append(c)
+            elif c[8] > kept[hit][8]:
+                kept[hit] = c
+        want |= {(p, k[4], k[5], k[8]) for k in kept}
+    assert {(r.page, r.x1, r.y1, r.confidence) for r in folds.overlap_merge(df, new, "wi").collect()} == want
+
+
+def grid(rows=5, columns=3):
+    out = []
+    for r in range(rows):
+        for c in range(columns):
+            text = f"name{r}" if c == 0 else str(r * 10 + c)
+            out.append((r * columns + c, text, 50 + 200 * c, 100 + 40 * r, 50 + 200 * c + 10 * len(text), 116 + 40 * r))
+    return pd.DataFrame(out, columns=["wi", "text", "x1", "y1", "x2", "y2"]).assign(confidence=0.8)
+
+
+def test_borderless_table():
+    found = folds.page_tables(grid(), 1000)
+    assert len(found) == 1
+    cells = found[0].pivot(index="r", columns="column", values="text").to_numpy().tolist()
+    assert cells == [[f"name{r}", str(r * 10 + 1), str(r * 10 + 2)] for r in range(5)]
+    assert not folds.page_tables(grid(3), 1000)  # too few rows
+    prose = grid().assign(text="word")
+    assert not folds.page_tables(prose, 1000)  # no numbers
+    assert not folds.page_tables(grid().iloc[:0], 1000)
+
+
+def test_grid_cells(spark):
+    bounds = spark.createDataFrame([(1, 2, 2), (2, 1, 2)], "table_id long, n_rows int, n_columns int")
+    walls = spark.createDataFrame([(1, 0, 0, "right"), (1, 0, 1, "bottom"), (1, 1, 0, "right")], "table_id long, row int, column int, side string")
+    got = sorted(map(tuple, folds.grid_cells(bounds, walls).collect()))
+    assert got == [(1, 0, 0, 2, 1), (1, 0, 1, 1, 1), (1, 1, 1, 1, 1), (2, 0, 0, 1, 2)]
+
+
+def test_cover():
+    lines = pd.DataFrame(
+        [("GOVERNMENT OF X", 10, 30), ("GREAT BOOK", 200, 260), ("OF TABLES", 270, 330), ("1949-50 to 1966-67", 350, 385), ("BY", 430, 445), ("Ann Rathore, M.S.", 450, 470), ("AND", 475, 490), ("Bob Writer", 495, 515), ("DIRECTORATE OF Y", 800, 820), ("NEW CITY", 825, 845), ("1973", 900, 920)],
+        columns=["text", "y1", "y2"],
+    )
+    lines = lines.assign(yc=(lines.y1 + lines.y2) / 2, h=(lines.y2 - lines.y1).astype(float))
+    assert covers.read_cover(lines, 1000.0) == {"title": "GREAT BOOK OF TABLES 1949-50 to 1966-67", "author": "Ann Rathore / Bob Writer", "publisher": "DIRECTORATE OF Y NEW CITY", "year": "1973"}
+    assert covers.organisation("Direotorate of") and not covers.organisation("GREAT BOOK")
+
+
+def test_cover_lines_keep_neighbours_apart():
+    b = pd.DataFrame([("left", 0, 100, 40, 120, 0), ("right", 50, 102, 90, 121, 1), ("below", 0, 125, 40, 145, 2), ("twice", 0, 101, 40, 121, 3)], columns=["text", "x1", "y1", "x2", "y2", "wi"])
+    assert covers.build_lines(b).text.tolist() == ["left", "twice right", "below"]
+
+
+def test_schedule(spark):
+    rows = [(b, s, p, st) for b, items in {1: [(150, 0, "queued"), (2, 1, "queued"), (80, 2, "queued"), (5, 3, "queued")], 2: [(150, 0, "queued"), (2, 1, "running"), (80, 2, "queued")], 3: [(150, 0, "running"), (2, 1, "queued"), (80, 2, "queued")]}.items() for s, p, st in items]
+    df = spark.createDataFrame([(b, float(s), p, st) for b, s, p, st in rows], "b long, s double, p int, st string")
+    assert {r.b: r.choice for r in service.schedule_choice(df, "b", "s", "p", "st", 2).collect()} == {1: 1, 2: 0, 3: 1}
+    assert {r.b: r.choice for r in service.schedule_choice(df, "b", "s", "p", "st", 1).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_edits(spark):
+    cells = spark.createDataFrame([(1, r, c, 1, 1, f"{r}{c}") for r in range(2) for c in range(2)], "table_id long, row int, column int, rowspan int, colspan int, text string")
+    state = lambda df: sorted((r["row"], r["column"], r["rowspan"], r["colspan"], r["text"]) for r in df.collect())
+    assert state(edits.add_row(cells, 1)) == [(0, 0, 1, 1, "00"), (0, 1, 1, 1, "01"), (1, 0, 1, 1, ""), (1, 1, 1, 1, ""), (2, 0, 1, 1, "10"), (2, 1, 1, 1, "11")]
+    assert state(edits.delete_column(cells, 0)) == [(0, 0, 1, 1, "01"), (1, 0, 1, 1, "11")]
+    assert state(edits.delete_row(edits.delete_row(cells, 0), 0)) == [(0, 0, 1, 1, "10"), (0, 1, 1, 1, "11")]  # the last row stays
+    merged = edits.merge_cells(cells, F.col("row") == 0)
+    assert state(merged) == [(0, 0, 1, 2, "00 01"), (1, 0, 1, 1, "10"), (1, 1, 1, 1, "11")]
+    assert state(edits.split_cell(merged, F.col("row") == 0))[0] == (0, 0, 1, 1, "00 01")
+    with pytest.raises(ValueError):
+        edits.edit(cells, "no such", 1)
+
+
+def test_majority_language(spark):
+    data = {1: ["en"] * 3, 2: ["hi"] * 2 + ["en"], 3: ["und"], 4: ["num"] * 3 + ["en"], 5: ["hi-en"]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "d long, language string")
+    assert {r.d: r.majority for r in service.majority_language(df, "d").collect()} == {1: "ENGLISH", 2: "HINDI/ENGLISH", 3: None, 4: "NUMERICAL", 5: "HINDI/ENGLISH"}
