@@ -11,10 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.llm.common import cut
+
 #: A source's target weight is its number of documents to this power, unless weights are given.
 TEMPERATURE = 0.7
 #: The inverse is tabulated to this many standard deviations beyond the mean, and some; what lies beyond has a chance below 1e-15.
 TAIL = 12
+#: So many sources at most are broadcast; a source's table has under 260 numbers, so that is 9 MB.
+MOST_BROADCAST = 4096
+#: Beyond that, the join with the sources deals each of them to so many tasks.
+SALTS = 64
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -65,16 +71,27 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     Empty table: empty result.  Clashing columns replica and shuffle_key of
     docs are replaced."""
     keep = [c for c in docs.columns if c not in {"replica", "shuffle_key"} and not c.startswith("_mx_")]
-    table = rates(docs, source, weights, total).select("_mx_source", poisson_table(F.col("rate")).alias("_mx_table"), (F.col("rate") > 0).alias("_mx_any"))
+    table = cut(rates(docs, source, weights, total).select("_mx_source", poisson_table(F.col("rate")).alias("_mx_table"), (F.col("rate") > 0).alias("_mx_any")), "rates")
     own = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.select(*keep, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_mx_source"), own.alias("_mx_id"))
-    rows = rows.join(table, "_mx_source").withColumn("_mx_u", uniform(seed, F.col("_mx_id")))
+    rows = _with_source(rows, table).withColumn("_mx_u", uniform(seed, F.col("_mx_id")))
     rows = rows.withColumn("_mx_k", F.when(F.col("_mx_any"), F.size(F.filter("_mx_table", lambda c: c <= F.col("_mx_u")))).otherwise(0)).where("_mx_k > 0").drop("_mx_table")
     rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mx_k").cast("long"))).alias("replica"))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "_mx_id", F.col("replica").cast("string"))))
     return rows.select(*keep, "replica", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined with the table of their source.  A checked number of sources is
+    broadcast, so texts stay where they are; more are salted, so that a source
+    with a large share of all rows is dealt to many tasks."""
+    if table.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), "_mx_source")
+    rows = rows.withColumn("_mx_salt", F.pmod(F.xxhash64("_mx_id"), F.lit(SALTS)))
+    table = table.withColumn("_mx_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(table, ["_mx_source", "_mx_salt"]).drop("_mx_salt")
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     """The mixture of all documents by source, with their texts."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "lang", "text", "replica", "shuffle_key")

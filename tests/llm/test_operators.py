@@ -256,6 +256,12 @@ def test_poisson_table_inverts(spark):
         assert np.allclose(table, want, atol=1e-12) and table[-1] > 1 - 1e-12
 
 
+def test_mixing_with_many_sources(docs, monkeypatch):
+    want = sorted(map(str, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == want
+
+
 def test_mixing_odd_rows(odd, spark):
     got = mixing.mix_sources(odd)
     assert "extra col" in got.columns and got.count() > 0
