@@ -44,9 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text, and digests of them and of what they decode to."""
-    ranks = bpe.public_ranks()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), *ranks), *ranks)
-    return bpe.digest(coded.select("doc_id", "source", "ids", "decoded", F.col("ids").alias("token_ids")))
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), *bpe.public_ranks(), keep_ids=True)
 
 
 STAGES = [("quality classifier", classify), ("near-duplicates", deduplicate), ("personal data", redact), ("mixing", mix), ("byte-level BPE", tokenize)]

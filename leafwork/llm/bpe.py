@@ -24,7 +24,7 @@ from leafwork.llm.common import slices
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose pre-tokens are merged together.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 
 
 def load_ranks(path: str) -> bytes:
@@ -226,21 +226,50 @@ def decode(docs: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> Dat
     return docs.select(F.col(ids).alias("_bpe_ids"), *keep).mapInArrow(run, _fields(docs, keep) + "decoded binary")
 
 
-def digest(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Replaces ids and decoded by n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256."""
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encodes each text, decodes its ids and digests both, in one pass of one
+    worker a task: the columns of docs except ``text``, n_tokens, ids_sha256 (of
+    the ids as little-endian unsigned 32-bit integers), decoded_sha256 and, if
+    keep_ids, ids.  Rows are treated as by encode(); clashing columns are replaced."""
+    held = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        own = encoder(*held.value)
         for batch in batches:
-            col = batch.column(0)
-            flat, at = np.asarray(col.flatten()).astype("<u4"), np.asarray(col.offsets) - col.offsets[0].as_py()
-            found = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(at).astype(np.int64)), pa.array(found, pa.string())], names=[*batch.schema.names[1:], "n_tokens", "ids_sha256"])
+            column = batch.column(0)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+            for a, b in _runs(sizes, RUN_BYTES):
+                flat, at = own.encode([x or "" for x in column.slice(a, b - a).to_pylist()])
+                flat = flat.astype("<u4")
+                parts = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+                found = [
+                    pa.array(np.diff(at).astype(np.int64)),
+                    pa.array([hashlib.sha256(p.tobytes()).hexdigest() for p in parts], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(p.tolist())).hexdigest() for p in parts], pa.string()),
+                ]
+                if keep_ids:
+                    found.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32))))
+                rest = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*rest.columns[1:], *found], names=[*rest.schema.names[1:], *new])
+
+    keep = [c for c in docs.columns if c not in {text, *new}]
+    kinds = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>"] if keep_ids else [])]
+    return docs.select(F.col(text).cast("string").alias("_bpe_text"), *keep).mapInArrow(run, _fields(docs, keep) + ", ".join(kinds))
+
 
-    keep = [c for c in df.columns if c not in {ids, decoded}]
-    own = df.select(F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_bpe_ids"), *keep, F.sha2(F.col(decoded), 256).alias("decoded_sha256"))
-    return own.mapInArrow(run, _fields(own, [*keep, "decoded_sha256"]) + "n_tokens long, ids_sha256 string").select(*keep, "n_tokens", "ids_sha256", "decoded_sha256")
+def _runs(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Splits rows of the given sizes into runs of about ``most`` bytes."""
+    ends, out, first = np.cumsum(sizes), [], 0
+    while first < len(sizes):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + most, "right")))
+        out.append((first, last))
+        first = last
+    return out
 
 
 def public_ranks() -> tuple[bytes, str]:
@@ -252,5 +281,4 @@ def public_ranks() -> tuple[bytes, str]:
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every row of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ranks = public_ranks()
-    return digest(decode(encode(docs, *ranks), *ranks))
+    return round_trip(docs, *public_ranks()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

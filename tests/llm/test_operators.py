@@ -158,9 +158,11 @@ def test_classifier_without_labels(odd, spark):
 # ---------------------------------------------------------------------------- BPE
 def test_bpe_equals_the_library_and_decodes(docs, texts, ranks):
     own = brute.tokenizer()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), *ranks), *ranks)
-    for r in rows(bpe.digest(coded)):
+    for r in rows(bpe.round_trip(docs.select("doc_id", "text"), *ranks, keep_ids=True)):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == brute.bpe(own, texts[r["doc_id"]])
+        assert r["ids"] == own.encode_ordinary(texts[r["doc_id"]] or "")
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), *ranks), *ranks)
+    assert all(r["decoded"] == (texts[r["doc_id"]] or "").encode() and r["ids"] == own.encode_ordinary(texts[r["doc_id"]] or "") for r in rows(coded))
 
 
 def test_bpe_merges_like_the_library(ranks):
@@ -180,7 +182,7 @@ def test_bpe_merges_like_the_library(ranks):
 
 
 def test_bpe_odd_rows(odd, ranks):
-    got = bpe.encode(odd, *ranks)
+    got = bpe.round_trip(odd, *ranks, keep_ids=True)
     assert got.count() == odd.count() and dict(got.dtypes)["ids"] == "array<int>"
 
 
@@ -350,7 +352,7 @@ def test_empty_tables(spark, docs, ranks):
     assert quality_rules.judge(none, "source").count() == 0
     assert near_dedup.near_duplicates(none).count() == 0
     assert quality_classifier.score(none, quality_classifier.fit(none, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
-    assert bpe.digest(bpe.decode(bpe.encode(none, *ranks), *ranks)).count() == 0
+    assert bpe.round_trip(none, *ranks).count() == 0
     assert mixing.mix_sources(none).count() == 0
     assert token_counts.count_tokens(none, {"a": -1.0}).count() == 0
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
