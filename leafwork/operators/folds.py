@@ -150,17 +150,22 @@ def overlap_merge(existing: DataFrame, new: DataFrame, item: str, share: float =
 
     def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_pass", item]).reset_index(drop=True)
-        common, area = _shares(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float))
-        sure = pdf.confidence.to_numpy(float)
-        kept = np.flatnonzero(pdf._pass == 0).tolist()
-        for i in np.flatnonzero(pdf._pass == 1).tolist():
-            smaller = np.minimum(area[i], area[kept])
-            hit = np.flatnonzero((common[i, kept] > 0) & (common[i, kept] >= share * smaller))
+        x1, y1, x2, y2, sure = (pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2", "confidence"))
+        area = np.clip(x2 - x1, 0, None) * np.clip(y2 - y1, 0, None)
+        n = int((pdf._pass == 0).sum())
+        kept = np.zeros(len(pdf), int)  # places in order; the first n are those of the first pass
+        kept[:n] = np.arange(n)
+        for i in range(n, len(pdf)):
+            k = kept[:n]
+            w = np.minimum(x2[i], x2[k]) - np.maximum(x1[i], x1[k])
+            h = np.minimum(y2[i], y2[k]) - np.maximum(y1[i], y1[k])
+            hit = np.flatnonzero((w > 0) & (h > 0) & (w * h >= share * np.minimum(area[i], area[k])))
             if not len(hit):
-                kept.append(i)
+                kept[n] = i
+                n += 1
             elif sure[i] > sure[kept[hit[0]]]:
                 kept[hit[0]] = i
-        return pdf.iloc[kept].drop(columns="_pass")
+        return pdf.iloc[kept[:n]].drop(columns="_pass")
 
     both = existing.withColumn("_pass", F.lit(0)).unionByName(new.withColumn("_pass", F.lit(1)))
     return both.groupBy(*PAGE).applyInPandas(page, existing.schema)

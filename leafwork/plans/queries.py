@@ -75,11 +75,11 @@ def typed_of(spark: SparkSession, d: str) -> DataFrame:
     return layout.classify_blocks(layout.text_blocks(words), layout.page_sizes(words))
 
 
-@query(f"WITH {TYPED} SELECT doc_id, block_type, count(*) AS n_blocks, sum(n_words)::BIGINT AS n_words, round(avg(confidence), 8) AS confidence, count(*) FILTER (confidence < 0.45) > 0 AS needs_review FROM typed GROUP BY 1, 2")
+@query(f"WITH {TYPED} SELECT doc_id, block_type, count(*) AS n_blocks, sum(n_words)::BIGINT AS n_words, round(sum(round(confidence * n_words * 100)::BIGINT) / 100.0::DOUBLE / sum(n_words)::DOUBLE, 9) AS confidence, count(*) FILTER (confidence < 0.45) > 0 AS needs_review FROM typed GROUP BY 1, 2")
 def document_summary(spark, d):
     """The flagship: words, lines, blocks, types, then a roll-up for each document."""
     t = typed_of(spark, d)
-    return t.groupBy("doc_id", "block_type").agg(F.count("*").alias("n_blocks"), F.sum("n_words").alias("n_words"), F.round(F.avg(F.round("confidence", 9)), 8).alias("confidence"), (F.count_if(F.round("confidence", 9) < 0.45) > 0).alias("needs_review"))
+    return t.groupBy("doc_id", "block_type").agg(F.count("*").alias("n_blocks"), F.sum("n_words").alias("n_words"), F.round(F.sum(F.round(F.col("confidence") * F.col("n_words") * 100).cast("long")) / F.lit(100.0) / F.sum("n_words"), 9).alias("confidence"), (F.count_if(F.round("confidence", 9) < 0.45) > 0).alias("needs_review"))
 
 
 @query(f"WITH {WORDS} SELECT {', '.join(WORD_COLUMNS)} FROM words")
@@ -486,7 +486,7 @@ def greedy_suppression(spark, d):
 def overlap_merge(spark, d):
     from leafwork.operators import folds
 
-    w = words_of(spark, d).where("page = 0 and li < 4").select("doc_id", "page", "wi", "li", "x1", "y1", "x2", "y2", "confidence").withColumn("id", F.col("li") * 100000 + F.col("wi")).drop("li", "wi")
+    w = words_of(spark, d).select("doc_id", "page", "wi", "li", "x1", "y1", "x2", "y2", "confidence").withColumn("id", F.col("li") * 100000 + F.col("wi")).drop("li", "wi")
     moved = w.select("doc_id", "page", (F.col("x1") + 8).alias("x1"), "y1", (F.col("x2") + 8).alias("x2"), "y2", F.round(1 - F.col("confidence"), 2).alias("confidence"), (F.col("id") + 50000).alias("id"))
     return folds.overlap_merge(w.select(moved.columns), moved, "id")
 
@@ -496,7 +496,7 @@ def cover_metadata(spark, d):
     from leafwork.operators import covers
 
     w = words_of(spark, d)
-    w = w.where("page = 0 and li < 25 and wi < 60").withColumn("y2", F.col("y1") + F.col("font_size"))
+    w = w.withColumn("y2", F.col("y1") + F.col("font_size"))
     return covers.cover_metadata(w, layout.page_sizes(w))
 
 
