@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import slices
+from leafwork.session import ship
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose pre-tokens are merged together.
@@ -192,6 +193,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
     Null and empty texts have no ids.  Every row is encoded by itself, so
     repeated rows get equal ids; empty table: empty result; a column ids of
     docs is replaced."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # of the vocabulary's size
 
     def run(batches):
@@ -212,6 +214,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
 
 def decode(docs: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> DataFrame:
     """The columns of docs and decoded (binary), the bytes of its ids; null ids: no bytes.  A column decoded of docs is replaced."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches):
@@ -231,6 +234,7 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text",
     worker a task: the columns of docs except ``text``, n_tokens, ids_sha256 (of
     the ids as little-endian unsigned 32-bit integers), decoded_sha256 and, if
     keep_ids, ids.  Rows are treated as by encode(); clashing columns are replaced."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 

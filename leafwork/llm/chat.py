@@ -19,6 +19,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.session import ship
+
 CONTROL = re.compile(r"(\\*)(###|</turn>)")
 ROLE = re.compile(r"### ((?:[^\\:\n]|\\[\\:n])*): ")
 PLAIN_ROLE = re.compile(r"[^\\:\n]*")
@@ -91,8 +93,8 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     text: empty.  Repeated rows are turns of their own.  Null conv_id: one
     conversation.  Empty table: empty result.  Further columns are ignored.  A
     conversation is one text, so its turns meet in one task."""
+    ship(turns.sparkSession)
     rows = turns.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("x"))
-    # dealt by a hash of their own first, so that the shuffle writes each text once and no list is made twice
     lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
     lists = lists.select("conv_id", F.transform("x", lambda x: x["role"]).alias("roles"), F.transform("x", lambda x: x["text"]).alias("texts"))
 
@@ -131,6 +133,7 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+    ship(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.common import Forest, connected_components, cut, groups
 from leafwork.llm.near_dedup import blocks
+from leafwork.session import ship
 
 BUCKET, BLOCK, MISS = 256, 1024, 1e-6
 
@@ -119,7 +120,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     of their own that link with each other; rows that share an id but not a
     vector have the links of each.  Empty table: empty result.  Clashing
     columns are replaced."""
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     keep = [c for c in vectors.columns if c not in {embedding, "n_links", "component_id", "kept"} and not c.startswith("_ed_")]
     element = vectors.schema[embedding].dataType.elementType.simpleString()
     kind = "float" if element == "float" else "double"

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import Forest, connected_components, cut, groups, mix, slices, token_hashes, utf8
+from leafwork.session import ship
 
 BANDS, ROWS = 45, 6
 REGISTERS = BANDS * ROWS
@@ -261,6 +262,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cost one comparison.  Empty table: empty result.  Clashing columns of docs
     are replaced.
     """
+    ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in {text, "n_shingles", "component_id", "kept"} and not c.startswith("_nd_")]
     if doc_id not in keep:
         raise ValueError(f"docs has no column {doc_id}")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import CLASSES, mix, slices, token_hashes, utf8
+from leafwork.session import ship
 
 DIMENSIONS = 1 << 20
 #: Rows a model is fitted on, at most, and passes over them.
@@ -119,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     Null labels and labels without a document are ignored; without any label
     the model is 0 and scores 0.5.  A document with several labels counts once
     for each."""
+    ship(docs.sparkSession)
     use = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = use.select(F.col(doc_id).alias("_qc_id"), F.col(label).cast("double").alias("y"), F.xxhash64(F.col(doc_id)).alias("o")).orderBy("o", "_qc_id", "y").limit(most_rows)
     # most_rows bounds what is broadcast, and what meets in the one task that trains
@@ -151,6 +153,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 
     Null and empty texts get the score of the bias.  Repeated rows get equal
     scores.  Empty table: empty result.  Clashing columns of docs are replaced."""
+    ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in {"score", "predicted"} and (keep_text or c != text)]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     held = docs.sparkSession.sparkContext.broadcast(model)

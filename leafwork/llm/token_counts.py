@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import slices
+from leafwork.session import ship
 
 #: Bytes of text whose pre-tokens share a trie.
 RUN_BYTES = 16 << 20
@@ -98,6 +99,7 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], text: str = "text")
 
     Null and empty texts have none.  Repeated rows have equal counts.  Empty
     table: empty result.  Clashing columns of docs are replaced."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(pieces)  # of the vocabulary's size
     keep = [c for c in docs.columns if c not in {text, "n_words", "n_tokens"}]
 
