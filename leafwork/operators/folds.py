@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.session import ship
+
 PAGE = ["doc_id", "page"]
 #: Fixed values of table detection without rules: least rows and columns, tolerance by page width, share of rows a column must hit.
 LEAST_ROWS, LEAST_COLUMNS, BAND_TOLERANCE, ROW_SHARE = 4, 3, 0.02, 0.85
@@ -45,6 +47,7 @@ def row_clusters(words: DataFrame) -> DataFrame:
         out = pd.DataFrame({"n_words": g.size(), "y1": g.y1.min(), "y2": g.y2.max(), "text": g.text.agg(" ".join)}).reset_index()
         return out.assign(doc_id=key[0], page=key[1])[["doc_id", "page", "row", "n_words", "y1", "y2", "text"]]
 
+    ship(words.sparkSession)
     return words.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, row int, n_words long, y1 long, y2 long, text string")
 
 
@@ -119,6 +122,7 @@ def borderless_tables(words: DataFrame, pages: DataFrame) -> DataFrame:
         names = ["doc_id", "page", "table_no", "row", "column", "text", "x1", "y1", "x2", "y2", "confidence", "table_confidence"]
         return pd.concat(found).assign(doc_id=key[0], page=key[1])[names] if found else pd.DataFrame(columns=names)
 
+    ship(words.sparkSession)
     return words.join(pages.select(*PAGE, "page_width"), PAGE).groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, table_no int, row int, column int, text string, x1 double, y1 double, x2 double, y2 double, confidence double, table_confidence double")
 
 
@@ -141,6 +145,7 @@ def greedy_suppression(regions: DataFrame, region: str, share: float = 0.6) -> D
                 keep.append(i)
         return pdf.iloc[keep]
 
+    ship(regions.sparkSession)
     return regions.groupBy(*PAGE).applyInPandas(page, regions.schema)
 
 
@@ -168,6 +173,7 @@ def overlap_merge(existing: DataFrame, new: DataFrame, item: str, share: float =
         return pdf.iloc[kept[:n]].drop(columns="_pass")
 
     both = existing.withColumn("_pass", F.lit(0)).unionByName(new.withColumn("_pass", F.lit(1)))
+    ship(both.sparkSession)
     return both.groupBy(*PAGE).applyInPandas(page, existing.schema)
 
 
@@ -198,4 +204,5 @@ def grid_cells(boundaries: DataFrame, walls: DataFrame) -> DataFrame:
             out.append((key[0], rr.min(), cc.min(), np.ptp(rr) + 1, np.ptp(cc) + 1))
         return pd.DataFrame(out, columns=["table_id", "row", "column", "rowspan", "colspan"])
 
+    ship(boundaries.sparkSession)
     return boundaries.groupBy("table_id").cogroup(walls.groupBy("table_id")).applyInPandas(table, "table_id long, row int, column int, rowspan int, colspan int")

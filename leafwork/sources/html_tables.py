@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.session import ship
+
 FIELDS = "table_no int, row int, column int, rowspan int, colspan int, text string"
 
 
@@ -76,6 +78,7 @@ def table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
             flat = pd.DataFrame([c for x in cells for c in x], columns=["table_no", "row", "column", "rowspan", "colspan", "text"])
             yield pd.concat([pdf.iloc[at].reset_index(drop=True), flat], axis=1)
 
+    ship(pages.sparkSession)
     keep = [c for c in pages.columns if c != html]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
     return pages.select(*keep, F.col(html).alias("_html")).mapInPandas(run, fields + FIELDS)

@@ -10,9 +10,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.session import ship
+
 
 def encode_png(pixels: np.ndarray) -> bytes:
     """8-bit grey (H, W) or colour (H, W, 3)."""
@@ -207,12 +209,15 @@ def _clean_page(png: pd.Series) -> pd.Series:
 
 
 def page_similarity(a: Column, b: Column) -> Column:
+    ship(SparkSession.active())
     return F.pandas_udf(_page_similarity, "struct<ssim:double,mse:double,low:double>")(a, b)
 
 
 def table_regions(png: Column) -> Column:
+    ship(SparkSession.active())
     return F.pandas_udf(_table_regions, "array<struct<x1:int,y1:int,x2:int,y2:int,pixels:int>>")(png)
 
 
 def clean_page(png: Column) -> Column:
+    ship(SparkSession.active())
     return F.pandas_udf(_clean_page, "binary")(png)

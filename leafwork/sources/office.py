@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions.text import DEFAULT_FONTS
+from leafwork.session import ship
 
 _XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
@@ -181,6 +182,7 @@ def write_exports(blocks: DataFrame, words: DataFrame, pages: DataFrame, dpi: in
     """(doc_id, export_type, content, size, error) of each document: its text
     document and its PDF.  A document's own rows meet in one task; an export that
     fails is a row with its error and leaves the others."""
+    ship(blocks.sparkSession)
     b = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "z_order", "block_type", "text"))).alias("blocks"))
     w = words.join(pages.select("doc_id", "page", "page_width", "page_height"), ["doc_id", "page"])
     w = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "page_width", "page_height", "li", "wi", "text", "x1", "y1", "x2", "y2"))).alias("words"))

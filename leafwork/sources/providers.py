@@ -14,6 +14,8 @@ from abc import ABC, abstractmethod
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from leafwork.session import ship
+
 WORD_FIELDS = "doc_id long, page int, block_id string, line_id string, wi int, text string, x1 double, y1 double, x2 double, y2 double, confidence double, language string, font_size double, error string"
 
 
@@ -124,6 +126,7 @@ def recognize_pages(pages: DataFrame, provider: type[Provider], decode, dpi: int
             table = pd.DataFrame(out).reindex(columns=names)
             yield table.astype(object).where(table.notna(), None)
 
+    ship(pages.sparkSession)
     return pages.select("doc_id", "page", "image").mapInPandas(run, WORD_FIELDS)
 
 

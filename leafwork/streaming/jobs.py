@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.session import ship
+
 #: Terminal states, and how long a silent job is believed.
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
 SILENCE_MS = 900_000
@@ -29,6 +31,7 @@ def job_states(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The state of each job after each batch of its events (job_id, ts, status, stage,
     percent): it starts with the first event, moves forward only, ends in a
     terminal state and stays there; without an event for SILENCE_MS of event time it fails."""
+    ship(events.sparkSession)
     rows = events.withWatermark("ts", delay)
 
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
