@@ -99,4 +99,21 @@ def shrink(hosts: DataFrame, n: str, failed: str, name: str) -> DataFrame:
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every row of documents; the host is its source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return judge(docs, "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return judge(docs, "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS h, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, h, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1),
+v AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM r)) GROUP BY 1),
+m AS (SELECT w.doc_id, h, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN v ON v.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+o AS (SELECT h, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY 1),
+s AS (SELECT sum(f) / sum(n)::DOUBLE AS mean, var_pop(f / n::DOUBLE) AS var, avg(1 / n::DOUBLE) AS inv, avg(n) AS size FROM o),
+k AS (SELECT mean, CASE WHEN var - mean * (1 - mean) * inv > 0 AND mean > 0 AND mean < 1 THEN least(greatest(mean * (1 - mean) / (var - mean * (1 - mean) * inv) - 1, 2.0), size) ELSE size END AS strength FROM s),
+x AS (SELECT h, (f + mean * strength) / (n + strength) AS rate FROM o, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, round(rate, 9) AS host_rate FROM b JOIN x USING (h)
+"""
