@@ -530,3 +530,25 @@ def tumbling_windows(spark, d):
 
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return jobs.windows(e, delay=None).select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""WITH {TYPED}, c AS (SELECT *, trim(text) AS t FROM typed WHERE page < 3 AND trim(text) <> ''),
+n AS (SELECT doc_id, page, z_order, CASE WHEN block_type = 'PARAGRAPH' THEN substr(t, 1, 200) ELSE t END AS name, row_number() OVER (PARTITION BY doc_id ORDER BY CASE block_type WHEN 'TITLE' THEN 0 WHEN 'HEADING' THEN 1 ELSE 2 END, page, length(t) DESC, z_order) AS k FROM c WHERE block_type IN ('TITLE', 'HEADING', 'PARAGRAPH')),
+b AS (SELECT * FROM n WHERE k = 1),
+h AS (SELECT c.doc_id, c.t, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.page, c.z_order) AS k FROM c JOIN b ON b.doc_id = c.doc_id WHERE c.block_type IN ('TITLE', 'HEADING', 'SUBHEADING') AND NOT (c.page = b.page AND c.z_order = b.z_order))
+SELECT d.doc_id, b.name AS book_name, h.t AS heading FROM (SELECT DISTINCT doc_id FROM c) d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id AND h.k = 1""")
+def book_names(spark, d):
+    from leafwork.operators import metadata
+
+    t = typed_of(spark, d)
+    n = metadata.book_names(t)
+    c = metadata._candidates(t).join(n, "doc_id")
+    other = F.col("block_type").isin("TITLE", "HEADING", "SUBHEADING") & F.coalesce(F.struct("page", "z_order") != F.col("name_block"), F.lit(False))
+    return c.groupBy("doc_id").agg(F.first("book_name").alias("book_name"), metadata._first(F.col("t"), other).alias("heading"))
+
+
+@query()
+def book_metadata(spark, d):
+    from leafwork.operators import metadata
+
+    return metadata.book_metadata(typed_of(spark, d))

@@ -200,3 +200,25 @@ def test_majority_language(spark):
     data = {1: ["en"] * 3, 2: ["hi"] * 2 + ["en"], 3: ["und"], 4: ["num"] * 3 + ["en"], 5: ["hi-en"]}
     df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "d long, language string")
     assert {r.d: r.majority for r in service.majority_language(df, "d").collect()} == {1: "ENGLISH", 2: "HINDI/ENGLISH", 3: None, 4: "NUMERICAL", 5: "HINDI/ENGLISH"}
+
+
+def blocks(spark, rows):
+    return spark.createDataFrame([(1, p, z, kind, t) for p, z, kind, t in rows], "doc_id long, page int, z_order int, block_type string, text string")
+
+
+def test_book_metadata(spark):
+    from leafwork.operators import metadata
+
+    full = blocks(spark, [(0, 0, "HEADING", "A heading that is longer than all"), (0, 1, "TITLE", "Short"), (0, 2, "TITLE", "The longer title"), (0, 3, "PARAGRAPH", "printed 1949-50"), (1, 0, "TITLE", "A much longer title of a later page"), (50, 0, "TITLE", "A decoy far behind the title pages")])
+    r = metadata.book_metadata(full).first()
+    assert (r.book_name, r.creator, r.year, r.needs_review, r.notes) == ("The longer title", "A heading that is longer than all", "1949-50", False, None)
+    plain = blocks(spark, [(0, 0, "PARAGRAPH", "GOVERNMENT OF INDIA"), (0, 1, "PARAGRAPH", "x" * 300)])
+    r = metadata.book_metadata(plain).first()
+    assert (r.book_name, r.creator, r.year, r.notes) == ("x" * 200, "GOVERNMENT OF INDIA", None, "no year found")
+
+
+def test_concurrency():
+    from leafwork.plans import resources
+
+    assert [resources.concurrency(*x) for x in (("paddleocr", 2, 7775), ("paddleocr", 14, 11960), ("tesseract", 2, 7775), ("tesseract", 14, 11960))] == [1, 2, 1, 13]
+    assert resources.fit(None, 1, 1) is None and resources.workers(8, 14, 11960) == 2
