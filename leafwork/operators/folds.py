@@ -206,3 +206,72 @@ def grid_cells(boundaries: DataFrame, walls: DataFrame) -> DataFrame:
 
     ship(boundaries.sparkSession)
     return boundaries.groupBy("table_id").cogroup(walls.groupBy("table_id")).applyInPandas(table, "table_id long, row int, column int, rowspan int, colspan int")
+
+
+def text_row_bounds(words: pd.DataFrame, offset: float, length: int, reach: float = 0.7) -> list[int]:
+    """Boundaries of rows from words alone: the outer edges and the middles of the
+    gaps between clusters, from ``offset``; none if there is one cluster only."""
+    mid = (words.y1 + words.y2) / 2
+    w = words.assign(_mid=mid).sort_values(["_mid", "x1"], kind="stable")
+    if not len(w):
+        return []
+    row = running_mean_rows(w._mid.to_numpy(float), (w.y2 - w.y1).to_numpy(float), reach)
+    g = w.groupby(row).agg(top=("y1", "min"), bottom=("y2", "max"))
+    if len(g) < 2:
+        return []
+    above, below = g.bottom.to_numpy(float)[:-1], g.top.to_numpy(float)[1:]
+    edges = [g.top.iloc[0], *np.where(below > above, (above + below) / 2, above), g.bottom.iloc[-1]]
+    return [int(round(min(max(0.0, e - offset), length))) for e in edges]
+
+
+def text_column_bounds(words: pd.DataFrame, offset: float, length: int, gap: int = 8, least_rows: int = 4, share: float = 0.75) -> list[int]:
+    """Boundaries of columns: left edges that recur in most rows, parted in the middle
+    of the space before them; none with fewer than ``least_rows`` rows or two columns."""
+    if not len(words):
+        return []
+    w = cluster_rows(words, 0.7)
+    rows = w.row.nunique()
+    if rows < least_rows:
+        return []
+    tolerance = max(gap, 0.03 * length)
+    w = w.sort_values("x1")
+    chain = (w.x1.diff().fillna(0) > tolerance).cumsum()
+    hits = w.groupby(chain).agg(left=("x1", "min"), right=("x2", "max"), rows=("row", "nunique"))
+    good = hits[hits.rows >= max(3, int(share * rows))]
+    if len(good) < 2:
+        return []
+    inner = []
+    for left in good.left.iloc[1:]:
+        before = w.x2[w.x2 <= left].max()
+        inner.append((before + left) / 2 if before == before else left)
+    edges = [good.left.iloc[0], *inner, w.x2.max()]
+    return [int(round(min(max(0.0, e - offset), length))) for e in edges]
+
+
+def cluster_positions(positions: list[int], gap: float) -> list[int]:
+    """Centres of chains of positions, rounded half to even."""
+    p = np.sort(np.asarray(positions, float))
+    return [int(round(float(c.mean()))) for c in np.split(p, np.flatnonzero(np.diff(p) > gap) + 1)] if len(p) else []
+
+
+def supplement_bounds(lines: list[int], text: list[int], gap: int = 8) -> tuple[list[int], set[int]]:
+    """Ruled boundaries with those of the text where the text shows more than one
+    band beyond them; and which of the result no ruled line backs."""
+    if max(0, len(text) - 1) <= max(0, len(lines) - 1) + 1:
+        return lines, set()
+    union = sorted({*lines, *text})
+    steps = sorted(np.diff(union).tolist())
+    reach = max(gap, int(steps[len(steps) // 2] * 0.4)) if steps else gap
+    bounds = cluster_positions(union, reach)
+    return bounds, {b for b in bounds if all(abs(b - x) > reach for x in lines)}
+
+
+def page_bounds(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, rows, columns): boundaries that the words of each page suggest."""
+
+    def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        width, height = int(pdf.page_width.iloc[0]), int(pdf.page_height.iloc[0])
+        return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "rows": [text_row_bounds(pdf, 0, height)], "columns": [text_column_bounds(pdf, 0, width)]})
+
+    ship(words.sparkSession)
+    return words.join(pages.select(*PAGE, "page_width", "page_height"), PAGE).groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, rows array<int>, columns array<int>")

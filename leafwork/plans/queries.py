@@ -552,3 +552,28 @@ def book_metadata(spark, d):
     from leafwork.operators import metadata
 
     return metadata.book_metadata(typed_of(spark, d))
+
+
+@query()
+def page_bounds(spark, d):
+    from leafwork.operators import folds
+
+    w = words_of(spark, d)
+    return folds.page_bounds(w, layout.page_sizes(w))
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT doc_id, page, li, x1, max(x2) OVER (PARTITION BY doc_id, page) * 0.02 AS tol FROM words),
+g AS (SELECT *, CASE WHEN x1 - lag(x1) OVER w <= tol THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY doc_id, page ORDER BY x1, li)),
+c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY x1, li ROWS UNBOUNDED PRECEDING) AS band FROM g),
+b AS (SELECT doc_id, page, band, count(*) AS n, count(DISTINCT li) AS hit FROM c GROUP BY 1, 2, 3), r AS (SELECT doc_id, page, count(DISTINCT li) AS lines FROM words GROUP BY 1, 2)
+SELECT doc_id, page, (band - 1)::BIGINT AS band, n, hit FROM b JOIN r USING (doc_id, page) WHERE hit >= greatest(2, floor(lines * 0.85))""")
+def column_bands(spark, d):
+    from pyspark.sql import Window
+
+    w = words_of(spark, d)
+    key = ["doc_id", "page"]
+    o = Window.partitionBy(*key).orderBy("x1", "li")
+    s = w.withColumn("tol", F.max("x2").over(Window.partitionBy(*key)) * 0.02).withColumn("fresh", F.when(F.col("x1") - F.lag("x1").over(o) <= F.col("tol"), 0).otherwise(1))
+    c = s.withColumn("band", F.sum("fresh").over(o.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    b = c.groupBy(*key, "band").agg(F.count("*").alias("n"), F.count_distinct("li").alias("hit"))
+    return b.join(w.groupBy(*key).agg(F.count_distinct("li").alias("lines")), key).where(F.col("hit") >= F.greatest(F.lit(2), F.floor(F.col("lines") * 0.85))).select(*key, "band", "n", "hit")

@@ -222,3 +222,16 @@ def test_concurrency():
 
     assert [resources.concurrency(*x) for x in (("paddleocr", 2, 7775), ("paddleocr", 14, 11960), ("tesseract", 2, 7775), ("tesseract", 14, 11960))] == [1, 2, 1, 13]
     assert resources.fit(None, 1, 1) is None and resources.workers(8, 14, 11960) == 2
+
+
+def test_bounds_from_text():
+    g = grid(5, 3)
+    rows = folds.text_row_bounds(g, 90, 400)
+    assert rows == [10, 38, 78, 118, 158, 186]
+    columns = folds.text_column_bounds(g, 0, 1000)
+    assert columns == [50, 175, 360, 470]
+    assert folds.text_row_bounds(g[g.y1 == 100], 0, 400) == [] and folds.text_column_bounds(g[g.y1 < 200], 0, 1000) == []
+    assert folds.cluster_positions([10, 1, 3, 30], 8) == [5, 30]
+    assert folds.supplement_bounds([0, 100], [0, 50]) == ([0, 100], set())
+    bounds, loose = folds.supplement_bounds([0, 160], [2, 40, 80, 120, 158])
+    assert bounds == [1, 40, 80, 120, 159] and loose == {40, 80, 120}
