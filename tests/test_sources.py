@@ -188,3 +188,63 @@ def test_exports(spark, sf):
     got = office.write_exports(blocks, words, layout.page_sizes(words)).collect()
     assert len(got) == 8 and all(r.error is None and r.size == len(r.content) for r in got)
     assert all(r.content[:4] == (b"%PDF" if r.export_type == "PDF" else b"PK\x03\x04") for r in got)
+
+
+def text_page(h=200, w=300):
+    page = np.full((h, w), 240, np.uint8)
+    for y in range(20, h - 20, 20):
+        for x in range(30, w - 40, 12):
+            page[y : y + 8, x : x + 8] = 20
+    return page
+
+
+def test_vision_kernels():
+    from leafwork.sources import vision
+
+    page = text_page()
+    turned = vision.rotate(page, 3)
+    assert turned.shape[0] > page.shape[0] and abs(vision.skew_angle(turned) + 3) <= 0.5 and vision.skew_angle(page) == 0
+    assert (vision.rotate(page, 90) == np.rot90(page)).all()
+    assert vision.coarse_rotation(page) == 0
+    dotted = page.copy()
+    dotted[5, 150] = 0
+    assert vision.denoise(dotted)[5, 150] == 240
+    dotted = page.copy()
+    dotted[100:102, 4:6] = 0
+    far = np.full((400, 400), 240, np.uint8)
+    far[200:202, 200:202] = 0
+    assert (vision.remove_speckles(far, 100)[200:202, 200:202] == 255).all() and (vision.remove_speckles(page, 100) == page).all()
+    shaded = (page * np.linspace(0.6, 1, 300)[None, :]).astype(np.uint8)
+    flat = vision.flatten_background(shaded)
+    assert abs(int(flat[5, 20]) - int(flat[5, 280])) < 25 < abs(int(shaded[5, 20]) - int(shaded[5, 280]))
+    assert vision.enhance_contrast(page).shape == page.shape
+    scene = np.zeros((120, 160), np.uint8)
+    scene[20:100, 30:140] = 220
+    corners = vision.page_corners(scene)
+    assert corners.tolist() == [[30, 20], [139, 20], [139, 99], [30, 99]]
+    assert vision.straighten(scene, corners).shape == (80, 110) and (vision.straighten(scene, corners) == 220).all()
+    ruled = np.full((90, 90), 255, np.uint8)
+    ruled[40, 10:80] = 0
+    ruled[10:80, 20] = 0
+    assert sorted(vision.ruling_lines(ruled)) == [("horizontal", 10, 40, 80, 41), ("vertical", 20, 10, 21, 80)]
+    for profile in ("FAST", "BALANCED", "HIGH_QUALITY"):
+        assert vision.clean(page, profile, 100).dtype == np.uint8
+
+
+def test_pages_are_cleaned(spark):
+    from leafwork.sources import vision
+
+    df = spark.createDataFrame([(1, images.encode_png(text_page())), (2, b"not a picture")], "page int, image binary")
+    got = {r.page: r for r in vision.clean_pages(df, profile="FAST", dpi=100).collect()}
+    assert got[1].error is None and images.decode_png(got[1].cleaned).shape == (200, 300)
+    assert got[2].error.startswith("ValueError") and got[2].cleaned == b"not a picture"
+
+
+def test_pdf_source_says_what_is_missing(spark):
+    from leafwork.sources import pdf_pages
+
+    assert pdf_pages.page_ranges(33) == [(0, 16), (16, 32), (32, 33)]
+    assert pdf_pages.PdfPages.name() == "pdf_pages"
+    if not pdf_pages.available():
+        with pytest.raises(RuntimeError, match="no PDF renderer"):
+            pdf_pages.PdfPages({"paths": "a.pdf"}).reader(None).partitions()
