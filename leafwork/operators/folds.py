@@ -43,25 +43,46 @@ def row_clusters(words: DataFrame) -> DataFrame:
     """(doc_id, page, row, n_words, y1, y2, text) of rows of words by height."""
 
     def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = cluster_rows(pdf).groupby("row")
-        out = pd.DataFrame({"n_words": g.size(), "y1": g.y1.min(), "y2": g.y2.max(), "text": g.text.agg(" ".join)}).reset_index()
-        return out.assign(doc_id=key[0], page=key[1])[["doc_id", "page", "row", "n_words", "y1", "y2", "text"]]
+        order, row = _rows(pdf, 0.6)
+        at = np.flatnonzero(np.diff(row, prepend=-1))
+        text = pdf.text.to_numpy()[order]
+        ends = [*at[1:], len(row)]
+        return pd.DataFrame(
+            {
+                "doc_id": key[0],
+                "page": key[1],
+                "row": row[at],
+                "n_words": np.diff([*at, len(row)]),
+                "y1": np.minimum.reduceat(pdf.y1.to_numpy()[order], at),
+                "y2": np.maximum.reduceat(pdf.y2.to_numpy()[order], at),
+                "text": [" ".join(text[i:j]) for i, j in zip(at, ends, strict=True)],
+            }
+        )
 
     ship(words.sparkSession)
     return words.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, row int, n_words long, y1 long, y2 long, text string")
 
 
-def column_bands(x: np.ndarray, row: np.ndarray, tolerance: float) -> np.ndarray:
-    """Centres of chains of left edges that most rows hit."""
+def _rows(words: pd.DataFrame, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by row and x, and the row of each in that order."""
+    x, wi, y1, y2 = (words[c].to_numpy() for c in ("x1", "wi", "y1", "y2"))
+    mid = (y1 + y2) / 2
+    down = np.lexsort((wi, x, mid))
+    row = running_mean_rows(mid[down], (y2 - y1)[down], reach)
+    across = np.lexsort((wi[down], x[down], row))
+    return down[across], row[across]
+
+
+def column_bands(x: np.ndarray, starts: np.ndarray, tolerance: float) -> np.ndarray:
+    """Centres of chains of left edges that most rows hit; x is in order of rows, which begin at starts."""
     if not len(x):
         return x
     order = np.sort(x)
     chain = np.concatenate(([0], np.cumsum(np.diff(order) > tolerance)))
     centers = np.bincount(chain, order) / np.bincount(chain)
-    need = max(2, int(len(np.unique(row)) * ROW_SHARE))
     near = np.abs(x[:, None] - centers[None, :]) <= tolerance
-    hits = np.array([len(np.unique(row[near[:, k]])) for k in range(len(centers))])
-    return centers[hits >= need]
+    hits = np.logical_or.reduceat(near, starts, axis=0).sum(0)
+    return centers[hits >= max(2, int(len(starts) * ROW_SHARE))]
 
 
 def has_numbers(w: pd.DataFrame, bands: np.ndarray, tolerance: float) -> bool:
@@ -78,22 +99,26 @@ def has_numbers(w: pd.DataFrame, bands: np.ndarray, tolerance: float) -> bool:
 def page_tables(words: pd.DataFrame, width: float) -> list[pd.DataFrame]:
     """The cells of each table that aligned words make: runs of rows, as long as
     three bands or more are common to all of a run."""
-    w = cluster_rows(words)
-    w = w[w.groupby("row").row.transform("size") >= LEAST_COLUMNS]
-    rows = [g for _, g in w.groupby("row", sort=True)]
-    tolerance, out, i = width * BAND_TOLERANCE, [], 0
-    while len(rows) >= LEAST_ROWS and i < len(rows):
+    if not len(words):
+        return []
+    order, row = _rows(words, 0.6)
+    kept = np.bincount(row)[row] >= LEAST_COLUMNS
+    order, row = order[kept], row[kept]
+    begin = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+    x, tolerance, n = words.x1.to_numpy(float)[order], width * BAND_TOLERANCE, len(begin) - 1
+    out, i = [], 0
+
+    def bands(i: int, j: int) -> np.ndarray:
+        return column_bands(x[begin[i] : begin[j]], begin[i:j] - begin[i], tolerance)
+
+    while n >= LEAST_ROWS and i < n:
         j = i + 1
-        while j < len(rows):
-            run = pd.concat(rows[i : j + 1])
-            if len(column_bands(run.x1.to_numpy(float), run.row.to_numpy(), tolerance)) < LEAST_COLUMNS:
-                break
+        while j < n and len(bands(i, j + 1)) >= LEAST_COLUMNS:
             j += 1
-        run = pd.concat(rows[i:j])
-        if j - i >= LEAST_ROWS:
-            bands = column_bands(run.x1.to_numpy(float), run.row.to_numpy(), tolerance)
-            if len(bands) >= LEAST_COLUMNS and has_numbers(run, bands, tolerance):
-                out.append(_cells(run, bands))
+        if j - i >= LEAST_ROWS and len(found := bands(i, j)) >= LEAST_COLUMNS:
+            run = words.iloc[order[begin[i] : begin[j]]].assign(row=row[begin[i] : begin[j]])
+            if has_numbers(run, found, tolerance):
+                out.append(_cells(run, found))
         i = j
     return out
 
