@@ -19,7 +19,7 @@ def oracle(sf):
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def value(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if pd.isna(v):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
