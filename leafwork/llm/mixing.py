@@ -4,6 +4,8 @@ A source's target share of the output over its share of the input is its mean
 repetition rate.  Each document draws its count from the Poisson distribution
 with that mean, by inverting it at a uniform number hashed from the seed and
 its id; it is repeated so often, and all repetitions are shuffled by a hash.
+A mean above MOST_MEAN is dealt to several such draws, whose sum is Poisson too,
+so any rate is reached with a table of bounded size.
 """
 
 from __future__ import annotations
@@ -17,10 +19,15 @@ from leafwork.llm.common import cut
 TEMPERATURE = 0.7
 #: The inverse is tabulated to this many standard deviations beyond the mean, and some; what lies beyond has a chance below 1e-15.
 TAIL = 12
-#: So many sources at most are broadcast; a source's table has under 260 numbers, so that is 9 MB.
+#: The largest mean that one draw inverts: exp(-mean) is far from the least double, and its table has about 800 numbers.
+MOST_MEAN = 512.0
+#: So many sources at most, with so many numbers in all their tables, are broadcast; that is 9 MB.
 MOST_BROADCAST = 4096
+MOST_NUMBERS = 260 * 4096
 #: Beyond that, the join with the sources deals each of them to so many tasks.
 SALTS = 64
+#: Repetitions are numbered in runs of so many.
+STRIDE = 1024
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -43,7 +50,7 @@ def poisson_table(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["out"])
 
 
-def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, total: float | None = None, most_rate: float = 100.0) -> DataFrame:
+def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
     """(source, rate): how often a document of each source is to appear on average.
 
     weights: target weights by source, in any unit; sources that are missing
@@ -58,7 +65,7 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     n = n.withColumn("w", w)
     sums = n.agg(F.sum("w").alias("_w"), F.sum("n").alias("_n"))  # one row
     size = F.col("_n") if total is None else F.lit(float(total))
-    rate = F.when(F.col("_w") > 0, F.least(F.col("w") / F.col("_w") * size / F.col("n"), F.lit(float(most_rate)))).otherwise(0.0)
+    rate = F.when(F.col("_w") > 0, F.col("w") / F.col("_w") * size / F.col("n")).otherwise(0.0)
     return n.join(F.broadcast(sums)).select("_mx_source", rate.alias("rate"))
 
 
@@ -68,24 +75,34 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
 
     Null source: a source of its own, named "".  Null id: drawn as the id "".
     Repeated rows share an id and so a count; each row is repeated so often.
+    A rate has no upper bound; the repetitions of one row are made in one task.
     Empty table: empty result.  Clashing columns replica and shuffle_key of
     docs are replaced."""
     keep = [c for c in docs.columns if c not in {"replica", "shuffle_key"} and not c.startswith("_mx_")]
-    table = cut(rates(docs, source, weights, total).select("_mx_source", poisson_table(F.col("rate")).alias("_mx_table"), (F.col("rate") > 0).alias("_mx_any")), "rates")
+    draws = F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("long")
+    table = rates(docs, source, weights, total).withColumn("_mx_draws", draws)
+    table = cut(table.select("_mx_source", poisson_table(F.col("rate") / F.col("_mx_draws")).alias("_mx_table"), "_mx_draws", (F.col("rate") > 0).alias("_mx_any")), "rates")
     own = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.select(*keep, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_mx_source"), own.alias("_mx_id"))
     rows = _with_source(rows, table).withColumn("_mx_u", uniform(seed, F.col("_mx_id")))
-    rows = rows.withColumn("_mx_k", F.when(F.col("_mx_any"), F.size(F.filter("_mx_table", lambda c: c <= F.col("_mx_u")))).otherwise(0)).where("_mx_k > 0").drop("_mx_table")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mx_k").cast("long"))).alias("replica"))
+    drawn = lambda u: F.size(F.filter("_mx_table", lambda c: c <= u)).cast("long")
+    more = F.transform(F.sequence(F.lit(2).cast("long"), F.col("_mx_draws")), lambda i: uniform(seed, F.lit("draw"), F.col("_mx_id"), i))
+    more = F.when(F.col("_mx_draws") > 1, F.aggregate(more, F.lit(0).cast("long"), lambda k, u: k + drawn(u))).otherwise(0)
+    rows = rows.withColumn("_mx_k", F.when(F.col("_mx_any"), drawn(F.col("_mx_u")) + more).otherwise(0)).where("_mx_k > 0").drop("_mx_table")
+    # in two steps, so that no array has as many numbers as a document has repetitions
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mx_k") - 1) / STRIDE))).alias("_mx_run"))
+    first = F.col("_mx_run") * STRIDE + 1
+    rows = rows.select("*", F.explode(F.sequence(first, F.least(F.col("_mx_k"), first + (STRIDE - 1)))).alias("replica"))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "_mx_id", F.col("replica").cast("string"))))
     return rows.select(*keep, "replica", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows joined with the table of their source.  A checked number of sources is
-    broadcast, so texts stay where they are; more are salted, so that a source
-    with a large share of all rows is dealt to many tasks."""
-    if table.count() <= MOST_BROADCAST:
+    """rows joined with the table of their source.  A checked number of sources and
+    of their tables' numbers is broadcast, so texts stay where they are; more are
+    salted, so that a source with a large share of all rows is dealt to many tasks."""
+    sources, numbers = table.agg(F.count("*"), F.coalesce(F.sum(F.size("_mx_table")), F.lit(0))).first()
+    if sources <= MOST_BROADCAST and numbers <= MOST_NUMBERS:
         return rows.join(F.broadcast(table), "_mx_source")
     rows = rows.withColumn("_mx_salt", F.pmod(F.xxhash64("_mx_id"), F.lit(SALTS)))
     table = table.withColumn("_mx_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))

@@ -264,6 +264,37 @@ def test_mixing_with_many_sources(docs, monkeypatch):
     assert sorted(map(str, mixing.mix_sources(docs).collect())) == want
 
 
+def test_mixing_reaches_high_rates(spark, monkeypatch):
+    import hashlib
+    import math
+
+    def want(mean, doc_id):
+        u = int(hashlib.md5(f"1:{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        k, total = 0, math.exp(-mean)
+        p = total
+        while total <= u:
+            k += 1
+            p *= mean / k
+            total += p
+        return k
+
+    def replicas(n, rare, weights):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < rare, "rare").otherwise("common").alias("source"))
+        out = {}
+        for r in mixing.mix_sources(docs, weights=weights).where("source = 'rare'").collect():
+            out.setdefault(r["doc_id"], []).append(r["replica"])
+        assert all(sorted(v) == list(range(1, len(v) + 1)) for v in out.values())
+        return {i: len(v) for i, v in out.items()}
+
+    # 2 of 1000 rows with half of the weight: a rate of 250, by one draw
+    assert replicas(1000, 2, {"rare": 1.0, "common": 1.0}) == {i: want(250.0, i) for i in range(2)}
+    # 2 of 8000 rows: a rate of 2000, by four draws; seven standard deviations
+    got = replicas(8000, 2, {"rare": 1.0, "common": 1.0})
+    assert set(got) == {0, 1} and got[0] != got[1] and all(abs(k - 2000) < 7 * 2000**0.5 for k in got.values())
+    monkeypatch.setattr(mixing, "MOST_NUMBERS", 0)
+    assert replicas(8000, 2, {"rare": 1.0, "common": 1.0}) == got
+
+
 def test_mixing_odd_rows(odd, spark):
     got = mixing.mix_sources(odd)
     assert "extra col" in got.columns and got.count() > 0
