@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.llm import bpe, mixing, near_dedup, pii, quality_classifier
-from leafwork.llm.common import drop_table, scratch_dir
+from leafwork.llm.common import cut, drop_table, scratch_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,10 +24,20 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the
-    smallest id; of repeated rows of it, the first by its other columns."""
-    kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id", F.col("doc_id").isNull().alias("_none")).distinct()
-    rows = docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*").select(*COLUMNS)
+    smallest id; of its near copies with that id, the first by its other columns.
+
+    Rows that share an id but not a text are documents of their own, known by a
+    64-bit hash of both.  Rows of null id stay as they are, and so does one of
+    the equal rows of an id whose text is null or has no words."""
+    node = F.xxhash64("doc_id", "text")
+    known = docs.select(*COLUMNS).where("doc_id is not null").withColumn("_node", node)
+    found = near_dedup.near_duplicates(known.select("doc_id", "text", "_node"), doc_id="_node").select("doc_id", "_node", "component_id")
+    found = cut(found, "components")
+    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+    kept = found.join(first, ["component_id", "doc_id"]).distinct()
+    rows = known.join(kept, ["doc_id", "_node"])
+    rows = rows.groupBy("component_id", "doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*").select(*COLUMNS)
+    return rows.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,17 @@ def test_stages_on_odd_rows(spark, sf):
     for f in (corpus_pipeline.classify, corpus_pipeline.redact, corpus_pipeline.mix, corpus_pipeline.tokenize):
         f(spark, docs, sf).collect()
         assert f(spark, docs.limit(0), sf).count() == 0
+
+
+def test_deduplicate_drops_only_near_copies(spark, sf):
+    words = [f"word{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "edit"]), "a text that is like none of the others here"
+    rows = [(None, "one without an id"), (None, "two without an id"), (None, "two without an id"), (None, None), (None, text)]
+    rows += [(1, text), (2, near), (3, text), (3, near), (3, other), (3, other), (4, None), (4, other + " at all"), (5, near), (5, "the last one of them all")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, sf).collect()]
+    want = rows[:5] + [(1, text), (3, other), (4, None), (4, other + " at all"), (5, "the last one of them all")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    # near copies that share an id: the first by its columns stays
+    same = spark.createDataFrame([(7, t, "en", "a", 0) for t in (near, text, near)], docs.schema)
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, same, sf).collect()] == [(7, min(text, near))]
