@@ -32,8 +32,8 @@ RULES = {
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Tokens that may be identifiers: a digit or an @ somewhere between white space.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Context words are taken from so many characters on either side.
-CONTEXT_CHARS = 80
+#: What an identifier-like token is as a context word of others.
+PLACEHOLDER = "<num>"
 
 SPANS_TYPE = "array<struct<s:int,e:int,m:string>>"
 
@@ -52,26 +52,31 @@ def find_spans(text: Column, rule: str) -> Column:
 
 
 def find_tokens(text: Column) -> Column:
-    """Identifier-like tokens with up to two words before and one after: array of (s, e, token, left2, left1, right1)."""
+    """Identifier-like tokens with up to two words before and one after, wherever
+    they stand in the text; words that are such tokens themselves are PLACEHOLDER.
+    Array of (s, e, token, left2, left1, right1)."""
     segments, tokens = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    after = F.concat(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit("")))
-    parts = F.zip_with(F.zip_with(segments, after, lambda a, b: F.struct(a.alias("gap"), b.alias("next"))), tokens, lambda x, m: F.struct(x["gap"].alias("gap"), x["next"].alias("next"), m.alias("m")))
+
+    def last(gap: Column, skip: str) -> Column:
+        # backwards and anchored, so that only the words asked for are looked at
+        return F.lower(F.reverse(F.regexp_extract(F.reverse(gap), rf"^[\x20\x09-\x0D]*+{skip}([^\x20\x09-\x0D]++)", 1)))
+
+    gaps = F.transform(segments, lambda g: F.struct(F.length(g).alias("gap"), last(g, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]++").alias("g2"), last(g, "").alias("g1")))
+    rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
+    behind = F.transform(rest(segments), lambda g: F.lower(F.regexp_extract(g, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1)))
+    # the word after a token, or the token that is next to it
+    behind = F.zip_with(behind, rest(tokens), lambda w, m: F.when((w == "") & m.isNotNull(), PLACEHOLDER).otherwise(w))
+    parts = F.zip_with(gaps, F.zip_with(tokens, behind, lambda m, w: F.struct(m.alias("m"), w.alias("right1"))), lambda g, t: F.struct(g["gap"].alias("gap"), g["g2"].alias("g2"), g["g1"].alias("g1"), t["m"].alias("m"), t["right1"].alias("right1")))
     kind = "array<struct<s:int,e:int,token:string,left2:string,left1:string,right1:string>>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("b2"), F.lit("").alias("b1"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + F.length(x["gap"])
+        s = acc["pos"] + x["gap"]
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        before, behind = F.lower(F.right(x["gap"], F.lit(CONTEXT_CHARS))), F.lower(F.left(x["next"], F.lit(CONTEXT_CHARS)))
-        row = F.struct(
-            s.alias("s"),
-            e.alias("e"),
-            x["m"].alias("token"),
-            F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$", 1).alias("left2"),
-            F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1).alias("left1"),
-            F.regexp_extract(behind, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1).alias("right1"),
-        )
-        return F.struct(e.alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], row)).alias("out"))
+        left1 = F.when(x["g1"] != "", x["g1"]).otherwise(acc["b1"])
+        left2 = F.when(x["g2"] != "", x["g2"]).when(x["g1"] != "", acc["b1"]).otherwise(acc["b2"])
+        row = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("token"), left2.alias("left2"), left1.alias("left1"), x["right1"].alias("right1"))
+        return F.struct(e.alias("pos"), left1.alias("b2"), F.lit(PLACEHOLDER).alias("b1"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], row)).alias("out"))
 
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 

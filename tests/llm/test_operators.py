@@ -44,6 +44,28 @@ def test_pii_learns_contexts(spark):
     assert not got[101]["spans"] and not got[102]["spans"] and not got[103]["spans"]
 
 
+def test_pii_tokens_have_whole_contexts(spark, texts):
+    def want(text):
+        words = [(m.start(), m.end(), m.group()) for m in brute.WORD.finditer(text)]
+        hit = [bool(set(w) & set("0123456789@")) for *_, w in words]
+        name = ["<num>" if h else w.lower() for h, (*_, w) in zip(hit, words, strict=True)]
+        at = lambda i: name[i] if 0 <= i < len(name) else ""
+        return [(s, e, w, at(i - 2), at(i - 1), at(i + 1)) for i, (s, e, w) in enumerate(words) if hit[i]]
+
+    far = " " * 200
+    mine = [*(t for t in texts.values() if t), "please write to agent77-q1 agent78-q2 now", "on 3 agent77-q1", "1 2 3", f"Some words{far}a1{far}behind it", f"{'x' * 300} {'y' * 90} b2 {'z' * 120} c3"]
+    got = rows(spark.createDataFrame(list(enumerate(mine)), "i int, text string").select("i", pii.find_tokens(F.col("text")).alias("t")))
+    for r in got:
+        assert [tuple(x.values()) for x in r["t"]] == want(mine[r["i"]]), mine[r["i"]][:80]
+
+
+def test_pii_learns_between_identifiers(spark):
+    lines = [(i, f"on 3 a{i}x@mail.org then 5 b{i}x@mail.org now") for i in range(8)] + [(100, "on 4 agent77-q1 then it"), (101, "then 6 agent78-q2 now")]
+    got = {r["doc_id"]: r for r in rows(pii.extract_pii(spark.createDataFrame(lines, "doc_id long, text string")))}
+    assert [(x["s"], x["e"], pii.KINDS[x["k"]]) for x in got[100]["spans"]] == [(5, 15, "email")]
+    assert [(x["s"], x["e"], pii.KINDS[x["k"]]) for x in got[101]["spans"]] == [(7, 17, "email")]
+
+
 def test_pii_odd_rows_and_masks(odd, docs, texts):
     got = pii.extract_pii(odd.withColumn("whole", F.col("text")))
     assert got.count() == odd.count() and "extra col" in got.columns
