@@ -266,7 +266,7 @@ def json_lenient(spark, d):
 @query(f"WITH {LINES} SELECT doc_id, li, upper(substr(text, 1, 60)) = substr(text, 1, 60) AND lower(substr(text, 1, 60)) <> substr(text, 1, 60) AS shout, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS n_letters FROM lines")
 def line_letters(spark, d):
     lines = layout.group_lines(words_of(spark, d))
-    t = F.substring("text", 1, 60)
+    t = F.col("text")
     return lines.select("doc_id", "li", ((F.upper(t) == t) & (F.lower(t) != t)).alias("shout"), T.letters(F.col("text")).cast("long").alias("n_letters"))
 
 

@@ -31,3 +31,10 @@ def test_query_equals_sql(spark, sf, oracle, name):
     got, want = QUERIES[name](spark, sf).toPandas(), oracle.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
+
+
+def test_line_letters_reads_whole_lines(spark, tmp_path):
+    lines = ["A" * 60 + " and lower case behind", "B" * 90, "1" * 60 + " LOUD", "quiet"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["li"]: r["shout"] for r in QUERIES["line_letters"](spark, str(tmp_path)).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: False}
