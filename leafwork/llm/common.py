@@ -1,14 +1,16 @@
 """What the operators of this package share: materialised tables, byte-level
-tokenisation with numpy, streamed groups and connected components."""
+tokenisation with numpy, folds within a row, joins with hot keys, streamed
+groups and connected components."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: tab to carriage return, and the space.
@@ -144,6 +146,61 @@ def utf8(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]
 
 
+# ------------------------------------------------------- arrays within a row
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of longs of 0 or more: what the associative ``merge``
+    makes of 0 and all values before it.
+
+    The array is folded in runs of the square root of its length, then the runs'
+    results are, so that n values cost n * sqrt(n) copied elements and not n * n."""
+
+    def fold(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(merge(acc["last"], x).alias("last"), F.array_append(acc["out"], acc["last"]).alias("out")))
+
+    def body(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / step).cast("int") - 1), lambda i: fold(F.slice(v, i * step + 1, step)))
+        return let(runs, lambda r: F.flatten(F.zip_with(r, fold(F.transform(r, lambda x: x["last"]))["out"], lambda x, b: F.transform(x["out"], lambda y: merge(b, y)))))
+
+    return F.when(F.size(values) > 0, let(values, body)).otherwise(F.array().cast("array<long>"))
+
+
+# ----------------------------------------------------------------- skewed joins
+#: Rows of a side that may be broadcast once they are counted.
+MOST_SMALL = 200_000
+#: A key with more rows than this, and than a ten-thousandth of all rows, is dealt to several tasks.
+HOT = 1024
+
+
+def join_small(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a side of narrow rows that is small as a rule: it is counted,
+    and broadcast up to MOST_SMALL rows; beyond that, both sides are shuffled."""
+    return rows.join(F.broadcast(side) if side.count() <= MOST_SMALL else side, keys, how)
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, salt: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row for each key and in ``weight`` how
+    many rows have it at most; ``total`` is the sum of the weights.
+
+    A hot key's rows are dealt to several tasks by the hash of column ``salt``,
+    and its row of side is sent to each.  Hot keys have more than
+    max(HOT, total / 10000) rows, so there are at most 10000: they are broadcast."""
+    most = max(HOT, total // 10_000)
+    if total <= most:
+        return rows.join(side, keys, how)
+    many = F.ceil(F.col(weight) / most).cast("int")
+    hot = side.where(F.col(weight) > most).select(*keys, many.alias("_jh_many"))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_jh_salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_jh_many")), F.lit(0)).cast("int")).drop("_jh_many")
+    side = side.withColumn("_jh_salt", F.explode(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1)))
+    return rows.join(side, [*keys, "_jh_salt"], how).drop("_jh_salt")
+
+
 # ------------------------------------------------------------ streamed groups
 def groups(batches, keys: int):
     """From Arrow batches sorted by their first ``keys`` columns: one table for
@@ -211,10 +268,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Nodes without an edge to another node do not appear.
 
     Alternates large-star and small-star steps: each is one aggregate that
-    Spark combines before its shuffle and one equi-join that adaptive
-    execution can split, so neither needs all edges of a hub in one task.  The
-    edges of each round are written to the shared checkpoint folder; only
-    counts and checksums reach the driver."""
+    Spark combines before its shuffle and one equi-join that deals the edges of
+    a hub to several tasks, so neither needs all of them in one.  The edges of
+    each round are written to the shared checkpoint folder; only counts and
+    checksums reach the driver."""
     spark = edges.sparkSession
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     path = write_cut(now, "edges")
@@ -226,9 +283,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark["n"] or mark == before:
             break
         before = mark
-        large = _star(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
+        large = _star(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), True, 2 * mark["n"])
         both = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _star(both, False).distinct()
+        small = _star(both, False, 2 * mark["n"]).distinct()
         new = write_cut(small, "edges")
         drop_table(spark, path)
         path = new
@@ -239,10 +296,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _star(e: DataFrame, large: bool) -> DataFrame:
-    """For each node u of (u, v): m is the smallest of u and its neighbours v.
-    The large star links each larger neighbour to m, the small star each
-    smaller one and u itself."""
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    rest = e.where("v > u" if large else "v < u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _star(e: DataFrame, large: bool, total: int) -> DataFrame:
+    """For each node u of (u, v), of ``total`` rows at most: m is the smallest of u
+    and its neighbours v.  The large star links each larger neighbour to m, the
+    small star each smaller one and u itself."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_w")).select("u", F.least("u", "m").alias("m"), "_w")
+    met = join_hot(e.where("v > u" if large else "v < u"), least, ["u"], "_w", total, "v")
+    rest = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest if large else rest.union(least.where("u <> m").select("u", F.col("m").alias("v")))

@@ -1,16 +1,19 @@
 """Personal data (operator 3): bootstrapped contextual extraction, native.
 
-Base rules find e-mail addresses, IP addresses, card and phone numbers.  Those
-seeds label the identifier-like tokens they overlap.  The words around labelled
-tokens are lexical patterns; patterns and token strings form a graph that is
-scored in rounds: a pattern by the mean score of its distinct strings, a string
-by the noisy-or of its patterns.  Tokens without a label whose score is high
-are further spans, of the kind of their patterns.
+Base rules find e-mail addresses, IP addresses, card and phone numbers; a seed
+rule finds strings that look like secrets.  These entities label the
+identifier-like tokens they overlap.  Lexical patterns are the words around a
+token: two words before it, a word on each side, or one word and the token's
+shape.  Patterns and token strings form a graph that is scored in rounds: a
+pattern's confidence is the share of its distinct strings that are known
+entities of one kind, and strings of confident patterns become known entities
+for the next round, until no pattern is added.  Tokens that no base rule found
+but a confident pattern did are further spans.
 
 All of it is DataFrame expressions.  One scan of the texts writes spans and
 candidates to the checkpoint folder; the rounds run on that small table, with
-aggregates that combine before their shuffle and equi-joins that adaptive
-execution splits where a pattern is hot.
+aggregates that combine before their shuffle and joins that broadcast what is
+counted and small, or deal a hot pattern to several tasks.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import cut, drop_table, read_cut, write_cut
+from leafwork.llm.common import cut, drop_table, join_hot, join_small, let, read_cut, running, write_cut
 
 # The kinds in their order and the rules of the contract.  The look-behinds, \\G and possessive
 # quantifiers change no match; they keep the search linear in long runs of one class.
-KINDS = ["email", "ip", "card", "phone"]
+BASE_KINDS = ["email", "ip", "card", "phone"]
 RULES = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -35,50 +38,78 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: What an identifier-like token is as a context word of others.
 PLACEHOLDER = "<num>"
 
+#: Strings that seed the kind secret: 32 hexadecimal digits or more, of which some are letters and some are not.
+SECRET = r"(?<![0-9a-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![0-9a-z])"
+#: All kinds, by their numbers in spans.  Secrets come from contexts only, never from their seed rule alone.
+KINDS = [*BASE_KINDS, "secret"]
+
 SPANS_TYPE = "array<struct<s:int,e:int,m:string>>"
 
 
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def find_spans(text: Column, rule: str) -> Column:
     """All leftmost non-overlapping matches: array of (s, e, m), in code points, e exclusive."""
-    parts = F.zip_with(F.split(text, rule, -1), F.regexp_extract_all(text, F.lit(rule), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("g"), F.length(m).alias("n"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS_TYPE).alias("out"))
+    parts = F.struct(F.transform(F.split(text, rule, -1), lambda g: F.length(g)).alias("gaps"), F.regexp_extract_all(text, F.lit(rule), F.lit(0)).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + x["g"]
-        e = s + F.coalesce(x["n"], F.lit(0))
-        return F.struct(e.alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+    def body(x: Column) -> Column:
+        at = running(F.zip_with(x["gaps"], x["found"], lambda g, m: (g + F.coalesce(F.length(m), F.lit(0))).cast("long")), plus)
+        starts = F.zip_with(at, x["gaps"], lambda a, g: (a + g).cast("int"))
+        spans = F.zip_with(starts, x["found"], lambda s, m: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
+        return F.slice(spans, 1, F.size(x["found"]))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return let(parts, body)
 
 
 def find_tokens(text: Column) -> Column:
     """Identifier-like tokens with up to two words before and one after, wherever
     they stand in the text; words that are such tokens themselves are PLACEHOLDER.
     Array of (s, e, token, left2, left1, right1)."""
-    segments, tokens = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
     def last(gap: Column, skip: str) -> Column:
         # backwards and anchored, so that only the words asked for are looked at
         return F.lower(F.reverse(F.regexp_extract(F.reverse(gap), rf"^[\x20\x09-\x0D]*+{skip}([^\x20\x09-\x0D]++)", 1)))
 
-    gaps = F.transform(segments, lambda g: F.struct(F.length(g).alias("gap"), last(g, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]++").alias("g2"), last(g, "").alias("g1")))
-    rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
-    behind = F.transform(rest(segments), lambda g: F.lower(F.regexp_extract(g, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1)))
-    # the word after a token, or the token that is next to it
-    behind = F.zip_with(behind, rest(tokens), lambda w, m: F.when((w == "") & m.isNotNull(), PLACEHOLDER).otherwise(w))
-    parts = F.zip_with(gaps, F.zip_with(tokens, behind, lambda m, w: F.struct(m.alias("m"), w.alias("right1"))), lambda g, t: F.struct(g["gap"].alias("gap"), g["g2"].alias("g2"), g["g1"].alias("g1"), t["m"].alias("m"), t["right1"].alias("right1")))
-    kind = "array<struct<s:int,e:int,token:string,left2:string,left1:string,right1:string>>"
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("b2"), F.lit("").alias("b1"), F.array().cast(kind).alias("out"))
+    first = lambda g: F.lower(F.regexp_extract(g, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
+    gaps = F.transform(F.split(text, TOKEN, -1), lambda g: F.struct(F.length(g).alias("n"), last(g, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]++").alias("g2"), last(g, "").alias("g1"), first(g).alias("f1")))
+    parts = F.struct(gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("found"))
+
+    def body(x: Column) -> Column:
+        lengths = F.zip_with(x["gaps"], x["found"], lambda g, m: (g["n"] + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+
+        def token(m: Column, i: Column, at: Column) -> Column:
+            own, before = F.get(x["gaps"], i), F.get(x["gaps"], i - 1)
+            after = lambda k: F.when(i > k, PLACEHOLDER).otherwise("")
+            left1 = F.when(own["g1"] != "", own["g1"]).otherwise(after(0))
+            beyond = F.when(i == 0, "").when(before["g1"] != "", before["g1"]).otherwise(after(1))
+            left2 = F.when(own["g2"] != "", own["g2"]).when(own["g1"] != "", after(0)).otherwise(beyond)
+            behind = F.get(x["gaps"], i + 1)["f1"]
+            right1 = F.when(behind != "", behind).when(i < F.size(x["found"]) - 1, PLACEHOLDER).otherwise("")
+            s = (F.get(at, i) + own["n"]).cast("int")
+            return F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("token"), left2.alias("left2"), left1.alias("left1"), right1.alias("right1"))
+
+        return let(running(lengths, plus), lambda at: F.transform(x["found"], lambda m, i: token(m, i, at)))
+
+    return let(parts, body)
+
+
+def kinds_of(tokens: Column, base: Column) -> Column:
+    """For each of an array of tokens, in order: the kind of the base span that
+    overlaps it, of several the one that reaches farthest; null without one.
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + x["gap"]
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        left1 = F.when(x["g1"] != "", x["g1"]).otherwise(acc["b1"])
-        left2 = F.when(x["g2"] != "", x["g2"]).when(x["g1"] != "", acc["b1"]).otherwise(acc["b2"])
-        row = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("token"), left2.alias("left2"), left1.alias("left1"), x["right1"].alias("right1"))
-        return F.struct(e.alias("pos"), left1.alias("b2"), F.lit(PLACEHOLDER).alias("b1"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], row)).alias("out"))
+    Both are sorted together, and the farthest end so far is carried along."""
+    spans = F.transform(base, lambda b: F.struct(b["s"].alias("at"), F.lit(1).alias("tag"), (b["e"].cast("long") * 8 + b["k"]).alias("code"), F.lit(0).alias("s")))
+    own = F.transform(tokens, lambda x: F.struct(x["e"].alias("at"), F.lit(0).alias("tag"), F.lit(0).cast("long").alias("code"), x["s"].alias("s")))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def body(events: Column) -> Column:
+        reach = running(F.transform(events, lambda x: x["code"]), lambda a, b: F.greatest(a, b))
+        met = F.zip_with(events, reach, lambda x, r: F.struct(x["tag"].alias("tag"), x["s"].alias("s"), r.alias("r")))
+        return F.transform(F.filter(met, lambda x: x["tag"] == 0), lambda x: F.when(F.shiftright(x["r"], 3) > x["s"], (x["r"] % 8).cast("int")))
+
+    none = F.transform(tokens, lambda x: F.lit(None).cast("int"))
+    return F.when(F.size(base) == 0, none).otherwise(let(F.array_sort(F.concat(spans, own)), body))
 
 
 def base_spans(text: Column) -> Column:
@@ -93,10 +124,10 @@ def base_spans(text: Column) -> Column:
     }
 
     def tagged(kind: str) -> Column:
-        k = F.lit(KINDS.index(kind)).alias("k")
+        k = F.lit(BASE_KINDS.index(kind)).alias("k")
         return F.transform(found[kind], lambda x: F.struct(x["s"].alias("s"), k, x["e"].alias("e"), x["m"].alias("m")))
 
-    return F.array_sort(F.concat(*map(tagged, KINDS)))
+    return F.array_sort(F.concat(*map(tagged, BASE_KINDS)))
 
 
 def count_kind(spans: str, kind: str) -> Column:
@@ -110,84 +141,125 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def extract_pii(docs: DataFrame, text: str = "text", rounds: int = 3, support: int = 5, confidence: float = 0.8, least_digits: int = 2, least_chars: int = 5) -> DataFrame:
+def extract_pii(docs: DataFrame, text: str = "text", support: int = 5, confidence: float = 0.8, least_digits: int = 2, least_chars: int = 5) -> DataFrame:
     """One row for each row of docs: the columns of docs except ``text``, then
-    ``base`` and ``spans`` (arrays of (s, k, e, m), by start, then kind).
-
-    A pattern counts if at least ``support`` different strings that a base rule
-    labelled stand in it and its confidence reaches ``confidence``; a token is
-    added if its score does, and it has ``least_digits`` digits (or an @) and
-    ``least_chars`` characters and overlaps no base span.
-
-    Null or empty text: no spans.  Repeated rows: each gets its own result;
-    copies of a string count once for a pattern.  Empty table: empty result.
-    Columns of docs that clash with base, spans or names that begin with _pii
-    are replaced.
+    ``base`` and ``spans`` (arrays of (s, k, e, m), by start, then kind, then end).
+
+    A pattern is confident if ``support`` of its distinct strings or more are known
+    entities of one kind and these are a share of ``confidence`` of its strings and
+    one more.  Known are strings that a base span overlaps or the seed rule of
+    secrets matches where the pattern stands, and all strings that a confident
+    pattern found before.  A string or a token gets the kind whose patterns'
+    noisy-or is highest, of equal ones the first.  To be found, a token must
+    overlap no base span and have ``least_digits`` digits (or an @) and
+    ``least_chars`` characters; marks around it are no part of it.
+
+    Null or empty text: no spans.  Very long texts: work and memory follow the
+    text, without a cut; n matches of a rule cost n * sqrt(n).  Repeated rows:
+    each gets its own result; copies of a string count once for a pattern.
+    Empty table: empty result.  Columns of docs that clash with base, spans or
+    names that begin with _pii are replaced.
     """
+    spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in {text, "base", "spans"} and not c.startswith("_pii")]
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(*keep, t.alias("_pii_text")).withColumn("base", base_spans(F.col("_pii_text")))
     rows = rows.withColumn("_pii_tokens", F.when(F.col("_pii_text").rlike("[0-9@]"), find_tokens(F.col("_pii_text"))))
+    rows = rows.withColumn("_pii_kinds", F.when(F.col("_pii_tokens").isNotNull(), kinds_of(F.col("_pii_tokens"), F.col("base"))))
     scanned = cut(rows.drop("_pii_text").withColumn("_pii_row", F.monotonically_increasing_id()), "pii")
 
-    tokens = scanned.where(F.size("_pii_tokens") > 0).select("_pii_row", "base", F.explode("_pii_tokens").alias("x"))
-    tokens = tokens.select(
-        "_pii_row",
-        F.col("x.s").alias("s"),
-        F.col("x.e").alias("e"),
-        F.lower("x.token").alias("token"),
-        F.array_compact(F.array(*_patterns())).alias("patterns"),
-        F.get(F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"])), F.lit(0))["k"].alias("k"),
-    )
-    edges = tokens.select(F.explode("patterns").alias("pattern"), F.xxhash64("token").alias("string"), F.col("k")).groupBy("pattern", "string").agg(F.max("k").alias("k"))
-    known = edges.groupBy("pattern").agg(F.count("k").alias("seeds")).where(F.col("seeds") >= support)
-    edges = cut(edges.join(known.select("pattern"), "pattern"), "pii-edges")
-
-    score = None
-    for _ in range(rounds):
-        here = edges.select("pattern", "string", *[F.when(F.col("k") == i, 1.0).otherwise(0.0).alias(f"p{i}") for i in range(len(KINDS))])
-        if score is not None:
-            s = read_cut(docs.sparkSession, score, like)
-            here = edges.join(s, "string", "left").select("pattern", "string", *[F.when(F.col("k").isNotNull(), F.when(F.col("k") == i, 1.0).otherwise(0.0)).otherwise(F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias(f"p{i}") for i in range(len(KINDS))])
-        patterns = here.groupBy("pattern").agg(*[(F.sum(f"p{i}") / (F.count("*") + 1)).alias(f"c{i}") for i in range(len(KINDS))])
-        patterns = patterns.where(" or ".join(f"c{i} >= 0.5" for i in range(len(KINDS))))
-        like = edges.where("k is null").join(patterns, "pattern").groupBy("string").agg(*[(1 - F.exp(F.sum(F.log(F.when(F.col(f"c{i}") >= 0.5, 1 - F.col(f"c{i}")).otherwise(1.0))))).alias(f"s{i}") for i in range(len(KINDS))], F.max(F.greatest(*[f"c{i}" for i in range(len(KINDS))])).alias("best"))
-        new = write_cut(like, "pii-score")
-        if score is not None:
-            drop_table(docs.sparkSession, score)
-        score = new
-    top = F.greatest(*[f"s{i}" for i in range(len(KINDS))])
-    chosen = read_cut(docs.sparkSession, score, like).where((top >= confidence) & (F.col("best") >= confidence)).select("string", (F.array_position(F.array(*[f"s{i}" for i in range(len(KINDS))]), top).cast("int") - 1).alias("k"))
-    shape = ((F.regexp_count("token", F.lit("[0-9]")) >= least_digits) | F.col("token").contains("@")) & (F.length("token") >= least_chars)
-    added = tokens.where(F.col("k").isNull() & shape).select("_pii_row", "s", "e", F.xxhash64("token").alias("string"), "token").join(chosen, "string")
-    added = added.groupBy("_pii_row").agg(F.collect_set(F.struct("s", "k", "e", F.col("token").alias("m"))).alias("_pii_more"))
+    tokens = scanned.where(F.size("_pii_tokens") > 0).select("_pii_row", F.explode(F.arrays_zip("_pii_tokens", "_pii_kinds")).alias("z"))
+    tokens = tokens.select("_pii_row", "z._pii_tokens.*", F.col("z._pii_kinds").alias("k"))
+    lead, tail = F.length(F.regexp_extract("token", r"^[^\p{L}\p{N}+@_]*+", 0)), F.length(F.regexp_extract(F.reverse("token"), r"^[^\p{L}\p{N}_]*+", 0))
+    tokens = tokens.withColumn("lead", lead).withColumn("tail", tail)
+    tokens = tokens.select("_pii_row", (F.col("s") + F.col("lead")).alias("s"), (F.col("e") - F.col("tail")).alias("e"), F.lower(F.substring("token", F.col("lead") + 1, F.length("token") - F.col("lead") - F.col("tail"))).alias("token"), "left2", "left1", "right1", "k")
+    shaped = ((F.regexp_count("token", F.lit("[0-9]")) >= least_digits) | F.col("token").contains("@")) & (F.length("token") >= least_chars)
+    tokens = tokens.select("_pii_row", "s", "e", "token", "k", shaped.alias("ok"), F.array_compact(F.array(*_patterns())).alias("patterns"))
+
+    label = F.coalesce("k", F.when(F.col("token").rlike(SECRET), KINDS.index("secret")))
+    edges = tokens.select(F.explode("patterns").alias("pattern"), F.xxhash64("token").alias("string"), label.alias("k"), "ok").groupBy("pattern", "string").agg(F.max("k").alias("k"), F.first("ok").alias("ok"))
+    edges = cut(edges, "pii-all-edges")
+    # fewer strings than the support can never be enough
+    sizes = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), "pii-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    edges = cut(join_hot(edges, sizes, ["pattern"], "n", total, "string"), "pii-edges")
+
+    patterns = known = None
+    before = 0
+    while True:
+        labelled = edges if known is None else join_small(edges, known, ["string"], "left").withColumn("k", F.coalesce("k", "found"))
+        counts = labelled.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("k") == i).alias(f"p{i}") for i in range(len(KINDS))])
+        most = F.greatest(*[f"p{i}" for i in range(len(KINDS))])
+        kind = F.array_position(F.array(*[f"p{i}" for i in range(len(KINDS))]), most).cast("int") - 1
+        counts = counts.select("pattern", kind.alias("kind"), most.alias("p"), (most / (F.col("n") + 1)).alias("c")).where((F.col("p") >= support) & (F.col("c") >= confidence))
+        if patterns is not None:
+            drop_table(spark, patterns)
+        patterns = write_cut(counts, "pii-patterns")
+        confident = read_cut(spark, patterns, counts)
+        # known entities never become fewer, so neither do confident patterns
+        size = confident.count()
+        if size == before:
+            break
+        before = size
+        found = _kind_by_patterns(join_small(edges.where("k is null and ok").select("pattern", "string"), confident, ["pattern"]), ["string"])
+        found = found if known is None else known.union(found.join(known, "string", "left_anti"))
+        known = cut(found, "pii-known")
+    added = tokens.where(F.col("k").isNull() & F.col("ok")).select("_pii_row", "s", "e", F.explode("patterns").alias("pattern"), F.col("token").alias("m"))
+    added = _kind_by_patterns(join_small(added, confident, ["pattern"]), ["_pii_row", "s", "e", "m"])
+    added = added.groupBy("_pii_row").agg(F.collect_list(F.struct("s", F.col("found").alias("k"), "e", "m")).alias("_pii_more"))
     out = scanned.join(added, "_pii_row", "left").withColumn("spans", F.when(F.col("_pii_more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "_pii_more"))))
     return out.select(*keep, "base", "spans")
 
 
+def _kind_by_patterns(met: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, found): the kind whose patterns' noisy-or is highest, of equal ones the first."""
+    doubt = [F.round(F.sum(F.when(F.col("kind") == i, F.log(1 - F.col("c"))).otherwise(0.0)), 9).alias(f"d{i}") for i in range(len(KINDS))]
+    least = F.least(*[f"d{i}" for i in range(len(KINDS))])
+    return met.groupBy(*keys).agg(*doubt).select(*keys, (F.array_position(F.array(*[f"d{i}" for i in range(len(KINDS))]), least).cast("int") - 1).alias("found"))
+
+
 def _patterns() -> list[Column]:
-    """Lexical patterns of a token x: its two left words, or the word on each side."""
-    l2, l1, r1 = F.col("x.left2"), F.col("x.left1"), F.col("x.right1")
-    return [F.when((l2 != "") & (l1 != ""), F.concat(F.lit("l:"), l2, F.lit(" "), l1)), F.when((l1 != "") & (r1 != ""), F.concat(F.lit("b:"), l1, F.lit(" _ "), r1))]
+    """Lexical patterns of a token, as hashes: its two left words, the word on each
+    side, and one word with the token's shape.  Each has a real word in it."""
+    l2, l1, r1 = F.col("left2"), F.col("left1"), F.col("right1")
+    there, real = lambda w: w != "", lambda w: ~w.isin("", PLACEHOLDER)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("token", "[0-9]", "9"), "9{5,}", "9+"), r"\p{L}+", "a")
+    return [
+        F.when(there(l2) & there(l1) & (real(l2) | real(l1)), F.xxhash64(F.lit("l"), l2, l1)),
+        F.when(there(l1) & there(r1) & (real(l1) | real(r1)), F.xxhash64(F.lit("b"), l1, r1)),
+        F.when(real(l1), F.xxhash64(F.lit("s"), l1, shape)),
+        F.when(real(r1), F.xxhash64(F.lit("r"), shape, r1)),
+    ]
 
 
 def mask_spans(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; where spans overlap, the first one wins and the rest of the other is dropped."""
+    """The text with each span replaced by its kind in angle brackets; where spans
+    overlap, the first one wins and the rest of the other is dropped.
+
+    The text is cut in runs of spans first, then each run at its spans, so that no
+    place of a long text is sought from its beginning once for each span."""
     kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["s"] < acc["pos"]
-        gap = F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"])
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, F.get(kinds, x["k"])))).alias("out"))
+    def pieces(kept: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(kept))).cast("int")
+
+        def run(part: Column) -> Column:
+            first = F.get(part, F.lit(0))["p"]
+            inner = lambda own: F.array_join(F.transform(part, lambda x: F.concat(F.substring(own, x["p"] - first + 1, x["s"] - x["p"]), F.get(kinds, x["k"]))), "")
+            return let(F.substring(text, first + 1, F.element_at(part, -1)["e"] - first), inner)
+
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(kept) / step).cast("int") - 1), lambda i: let(F.slice(kept, i * step + 1, step), run))
+        return F.concat(F.array_join(runs, ""), F.substring(text, F.element_at(kept, -1)["e"] + 1, F.length(text)))
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), F.substring(text, done["pos"] + 1, F.length(text))))
+    # p: the farthest end of the spans before; a span that begins before it is inside another
+    ends = running(F.transform(spans, lambda x: x["e"].cast("long")), lambda a, b: F.greatest(a, b))
+    kept = F.zip_with(spans, ends, lambda x, p: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), p.cast("int").alias("p")))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.filter(kept, lambda x: x["s"] >= x["p"]), pieces))
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every row of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = extract_pii(docs)
-    counts = [count_kind("base", kind).alias(f"n_{kind}") for kind in KINDS]
+    counts = [count_kind("base", kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))

@@ -3,9 +3,12 @@
 import base64
 import hashlib
 import itertools
+import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+
+import regex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = {
@@ -40,8 +43,86 @@ def pii(text):
     return sorted(out)
 
 
+ALL_KINDS = [*KINDS, "secret"]
+
+
 def span_list(spans):
-    return ",".join(f"{list(KINDS)[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def _tokens(text, base):
+    """(s, e, token, kind or None, patterns) of each identifier-like token."""
+    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    hit = [bool(set(w) & set("0123456789@")) for *_, w in words]
+    name = ["<num>" if h else w.lower() for h, (*_, w) in zip(hit, words)]
+    at = lambda i: name[i] if 0 <= i < len(name) else ""
+    real = lambda w: w not in ("", "<num>")
+    for i, (s, e, w) in enumerate(words):
+        if not hit[i]:
+            continue
+        met = [(be, k) for bs, k, be in base if bs < e and s < be]
+        lead, tail = len(regex.match(r"[^\p{L}\p{N}+@_]*", w).group()), len(regex.match(r"[^\p{L}\p{N}_]*", w[::-1]).group())
+        token = w[lead : len(w) - tail].lower() if lead + tail < len(w) else ""
+        l2, l1, r1 = at(i - 2), at(i - 1), at(i + 1)
+        shape = regex.sub(r"\p{L}+", "a", re.sub("9{5,}", "9+", re.sub("[0-9]", "9", token)))
+        patterns = []
+        if l2 and l1 and (real(l2) or real(l1)):
+            patterns.append(("l", l2, l1))
+        if l1 and r1 and (real(l1) or real(r1)):
+            patterns.append(("b", l1, r1))
+        patterns += [("s", l1, shape)] * real(l1) + [("r", shape, r1)] * real(r1)
+        yield s + lead, e - tail, token, max(met)[1] if met else None, patterns
+
+
+def bootstrap(texts, support=5, confidence=0.8):
+    """All spans of each text, base ones and those that contexts give: (start, kind number, end)."""
+    base = [pii(t) for t in texts]
+    tokens = [list(_tokens(t or "", b)) for t, b in zip(texts, base)]
+    ok = lambda t: (len(re.findall("[0-9]", t)) >= 2 or "@" in t) and len(t) >= 5
+    graph = defaultdict(dict)
+    for rows in tokens:
+        for _, _, t, k, patterns in rows:
+            if k is None and re.search(r"(?<![0-9a-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9a-z])", t):
+                k = 4
+            for p in patterns:
+                old = graph[p].get(t)
+                graph[p][t] = k if old is None or k is not None and k > old else old
+
+    def kind(patterns):
+        doubt = [round(sum(math.log(1 - c) for k, c in patterns if k == i), 9) for i in range(5)]
+        return doubt.index(min(doubt))
+
+    known, confident = {}, {}
+    while True:
+        now = {}
+        for p, strings in graph.items():
+            n = Counter(known.get(t) if k is None else k for t, k in strings.items())
+            most = max(n[i] for i in range(5))
+            if most >= support and most / (len(strings) + 1) >= confidence:
+                now[p] = next(i for i in range(5) if n[i] == most), most / (len(strings) + 1)
+        grown, confident = len(now) > len(confident), now
+        if not grown:
+            break
+        met = defaultdict(list)
+        for p, how in confident.items():
+            for t, k in graph[p].items():
+                if k is None and ok(t):
+                    met[t].append(how)
+        known = {t: kind(x) for t, x in met.items()} | known
+    out = []
+    for b, rows in zip(base, tokens):
+        more = [(s, kind([confident[p] for p in ps if p in confident]), e) for s, e, t, k, ps in rows if k is None and ok(t) and any(p in confident for p in ps)]
+        out.append(sorted([*b, *more]))
+    return out
+
+
+def masked(text, spans):
+    out, at = [], 0
+    for s, k, e in spans:
+        if s >= at:
+            out += [text[at:s], f"<{ALL_KINDS[k]}>"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
 
 
 def rules(text):
