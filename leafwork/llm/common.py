@@ -184,11 +184,11 @@ def join_small(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "in
     return rows.join(F.broadcast(side) if side.count() <= MOST_SMALL else side, keys, how)
 
 
-def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, salt: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, salt: str | Column, how: str = "inner") -> DataFrame:
     """rows joined with side, which has one row for each key and in ``weight`` how
     many rows have it at most; ``total`` is the sum of the weights.
 
-    A hot key's rows are dealt to several tasks by the hash of column ``salt``,
+    A hot key's rows are dealt to several tasks by the hash of ``salt``,
     and its row of side is sent to each.  Hot keys have more than
     max(HOT, total / 10000) rows, so there are at most 10000: they are broadcast."""
     most = max(HOT, total // 10_000)

@@ -2,7 +2,7 @@
 
 A store is a folder of immutable shards (Parquet files) and of manifests.
 Arrivals are appended as small shards.  Compaction groups shards by size tier
-and merges runs of similar size into files of about the target size; it reads
+and merges each run of similar size into one file of about the target size; it reads
 and writes whole files by DataFrame jobs without a shuffle.  A manifest lists
 the shards of one version.  It is written beside its place and put there by a
 rename that fails if that version exists, so a reader sees one version or the
@@ -15,7 +15,10 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ from leafwork.llm.common import scratch_dir
 
 #: Bytes of a finished shard; a tier holds shards of up to FAN times the size of the one below; runs that are merged have FAN shards at least.
 TARGET_BYTES, FAN = 64 << 20, 4
+#: Runs that one job merges; a bound on the size of a plan.
+RUNS_A_JOB = 128
 
 
 @dataclass(frozen=True)
@@ -101,14 +106,23 @@ class ShardStore:
                 out.append(Shard(s.getPath().toString(), s.getLen(), tier_of(s.getLen(), self.target, self.fan)))
         return sorted(out, key=lambda s: s.path)
 
-    def append(self, df: DataFrame, arrival: str | None = None) -> int:
+    def append(self, df: DataFrame, arrival: str | None = None, then: Callable[[], object] = lambda: None) -> int:
         """Writes the rows as new small shards and commits them.  With the name
-        of a column ``arrival``, each of its values is an arrival with shards of
-        its own, all written by one job.  Returns the version."""
-        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-        writer = df.withColumn("_arrival", F.col(arrival)).write.partitionBy("_arrival") if arrival else df.write
+        of a column ``arrival``, each of its values is an arrival with shards and
+        a version of its own: one job writes them all, and they are committed one
+        after the other in order of their folders' names.  ``then`` runs after
+        each commit.  Returns the last version."""
+        folder, part = f"{self.root}/shards/{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
+        writer = df.withColumn(part, F.col(arrival)).write.partitionBy(part) if arrival else df.write
         writer.parquet(folder)
-        return self._retry(lambda shards: [*shards, *self._files(folder)], df.schema.json())
+        arrivals: dict[str, list[Shard]] = {}
+        for s in self._files(folder):
+            arrivals.setdefault(s.path.rsplit("/", 1)[0], []).append(s)
+        version = 0
+        for _, new in sorted(arrivals.items()) or [("", [])]:
+            version = self._retry(lambda shards, new=new: [*shards, *new], df.schema.json())
+            then()
+        return version
 
     def _retry(self, change, schema: str | None) -> int:
         while True:
@@ -121,16 +135,17 @@ class ShardStore:
                 continue
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Runs of shards of one tier, in order of size, to be merged: FAN at
-        least, up to the target size each where so much is there."""
+        """Runs of shards of one tier, in order of size, to be merged: each as long
+        as the target size allows, the last of a tier FAN shards at least."""
         runs = []
         for tier in sorted({s.tier for s in shards if s.tier}, reverse=True):
-            alike, run = sorted((s for s in shards if s.tier == tier), key=lambda s: (s.size, s.path)), []
+            alike, run, size = sorted((s for s in shards if s.tier == tier), key=lambda s: (s.size, s.path)), [], 0
             for s in alike:
-                if run and sum(x.size for x in run) + s.size > self.target and len(run) >= self.fan:
+                if len(run) > 1 and size + s.size > self.target:
                     runs.append(run)
-                    run = []
+                    run, size = [], 0
                 run.append(s)
+                size += s.size
             if len(run) >= self.fan:
                 runs.append(run)
         return runs
@@ -138,26 +153,41 @@ class ShardStore:
     def compact(self) -> int:
         """Merges until no tier has a run to merge; returns the version.
 
-        One job merges all runs of a round whose shards are of one tier: their
-        files are read, coalesced to as many tasks as there are runs, and each
-        task writes one file.  Shards that another version lists stay as they
-        are until vacuum()."""
+        A job merges up to RUNS_A_JOB runs: a task for each reads the run's files
+        and writes one.  Each job commits a version, so a driver that is lost
+        costs one job.  Shards that another version lists stay as they are until
+        vacuum()."""
         while True:
             version, schema, shards = self.manifest()
-            runs = self.plan(shards)
+            runs = self.plan(shards)[:RUNS_A_JOB]
             if not runs:
                 return version
-            made, merged = [], set()
-            for tier in sorted({run[0].tier for run in runs}):
-                old = [s for run in runs if run[0].tier == tier for s in run]
-                folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-                self.read_shards(old, schema).coalesce(sum(run[0].tier == tier for run in runs)).write.parquet(folder)
-                # a merged run is above its tier even if its file came out small
-                made += [Shard(s.path, s.size, min(s.tier, tier - 1)) for s in self._files(folder)]
-                merged.update(s.path for s in old)
-            now = self._retry(lambda held, gone=merged, new=made: self._replace(held, gone, new), None)
+            folder = f"{self.root}/shards/{uuid.uuid4().hex}"
+            tasks = [self.read_shards(run, schema).coalesce(1) for run in runs]
+            with self._apart():
+                reduce(DataFrame.union, tasks).write.parquet(folder)
+            # a merged run is above its tier even if its file came out small
+            made = [Shard(s.path, s.size, min(s.tier, runs[self._task(s.path)][0].tier - 1)) for s in self._files(folder)]
+            gone = {s.path for run in runs for s in run}
+            now = self._retry(lambda held, gone=gone, new=made: self._replace(held, gone, new), None)
             assert now > version
 
+    @contextmanager
+    def _apart(self):
+        """Within it, the union of single partitions is as many partitions, and not one of them all."""
+        conf, name = self.spark.conf, "spark.sql.unionOutputPartitioning"
+        old = conf.get(name, None)
+        conf.set(name, "false")
+        try:
+            yield
+        finally:
+            conf.unset(name) if old is None else conf.set(name, old)
+
+    @staticmethod
+    def _task(path: str) -> int:
+        """The number of the task that wrote a file."""
+        return int(path.rsplit("/", 1)[1].split("-")[1])
+
     @staticmethod
     def _replace(held: list[Shard], gone: set[str], new: list[Shard]) -> list[Shard]:
         if not gone <= {s.path for s in held}:
@@ -191,17 +221,17 @@ class ShardStore:
         return self.read_shards(shards, schema)
 
 
-def shard_table(df: DataFrame, root: str, arrival: str | None = None, target: int = TARGET_BYTES) -> DataFrame:
-    """Appends df to the store at root, compacts it, deletes what no version
-    lists any more and returns the rows of the last version.
+def shard_table(df: DataFrame, root: str, arrival: str | None = None, target: int = TARGET_BYTES, keep_versions: int = 2) -> DataFrame:
+    """Appends df to the store at root, by arrivals, with a compaction after each;
+    then deletes what the last ``keep_versions`` versions do not list.  Returns
+    the rows of the last one.
 
     Nulls, repeated rows, long texts and any columns are kept as they are; an
     empty table makes a version without rows.  With ``arrival``, rows whose
     value is null are an arrival of their own."""
     store = ShardStore(df.sparkSession, root, target)
-    store.append(df, arrival)
-    store.compact()
-    store.vacuum()
+    store.append(df, arrival, store.compact)
+    store.vacuum(keep_versions)
     return store.read()
 
 

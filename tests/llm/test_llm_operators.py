@@ -128,7 +128,40 @@ def test_hosts_are_judged_together(spark):
     got = {r["id"]: r for r in rows(quality_rules.judge(spark.createDataFrame(data, "id long, host string, text string"), "host"))}
     assert got[0]["kept"] and not got[37]["kept"] and got[37]["base_failed"]
     assert not got[41]["kept"] and not got[41]["base_failed"]  # a good text of a bad host
-    assert 0.1 < got[0]["host_rate"] < 0.5 < got[41]["host_rate"] < 39 / 40
+    assert 0.1 < got[0]["rate_length"] < 0.5 < got[41]["rate_length"] < 39 / 40
+
+
+@pytest.mark.parametrize("most", [quality_rules.MOST_SMALL, 0])
+def test_host_trust_decides_single_failures(spark, monkeypatch, most):
+    """The verdict against plain arithmetic: a symbol-heavy text stands on a host with a clean record only; hosts broadcast and salted."""
+    monkeypatch.setattr(quality_rules, "MOST_SMALL", most)
+    monkeypatch.setattr(common, "HOT", 100)
+    clean, junk, again = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}###" for i in range(30)), "\n".join([" ".join(f"w{i}" for i in range(4))] * 9 + [" ".join(f"v{i}" for i in range(40))] * 1)
+    data = [("clean", junk if i == 0 else clean) for i in range(600)] + [("mixed", junk if i % 4 == 0 else clean) for i in range(200)] + [("lines", again if i % 3 == 0 else clean) for i in range(30)] + [(f"h{i}", clean) for i in range(40)]
+    got = rows(quality_rules.judge(spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(data)], "id long, host string, text string"), "host"))
+    hosts = {}
+    for h, t in data:
+        n_words, _, n_symbols, n_dup, n_repeat = brute.rules(t)
+        lines = [x for x in t.split("\n") if brute.WORD.search(x)]
+        fails = (n_words < 20, 100 * n_repeat > 30 * n_words, 100 * n_symbols > 10 * n_words, 100 * n_dup > 50 * len(lines))
+        hosts.setdefault(h, []).append(fails)
+    rate = {h: [] for h in hosts}
+    for k in range(4):
+        n, f = [len(v) for v in hosts.values()], [sum(x[k] for x in v) for v in hosts.values()]
+        mean, r = sum(f) / sum(n), [a / b for a, b in zip(f, n, strict=True)]
+        between = sum((x - sum(r) / len(r)) ** 2 for x in r) / len(r) - mean * (1 - mean) * sum(1 / b for b in n) / len(n)
+        size = sum(n) / len(n)
+        strength = min(max(mean * (1 - mean) / between - 1, 2.0), size) if between > 0 and 0 < mean < 1 else size
+        for h, a, b in zip(hosts, f, n, strict=True):
+            rate[h].append((a + mean * strength) / (b + strength))
+    assert rate["clean"][2] < 0.02 < rate["mixed"][2]
+    for x in got:
+        h, t = data[x["id"]]
+        r, f = rate[h], hosts[h]
+        own = f[[i for i, d in enumerate(data) if d[0] == h].index(x["id"])]
+        assert [x[f"rate_{k}"] for k in quality_rules.RULES] == pytest.approx(r)
+        assert x["kept"] == (not own[0] and not own[1] and max(r) <= 0.5 and not (own[2] and r[2] > 0.02) and not (own[3] and r[3] > 0.02)), (h, t)
+    assert len(got) == len(data) and {x["kept"] for x in got if x["id"] == 0} == {True} and not got[0]["base_failed"]
 
 
 def test_rules_odd_rows(odd):
@@ -377,12 +410,38 @@ def test_store_appends_compacts_and_commits_once(spark, docs, tmp_path):
         store.append(docs.select("doc_id"))
 
 
+def test_compaction_writes_each_run_as_a_file(spark, tmp_path):
+    """Runs are planned by tier and size; each becomes one file with the rows of its own shards, near the target."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=400_000, fan=3)
+    data = spark.range(24_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    for k in range(24):
+        store.append(data.where(f"id % 24 = {k}").coalesce(1))
+    whole = store.manifest()[2]
+    runs = store.plan(whole)
+    assert all(len({s.tier for s in run}) == 1 and (sum(s.size for s in run) <= 400_000 or len(run) == 2) for run in runs)
+    ids = lambda shards: frozenset(r.id for r in store.read_shards(shards, store.manifest()[1]).select("id").collect())
+    assert len(runs) > 2
+    planned = {ids(run) for run in runs}
+    old = {s.path for s in whole}
+    first = len(store.versions())
+    store.compact()
+    made = [s for s in store.manifest(first + 1)[2] if s.path not in old]
+    assert {ids([s]) for s in made} == planned and len(made) == len(runs)
+    assert store.read().count() == 24_000
+    assert not store.plan(store.manifest()[2])
+
+
 def test_shard_table_keeps_all_rows(odd, spark, tmp_path):
-    plain = odd.withColumnRenamed("extra col", "extra")
+    plain = odd.withColumnRenamed("extra col", "extra").withColumn("_arrival", F.lit("mine"))
     got = sharding.shard_table(plain.withColumn("a", F.col("doc_id") % 3), f"file://{tmp_path}/s", "a")
-    assert got.count() == plain.count()
+    assert sorted(map(str, got.drop("a").collect())) == sorted(map(str, plain.collect()))
+    # three values and null are four arrivals, each a version
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    assert store.versions()[-1] >= 4 and len(store.versions()) == 2
     empty = sharding.shard_table(plain.limit(0), f"file://{tmp_path}/e")
     assert empty.count() == 0 and empty.columns == plain.columns
+    none = sharding.shard_table(plain.limit(0).withColumn("a", F.lit(1)), f"file://{tmp_path}/f", "a")
+    assert none.count() == 0
 
 
 # --------------------------------------------------------------------------- chat
