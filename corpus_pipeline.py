@@ -17,7 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts have the score of the bias.  Very long texts are scored as
+    a whole.  A score equal to the threshold stays.  Repeated rows share a fate.
+    Empty table: empty result.  Columns beyond the documents' are dropped."""
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.score(docs.select(*COLUMNS), model, keep_text=True).where("predicted = 1").select(*COLUMNS)
 
@@ -28,7 +32,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id but not a text are documents of their own, known by a
     64-bit hash of both.  Rows of null id stay as they are, and so does one of
-    the equal rows of an id whose text is null or has no words."""
+    the equal rows of an id whose text is null or has no words.  Ties of all columns
+    are equal rows, of which one stays.  Very long texts are compared as a whole.
+    Empty table: empty result.  Columns beyond the documents' are dropped."""
     node = F.xxhash64("doc_id", "text")
     known = docs.select(*COLUMNS).where("doc_id is not null").withColumn("_node", node)
     found = near_dedup.near_duplicates(known.select("doc_id", "text", "_node"), doc_id="_node").select("doc_id", "_node", "component_id")
@@ -41,19 +47,33 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kinds."""
+    """Personal data are replaced by their kinds, and n_chars follows.
+
+    Null text stays null, with n_chars null; empty text stays empty.  Very long texts
+    are read as a whole.  Of overlapping spans the first is replaced and the rest of
+    the other dropped.  Repeated rows each stay.  Empty table: empty result.  Columns
+    beyond the documents' are dropped."""
     found = pii.extract_pii(docs.select(*COLUMNS, F.col("text").alias("whole")))
     text = pii.mask_spans(F.col("whole"), F.col("spans"))
     return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out to reach the sources' weights, and shuffled."""
+    """Documents are repeated or left out to reach the sources' weights, and shuffled.
+
+    Null source: a source of its own.  Null id: drawn as an empty id.  Null, empty and
+    very long texts are carried along.  Repeated rows have equal counts.  Ties of the
+    shuffle's key come in any order.  Empty table: empty result.  Columns beyond the
+    documents' are dropped."""
     return mixing.mix_sources(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, and digests of them and of what they decode to."""
+    """The token ids of each text, and digests of them and of what they decode to.
+
+    Null and empty texts have no ids.  Very long texts are encoded as a whole.
+    Repeated rows have equal ids.  Empty table: empty result.  Columns beyond doc_id,
+    source and text are dropped."""
     return bpe.round_trip(docs.select("doc_id", "source", "text"), *bpe.public_ranks(), keep_ids=True)
 
 
