@@ -190,7 +190,8 @@ def _fields(df: DataFrame, names: list[str]) -> str:
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
     """The columns of docs except ``text``, and ids (array of int).
 
-    Null and empty texts have no ids.  Every row is encoded by itself, so
+    Null and empty texts have no ids.  A text longer than RUN_BYTES is a run of its
+    own.  Of equal ranks at once, places are merged from left to right.  Every row is encoded by itself, so
     repeated rows get equal ids; empty table: empty result; a column ids of
     docs is replaced."""
     ship(docs.sparkSession)

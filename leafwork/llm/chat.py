@@ -92,7 +92,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     Rows are in order of turn, null first; ties, by role and text.  Null role or
     text: empty.  Repeated rows are turns of their own.  Null conv_id: one
     conversation.  Empty table: empty result.  Further columns are ignored.  A
-    conversation is one text, so its turns meet in one task."""
+    conversation is one text, however long, so its turns meet in one task."""
     ship(turns.sparkSession)
     rows = turns.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("x"))
     lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))

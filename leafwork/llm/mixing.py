@@ -73,7 +73,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     """The rows of docs, each as often as drawn, with replica (1, 2, ...) and
     shuffle_key, dealt to partitions by that key and in its order within each.
 
-    Null source: a source of its own, named "".  Null id: drawn as the id "".
+    Texts are carried along, however long.  Ties: repetitions with equal keys may
+    come in any order.  Null source: a source of its own, named "".  Null id: drawn as the id "".
     Repeated rows share an id and so a count; each row is repeated so often.
     A rate has no upper bound; the repetitions of one row are made in one task.
     Empty table: empty result.  Clashing columns replica and shuffle_key of

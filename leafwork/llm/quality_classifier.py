@@ -2,7 +2,7 @@
 trained with follow-the-regularised-leader updates, scored as sparse dot products.
 
 Training reads a bounded sample of labelled rows (``most_rows``, those with the
-smallest hash of their id) in one task; the model is DIMENSIONS weights, so
+smallest hash of their id, and ``most_texts`` texts that have their ids) in one task; the model is DIMENSIONS weights, so
 what reaches the driver and the executors has a fixed size.  Scoring is one
 pass over all texts without a shuffle.
 """
@@ -19,6 +19,8 @@ from leafwork.session import ship
 DIMENSIONS = 1 << 20
 #: Rows a model is fitted on, at most, and passes over them.
 MOST_ROWS, EPOCHS = 6000, 4
+#: Texts a model is fitted on, at most: more than rows only where texts share ids.
+MOST_TEXTS = 4 * MOST_ROWS
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 #: The mean weight of a text's n-grams is multiplied by this.
 SCALE = 100.0
@@ -114,18 +116,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, most_texts: int = MOST_TEXTS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """(weights, bias) learned from the labels of documents that are not held out.
 
+    Learns from ``most_rows`` labels at most, those with the smallest hashes of their
+    ids, and from ``most_texts`` of the texts with these ids, in that order.
+
     Null labels and labels without a document are ignored; without any label
     the model is 0 and scores 0.5.  A document with several labels counts once
-    for each."""
+    for each, and so do several texts of one id.  Null and empty texts teach the
+    bias alone; very long texts count as one example as any other.  Ties of the
+    order are broken by id, text and label.  Further columns are ignored."""
     ship(docs.sparkSession)
     use = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = use.select(F.col(doc_id).alias("_qc_id"), F.col(label).cast("double").alias("y"), F.xxhash64(F.col(doc_id)).alias("o")).orderBy("o", "_qc_id", "y").limit(most_rows)
     # most_rows bounds what is broadcast, and what meets in the one task that trains
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(doc_id).alias("_qc_id")).join(F.broadcast(chosen), "_qc_id")
-    rows = rows.select("t", "y", "o", "_qc_id").repartition(1).sortWithinPartitions("o", "_qc_id", "t", "y").limit(4 * most_rows)
+    rows = rows.select("t", "y", "o", "_qc_id").orderBy("o", "_qc_id", "t", "y").limit(most_texts)
     model = rows.mapInArrow(_fit(epochs), "at binary, w binary, bias double").collect()
     w = np.zeros(DIMENSIONS, np.float32)
     if not model:
@@ -151,8 +158,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     """The columns of docs (with ``text`` if keep_text), score (0 to 1, higher:
     label 1 likelier) and predicted (1 if score >= threshold, else 0).
 
-    Null and empty texts get the score of the bias.  Repeated rows get equal
-    scores.  Empty table: empty result.  Clashing columns of docs are replaced."""
+    Null and empty texts get the score of the bias.  Very long texts are scored as
+    a whole.  A score equal to the threshold is predicted 1.  Repeated rows get
+    equal scores.  Empty table: empty result.  Clashing columns of docs are replaced."""
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in {"score", "predicted"} and (keep_text or c != text)]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)

@@ -97,7 +97,9 @@ class Counter:
 def count_tokens(docs: DataFrame, pieces: dict[str, float], text: str = "text") -> DataFrame:
     """The columns of docs except ``text``, n_words and n_tokens.
 
-    Null and empty texts have none.  Repeated rows have equal counts.  Empty
+    Null and empty texts have none.  Very long texts share a trie with no other and
+    are counted as a whole.  Of equally probable segmentations the one with the
+    fewest tokens counts.  Repeated rows have equal counts.  Empty
     table: empty result.  Clashing columns of docs are replaced."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(pieces)  # of the vocabulary's size
