@@ -228,6 +228,20 @@ def groups(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
+def roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of booleans, the smallest row of its component."""
+    up = np.arange(len(linked))
+    while True:
+        least = np.minimum(up, np.where(linked, up[None, :], len(up)).min(1, initial=len(up)))
+        # the root of a component learns what any of its members met
+        np.minimum.at(least, up, least.copy())
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == up).all():
+            return up
+        up = least
+
+
 class Forest:
     """Union-find over 0..n-1 that keeps the smallest member as the root."""
 

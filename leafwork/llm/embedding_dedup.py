@@ -1,13 +1,19 @@
 """Embedding near-duplicates (operator 8): random-hyperplane signs in several
 tables, exact cosine in double precision, distributed components.
 
-Equal vectors are one class, so copies cost one comparison.  The number of
-signs a table follows the number of vectors, so buckets keep a size of about
-BUCKET; the number of tables then follows from the threshold, so that a pair at
-it is missed by all tables with a chance of MISS at any size of the data.
-Buckets beyond BLOCK vectors are dealt to pairs of blocks.  A block returns
-how many links each vector has and a forest of them, never the pairs; a link is
-counted in the first table in which its two vectors meet.
+1. Equal vectors are one class, so copies cost one comparison.
+2. Each class gets a sketch of SKETCH signs and a bucket in each of several
+   tables.  The number of signs of a bucket follows the number of vectors, so
+   buckets keep a size of about BUCKET; the number of tables follows from the
+   threshold, so that a pair at it is missed by all tables with a chance of MISS
+   at any size of the data.  Only sketches travel to the buckets, not vectors.
+   There, pairs whose sketches differ in few enough signs for the threshold are
+   candidates; a bucket returns a forest of them, never the pairs.
+3. Components of the candidates are clusters.  Each vector of a cluster of two
+   or more is fetched once; clusters beyond BLOCK vectors are dealt to pairs of
+   blocks.  All pairs of a cluster are compared exactly; a block returns how many
+   links each vector has and a forest of them.
+4. Components of the links are the groups of near duplicates.
 """
 
 from __future__ import annotations
@@ -18,11 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import Forest, connected_components, cut, groups
-from leafwork.llm.near_dedup import blocks
+from leafwork.llm.common import connected_components, cut, groups, join_hot, join_small, roots
+from leafwork.llm.near_dedup import block_of, blocks
 from leafwork.session import ship
 
 BUCKET, BLOCK, MISS = 256, 1024, 1e-6
+#: Signs of a sketch, and standard deviations by which two sketches at the threshold may differ more than on average.
+SKETCH, MARGIN = 512, 5.2
 
 
 def layout(n: int, threshold: float) -> tuple[int, int]:
@@ -32,12 +40,18 @@ def layout(n: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
 
+def most_differing(threshold: float) -> int:
+    """In how many signs two sketches may differ, so that a pair at the threshold is missed with a chance of 1e-7."""
+    p = math.acos(threshold) / math.pi
+    return math.floor(SKETCH * p + MARGIN * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
-    return np.random.default_rng([dim, bits, tables]).standard_normal((dim, bits * tables))
+    return np.random.default_rng([dim, bits, tables]).standard_normal((dim, max(SKETCH, bits * tables)))
 
 
 def _tables(bits: int, tables: int):
-    """(table, bucket, class, copies, vector, keys) for each table of each class; keys are its buckets in all tables."""
+    """(t, bucket, node, sketch) for each table of each class (node, vector)."""
 
     def run(batches):
         import pyarrow as pa
@@ -45,38 +59,30 @@ def _tables(bits: int, tables: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            col = batch.column(2)
+            col = batch.column(1)
             flat, at = np.asarray(col.flatten()), np.asarray(col.offsets) - col.offsets[0].as_py()
             dims = np.diff(at)
             for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = flat[at[rows][:, None] + np.arange(dim)]
-                signs = (x.astype(np.float64) @ _planes(int(dim), bits, tables) > 0).reshape(len(rows), tables, bits)
-                keys = (signs * (1 << np.arange(bits))).sum(2).astype(np.int32)
-                node, weight = np.asarray(batch.column(0))[rows], np.asarray(batch.column(1))[rows]
-                vectors, every = [v.tobytes() for v in x], [k.tobytes() for k in keys]
-                for i in range(0, len(rows), 1024):
-                    part = slice(i, i + 1024)
-                    size = len(node[part])
-                    for t in range(tables):
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(size, t, np.int32)),
-                                pa.array(keys[part, t].astype(np.int64) | int(dim) << 32),
-                                pa.array(node[part]),
-                                pa.array(weight[part]),
-                                pa.array(vectors[part], pa.binary()),
-                                pa.array(every[part], pa.binary()),
-                            ],
-                            names=["t", "bucket", "node", "copies", "vector", "keys"],
-                        )
+                every, planes = np.flatnonzero(dims == dim), _planes(int(dim), bits, tables)
+                for rows in np.array_split(every, max(1, len(every) // 1024)):
+                    x = flat[at[rows][:, None] + np.arange(dim)].astype(np.float64)
+                    signs = x / np.abs(x).max(1, keepdims=True) @ planes > 0
+                    keys = (signs[:, : bits * tables].reshape(len(rows), tables, bits) * (1 << np.arange(bits))).sum(2).astype(np.int64)
+                    sketches = [s.tobytes() for s in np.packbits(signs[:, :SKETCH], axis=1)]
+                    new = [
+                        pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))),
+                        pa.array((keys | int(dim) << 32).reshape(-1)),
+                        pa.array(np.repeat(np.asarray(batch.column(0))[rows], tables)),
+                        pa.array([s for s in sketches for _ in range(tables)], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(new, names=["t", "bucket", "node", "sketch"])
 
     return run
 
 
-def _compare(threshold: float, kind: str):
-    """From rows (t, bucket, i, j, b, node, copies, vector, keys) in order: for each
-    group (node, links, root), where root links the members of a tree of the group."""
+def _candidates(most: int):
+    """From rows (t, bucket, i, j, node, sketch) in order: (u, v) that link the
+    members of each tree of a group to its root."""
 
     def run(batches):
         import pyarrow as pa
@@ -84,31 +90,61 @@ def _compare(threshold: float, kind: str):
         for t in groups(batches, 4):
             if t.num_rows < 2:
                 continue
-            table, i, j = (t[c][0].as_py() for c in ("t", "i", "j"))
+            node = np.asarray(t["node"])
+            bits = np.unpackbits(np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
+            x = bits.astype(np.float32) * 2 - 1
+            up = roots(x @ x.T >= SKETCH - 2 * most)
+            at = np.flatnonzero(node != node[up])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[up[at]])], names=["u", "v"])
+
+    return run
+
+
+def _compare(threshold: float, kind: str):
+    """From rows (component, i, j, b, node, copies, vector) in order: for each group
+    (node, links, root), where root links the members of a tree of the group."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for t in groups(batches, 3):
+            if t.num_rows < 2:
+                continue
+            i, j = t["i"][0].as_py(), t["j"][0].as_py()
             node, copies, b = (np.asarray(t[c]) for c in ("node", "copies", "b"))
-            x = np.frombuffer(b"".join(t["vector"].to_pylist()), kind).reshape(t.num_rows, -1).astype(np.float64)
-            x /= np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
-            x /= np.sqrt((x * x).sum(1, keepdims=True))
-            keys = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int32).reshape(t.num_rows, -1)
-            p, q = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-            use = node[p] != node[q]
+            rows = [np.frombuffer(v, kind) for v in t["vector"].to_pylist()]
+            links, up = np.zeros(len(node), np.int64), np.arange(len(node))
+            linked = np.zeros((len(node), len(node)), bool)
+            for dim in {len(v) for v in rows}:  # those of another length have no link
+                own = np.array([k for k, v in enumerate(rows) if len(v) == dim])
+                x = np.stack([rows[k] for k in own]).astype(np.float64)
+                x /= np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+                x /= np.sqrt((x * x).sum(1, keepdims=True))
+                linked[np.ix_(own, own)] = x @ x.T >= threshold
+            linked &= node[:, None] != node[None, :]
             if i != j:  # two members of one block meet where that block meets itself
-                use &= b[p] != b[q]
-            p, q = p[use], q[use]
-            new = np.concatenate([~(keys[p[k : k + 65536], :table] == keys[q[k : k + 65536], :table]).any(1) for k in range(0, len(p), 65536)]) if len(p) else use
-            p, q = p[new], q[new]
-            if not len(p):
-                continue
-            links = np.bincount(p, copies[q], len(node)) + np.bincount(q, copies[p], len(node))
-            forest = Forest(len(node))
-            forest.join_all(p, q)
-            forest.flatten()
+                linked &= b[:, None] != b[None, :]
+            links = (linked * copies[None, :]).sum(1)
+            up = roots(linked)
             at = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(links[at].astype(np.int64)), pa.array(node[forest.up[at]])], names=["node", "links", "root"])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(links[at].astype(np.int64)), pa.array(node[up[at]])], names=["node", "links", "root"])
 
     return run
 
 
+def _vectors(batches):
+    """Arrays of numbers as bytes: the last column of each batch."""
+    import pyarrow as pa
+
+    for batch in batches:
+        col = batch.column(batch.num_columns - 1)
+        flat, at = np.asarray(col.flatten()), np.asarray(col.offsets) - col.offsets[0].as_py() if batch.num_rows else np.zeros(1, int)
+        found = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], names=batch.schema.names)
+
+
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """One row for each row of vectors: its columns except ``embedding``,
     n_links (other rows with a cosine of ``threshold`` or more), component_id
@@ -116,41 +152,59 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     Vectors that are null, empty, all zero or hold null or non-finite
     components have no link.  Vectors of different length have none with each
-    other.  Null id: no link, component_id null, kept.  Repeated rows are rows
-    of their own that link with each other; rows that share an id but not a
-    vector have the links of each.  Empty table: empty result.  Clashing
-    columns are replaced."""
+    other.  Null id: no link, component_id null, kept.  Ties: a cosine equal to
+    the threshold is a link.  Repeated rows are rows of their own that link with
+    each other; rows that share an id but not a vector have the links of each.
+    Empty table: empty result.  Clashing columns are replaced."""
     ship(vectors.sparkSession)
     keep = [c for c in vectors.columns if c not in {embedding, "n_links", "component_id", "kept"} and not c.startswith("_ed_")]
     element = vectors.schema[embedding].dataType.elementType.simpleString()
     kind = "float" if element == "float" else "double"
     v = F.col(embedding).cast(f"array<{kind}>")
     valid = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
+    own = F.col(vec_id).cast("long")
     rows = vectors.select(*keep, F.when(valid & F.col(vec_id).isNotNull(), v).alias("_ed_v"))
-    classes = rows.where("_ed_v is not null").groupBy("_ed_v").agg(F.min(F.col(vec_id).cast("long")).alias("node"), F.count("*").alias("copies"))
-    classes = cut(classes.select("node", "copies", "_ed_v"), "vectors")
-    bits, tables = layout(classes.count(), threshold)
-
-    spread = classes.mapInArrow(_tables(bits, tables), "t int, bucket long, node long, copies long, vector binary, keys binary")
-    large = spread.groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    met = blocks(spread.join(large, ["t", "bucket"]).withColumn("b", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")), "size", BLOCK)
-    met = met.select("t", "bucket", "i", "j", "b", "node", "copies", "vector", "keys")
-    found = met.repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j").mapInArrow(_compare(threshold, "f4" if kind == "float" else "f8"), "node long, links long, root long")
+    # 128 bits of a vector stand for it where only its class is sought
+    same = ["_ed_one", "_ed_two"]
+    digest = [F.xxhash64(F.lit(i), "_ed_v").alias(n) for i, n in enumerate(same)]
+    classes = rows.where("_ed_v is not null").groupBy("_ed_v").agg(F.min(own).alias("node"), F.count("*").alias("copies"))
+    classes = cut(classes.select("node", "copies", *digest, "_ed_v"), "vectors")
+    different, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    bits, tables = layout(different, threshold)
+
+    spread = classes.select("node", "_ed_v").mapInArrow(_tables(bits, tables), "t int, bucket long, node long, sketch binary")
+    large = cut(spread.groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-buckets")
+    met = join_small(spread, large, ["t", "bucket"], "left")
+    met = blocks(met, F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)).select("t", "bucket", "i", "j", "node", "sketch")
+    near = met.repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j").mapInArrow(_candidates(most_differing(threshold)), "u long, v long")
+    clusters = cut(connected_components(near), "clusters")
+
+    sizes = cut(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    clustered = clusters.count()
+    sized = join_hot(clusters, sizes, ["component"], "size", clustered, "node").withColumn("many", F.ceil(F.col("size") / BLOCK))
+    members = classes.select("node", "copies", "_ed_v").join(sized.select("node", "component", "many"), "node").select("node", "component", "many", "copies", F.col("_ed_v").alias("vector"))
+    members = members.mapInArrow(_vectors, "node long, component long, many long, copies long, vector binary")
+    pairs = blocks(members.withColumn("b", block_of(F.col("many"))), F.col("many")).select("component", "i", "j", "b", "node", "copies", "vector")
+    found = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_compare(threshold, "f4" if kind == "float" else "f8"), "node long, links long, root long")
     found = cut(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     # rows that share an id but not a vector are one node of the graph
-    components = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").union(_shared_ids(rows, classes, vec_id)))
-
-    out = rows.join(classes, "_ed_v", "left").join(links, "node", "left").join(components, "node", "left")
-    own = F.col(vec_id).cast("long")
-    component = F.when(F.col("node").isNull(), own).otherwise(F.coalesce("component", "node"))
-    n = F.when(F.col("node").isNull(), F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
-    return out.select(*keep, n.cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True)))
-
-
-def _shared_ids(rows: DataFrame, classes: DataFrame, vec_id: str) -> DataFrame:
-    repeated = rows.where("_ed_v is not null").groupBy(vec_id).agg(F.count("*").alias("c")).where("c > 1").select(vec_id)
-    return rows.join(repeated, vec_id).join(classes, "_ed_v").select(F.col(vec_id).cast("long").alias("u"), F.col("node").alias("v")).where("u <> v")
+    known = rows.where("_ed_v is not null").select(*keep, own.alias("_ed_id"), *digest)
+    repeated = cut(known.groupBy("_ed_id").agg(F.count("*").alias("c")).where("c > 1"), "repeated")
+    n = repeated.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    short = classes.select("node", "copies", *same)
+    edges = found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if n:
+        twins = join_hot(known.select("_ed_id", *same), repeated, ["_ed_id"], "c", n, "_ed_one").drop("c")
+        edges = edges.union(join_hot(twins, short, same, "copies", total, "_ed_id").select(F.col("_ed_id").alias("u"), F.col("node").alias("v")))
+    components = connected_components(edges.where("u <> v"))
+
+    # what a class has is joined to classes, and then to their rows, of which one class may have many
+    short = short.join(links, "node", "left").join(components, "node", "left")
+    short = short.select(*same, "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_ed_n"), F.coalesce("component", "node").alias("_ed_c"))
+    out = join_hot(known, short, same, "copies", total, "_ed_id").select(*keep, F.col("_ed_n").cast("long").alias("n_links"), F.col("_ed_c").alias("component_id"))
+    rest = rows.where("_ed_v is null").select(*keep, F.lit(0).cast("long").alias("n_links"), own.alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True)))
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@
    buckets are split into pairs of blocks.  In a block, pairs are kept whose
    joint likelihood of the registers allows the threshold, and a spanning
    forest of them is returned, never all pairs.
-3. Components of those are clusters.  Inside a cluster every pair is compared
-   on full sets, again by pairs of blocks that return a forest of the links.
+3. Components of those are clusters.  Inside a cluster texts are compared on
+   full sets, in blocks that return a forest of the links: first within blocks,
+   then between the trees that result, and only where they do not grow together,
+   every pair of blocks.
 4. Components of the links are the groups of near duplicates.
 
 A pair with the threshold's similarity is missed by all bands with a chance of
@@ -18,10 +20,10 @@ about 1e-6, and by the estimate with about 3e-6, unless other links join it.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import Forest, connected_components, cut, groups, mix, slices, token_hashes, utf8
+from leafwork.llm.common import Forest, connected_components, cut, groups, join_hot, mix, roots, slices, token_hashes, utf8
 from leafwork.session import ship
 
 BANDS, ROWS = 45, 6
@@ -30,6 +32,8 @@ REGISTERS = BANDS * ROWS
 BASE, TOP = 1.1, 255
 #: Members of a bucket, and of a cluster, that meet in one task: twice as many at most.
 BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 256
+#: Shingles of a block's texts together, about; they are held by one task as 8 bytes each.
+BLOCK_SHINGLES = 1 << 21
 #: Standard errors by which the estimate may fall short.
 MARGIN = 4.5
 
@@ -183,14 +187,17 @@ def _buckets(batches, most: int = 4096):
         yield out()
 
 
-def blocks(df: DataFrame, size: str, block: int, node: str = "node") -> DataFrame:
-    """Deals the rows of large groups to pairs of blocks: adds i and j.  A row of
-    block b goes to all pairs (i, j) with b in them, so each two rows meet, and
-    a pair of blocks holds about 2 * ``block`` rows whatever the group's size."""
-    many = F.ceil(F.col(size) / block).cast("int")
-    df = df.withColumn("_b", F.when(many <= 1, 0).otherwise(F.pmod(F.xxhash64(node), many)).cast("int"))
-    df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1)))
-    return df.withColumn("i", F.least("_b", "_o")).withColumn("j", F.greatest("_b", "_o")).drop("_b", "_o")
+def block_of(many: Column, node: str = "node") -> Column:
+    """The block of a row of a group that is dealt to so many blocks."""
+    return F.when(many <= 1, 0).otherwise(F.pmod(F.xxhash64(node), many)).cast("int")
+
+
+def blocks(df: DataFrame, many: Column, node: str = "node") -> DataFrame:
+    """Deals the rows of each group to pairs of its ``many`` blocks: adds i and j.  A
+    row of block b goes to all pairs (i, j) with b in them, so each two rows meet."""
+    df = df.withColumn("_m", many.cast("int")).withColumn("_b", block_of(F.col("_m"), node))
+    df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_m"), F.lit(1)) - 1)))
+    return df.withColumn("i", F.least("_b", "_o")).withColumn("j", F.greatest("_b", "_o")).drop("_b", "_o", "_m")
 
 
 def _sets(k: int):
@@ -208,7 +215,8 @@ def _sets(k: int):
 
 
 def _verify(percent: int):
-    """From rows (cluster, i, j, node, set) in order: a forest of the pairs whose sets reach the threshold, exactly."""
+    """From rows (cluster, i, j, node, set) in order: (u, v) that link the members of
+    each tree of the texts whose sets reach the threshold, exactly, to its root."""
 
     def run(batches):
         import pyarrow as pa
@@ -219,13 +227,11 @@ def _verify(percent: int):
             node = np.asarray(t["node"])
             sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
             n = np.array([len(s) for s in sets])
-            shared = _shared(sets) if len(sets) > 6 else np.array([[len(np.intersect1d(a, b, assume_unique=True)) if x > y else 0 for y, b in enumerate(sets)] for x, a in enumerate(sets)])
-            union = n[:, None] + n[None, :] - shared
-            a, b = np.nonzero(np.tril((100 * shared >= percent * union) & (union > 0), -1))
-            made = Forest(len(node)).join_all(a, b)
-            if made:
-                x = np.array(made)
-                yield pa.RecordBatch.from_arrays([pa.array(node[x[:, 0]]), pa.array(node[x[:, 1]])], names=["u", "v"])
+            shared = _shared(sets) if len(sets) > 6 else np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
+            up = roots(100 * shared >= percent * (n[:, None] + n[None, :] - shared))
+            at = np.flatnonzero(node != node[up])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[up[at]])], names=["u", "v"])
 
     return run
 
@@ -256,8 +262,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked if their sets of ``shingle``-word shingles have ``percent`` % or more
     of their union in common.
 
-    Null or empty text: an empty set, linked with nothing.  Null id: linked with
-    nothing, component_id null, kept.  Rows that share an id are one document
+    Null or empty text: an empty set, linked with nothing.  Very long texts have
+    one shingle set as any other; blocks hold fewer of them.  Null id: linked with
+    nothing, component_id null, kept.  Ties: a share equal to ``percent`` is a link.  Rows that share an id are one document
     that has the links of each of its texts.  Copies are one class, so they
     cost one comparison.  Empty table: empty result.  Clashing columns of docs
     are replaced.
@@ -270,33 +277,93 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     rows = cut(plain.mapInArrow(_sketch(shingle), f"{fields}, _nd_n long, _nd_one long, _nd_two long, _nd_regs binary"), "sketches")
     same = ["_nd_one", "_nd_two", "_nd_n"]
-    classes = rows.where(F.col(doc_id).isNotNull() & (F.col("_nd_n") > 0)).groupBy(*same).agg(F.min(F.col(doc_id).cast("long")).alias("node"), F.first("_nd_regs").alias("regs"))
+    own = F.col(doc_id).cast("long")
+    known = rows.where(F.col(doc_id).isNotNull() & (F.col("_nd_n") > 0))
+    classes = known.groupBy(*same).agg(F.min(own).alias("node"), F.count("*").alias("copies"), F.first("_nd_regs").alias("regs"))
     classes = cut(classes, "classes")
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
 
     keys = classes.select("node", "regs").mapInArrow(_band_keys, "key long, node long")
-    full = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = keys.join(full, "key").join(classes.select("node", F.col("_nd_n").alias("n"), "regs"), "node")
-    met = blocks(met, "size", BUCKET_BLOCK).select("key", "i", "j", "node", "n", "regs")
+    full = cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "full-bands")
+    filled = full.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    met = join_hot(keys, full, ["key"], "size", filled, "node").join(classes.select("node", F.col("_nd_n").alias("n"), "regs"), "node")
+    met = blocks(met, F.ceil(F.col("size") / BUCKET_BLOCK)).select("key", "i", "j", "node", "n", "regs")
     near = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near(percent / 100), "u long, v long")
     clusters = cut(connected_components(near), "clusters")
+    links = _links(plain.select(F.col("_nd_text"), own.alias("node")), clusters, classes.select("node", F.col("_nd_n").alias("n")), shingle, percent)
 
-    sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component")
-    # every text of a node that is not the copy of another; the nodes grow with the
-    # data, so this is a merge join at any size and never a broadcast
-    texts = plain.select(F.col("_nd_text"), F.col(doc_id).cast("long").alias("node"))
-    sets = texts.join(sized.hint("merge"), "node").select("_nd_text", "node", "component", "size").mapInArrow(_sets(shingle), "node long, component long, size long, set binary").where("length(set) > 0")
-    meet = blocks(sets, "size", CLUSTER_BLOCK).select("component", "i", "j", "node", "set")
-    links = meet.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_verify(percent), "u long, v long")
     # rows that share an id but not a text are one document
-    twins = rows.where(F.col("_nd_n") > 0).join(classes.select(*same, "node"), same).where(F.col(doc_id).cast("long") != F.col("node"))
-    repeated = rows.where(F.col("_nd_n") > 0).groupBy(doc_id).agg(F.count("*").alias("c")).where("c > 1").select(doc_id)
-    twins = twins.join(repeated, doc_id).select(F.col(doc_id).cast("long").alias("u"), F.col("node").alias("v"))
-    groups_ = connected_components(links.union(twins))
-
-    out = rows.join(classes.select(*same, "node"), same, "left").join(groups_, "node", "left")
-    own = F.col(doc_id).cast("long")
-    component = F.when(own.isNull() | (F.col("_nd_n") == 0), own).otherwise(F.coalesce("component", "node"))
-    return out.select(*keep, F.col("_nd_n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True)))
+    short = classes.select(*same, "node", "copies")
+    repeated = cut(known.groupBy(own.alias("_nd_id")).agg(F.count("*").alias("c")).where("c > 1"), "repeated")
+    n = repeated.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    if n:
+        twins = join_hot(known.select(own.alias("_nd_id"), *same), repeated, ["_nd_id"], "c", n, "_nd_one").drop("c")
+        links = links.union(join_hot(twins, short, same, "copies", total, "_nd_id").select(F.col("_nd_id").alias("u"), F.col("node").alias("v")))
+    groups_ = connected_components(links.where("u <> v"))
+
+    # what a class has is joined to classes, and then to their rows, of which one class may have many
+    short = short.join(groups_, "node", "left").select(*same, "copies", F.coalesce("component", "node").alias("_nd_c"))
+    out = join_hot(known, short, same, "copies", total, own).select(*keep, F.col("_nd_n").alias("n_shingles"), F.col("_nd_c").alias("component_id"))
+    rest = rows.where(F.col(doc_id).isNull() | (F.col("_nd_n") == 0)).select(*keep, F.col("_nd_n").alias("n_shingles"), own.alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True)))
+
+
+def _links(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """A forest (u, v) of the links of each cluster (node, component), exactly.
+
+    A block has about CLUSTER_BLOCK texts, or fewer if they are long.  First the
+    texts of each block are compared; clusters of one block are done.  Then one
+    text of each tree so far is compared with those of other trees, as they are
+    dealt to blocks anew.  Only in clusters that are still not one tree, all
+    pairs of blocks are compared; so a tight cluster of any size costs two
+    passes, and only a loose one the square of its size."""
+    members = cut(clusters.join(sizes, "node"), "members")
+    sums = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    sums = cut(sums.select("component", "size", _many("size", "shingles").alias("many")), "cluster-sizes")
+    sized = join_hot(members, sums, ["component"], "size", members.count(), "node").select("node", "component", "n", "many")
+    # the nodes grow with the data, so this is a merge join at any size and never a
+    # broadcast; it is the one time that texts travel
+    sets = texts.join(sized.hint("merge"), "node").select("_nd_text", "node", "component", "n", "many")
+    sets = cut(sets.mapInArrow(_sets(shingle), "node long, component long, n long, many long, set binary").where("length(set) > 0"), "sets")
+    own = lambda df, many: df.withColumn("i", block_of(F.col(many))).withColumn("j", F.col("i"))
+    links = _verified(own(sets, "many"), percent)
+    if not sums.where("many > 1").head(1):
+        return links
+    links = cut(links, "links")
+    large = cut(sets.where("many > 1").select("node", "component", "n", "many").distinct(), "large")
+    sets = sets.where("many > 1").select("node", "set")
+
+    def trees(links: DataFrame) -> DataFrame:
+        found = connected_components(links).withColumnRenamed("component", "tree")
+        return large.join(found, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+
+    heads = cut(trees(links).where("tree = node"), "heads")
+    few = heads.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    few = cut(few.select("component", "size", _many("size", "shingles").alias("again")), "head-sizes")
+    n = few.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not n:
+        return links
+    heads = join_hot(heads, few, ["component"], "size", n, "node")
+    links = cut(links.union(_verified(sets.join(own(heads, "again"), "node"), percent)), "links")
+    now = cut(trees(links), "trees")
+    loose = now.groupBy("component").agg(F.count("*").alias("size"), F.min("tree").alias("a"), F.max("tree").alias("b")).where("a < b").select("component", "size")
+    loose = cut(loose, "loose")
+    n = loose.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not n:
+        return links
+    rest = join_hot(now, loose, ["component"], "size", n, "node").select("node", "component", "many")
+    return links.union(_verified(blocks(sets.join(rest, "node"), F.col("many")), percent))
+
+
+def _many(size: str, shingles: str) -> Column:
+    """Blocks for so many texts with so many shingles."""
+    return F.greatest(F.ceil(F.col(size) / CLUSTER_BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES))
+
+
+def _verified(dealt: DataFrame, percent: int) -> DataFrame:
+    """The forest of the links within each block (component, i, j) of sets."""
+    meet = dealt.select("component", "i", "j", "node", "set")
+    return meet.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_verify(percent), "u long, v long")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
