@@ -201,14 +201,14 @@ def chats(rows):
     return out
 
 
-def tokens(pieces, byte_score, word):
-    """The fewest tokens of a most probable segmentation, over all prefixes."""
+def tokens(pieces, byte_score, word, longest=10**9):
+    """The fewest tokens of a most probable segmentation, over all prefixes; no piece has more characters than ``longest``."""
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
         n = len(word[end - 1].encode())
         s, t = best[end - 1]
         options = [(s + n * byte_score, -(t + n))]
-        options += [(best[i][0] + pieces[word[i:end]], -(best[i][1] + 1)) for i in range(end) if word[i:end] in pieces]
+        options += [(best[i][0] + pieces[word[i:end]], -(best[i][1] + 1)) for i in range(max(0, end - longest), end) if word[i:end] in pieces]
         s, t = max(options)
         best.append((s, -t))
     return best[-1][1]

@@ -164,9 +164,12 @@ def test_host_trust_decides_single_failures(spark, monkeypatch, most):
     assert len(got) == len(data) and {x["kept"] for x in got if x["id"] == 0} == {True} and not got[0]["base_failed"]
 
 
-def test_rules_odd_rows(odd):
-    got = quality_rules.judge(odd, "source")
-    assert got.count() == odd.count() and "extra col" in got.columns
+def test_rules_odd_rows(odd, texts):
+    got = rows(quality_rules.judge(odd, "source"))
+    assert len(got) == odd.count() and all(r["extra col"] == "e" for r in got)
+    for r in got:
+        t = texts[9 if r["doc_id"] is None else r["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute.rules(t)
 
 
 # ---------------------------------------------------------------- near duplicates
@@ -182,6 +185,8 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """Blocks of a few members, so that groups are split; chains of edits, so that links matter."""
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
     monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(common, "HOT", 16)
     r = random.Random(5)
     data = {}
     for g in range(3):
@@ -270,9 +275,13 @@ def test_bpe_merges_like_the_library(ranks):
     check()
 
 
-def test_bpe_odd_rows(odd, ranks):
+def test_bpe_odd_rows(odd, ranks, texts):
     got = bpe.round_trip(odd, *ranks, keep_ids=True)
-    assert got.count() == odd.count() and dict(got.dtypes)["ids"] == "array<int>"
+    assert dict(got.dtypes)["ids"] == "array<int>"
+    own, got = brute.tokenizer(), rows(got)
+    assert len(got) == odd.count() and all(r["extra col"] == "e" for r in got)
+    for r in got:
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == brute.bpe(own, texts[9 if r["doc_id"] is None else r["doc_id"]])
 
 
 # ------------------------------------------------------------------- token counts
@@ -286,8 +295,13 @@ def test_token_counts_match_every_segmentation(docs, texts):
             assert r["n_tokens"] == sum(brute.tokens(pieces, counter.byte_score, "▁" + w) for w in words)
 
 
-def test_token_counts_odd_rows(odd):
-    assert token_counts.count_tokens(odd, {"▁": -1.0}).count() == odd.count()
+def test_token_counts_odd_rows(odd, texts):
+    got = rows(token_counts.count_tokens(odd, {"▁": -1.0}))
+    assert len(got) == odd.count() and all(r["extra col"] == "e" for r in got)
+    for r in got:
+        words = brute.WORD.findall(texts[9 if r["doc_id"] is None else r["doc_id"]] or "")
+        # the mark is a piece, every other byte is a token
+        assert (r["n_words"], r["n_tokens"]) == (len(words), sum(1 + len(w.encode()) for w in words))
 
 
 # --------------------------------------------------------------------- embeddings
@@ -312,15 +326,45 @@ def test_near_vectors_match_all_pairs(spark):
 
 
 def test_near_vectors_in_blocks(spark, monkeypatch):
+    """Blocks of a few vectors and hot keys of a few rows; hubs, copies, an id with two vectors and clashing names."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(common, "HOT", 16)
     r = np.random.default_rng(6)
     x = (r.standard_normal(16) * 3 + 0.3 * r.standard_normal((150, 16))).astype(np.float32)
-    x = np.concatenate((x, x[:30]))
-    got = rows(embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")))
+    x = np.concatenate((x, x[:30], np.repeat(x[5:6], 60, 0), r.standard_normal((40, 16)).astype(np.float32)))
+    data = [(i, v.tolist(), "mine", 1) for i, v in enumerate(x)]
+    got = rows(embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, kept string, node int")))
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     links = unit @ unit.T >= 0.95
     np.fill_diagonal(links, False)
-    assert all(g["n_links"] == links[g["vec_id"]].sum() for g in got)
+    of = brute.components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(links)), strict=True)])
+    assert len(got) == len(x)
+    for g in got:
+        assert (g["n_links"], g["component_id"], g["kept"], g["node"]) == (links[g["vec_id"]].sum(), of[g["vec_id"]], of[g["vec_id"]] == g["vec_id"], 1)
+
+
+def test_near_vectors_that_share_an_id(spark):
+    """Rows of one id have the links of each of its vectors and join their groups."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    data = [(1, a), (2, a), (5, a), (5, b), (7, b), (7, b), (9, c), (9, None)]
+    got = sorted((g["vec_id"], g["n_links"], g["component_id"]) for g in rows(embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))))
+    assert [x[::2] for x in got] == [(1, 1), (2, 1), (5, 1), (5, 1), (7, 1), (7, 1), (9, 9), (9, 9)]
+    assert [x[1] for x in got] == [2, 2, 2, 2, 2, 2, 0, 0]
+
+
+def test_sketches_allow_pairs_at_the_threshold():
+    """Pairs at 0.95 differ in no more signs than candidates may, in all but a few of a million."""
+    r = np.random.default_rng(3)
+    planes = embedding_dedup._planes(32, 4, 4)
+    x = r.standard_normal((20_000, 32))
+    y = r.standard_normal((20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    differ = ((x @ planes > 0) != (y @ planes > 0)).sum(1)
+    assert differ.max() <= embedding_dedup.most_differing(0.95) < 100
+    meet = (((x @ planes > 0)[:, :4]) == ((y @ planes > 0)[:, :4])).all(1).mean()
+    assert abs(meet - (1 - np.arccos(0.95) / np.pi) ** 4) < 0.02
 
 
 # ------------------------------------------------------------------------- mixing
@@ -386,7 +430,17 @@ def test_mixing_reaches_high_rates(spark, monkeypatch):
 
 def test_mixing_odd_rows(odd, spark):
     got = mixing.mix_sources(odd)
-    assert "extra col" in got.columns and got.count() > 0
+    assert "extra col" in got.columns
+    # every row of an id and a source is repeated as often as the others
+    held, drawn = {}, {}
+    for r in odd.select("doc_id", "source").collect():
+        held[r] = held.get(r, 0) + 1
+    for r in got.select("doc_id", "source", "replica").collect():
+        drawn.setdefault((r.doc_id, r.source), []).append(r.replica)
+    assert drawn
+    for key, replicas in drawn.items():
+        most = max(replicas)
+        assert sorted(replicas) == sorted(list(range(1, most + 1)) * held[key])
     assert mixing.mix_sources(odd, weights={}).count() == 0
 
 
@@ -481,6 +535,28 @@ def test_chat_escapes_only_when_needed():
 
 
 # ---------------------------------------------------------------- shared parts
+def test_roots_of_matrices():
+    r = np.random.default_rng(5)
+    for n, p in ((1, 0.5), (30, 0.02), (80, 0.02), (60, 0.0), (50, 0.5)):
+        a = r.random((n, n)) < p
+        a |= a.T
+        of = brute.components(range(n), [(int(i), int(j)) for i, j in zip(*np.nonzero(a), strict=True) if i != j])
+        assert common.roots(a).tolist() == [of[i] for i in range(n)]
+    chain = np.eye(300, k=1, dtype=bool)
+    order = r.permutation(300)
+    assert (common.roots((chain | chain.T)[np.ix_(order, order)]) == 0).all()
+
+
+def test_hot_joins_keep_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 10)
+    left = spark.range(500).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 40).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("w")).where("k < 30")
+    for how in ("inner", "left"):
+        want = sorted((r.k, r.id, r.w) if r.w else (r.k, r.id, 0) for r in left.join(right, "k", how).collect())
+        got = sorted((r.k, r.id, r.w) if r.w else (r.k, r.id, 0) for r in common.join_hot(left, right, ["k"], "w", 500, "id", how).collect())
+        assert got == want
+
+
 def test_components(spark):
     r = random.Random(9)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5)]
@@ -492,6 +568,34 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_very_long_texts(spark, ranks):
+    """A megabyte of words, of one word and of marks, through every operator on texts."""
+    r = random.Random(4)
+    words = " ".join(f"w{r.randrange(5000)}" for _ in range(180_000))
+    long = {0: words, 1: words.replace("w77 ", "w78 "), 2: "x" * 1_000_000, 3: "\n" * 300_000 + "# " * 300_000, 4: "short"}
+    df = spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in long.items()], "doc_id long, text string, source string, lang string, n_chars long").repartition(5).cache()
+    for x in rows(quality_rules.measure(df)):
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == brute.rules(long[x["doc_id"]])
+    want = brute.near(long, 5)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows(near_dedup.near_duplicates(df))} == want
+    own = brute.tokenizer()
+    some = df.where("doc_id <> 2")  # the plain tokenizer is slow on a word of a megabyte
+    for x in rows(bpe.round_trip(some, *ranks)):
+        assert (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) == brute.bpe(own, long[x["doc_id"]])
+    one = rows(bpe.round_trip(df.where("doc_id = 2"), *ranks))
+    assert one[0]["decoded_sha256"] == brute.sha(long[2])
+    for x in rows(token_counts.count_tokens(df, {"▁": -1.0})):
+        found = long[x["doc_id"]].split()
+        assert (x["n_words"], x["n_tokens"]) == (len(found), sum(map(len, found)) + len(found))
+    scores = {x["doc_id"]: x["score"] for x in rows(quality_classifier.score(df, (np.linspace(-1, 1, quality_classifier.DIMENSIONS, dtype=np.float32), 0.1)))}
+    alone = {i: quality_classifier.score_texts([t.encode()], np.linspace(-1, 1, quality_classifier.DIMENSIONS, dtype=np.float32), 0.1)[0] for i, t in long.items()}
+    assert scores == pytest.approx(alone)
+    drawn = rows(mixing.mix_sources(df, weights={"s": 1.0}, total=15.0).select("doc_id", F.length("text").alias("n")))
+    assert drawn and all(x["n"] == len(long[x["doc_id"]]) for x in drawn)
+    chats = df.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text")
+    assert rows(chat.digest_chats(chat.format_chats(chats)))[0]["loss_chars"] == sum(map(len, long.values()))
+
+
 def test_empty_tables(spark, docs, ranks):
     none = docs.limit(0)
     assert pii.extract_pii(none).count() == 0
