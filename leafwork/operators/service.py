@@ -28,11 +28,12 @@ def status_counts(df: DataFrame, status: str, groups: dict[str, list[str]]) -> D
 
 
 def duplicates_by_hash(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
-    """Rows whose content occurred before: each with the first row that had it."""
-    w = Window.partitionBy("content_hash").orderBy(*keys)
-    hashed = df.withColumn("content_hash", F.sha2(F.col(content), 256))
-    first = F.first(F.struct(*keys)).over(w)
-    return hashed.withColumn("_f", first).withColumn("_n", F.row_number().over(w)).where("_n > 1").select(*keys, "content_hash", *[F.col(f"_f.{k}").alias(f"first_{k}") for k in keys])
+    """Rows whose content occurred before: each with the first row that had it.  The
+    first rows are an aggregate that combines before its shuffle, so content that is
+    very common (an empty text) does not meet in one task."""
+    hashed = df.select(*keys, F.sha2(F.col(content), 256).alias("content_hash"))
+    first = hashed.groupBy("content_hash").agg(F.min(F.struct(*keys)).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
+    return hashed.join(first, "content_hash").where(F.struct(*keys) != F.col("_f")).select(*keys, "content_hash", *[F.col(f"_f.{k}").alias(f"first_{k}") for k in keys])
 
 
 def batch_rollup(items: DataFrame, batch: str, state: str, done: set[str], failed: set[str], score: str, finished: str) -> DataFrame:
@@ -107,20 +108,21 @@ def first_wins(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
 
 
 def schedule_choice(items: DataFrame, batch: str, score: str, position: str, state: str, lanes: int) -> DataFrame:
-    """The item of each batch that a free lane takes: the smallest, but with two
-    lanes or more, something running and no long item in flight, the largest."""
+    """The item of each batch that a free lane takes: the smallest by score and
+    position, but with two lanes or more, something running and no long item in
+    flight, the largest by both."""
     q, r = F.col(state) == "queued", F.col(state) == "running"
     key = F.struct(score, position)
     out = items.where(q | r).groupBy(batch).agg(
         F.min(F.when(q, key)).alias("small"),
-        F.max_by(F.col(position), F.when(q, F.struct(F.col(score), -F.col(position)))).alias("large"),
+        F.max(F.when(q, key)).alias("large"),
         F.median(score).alias("mid"),
         F.max(F.when(r, F.col(score))).alias("longest"),
         F.count_if(q).alias("queued"),
         F.count_if(r).alias("running"),
     )
     long_lane = F.lit(lanes >= 2) & (F.col("queued") > 1) & (F.col("running") > 0) & (F.col("longest") < F.col("mid"))
-    return out.where("queued > 0").select(batch, F.when(long_lane, F.col("large")).otherwise(F.col("small")[position]).alias("choice"))
+    return out.where("queued > 0").select(batch, F.when(long_lane, F.col("large")[position]).otherwise(F.col("small")[position]).alias("choice"))
 
 
 def majority_language(words: DataFrame, key: str, language: str = "language") -> DataFrame:

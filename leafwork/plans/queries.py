@@ -200,7 +200,7 @@ def overlap_semi(spark, d):
     return spatial.overlapping(w, regions_of(w), ["doc_id", "page"]).select("doc_id", "page", "li", "wi")
 
 
-@query(f"""WITH {WORDS}, {REGIONS}, _r AS (SELECT w.doc_id, w.page, r.r, least(1.0, sum((w.x2 - w.x1) * (w.y2 - w.y1)) / 50000.0) AS coverage, avg(w.confidence) AS wc FROM words w JOIN regions r ON r.doc_id = w.doc_id AND r.page = w.page AND {INSIDE} GROUP BY 1, 2, 3),
+@query(f"""WITH {WORDS.replace('words AS (', 'words AS MATERIALIZED (')}, {REGIONS.replace('regions AS (', 'regions AS MATERIALIZED (')}, _r AS (SELECT w.doc_id, w.page, r.r, least(1.0, sum((w.x2 - w.x1) * (w.y2 - w.y1)) / 50000.0) AS coverage, avg(w.confidence) AS wc FROM words w JOIN regions r ON r.doc_id = w.doc_id AND r.page = w.page AND {INSIDE} GROUP BY 1, 2, 3),
 _k AS (SELECT r.doc_id, r.page, r.r, round(coalesce(coverage, 0), 6) AS coverage, CASE WHEN wc < 0.45 THEN 'HANDWRITTEN' WHEN r.y1 / 800.0 > 0.65 AND 5.0 >= 2.2 AND 100 < 64 THEN 'SIGNATURE' WHEN 5.0 BETWEEN 0.6 AND 1.6 THEN 'STAMP' ELSE 'IMAGE' END AS block_type FROM regions r LEFT JOIN _r USING (doc_id, page, r))
 SELECT * FROM _k WHERE coverage <= 0.35""")
 def graphic_regions(spark, d):
@@ -377,12 +377,12 @@ def first_wins(spark, d):
     return service.first_wins(table(spark, d, "orders"), "o_custkey", [F.asc("o_orderdate"), F.asc("o_orderkey")]).select("o_orderkey", "o_custkey", "owner")
 
 
-@query("""WITH s AS (SELECT o_custkey AS b, o_totalprice AS score, o_orderkey AS pos, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' END AS st FROM orders WHERE o_orderstatus IN ('O', 'P')),
+@query("""WITH s AS (SELECT o_custkey AS b, ceil(o_totalprice / 100000)::DOUBLE AS score, o_orderkey AS pos, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' END AS st FROM orders WHERE o_orderstatus IN ('O', 'P')),
 g AS (SELECT b, median(score) AS mid, max(score) FILTER (st = 'running') AS longest, count(*) FILTER (st = 'queued') AS q, count(*) FILTER (st = 'running') AS r FROM s GROUP BY 1),
-k AS (SELECT b, pos, row_number() OVER (PARTITION BY b ORDER BY score, pos) AS up, row_number() OVER (PARTITION BY b ORDER BY score DESC, pos) AS down FROM s WHERE st = 'queued')
+k AS (SELECT b, pos, row_number() OVER (PARTITION BY b ORDER BY score, pos) AS up, row_number() OVER (PARTITION BY b ORDER BY score DESC, pos DESC) AS down FROM s WHERE st = 'queued')
 SELECT g.b, k.pos AS choice FROM g JOIN k ON k.b = g.b AND CASE WHEN g.q > 1 AND g.r > 0 AND g.longest < g.mid THEN k.down = 1 ELSE k.up = 1 END""")
 def schedule_choice(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("b"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").alias("st"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("b"), F.ceil(F.col("o_totalprice") / 100000).cast("double").alias("score"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").alias("st"))
     return service.schedule_choice(o, "b", "score", "pos", "st", 2)
 
 
@@ -500,11 +500,6 @@ def cover_metadata(spark, d):
     return covers.cover_metadata(w, layout.page_sizes(w))
 
 
-@query("SELECT page_id, length(url) AS n FROM pages WHERE html LIKE '%<%'")
-def html_pages(spark, d):
-    return table(spark, d, "pages").where(F.col("html").contains("<")).select("page_id", F.length("url").cast("long").alias("n"))
-
-
 @query()
 def html_table_grid(spark, d):
     from leafwork.sources import html_tables
