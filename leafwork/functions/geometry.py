@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 A4_PT = (595.2756, 841.8898)
 EMU_PER_INCH, PT_PER_INCH = 914400, 72.0
 PT_PER_MM = 72.0 / 25.4
+GRAPHICS = ["IMAGE", "CHART", "SIGNATURE", "STAMP", "HANDWRITTEN"]
+#: How pages are put on A4 when they are reconstructed: margin in mm, ratio from which they lie, padding of the crop in pixels.
+RECONSTRUCT = {"margin_mm": 15.0, "landscape_from": 1.3}
+RECONSTRUCT_PAD = 20
 
 
 class Box:
@@ -104,6 +108,37 @@ def norm_to_emu(b: Box, width_emu: Column, height_emu: Column) -> Box:
     return Box(*[v.cast("long") for v in (b.x1 * width_emu, b.y1 * height_emu, b.x2 * width_emu, b.y2 * height_emu)])
 
 
+def norm_to_pt(b: Box, width_pt: Column, height_pt: Column) -> Box:
+    return Box(b.x1 * width_pt, b.y1 * height_pt, b.x2 * width_pt, b.y2 * height_pt)
+
+
+def page_size_pt(width: Column, height: Column, dpi: Column) -> Column:
+    return F.struct(px_to_pt(width, dpi).alias("width"), px_to_pt(height, dpi).alias("height"))
+
+
+def page_size_emu(width: Column, height: Column, dpi: Column) -> Column:
+    return F.struct(px_to_emu(width, dpi).alias("width"), px_to_emu(height, dpi).alias("height"))
+
+
+def is_graphic(block_type: Column, b: Box) -> Column:
+    """Whether a block is a picture of some size, which a page's crop must keep."""
+    return block_type.isin(GRAPHICS) & (b.width > 0) & (b.height > 0)
+
+
+def clamp_to_a4(b: Box, compat: bool = False) -> Box:
+    """A table's box, shrunk to lie within an A4 page in points.
+
+    Off by default: boxes are in pixels, so the limits are not theirs.  ``compat``
+    scales as the rule says, by the tighter of both sides."""
+    if not compat:
+        return b
+    w, h = A4_PT
+    scale = F.least(w / F.greatest(b.x2, F.lit(1.0)), h / F.greatest(b.y2, F.lit(1.0)), F.lit(1.0))
+    inside = (b.x2 <= w) & (b.y2 <= h)
+    pick = lambda v, low, high: F.when(inside, v).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), v * scale)))
+    return Box(pick(b.x1, 0.0, 1e9), pick(b.y1, 0.0, 1e9), pick(b.x2, 0.0, w), pick(b.y2, 0.0, h))
+
+
 def polygon_box(polygon: Column) -> Box:
     """The box of an array of (x, y)."""
     xs, ys = F.transform(polygon, lambda p: p["x"]), F.transform(polygon, lambda p: p["y"])
@@ -132,7 +167,7 @@ def page_transform(crop: Box, dpi: Column, margin_mm: float = 18.0, landscape_fr
     wide = w > h * landscape_from
     page_w, page_h = F.when(wide, A4_PT[1]).otherwise(A4_PT[0]), F.when(wide, A4_PT[0]).otherwise(A4_PT[1])
     margin = margin_mm * PT_PER_MM
-    scale = F.least((page_w - 2 * margin) / w, (page_h - 2 * margin) / h)
+    scale = F.least((page_w - 2 * margin) / F.greatest(w, F.lit(1.0)), (page_h - 2 * margin) / F.greatest(h, F.lit(1.0)))
     return {"scale": scale, "offset_x": (page_w - w * scale) / 2, "offset_y": (page_h - h * scale) / 2, "page_width": page_w, "page_height": page_h}
 
 
@@ -143,3 +178,9 @@ def apply_transform(b: Box, crop: Box, dpi: Column, t: dict[str, Column]) -> Box
         return (F.least(F.greatest(v, low), high) - low) * (72.0 / dpi) * t["scale"] + offset
 
     return Box(place(b.x1, crop.x1, crop.x2, t["offset_x"]), place(b.y1, crop.y1, crop.y2, t["offset_y"]), place(b.x2, crop.x1, crop.x2, t["offset_x"]), place(b.y2, crop.y1, crop.y2, t["offset_y"]))
+
+
+def clip_to_page(b: Box, t: dict[str, Column]) -> Box:
+    """A placed box, within its page."""
+    inside = lambda v, high: F.least(F.greatest(v, F.lit(0.0)), high)
+    return Box(inside(b.x1, t["page_width"]), inside(b.y1, t["page_height"]), inside(b.x2, t["page_width"]), inside(b.y2, t["page_height"]))

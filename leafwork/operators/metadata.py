@@ -1,4 +1,5 @@
-"""A book's name, creator and year from the typed blocks of its first pages.
+"""A book's name, author, publisher, year, language and number, from its cover, the
+typed blocks of its first pages and the name of its file.
 
 One aggregate per document over candidates that are filtered first; nothing is
 collected but the winners."""
@@ -37,17 +38,45 @@ def book_names(blocks: DataFrame) -> DataFrame:
     return c.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.col("b.name").alias("book_name"), F.col("b.at").alias("name_block"))
 
 
-def book_metadata(blocks: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """(doc_id, book_name, creator, year, needs_review, notes).  The creator is the
-    first other heading, else the first paragraph that looks like one; documents
-    without any text on their first pages do not appear."""
+# What is noted where something was not found.
+NOTES = {
+    "book_name": "book_name: no TITLE/HEADING/paragraph text found on the first pages; used the filename",
+    "creator": "author/publisher: could not confidently identify an author or issuing-body line",
+    "year": "year_of_publication: no plausible year found on the first pages",
+    "language": "language: not enough OCR text to classify",
+    "accession_number": "accession_number: not found in the filename or on the cover; auto-generated sequentially",
+}
+
+
+def book_metadata(blocks: DataFrame, files: DataFrame, covers: DataFrame | None = None, languages: DataFrame | None = None, prefix: str = "D") -> DataFrame:
+    """One row for each file (doc_id, filename): book_name, author, publisher, creator,
+    year, language, accession_number, needs_review and notes.
+
+    What the cover says (title, author, publisher, year, lines_text) comes first.  A
+    name is else that of the blocks, else the file's; a publisher else, without an
+    author, the first other heading or line that looks like a creator; a year the
+    first in the blocks; a number that of the file's name, else that of the cover's
+    lines.  A missing name, author and publisher, year or language needs a review; a
+    missing number does not, as one is generated.  languages: (doc_id, majority)."""
     n = book_names(blocks)
     c = _candidates(blocks).join(n, "doc_id")
-    heading = F.col("block_type").isin("TITLE", "HEADING", "SUBHEADING") & (F.struct("page", "z_order") != F.col("name_block"))
+    heading = F.col("block_type").isin("TITLE", "HEADING", "SUBHEADING") & F.coalesce(F.struct("page", "z_order") != F.col("name_block"), F.lit(True))
     line = (F.col("block_type") == "PARAGRAPH") & creator_like(F.col("t"))
     year = first_year(F.col("t"))
-    out = c.groupBy("doc_id").agg(F.first("book_name").alias("book_name"), F.coalesce(_first(F.col("t"), heading), _first(F.col("t"), line)).alias("creator"), _first(year, year.isNotNull()).alias("year"))
-    if names is not None:
-        out = out.join(names.select("doc_id", accession_number(F.col("filename")).alias("accession_number")), "doc_id", "left")
-    notes = F.array_compact(F.array(F.when(F.col("book_name").isNull(), "no title found"), F.when(F.col("creator").isNull(), "no creator found"), F.when(F.col("year").isNull(), "no year found")))
-    return out.withColumn("notes", notes_text(notes)).withColumn("needs_review", F.col("book_name").isNull())
+    found = c.groupBy("doc_id").agg(F.first("book_name").alias("_name"), F.coalesce(_first(F.col("t"), heading), _first(F.col("t"), line)).alias("_line"), _first(year, year.isNotNull()).alias("_year"))
+    out = files.select("doc_id", "filename").join(found, "doc_id", "left")
+    none = F.lit(None).cast("string")
+    if covers is None:
+        out = out.withColumns({x: none for x in ("title", "author", "_publisher", "_cover_year", "lines_text")})
+    else:
+        out = out.join(covers.select("doc_id", "title", "author", F.col("publisher").alias("_publisher"), F.col("year").alias("_cover_year"), "lines_text"), "doc_id", "left")
+    out = out.join(languages.select("doc_id", F.col("majority").alias("language")), "doc_id", "left") if languages is not None else out.withColumn("language", none)
+    name = F.coalesce("title", "_name")
+    publisher = F.when(F.col("author").isNull() & F.col("_publisher").isNull(), F.col("_line")).otherwise(F.col("_publisher"))
+    number = F.coalesce(accession_number(F.col("filename"), prefix), accession_number(F.col("lines_text"), prefix))
+    out = out.select("doc_id", "filename", name.alias("_found"), "author", publisher.alias("publisher"), F.coalesce("_cover_year", "_year").alias("year"), "language", number.alias("accession_number"))
+    missing = {"book_name": F.col("_found").isNull(), "creator": F.col("author").isNull() & F.col("publisher").isNull(), "year": F.col("year").isNull(), "language": F.col("language").isNull(), "accession_number": F.col("accession_number").isNull()}
+    notes = F.array_compact(F.array(*[F.when(v, NOTES[k]) for k, v in missing.items()]))
+    review = missing["book_name"] | missing["creator"] | missing["year"] | missing["language"]
+    out = out.withColumn("needs_review", review).withColumn("notes", notes_text(notes))
+    return out.select("doc_id", F.coalesce("_found", "filename").alias("book_name"), "author", "publisher", F.coalesce("author", "publisher").alias("creator"), "year", "language", "accession_number", "needs_review", "notes")

@@ -542,11 +542,54 @@ def book_names(spark, d):
     return c.groupBy("doc_id").agg(F.first("book_name").alias("book_name"), metadata._first(F.col("t"), other).alias("heading"))
 
 
-@query()
+@query(f"""WITH {TYPED}, c AS (SELECT *, trim(text) AS t FROM typed WHERE page < 3 AND trim(text) <> ''),
+n AS (SELECT doc_id, page, z_order, CASE WHEN block_type = 'PARAGRAPH' THEN substr(t, 1, 200) ELSE t END AS name, row_number() OVER (PARTITION BY doc_id ORDER BY CASE block_type WHEN 'TITLE' THEN 0 WHEN 'HEADING' THEN 1 ELSE 2 END, page, length(t) DESC, z_order) AS k FROM c WHERE block_type IN ('TITLE', 'HEADING', 'PARAGRAPH')),
+b AS (SELECT * FROM n WHERE k = 1),
+h AS (SELECT c.doc_id, c.t, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.block_type = 'PARAGRAPH', c.page, c.z_order) AS k FROM c LEFT JOIN b ON b.doc_id = c.doc_id WHERE (c.block_type IN ('TITLE', 'HEADING', 'SUBHEADING') AND NOT coalesce(c.page = b.page AND c.z_order = b.z_order, false))
+ OR (c.block_type = 'PARAGRAPH' AND length(c.t) BETWEEN 3 AND 120 AND length(regexp_replace(c.t, '[^\\p{{L}}]', '', 'g')) > 0 AND length(regexp_replace(c.t, '[^\\p{{Lu}}]', '', 'g')) > 0.8 * length(regexp_replace(c.t, '[^\\p{{L}}]', '', 'g')) AND NOT regexp_matches(rtrim(c.t), '[.,;]$'))),
+y AS (SELECT doc_id, nullif(regexp_extract(t, '(?:^|[^A-Za-z0-9_])((?:1[89][0-9]{{2}}|20[0-3][0-9])(?:\s*[-–]\s*[0-9]{{2,4}})?)(?:$|[^A-Za-z0-9_])', 1), '') AS year, page, z_order FROM c),
+z AS (SELECT doc_id, count(year) AS years FROM y GROUP BY 1),
+l AS (SELECT doc_id, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9]')) AS words FROM words GROUP BY 1),
+m AS (SELECT d.doc_id, b.name, h.t AS line, coalesce(years, 0) AS years, coalesce(l.words, 0) AS words FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN h ON h.doc_id = d.doc_id AND h.k = 1 LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id)
+SELECT doc_id, coalesce(name, 'scan ' || doc_id::VARCHAR || CASE WHEN doc_id % 2 = 0 THEN ' ACC_NO. ' || (100 + doc_id)::VARCHAR ELSE '' END) AS book_name, line AS publisher, years > 0 AS has_year, CASE WHEN doc_id % 2 = 0 THEN 'D-' || (100 + doc_id)::VARCHAR END AS accession_number, name IS NULL OR line IS NULL OR years = 0 OR words = 0 AS needs_review FROM m""")
 def book_metadata(spark, d):
+    """Without covers, so that SQL can follow; cover_metadata has those."""
     from leafwork.operators import metadata
 
-    return metadata.book_metadata(typed_of(spark, d))
+    w = words_of(spark, d)
+    t = layout.classify_blocks(layout.text_blocks(w), layout.page_sizes(w))
+    name = F.concat(F.lit("scan "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ACC_NO. "), (100 + F.col("doc_id")).cast("string"))).otherwise(""))
+    files = table(spark, d, "documents").select("doc_id", name.alias("filename"))
+    languages = service.majority_language(w.withColumn("language", T.detect_script(F.col("text"))), "doc_id")
+    m = metadata.book_metadata(t, files, None, languages)
+    return m.select("doc_id", "book_name", "publisher", F.col("year").isNotNull().alias("has_year"), "accession_number", "needs_review")
+
+
+@query()
+def catalogue(spark, d):
+    """Metadata with covers first."""
+    from leafwork.operators import covers, metadata
+
+    w = words_of(spark, d)
+    sizes = layout.page_sizes(w)
+    found = covers.cover_metadata(w.withColumn("y2", F.col("y1") + F.col("font_size")), sizes)
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("scan_"), F.col("doc_id").cast("string")).alias("filename"))
+    languages = service.majority_language(w.withColumn("language", T.detect_script(F.col("text"))), "doc_id")
+    return metadata.book_metadata(layout.classify_blocks(layout.text_blocks(w), sizes), files, found, languages)
+
+
+@query(f"WITH {TYPED}, t AS (SELECT doc_id, page, z_order, unnest(string_split_regex(trim(text), '\\s+')) AS w FROM typed) SELECT doc_id, page, z_order, count(*) AS n FROM t WHERE w <> '' GROUP BY 1, 2, 3")
+def fallback_words(spark, d):
+    return layout.fallback_words(typed_of(spark, d)).groupBy("doc_id", "page", "z_order").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WORDS}, b AS (SELECT doc_id, page, li, wi, x1 * 0.9::DOUBLE AS a1, y1::DOUBLE AS b1, greatest(x2 * 0.9::DOUBLE, 1.0::DOUBLE) AS a2, y2 * 1.2::DOUBLE AS b2, CASE WHEN wi % 3 = 0 THEN 'IMAGE' ELSE 'PARAGRAPH' END AS kind FROM words), s AS (SELECT *, least(595.2756::DOUBLE / a2, 841.8898::DOUBLE / greatest(b2, 1.0::DOUBLE), 1.0::DOUBLE) AS k FROM b) SELECT doc_id, page, li, wi, round(CASE WHEN a2 <= 595.2756 AND b2 <= 841.8898 THEN a1 ELSE a1 * k END + 1e-7, 4) AS x1, round(CASE WHEN a2 <= 595.2756 AND b2 <= 841.8898 THEN b2 ELSE least(841.8898::DOUBLE, b2 * k) END + 1e-7, 4) AS y2, kind = 'IMAGE' AND a2 > a1 AND b2 > b1 AS graphic FROM s")
+def clamped_boxes(spark, d):
+    w = words_of(spark, d)
+    b = G.Box(F.col("x1") * F.lit(0.9), F.col("y1") * F.lit(1.0), F.greatest(F.col("x2") * F.lit(0.9), F.lit(1.0)), F.col("y2") * F.lit(1.2))
+    c = G.clamp_to_a4(b, compat=True)
+    kind = F.when(F.col("wi") % 3 == 0, "IMAGE").otherwise("PARAGRAPH")
+    return w.select("doc_id", "page", "li", "wi", F.round(c.x1 + 1e-7, 4).alias("x1"), F.round(c.y2 + 1e-7, 4).alias("y2"), G.is_graphic(kind, b).alias("graphic"))
 
 
 @query()

@@ -209,12 +209,89 @@ def blocks(spark, rows):
 def test_book_metadata(spark):
     from leafwork.operators import metadata
 
+    file = lambda name: spark.createDataFrame([(1, name)], "doc_id long, filename string")
+    lang = spark.createDataFrame([(1, "ENGLISH")], "doc_id long, majority string")
     full = blocks(spark, [(0, 0, "HEADING", "A heading that is longer than all"), (0, 1, "TITLE", "Short"), (0, 2, "TITLE", "The longer title"), (0, 3, "PARAGRAPH", "printed 1949-50"), (1, 0, "TITLE", "A much longer title of a later page"), (50, 0, "TITLE", "A decoy far behind the title pages")])
-    r = metadata.book_metadata(full).first()
-    assert (r.book_name, r.creator, r.year, r.needs_review, r.notes) == ("The longer title", "A heading that is longer than all", "1949-50", False, None)
+    r = metadata.book_metadata(full, file("x_ACC_NO._1087_y.pdf"), None, lang).first()
+    assert (r.book_name, r.author, r.publisher, r.creator, r.year, r.accession_number, r.needs_review, r.notes) == ("The longer title", None, "A heading that is longer than all", "A heading that is longer than all", "1949-50", "D-1087", False, None)
     plain = blocks(spark, [(0, 0, "PARAGRAPH", "GOVERNMENT OF INDIA"), (0, 1, "PARAGRAPH", "x" * 300)])
-    r = metadata.book_metadata(plain).first()
-    assert (r.book_name, r.creator, r.year, r.notes) == ("x" * 200, "GOVERNMENT OF INDIA", None, "no year found")
+    r = metadata.book_metadata(plain, file("a.pdf")).first()
+    assert (r.book_name, r.publisher, r.year, r.needs_review) == ("x" * 200, "GOVERNMENT OF INDIA", None, True)
+    assert r.notes == "; ".join(metadata.NOTES[k] for k in ("year", "language", "accession_number"))
+    # nothing is known but the file's name
+    r = metadata.book_metadata(plain.limit(0), file("a.pdf")).first()
+    assert r.book_name == "a.pdf" and r.needs_review and r.notes == "; ".join(metadata.NOTES.values())
+    # the cover comes first; its author leaves no place for a line that looks like a publisher
+    cover = spark.createDataFrame([(1, "COVER", "Ann", None, "1973", "stamp ACC.NO. D 55 here")], "doc_id long, title string, author string, publisher string, year string, lines_text string")
+    r = metadata.book_metadata(full, file("a.pdf"), cover, lang).first()
+    assert (r.book_name, r.author, r.publisher, r.creator, r.year, r.accession_number, r.needs_review, r.notes) == ("COVER", "Ann", None, "Ann", "1973", "D-55", False, None)
+
+
+def test_cover_tokens_are_mended(spark):
+    from leafwork.functions import text as T
+
+    cases = {"T० THE": "TO THE", "b०ok": "book", "A८B": "", "८ x": "x", "१९९५": "१९९५", "  a   b ": "a b", "८ १९९५ ०F": "१९९५ OF"}
+    assert {k: covers.clean(k) for k in cases} == cases
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.clean_tokens(F.col("t")).alias("c"))
+    assert {r.t: r.c for r in df.collect()} == cases
+    b = pd.DataFrame([("T०", 0, 100, 40, 120, 0), ("END", 50, 102, 90, 121, 1)], columns=["text", "x1", "y1", "x2", "y2", "wi"])
+    assert covers.build_lines(b).text.tolist() == ["TO END"]
+
+
+def test_edits_of_full_cells(spark):
+    """Cells of the whole schema, with a merged one that covers a column; sizes follow."""
+    from leafwork import schemas
+
+    kind = schemas.TABLES["table_cells"]
+
+    def cell(i, r, c, h, w, t):
+        return (f"c{i}", None, None, "t", r, c, h, w, t, 0.9, (1.0, 2.0, 3.0, 4.0), "LEFT", "TOP", False, False, None)
+
+    cells = spark.createDataFrame([cell(0, 0, 0, 1, 3, "head"), cell(1, 1, 0, 1, 1, "a"), cell(2, 1, 1, 1, 1, ""), cell(3, 1, 2, 1, 1, " b ")], kind)
+    at = lambda df: {(r["row"], r["column"]): (r["rowspan"], r["colspan"], r["text"], r["id"]) for r in df.collect()}
+    more = edits.edit(cells, "add_row", None)
+    assert more.columns == cells.columns and {k for k in at(more) if k[0] == 2} == {(2, 0), (2, 1), (2, 2)}
+    assert at(edits.edit(cells, "add_column", 1))[(0, 1)] == (1, 1, "", None)
+    merged = edits.edit(cells, "merge", F.col("row") == 1)
+    assert at(merged) == {(0, 0): (1, 3, "head", "c0"), (1, 0): (1, 3, "a  b", "c1")}
+    assert {r["id"]: r["is_edited"] for r in merged.collect()} == {"c0": False, "c1": True}
+    assert at(edits.edit(cells, "merge", F.col("id") == "c1")) == at(cells)  # one cell is no merge
+    split = edits.edit(cells, "split", F.col("row") == 0)
+    assert at(split)[(0, 0)] == (1, 1, "head", "c0") and {r["id"]: r["is_edited"] for r in split.collect()}["c0"]
+    assert at(edits.edit(cells, "delete_row", 0))[(0, 0)][3] == "c1"
+    sizes = spark.createDataFrame([("t", 2, 3, [10.0, 20.0], [1.0, 2.0, 3.0])], "table_id string, n_rows int, n_cols int, row_heights array<double>, column_widths array<double>")
+    row = lambda op, n: tuple(edits.edit_sizes(sizes, op, n).first())
+    assert row("add_row", 1) == ("t", 3, 3, [10.0, 30.0, 20.0], [1.0, 2.0, 3.0])
+    assert row("add_column", None) == ("t", 2, 4, [10.0, 20.0], [1.0, 2.0, 3.0, 80.0])
+    assert row("delete_column", 0) == ("t", 2, 2, [10.0, 20.0], [2.0, 3.0]) and row("merge", 0)[1:3] == (2, 3)
+    assert tuple(edits.edit_sizes(sizes.withColumn("n_rows", F.lit(1)), "delete_row", 0).first())[1] == 1
+
+
+def test_page_geometry(spark):
+    from leafwork.functions import geometry as G
+
+    df = spark.createDataFrame([(0.0, 0.0, 1200.0, 400.0)], "x1 double, y1 double, x2 double, y2 double")
+    b = G.box()
+    c = G.clamp_to_a4(b, compat=True)
+    got = df.select(c.x2.alias("w"), c.y2.alias("h"), G.clamp_to_a4(b).x2.alias("same"), G.page_size_pt(F.lit(300), F.lit(150), F.lit(150)).alias("pt"), G.page_size_emu(F.lit(300), F.lit(150), F.lit(150)).alias("emu"), G.is_graphic(F.lit("STAMP"), b).alias("g"), G.is_graphic(F.lit("HLINE"), b).alias("l")).first()
+    assert (round(got.w, 4), round(got.h, 4), got.same) == (595.2756, round(400 * 595.2756 / 1200, 4), 1200.0)
+    assert tuple(got.pt) == (144.0, 72.0) and tuple(got.emu) == (1828800, 914400) and got.g and not got.l
+    # 15 mm of margin; 1.3 times as wide as high still stands
+    t = G.page_transform(b, F.lit(72), **G.RECONSTRUCT)
+    wide = df.select(t["page_width"].alias("w"), t["scale"].alias("s")).first()
+    assert wide.w == 841.8898 and abs(wide.s - (841.8898 - 30 * 72 / 25.4) / 1200) < 1e-9
+    half = df.withColumn("y2", F.lit(1000.0)).select(t["page_width"].alias("w")).first()
+    assert half.w == 595.2756
+    out = G.clip_to_page(G.apply_transform(G.Box(F.lit(-5.0), F.lit(0.0), F.lit(9000.0), F.lit(400.0)), b, F.lit(72), t), t)
+    r = df.select(out.x1.alias("a"), out.x2.alias("b")).first()
+    assert abs(r.a - 15 * 72 / 25.4) < 1e-6 and r.b <= 841.8898
+
+
+def test_fallback_words(spark):
+    b = spark.createDataFrame([(1, 0, 0, "PARAGRAPH", " two words ", 0.0, 0.0, 9.0, 9.0, 0.5), (1, 0, 1, "IMAGE", "no", 0.0, 0.0, 9.0, 9.0, 0.5), (1, 0, 2, "TABLE", "no", 0.0, 0.0, 9.0, 9.0, 0.5)], "doc_id long, page int, z_order int, block_type string, text string, x1 double, y1 double, x2 double, y2 double, confidence double")
+    c = spark.createDataFrame([(1, 0, 2, 0, 1, "1 200", 3.0, 3.0, 4.0, 4.0, None)], "doc_id long, page int, z_order int, row int, column int, text string, x1 double, y1 double, x2 double, y2 double, confidence double")
+    got = sorted((r.z_order, r.wi, r.text, r.x1, r.confidence) for r in layout.fallback_words(b, c).collect())
+    assert got == [(0, 0, "two", 0.0, 0.5), (0, 1, "words", 0.0, 0.5), (2, 0, "1", 3.0, 0.0), (2, 1, "200", 3.0, 0.0)]
 
 
 def test_concurrency():
