@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork import schemas
 from leafwork.functions.text import confidence_tier, needs_review
-from leafwork.operators import edits, layout, service
+from leafwork.operators import batches, edits, folds, layout, registers, service
+from leafwork.sources import office
 
 
 class Engine:
@@ -25,14 +28,18 @@ class Engine:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def table(self, name: str) -> DataFrame:
+        if n := self._version(name):
+            return self.spark.read.parquet(f"{self.root}/{name}@versions/{n:010d}")
         if not self._exists(name) and name in schemas.TABLES:
             return self.spark.createDataFrame([], schemas.TABLES[name])
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def documents(self, status: str | None = None, page: int = 1, size: int = 50) -> DataFrame:
+        """A page of the documents, each row with the total of all pages."""
         d = self.table("documents").where(~F.col("is_deleted"))
         d = d.where(F.col("status") == status) if status else d
-        return service.page_of_results(d, [F.desc("created_at"), F.asc("id")], page, size)
+        total = d.agg(F.count("*").alias("total"))  # one row
+        return service.page_of_results(d.join(F.broadcast(total)), [F.desc("created_at"), F.asc("id")], page, size)
 
     def stats(self) -> DataFrame:
         busy = ["UPLOADED", "QUEUED", "PROCESSING"]
@@ -42,17 +49,52 @@ class Engine:
         return self.table("documents").where((F.col("document_hash") == document_hash) & ~F.col("is_deleted"))
 
     def process(self, texts: DataFrame) -> int:
-        """Derives and stores the blocks of documents (doc_id, text) that have none
-        yet, in one append; returns how many documents were new."""
+        """Derives and stores the words and blocks of documents (doc_id, text) that were
+        not processed yet, in one append each; returns how many were new.  Documents
+        without a word are remembered as well, so they are not taken up again."""
         todo = texts
-        if self._exists("blocks"):
-            todo = texts.join(self.spark.read.parquet(f"{self.root}/blocks").select("doc_id").distinct(), "doc_id", "left_anti")
-        words = layout.word_boxes(todo)
+        if self._exists("processed"):
+            todo = texts.join(self.spark.read.parquet(f"{self.root}/processed").select("doc_id"), "doc_id", "left_anti")
         n = todo.count()
         if n:
-            layout.classify_blocks(layout.text_blocks(words), layout.page_sizes(words)).write.mode("append").parquet(f"{self.root}/blocks")
+            words = layout.word_boxes(todo)
+            layout.classify_blocks(layout.text_blocks(words), layout.page_sizes(words)).join(self._done(), "doc_id", "left_anti").write.mode("append").parquet(f"{self.root}/blocks")
+            todo.select("doc_id").distinct().write.mode("append").parquet(f"{self.root}/processed")
+            self.spark.catalog.refreshByPath(f"{self.root}/processed")
         return n
 
+    def _done(self) -> DataFrame:
+        """Documents whose blocks a run that broke off had stored."""
+        if not self._exists("blocks"):
+            return self.spark.createDataFrame([], "doc_id long")
+        return self.spark.read.parquet(f"{self.root}/blocks").select("doc_id").distinct()
+
+    def words(self, texts: DataFrame) -> DataFrame:
+        """The words of documents with their boxes."""
+        return layout.word_boxes(texts)
+
+    def layout(self, doc_id: int | None = None, page: int | None = None) -> DataFrame:
+        """Typed blocks, of one document or one page of it, in reading order."""
+        b = self.blocks()
+        for column, value in (("doc_id", doc_id), ("page", page)):
+            b = b if value is None else b.where(F.col(column) == value)
+        return b.orderBy("doc_id", "page", "z_order")
+
+    def tables(self, texts: DataFrame) -> DataFrame:
+        """Cells of the tables that aligned words make."""
+        w = layout.word_boxes(texts)
+        return folds.borderless_tables(w, layout.page_sizes(w))
+
+    def export(self, texts: DataFrame, kind: str | None = None) -> DataFrame:
+        """Files of documents, one row each (doc_id, export_type, content, size, error);
+        of one kind (DOCX or PDF) if given."""
+        if kind not in (None, "DOCX", "PDF"):
+            raise ValueError(f"unknown export {kind}")
+        w = layout.word_boxes(texts)
+        sizes = layout.page_sizes(w)
+        out = office.write_exports(layout.classify_blocks(layout.text_blocks(w), sizes), w, sizes)
+        return out if kind is None else out.where(F.col("export_type") == kind)
+
     def blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/blocks")
 
@@ -68,20 +110,28 @@ class Engine:
         return edits.edit(cells, operation, argument)
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
-        """Rows by key into a table: the new version is written beside it and takes its
-        place by a rename, so readers see one or the other."""
-        out = service.keyed_upsert(self.table(name), rows, keys) if self._exists(name) else rows
-        new, old = f"{self.root}/.{name}.new", f"{self.root}/.{name}.old"
-        jvm = self.spark.sparkContext._jvm
-        path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        """Rows by key into a table.  The new version is a folder of its own; a table's
+        last version is the highest that has a mark, and marks are made by a rename, so
+        a reader sees one version or the next and never none.  The version before the
+        last stays for readers that have begun; older ones are deleted."""
+        out = service.keyed_upsert(self.table(name), rows, keys) if self._version(name) or self._exists(name) or name in schemas.TABLES else rows
+        n = self._version(name) + 1
+        base = f"{self.root}/{name}@versions"
+        path = lambda p: self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        out.write.mode("overwrite").parquet(new)
-        fs.delete(path(old), True)
-        if self._exists(name):
-            fs.rename(path(f"{self.root}/{name}"), path(old))
-        fs.rename(path(new), path(f"{self.root}/{name}"))
-        fs.delete(path(old), True)
-        self.spark.catalog.refreshByPath(f"{self.root}/{name}")
+        new = f"{base}/.{uuid.uuid4().hex}"
+        out.write.parquet(new)
+        if not fs.rename(path(new), path(f"{base}/{n:010d}")) or fs.exists(path(f"{base}/{n:010d}/{new.rsplit('/', 1)[1]}")):
+            raise RuntimeError(f"another writer made version {n} of {name}")
+        if n > 2:
+            fs.delete(path(f"{base}/{n - 2:010d}"), True)
+
+    def _version(self, name: str) -> int:
+        """The last version that upsert() made of a table; 0 without any."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}@versions")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return max((int(f) for f in found if f.isdigit()), default=0)
 
     def delete(self, ids: list[str]) -> None:
         d = self.table("documents")
@@ -90,6 +140,12 @@ class Engine:
     def register(self) -> DataFrame:
         return service.renumber(self.table("accession_records"), "accession_number")
 
+    def records(self, page: int = 1, size: int = 50, year: int | None = None, month: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(page of the records, their total as one row)."""
+        return registers.list_records(self.table("accession_records"), page, size, year, month)
+
     def batches(self) -> DataFrame:
         items = self.table("ocr_batch_items")
-        return service.batch_rollup(items, "batch_id", "state", {"completed"}, {"failed", "cancelled", "skipped"}, "priority_score", "updated_at")
+        rolled = service.batch_rollup(items, "batch_id", "state", {"completed", "duplicate"}, {"failed", "cancelled"}, "priority_score", "updated_at").drop("label")
+        heads = self.table("ocr_batches").select(F.col("id").alias("batch_id"), "started_at")
+        return batches.labels(heads, items).join(rolled, "batch_id", "left")

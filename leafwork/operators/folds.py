@@ -174,6 +174,25 @@ def greedy_suppression(regions: DataFrame, region: str, share: float = 0.6) -> D
     return regions.groupBy(*PAGE).applyInPandas(page, regions.schema)
 
 
+def merged_places(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, sure: np.ndarray, n: int, share: float) -> np.ndarray:
+    """Which boxes stay of n first ones and further ones, in order: a further one that
+    meets a kept one by ``share`` of the smaller box takes its place if it is surer."""
+    area = np.clip(x2 - x1, 0, None) * np.clip(y2 - y1, 0, None)
+    kept = np.zeros(len(x1), int)  # places in order; the first n are those of the first pass
+    kept[:n] = np.arange(n)
+    for i in range(n, len(x1)):
+        k = kept[:n]
+        w = np.minimum(x2[i], x2[k]) - np.maximum(x1[i], x1[k])
+        h = np.minimum(y2[i], y2[k]) - np.maximum(y1[i], y1[k])
+        hit = np.flatnonzero((w > 0) & (h > 0) & (w * h >= share * np.minimum(area[i], area[k])))
+        if not len(hit):
+            kept[n] = i
+            n += 1
+        elif sure[i] > sure[kept[hit[0]]]:
+            kept[hit[0]] = i
+    return kept[:n]
+
+
 def overlap_merge(existing: DataFrame, new: DataFrame, item: str, share: float = 0.5) -> DataFrame:
     """Detections of two passes: a new one that meets a kept one by ``share`` of the
     smaller box takes its place if it is surer, and is dropped if not; others are added."""
@@ -181,21 +200,7 @@ def overlap_merge(existing: DataFrame, new: DataFrame, item: str, share: float =
     def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_pass", item]).reset_index(drop=True)
         x1, y1, x2, y2, sure = (pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2", "confidence"))
-        area = np.clip(x2 - x1, 0, None) * np.clip(y2 - y1, 0, None)
-        n = int((pdf._pass == 0).sum())
-        kept = np.zeros(len(pdf), int)  # places in order; the first n are those of the first pass
-        kept[:n] = np.arange(n)
-        for i in range(n, len(pdf)):
-            k = kept[:n]
-            w = np.minimum(x2[i], x2[k]) - np.maximum(x1[i], x1[k])
-            h = np.minimum(y2[i], y2[k]) - np.maximum(y1[i], y1[k])
-            hit = np.flatnonzero((w > 0) & (h > 0) & (w * h >= share * np.minimum(area[i], area[k])))
-            if not len(hit):
-                kept[n] = i
-                n += 1
-            elif sure[i] > sure[kept[hit[0]]]:
-                kept[hit[0]] = i
-        return pdf.iloc[kept[:n]].drop(columns="_pass")
+        return pdf.iloc[merged_places(x1, y1, x2, y2, sure, int((pdf._pass == 0).sum()), share)].drop(columns="_pass")
 
     both = existing.withColumn("_pass", F.lit(0)).unionByName(new.withColumn("_pass", F.lit(1)))
     ship(both.sparkSession)

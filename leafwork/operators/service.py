@@ -27,6 +27,17 @@ def status_counts(df: DataFrame, status: str, groups: dict[str, list[str]]) -> D
     return df.agg(F.count("*").alias("total"), *[F.count_if(F.col(status).isin(v)).alias(k) for k, v in groups.items()])
 
 
+def register_summary(records: DataFrame, review: Column, date: str, documents: DataFrame) -> DataFrame:
+    """One row: records, those to review, the latest date, and documents."""
+    a = records.agg(F.count("*").alias("records"), F.count_if(review).alias("review"), F.max(date).alias("latest"))
+    return a.crossJoin(documents.agg(F.count("*").alias("documents")))  # one row each
+
+
+def without(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the other table does not have."""
+    return rows.join(other.select(key), key, "left_anti")
+
+
 def duplicates_by_hash(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
     """Rows whose content occurred before: each with the first row that had it.  The
     first rows are an aggregate that combines before its shuffle, so content that is

@@ -227,11 +227,7 @@ def gap_clusters(spark, d):
 
 @query(f"WITH {BLOCKS}, b AS (SELECT doc_id, page, y1 AS edge FROM blocks UNION SELECT doc_id, page, y2 FROM blocks) SELECT doc_id, page, edge, (lead(edge) OVER (PARTITION BY doc_id, page ORDER BY edge) - edge)::BIGINT AS gap FROM b")
 def boundary_union(spark, d):
-    from pyspark.sql import Window
-
-    b = layout.text_blocks(words_of(spark, d))
-    at = b.select("doc_id", "page", F.col("y1").alias("edge")).union(b.select("doc_id", "page", "y2")).distinct()
-    return at.withColumn("gap", F.lead("edge").over(Window.partitionBy("doc_id", "page").orderBy("edge")) - F.col("edge"))
+    return spatial.boundaries(layout.text_blocks(words_of(spark, d)), ["doc_id", "page"], ["y1", "y2"])
 
 
 # ------------------------------------------------------------ text functions
@@ -322,7 +318,8 @@ def theta_join_progress(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_join_missing(spark, d):
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    pending = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return service.without(table(spark, d, "customer").select("c_custkey", "c_name"), pending, "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1 AND o_orderstatus = 'F') AND c_custkey IN (SELECT doc_id FROM labels) AND c_custkey IN (SELECT s_suppkey FROM supplier)")
@@ -346,8 +343,7 @@ def calendar_rollup(spark, d):
 
 @query("SELECT count(*) AS records, count(*) FILTER (c_acctbal < 0) AS review, max(c_acctbal) AS latest, (SELECT count(*) FROM nation) AS documents FROM customer")
 def register_summary(spark, d):
-    a = table(spark, d, "customer").agg(F.count("*").alias("records"), F.count_if(F.col("c_acctbal") < 0).alias("review"), F.max("c_acctbal").alias("latest"))
-    return a.crossJoin(table(spark, d, "nation").agg(F.count("*").alias("documents")))  # one row each
+    return service.register_summary(table(spark, d, "customer"), F.col("c_acctbal") < 0, "c_acctbal", table(spark, d, "nation"))
 
 
 @query("SELECT s_suppkey, 'D-' || (2000 + row_number() OVER (ORDER BY s_name, s_suppkey))::VARCHAR AS number FROM supplier")
@@ -457,13 +453,37 @@ def cells_by_row(spark, d):
 
 
 # ------------------------------------------- folds: tested against plain Python
-@query()
+@query(f"WITH {WORDS} SELECT doc_id, page, (li % 40)::INTEGER AS row, count(*) AS n_words, min(y1) AS y1, max(y2) AS y2, string_agg(text, ' ' ORDER BY x1, wi) AS text FROM words GROUP BY doc_id, page, li")
 def row_clusters(spark, d):
     from leafwork.operators import folds
 
     return folds.row_clusters(words_of(spark, d))
 
 
+GRID = "grid AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)"
+
+
+def grid_of(spark, d) -> DataFrame:
+    """Words in three columns, one for each order of a customer, as a page without rules has them."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    g = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"), n.alias("n"))
+    x, y = (F.col("n") % 3 * 300 + 50).cast("long"), (F.floor(F.col("n") / 3) * 40 + 100).cast("long")
+    return g.select("doc_id", F.lit(0).alias("page"), F.floor(F.col("n") / 3).cast("int").alias("li"), (F.col("n") % 3).cast("int").alias("wi"), F.col("k").cast("string").alias("text"), x.alias("x1"), y.alias("y1"), (x + 90).alias("x2"), (y + 20).alias("y2"), F.lit(10).alias("font_size"), F.lit(0.5).alias("confidence"))
+
+
+@query(f"""WITH {GRID}, z AS (SELECT doc_id, count(*) // 3 AS rows FROM grid GROUP BY 1)
+SELECT doc_id, (n // 3)::INTEGER AS row, (n % 3)::INTEGER AS column, k::VARCHAR AS text, 0.425::DOUBLE AS table_confidence FROM grid JOIN z USING (doc_id) WHERE rows >= 4 AND n // 3 < rows""")
+def grid_tables(spark, d):
+    """Tables without rules where there are some: four full rows or more of numbers."""
+    from leafwork.operators import folds
+
+    w = grid_of(spark, d)
+    pages = w.select("doc_id", "page").distinct().withColumn("page_width", F.lit(1000)).withColumn("page_height", F.lit(2000))
+    return folds.borderless_tables(w, pages).where("table_no = 0").select("doc_id", "row", "column", "text", F.round("table_confidence", 6).alias("table_confidence"))
+
+
 @query()
 def borderless_tables(spark, d):
     from leafwork.operators import folds
@@ -472,7 +492,22 @@ def borderless_tables(spark, d):
     return folds.borderless_tables(w, layout.page_sizes(w))
 
 
-@query()
+@query(f"""WITH {CELLS}, n AS (SELECT *, row_number() OVER (PARTITION BY table_id, r ORDER BY c) AS k, count(*) OVER (PARTITION BY table_id, r) AS m FROM cells)
+SELECT DISTINCT table_id AS page_id, 0 AS row, 0 AS column, 1 AS rowspan, 4 AS colspan, 'orders of ' || table_id::VARCHAR AS text FROM cells
+UNION ALL SELECT table_id, r + 1, CASE WHEN k = 1 THEN 0 ELSE c + 1 END, 1, CASE WHEN k = 1 THEN 2 ELSE 1 END, text FROM n""")
+def html_cells(spark, d):
+    """HTML tables with a caption row and a wide first column, read back."""
+    from leafwork.sources import html_tables
+
+    c = cells_of(spark, d).withColumn("td", F.concat(F.when(F.col("column") == 0, "<td colspan=2> ").otherwise("<td>"), F.col("text"), F.lit("</td>")))
+    row = c.groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "td"))), lambda x: x["td"]), "").alias("tr"))
+    body = row.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "tr"))), lambda x: F.concat(F.lit("<tr>"), x["tr"], F.lit("</tr>"))), "\n").alias("body"))
+    head = F.concat(F.lit("<p>x</p><TABLE><tr><th colspan='4'>orders of "), F.col("table_id").cast("string"), F.lit("</th></tr>"))
+    pages = body.select(F.col("table_id").alias("page_id"), F.concat(head, "body", F.lit("</TABLE>")).alias("html"))
+    return html_tables.table_cells(pages).select("page_id", "row", "column", "rowspan", "colspan", "text")
+
+
+@query(f"WITH {WORDS}, {REGIONS} SELECT * FROM regions UNION ALL SELECT doc_id, page, r + 10, x1 + 20, y1 + 20, x2 + 600, y2 - 20 FROM regions WHERE r % 2 = 1")
 def greedy_suppression(spark, d):
     from leafwork.operators import folds
 
@@ -482,8 +517,10 @@ def greedy_suppression(spark, d):
     return folds.greedy_suppression(r.union(inner), "r")
 
 
-@query()
+@query(f"""WITH {WORDS}, w AS (SELECT doc_id, page, x1, y1, x2, y2, confidence, li * 100000 + wi AS id, length(text) >= 2 AS meets, round(1 - confidence, 2) > confidence AS surer FROM words)
+SELECT doc_id, page, x1, y1, x2, y2, confidence, id FROM w WHERE NOT (meets AND surer) UNION ALL SELECT doc_id, page, x1 + 8, y1, x2 + 8, y2, round(1 - confidence, 2), id + 50000 FROM w WHERE NOT meets OR surer""")
 def overlap_merge(spark, d):
+    """A second pass a little to the right: words of two characters or more meet themselves."""
     from leafwork.operators import folds
 
     w = words_of(spark, d).select("doc_id", "page", "wi", "li", "x1", "y1", "x2", "y2", "confidence").withColumn("id", F.col("li") * 100000 + F.col("wi")).drop("li", "wi")
@@ -547,7 +584,7 @@ n AS (SELECT doc_id, page, z_order, CASE WHEN block_type = 'PARAGRAPH' THEN subs
 b AS (SELECT * FROM n WHERE k = 1),
 h AS (SELECT c.doc_id, c.t, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.block_type = 'PARAGRAPH', c.page, c.z_order) AS k FROM c LEFT JOIN b ON b.doc_id = c.doc_id WHERE (c.block_type IN ('TITLE', 'HEADING', 'SUBHEADING') AND NOT coalesce(c.page = b.page AND c.z_order = b.z_order, false))
  OR (c.block_type = 'PARAGRAPH' AND length(c.t) BETWEEN 3 AND 120 AND length(regexp_replace(c.t, '[^\\p{{L}}]', '', 'g')) > 0 AND length(regexp_replace(c.t, '[^\\p{{Lu}}]', '', 'g')) > 0.8 * length(regexp_replace(c.t, '[^\\p{{L}}]', '', 'g')) AND NOT regexp_matches(rtrim(c.t), '[.,;]$'))),
-y AS (SELECT doc_id, nullif(regexp_extract(t, '(?:^|[^A-Za-z0-9_])((?:1[89][0-9]{{2}}|20[0-3][0-9])(?:\s*[-–]\s*[0-9]{{2,4}})?)(?:$|[^A-Za-z0-9_])', 1), '') AS year, page, z_order FROM c),
+y AS (SELECT doc_id, nullif(regexp_extract(t, '(?:^|[^A-Za-z0-9_])((?:1[89][0-9]{{2}}|20[0-3][0-9])(?:\\s*[-–]\\s*[0-9]{{2,4}})?)(?:$|[^A-Za-z0-9_])', 1), '') AS year, page, z_order FROM c),
 z AS (SELECT doc_id, count(year) AS years FROM y GROUP BY 1),
 l AS (SELECT doc_id, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9]')) AS words FROM words GROUP BY 1),
 m AS (SELECT d.doc_id, b.name, h.t AS line, coalesce(years, 0) AS years, coalesce(l.words, 0) AS words FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN h ON h.doc_id = d.doc_id AND h.k = 1 LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id)
@@ -606,12 +643,4 @@ c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY x1, li ROWS
 b AS (SELECT doc_id, page, band, count(*) AS n, count(DISTINCT li) AS hit FROM c GROUP BY 1, 2, 3), r AS (SELECT doc_id, page, count(DISTINCT li) AS lines FROM words GROUP BY 1, 2)
 SELECT doc_id, page, (band - 1)::BIGINT AS band, n, hit FROM b JOIN r USING (doc_id, page) WHERE hit >= greatest(2, floor(lines * 0.85))""")
 def column_bands(spark, d):
-    from pyspark.sql import Window
-
-    w = words_of(spark, d)
-    key = ["doc_id", "page"]
-    o = Window.partitionBy(*key).orderBy("x1", "li")
-    s = w.withColumn("tol", F.max("x2").over(Window.partitionBy(*key)) * 0.02).withColumn("fresh", F.when(F.col("x1") - F.lag("x1").over(o) <= F.col("tol"), 0).otherwise(1))
-    c = s.withColumn("band", F.sum("fresh").over(o.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    b = c.groupBy(*key, "band").agg(F.count("*").alias("n"), F.count_distinct("li").alias("hit"))
-    return b.join(w.groupBy(*key).agg(F.count_distinct("li").alias("lines")), key).where(F.col("hit") >= F.greatest(F.lit(2), F.floor(F.col("lines") * 0.85))).select(*key, "band", "n", "hit")
+    return spatial.column_bands(words_of(spark, d), ["doc_id", "page"], "li")

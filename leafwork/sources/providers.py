@@ -6,15 +6,23 @@ services that may be missing; available() says so."""
 
 from __future__ import annotations
 
+import base64
 import importlib.util
+import json
+import os
 import re
 import shutil
+import urllib.request
 from abc import ABC, abstractmethod
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from leafwork.operators.folds import merged_places
 from leafwork.session import ship
+from leafwork.sources.images import encode_png
 
 WORD_FIELDS = "doc_id long, page int, block_id string, line_id string, wi int, text string, x1 double, y1 double, x2 double, y2 double, confidence double, language string, font_size double, error string"
 
@@ -77,17 +85,140 @@ def tesseract_words(d: pd.DataFrame, dpi: int) -> list[dict]:
     ]
 
 
+@lru_cache(maxsize=8)
+def _paddle(lang: str):
+    from paddleocr import PaddleOCR
+
+    return PaddleOCR(lang=lang)
+
+
 @register
 class Paddle(Provider):
+    """One pass for each language, with an engine that a worker makes once; the passes'
+    words are merged and numbered in reading order."""
+
     name = "paddleocr"
 
+    def __init__(self, languages: tuple[str, ...] = ("hi", "en"), engine=_paddle):
+        self.languages, self.engine = languages, engine
+
     def available(self) -> bool:
         return importlib.util.find_spec("paddleocr") is not None
 
     def recognize(self, image, page: int, dpi: int) -> list[dict]:
-        from paddleocr import PaddleOCR
+        passes = [[w for row in self.engine(lang).ocr(image)[0] or [] if (w := polygon_word(row, dpi))] for lang in self.languages]
+        words: list[dict] = []
+        for found in passes:
+            words = merge_words(words, found)
+        words.sort(key=lambda w: (round(w["y1"] / 10), w["x1"]))
+        return [w | {"line_id": str(i)} for i, w in enumerate(words)]
+
+
+def merge_words(first: list[dict], second: list[dict], share: float = 0.5) -> list[dict]:
+    """Words of two passes over one page: of two that meet, the surer one."""
+    both = [*first, *second]
+    if not first or not second:
+        return both
+    x1, y1, x2, y2, sure = (np.array([w[c] for w in both], float) for c in ("x1", "y1", "x2", "y2", "confidence"))
+    return [both[i] for i in merged_places(x1, y1, x2, y2, sure, len(first), share)]
+
+
+# ---------------------------------------------------------- models behind a URL
+PROMPT = (
+    "Transcribe all text of this scanned page exactly as it stands, in Hindi and English, with all numbers and tables. "
+    'Answer with a JSON array only, one element for each line in reading order: {"text": "...", "bbox": [x1, y1, x2, y2]}, with coordinates as shares of the width and height.'
+)
+
+
+def post_json(url: str, payload: dict, headers: dict, timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json", **headers})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.load(answer)
 
-        return [w for row in PaddleOCR(lang="en").ocr(image)[0] or [] if (w := polygon_word(row, dpi))]
+
+def json_array(text: str) -> list[dict]:
+    """A JSON array; where the text is not one, the one inside it; else empty."""
+    found = re.search(r"\[.*\]", text, re.DOTALL)
+    for part in (text, found[0] if found else ""):
+        try:
+            out = json.loads(part)
+        except ValueError:
+            continue
+        return [x for x in out if isinstance(x, dict)] if isinstance(out, list) else []
+    return []
+
+
+def region_words(text: str, width: int, height: int, sure: float, dpi: int) -> list[dict]:
+    """Words of a model's answer: boxes in pixels, one line each, a fixed confidence; odd elements are dropped."""
+    out = []
+    for i, r in enumerate(json_array(text)):
+        said, box = str(r.get("text", "")).strip(), r.get("bbox")
+        if not said or not isinstance(box, list) or len(box) != 4:
+            continue
+        x1, y1, x2, y2 = (float(v) for v in box)
+        out.append({"text": said, "x1": x1 * width, "y1": y1 * height, "x2": x2 * width, "y2": y2 * height, "confidence": sure, "block_id": str(i), "line_id": str(i), "font_size": round((y2 - y1) * height / dpi * 72, 1)})
+    return out
+
+
+class Remote(Provider):
+    """A model that reads a page over HTTP; its confidence is no probability, so it is fixed."""
+
+    sure, timeout = 0.7, 180.0
+
+    def __init__(self, url: str = "", model: str = "", key: str = "", post=post_json):
+        self.url, self.model, self.key, self.post = url or os.environ.get(f"LEAFWORK_{self.name.upper()}_URL", ""), model, key or os.environ.get(f"LEAFWORK_{self.name.upper()}_KEY", ""), post
+
+    def payload(self, image: str) -> dict: ...
+
+    def answer(self, reply: dict) -> str: ...
+
+    def headers(self) -> dict:
+        return {}
+
+    def recognize(self, image, page: int, dpi: int) -> list[dict]:
+        if not self.available():
+            raise RuntimeError(f"{self.name} is not set up")
+        data = base64.b64encode(encode_png(image)).decode()
+        reply = self.post(self.url, self.payload(data), self.headers(), self.timeout)
+        return region_words(self.answer(reply), image.shape[1], image.shape[0], self.sure, dpi)
+
+
+@register
+class Nvidia(Remote):
+    name, sure, timeout = "nvidia", 0.75, 90.0
+
+    def available(self) -> bool:
+        return bool(self.url and self.key)
+
+    def headers(self) -> dict:
+        return {"Authorization": f"Bearer {self.key}"}
+
+    def payload(self, image: str) -> dict:
+        parts = [{"type": "text", "text": PROMPT}, {"type": "image_url", "image_url": {"url": f"data:image/png;base64,{image}"}}]
+        return {"model": self.model, "messages": [{"role": "user", "content": parts}], "max_tokens": 4096, "temperature": 0.0}
+
+    def answer(self, reply: dict) -> str:
+        return reply["choices"][0]["message"]["content"]
+
+
+@register
+class Ollama(Remote):
+    name, sure = "ollama", 0.7
+
+    def available(self) -> bool:
+        if not self.url:
+            return False
+        try:
+            with urllib.request.urlopen(self.url.rsplit("/", 1)[0] + "/tags", timeout=3.0) as answer:
+                return answer.status == 200
+        except OSError:
+            return False
+
+    def payload(self, image: str) -> dict:
+        return {"model": self.model, "messages": [{"role": "user", "content": PROMPT, "images": [image]}], "stream": False, "options": {"temperature": 0.0}}
+
+    def answer(self, reply: dict) -> str:
+        return reply.get("message", {}).get("content", "")
 
 
 def polygon_word(row, dpi: int) -> dict | None:
@@ -135,3 +266,18 @@ def merge_passes(first: DataFrame, second: DataFrame, share: float = 0.5) -> Dat
     from leafwork.operators.folds import overlap_merge
 
     return overlap_merge(first, second, "wi", share)
+
+
+def retry_sweep(pages: DataFrame, words: DataFrame, provider: type[Provider], decode, dpi: int = 300) -> DataFrame:
+    """The words with those of a second try of pages that failed or are missing; a page
+    that fails again keeps its error."""
+    good = words.where("error is null")
+    todo = pages.join(good.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    return good.unionByName(recognize_pages(todo, provider, decode, dpi))
+
+
+def failed_documents(words: DataFrame) -> DataFrame:
+    """(doc_id, error): documents with a page that failed, and the first page's error."""
+    from pyspark.sql import functions as F
+
+    return words.where("error is not null").groupBy("doc_id").agg(F.min_by("error", "page").alias("error"))

@@ -88,6 +88,20 @@ def append_register(events: DataFrame, path: str, checkpoint: str, number: str =
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publish(events: DataFrame, path: str, checkpoint: str, key: str = "job_id"):
+    """Sends events as JSON messages (channel, value) to files below path, a batch at a
+    time.  Progress is best effort: a batch that cannot be sent is dropped and the
+    stream goes on."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        try:
+            batch.select(F.concat(F.lit("doc_progress:"), F.col(key).cast("string")).alias("channel"), F.to_json(F.struct(*batch.columns)).alias("value")).write.mode("append").parquet(path)
+        except Exception:  # noqa: BLE001  see above
+            return
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there into an in-memory table and returns it."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
