@@ -22,13 +22,19 @@ LEAST_ROWS, LEAST_COLUMNS, BAND_TOLERANCE, ROW_SHARE = 4, 3, 0.02, 0.85
 def running_mean_rows(y: np.ndarray, height: np.ndarray, reach: float) -> np.ndarray:
     """Numbers of clusters of sorted positions: a position joins while it is within
     reach * its height of the mean of the cluster so far."""
-    out, total, n, row = np.zeros(len(y), int), 0.0, 0, 0
-    for i, (v, h) in enumerate(zip(y, np.where(height > 0, height, 1), strict=True)):
-        if n and abs(v - total / n) > reach * h:
+    if not len(y):
+        return np.zeros(0, int)
+    h = np.where(height > 0, height, 1)
+    # words at one height with one size share a fate: the first one decides, and the mean only comes nearer
+    begin = np.flatnonzero(np.concatenate(([True], (y[1:] != y[:-1]) | (h[1:] != h[:-1]))))
+    count = np.diff(np.append(begin, len(y)))
+    rows, total, n, row = [], 0.0, 0, 0
+    for v, size, c in zip(y[begin].tolist(), h[begin].tolist(), count.tolist(), strict=True):
+        if n and abs(v - total / n) > reach * size:
             row, total, n = row + 1, 0.0, 0
-        total, n = total + v, n + 1
-        out[i] = row
-    return out
+        total, n = total + v * c, n + c
+        rows.append(row)
+    return np.repeat(rows, count)
 
 
 def cluster_rows(words: pd.DataFrame, reach: float = 0.6) -> pd.DataFrame:
@@ -148,7 +154,10 @@ def borderless_tables(words: DataFrame, pages: DataFrame) -> DataFrame:
         return pd.concat(found).assign(doc_id=key[0], page=key[1])[names] if found else pd.DataFrame(columns=names)
 
     ship(words.sparkSession)
-    return words.join(pages.select(*PAGE, "page_width"), PAGE).groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, table_no int, row int, column int, text string, x1 double, y1 double, x2 double, y2 double, confidence double, table_confidence double")
+    # a table has a column of numbers: pages without two words of digits and marks have none
+    numeric = words.where(F.col("text").rlike(r"^[0-9,./%+-]*[0-9][0-9,./%-]*$")).groupBy(*PAGE).agg(F.count("*").alias("_n")).where("_n >= 2")
+    some = words.join(numeric.select(*PAGE), PAGE, "left_semi")
+    return some.join(pages.select(*PAGE, "page_width"), PAGE).groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, table_no int, row int, column int, text string, x1 double, y1 double, x2 double, y2 double, confidence double, table_confidence double")
 
 
 def _shares(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

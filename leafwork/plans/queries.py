@@ -66,8 +66,8 @@ typed AS (SELECT *, CASE
 WORD_COLUMNS = ["doc_id", "page", "li", "wi", "text", "x1", "y1", "x2", "y2", "font_size", "confidence"]
 
 
-def words_of(spark: SparkSession, d: str) -> DataFrame:
-    return layout.word_boxes(table(spark, d, "documents").select("doc_id", "text"))
+def words_of(spark: SparkSession, d: str, by_page: bool = True) -> DataFrame:
+    return layout.word_boxes(table(spark, d, "documents").select("doc_id", "text"), by_page)
 
 
 def typed_of(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def document_summary(spark, d):
 
 @query(f"WITH {WORDS} SELECT {', '.join(WORD_COLUMNS)} FROM words")
 def word_boxes(spark, d):
-    return words_of(spark, d).select(*WORD_COLUMNS)
+    return words_of(spark, d, by_page=False).select(*WORD_COLUMNS)
 
 
 @query(f"WITH {LINES} SELECT doc_id, page, li, n_words, text, x1, y1, x2, y2, round(csum / n_words, 9) AS confidence FROM lines")
