@@ -1,13 +1,12 @@
 """What the operators of this package share: materialised tables, byte-level
-tokenisation with numpy, folds within a row, joins with hot keys, streamed
-groups and connected components."""
+tokenisation with numpy, joins with hot keys, streamed groups and connected
+components."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,31 +145,6 @@ def utf8(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]
 
 
-# ------------------------------------------------------- arrays within a row
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
-    """For each of an array of longs of 0 or more: what the associative ``merge``
-    makes of 0 and all values before it.
-
-    The array is folded in runs of the square root of its length, then the runs'
-    results are, so that n values cost n * sqrt(n) copied elements and not n * n."""
-
-    def fold(xs: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
-        return F.aggregate(xs, start, lambda acc, x: F.struct(merge(acc["last"], x).alias("last"), F.array_append(acc["out"], acc["last"]).alias("out")))
-
-    def body(v: Column) -> Column:
-        step = F.ceil(F.sqrt(F.size(v))).cast("int")
-        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / step).cast("int") - 1), lambda i: fold(F.slice(v, i * step + 1, step)))
-        return let(runs, lambda r: F.flatten(F.zip_with(r, fold(F.transform(r, lambda x: x["last"]))["out"], lambda x, b: F.transform(x["out"], lambda y: merge(b, y)))))
-
-    return F.when(F.size(values) > 0, let(values, body)).otherwise(F.array().cast("array<long>"))
-
-
 # ----------------------------------------------------------------- skewed joins
 #: Rows of a side that may be broadcast once they are counted.
 MOST_SMALL = 200_000

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import cut, drop_table, join_hot, join_small, let, read_cut, running, write_cut
+from leafwork.functions.arrays import let, running, running_sums
+from leafwork.llm.common import cut, drop_table, join_hot, join_small, read_cut, write_cut
 
 # The kinds in their order and the rules of the contract.  The look-behinds, \\G and possessive
 # quantifiers change no match; they keep the search linear in long runs of one class.
@@ -46,16 +47,12 @@ KINDS = [*BASE_KINDS, "secret"]
 SPANS_TYPE = "array<struct<s:int,e:int,m:string>>"
 
 
-def plus(a: Column, b: Column) -> Column:
-    return a + b
-
-
 def find_spans(text: Column, rule: str) -> Column:
     """All leftmost non-overlapping matches: array of (s, e, m), in code points, e exclusive."""
     parts = F.struct(F.transform(F.split(text, rule, -1), lambda g: F.length(g)).alias("gaps"), F.regexp_extract_all(text, F.lit(rule), F.lit(0)).alias("found"))
 
     def body(x: Column) -> Column:
-        at = running(F.zip_with(x["gaps"], x["found"], lambda g, m: (g + F.coalesce(F.length(m), F.lit(0))).cast("long")), plus)
+        at = running_sums(F.zip_with(x["gaps"], x["found"], lambda g, m: (g + F.coalesce(F.length(m), F.lit(0))).cast("long")))
         starts = F.zip_with(at, x["gaps"], lambda a, g: (a + g).cast("int"))
         spans = F.zip_with(starts, x["found"], lambda s, m: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
         return F.slice(spans, 1, F.size(x["found"]))
@@ -90,7 +87,7 @@ def find_tokens(text: Column) -> Column:
             s = (F.get(at, i) + own["n"]).cast("int")
             return F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("token"), left2.alias("left2"), left1.alias("left1"), right1.alias("right1"))
 
-        return let(running(lengths, plus), lambda at: F.transform(x["found"], lambda m, i: token(m, i, at)))
+        return let(running_sums(lengths), lambda at: F.transform(x["found"], lambda m, i: token(m, i, at)))
 
     return let(parts, body)
 
