@@ -142,6 +142,14 @@ def json_field(text: Column, schema: str) -> Column:
     return F.coalesce(plain[field], F.from_json(span, schema)[field])
 
 
+def json_array(text: Column, schema: str) -> Column:
+    """The objects of a JSON array; where the text is not one, of the array inside it; else empty."""
+    kind = f"array<struct<{', '.join(': '.join(f.split()) for f in schema.split(', '))}>>"
+    whole = F.when(F.trim(text).startswith("["), F.from_json(text, kind))
+    inner = F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), kind)
+    return F.coalesce(F.when(F.size(whole) >= 0, whole), F.when(F.size(inner) >= 0, inner), F.array().cast(kind))
+
+
 def workload(pages: Column, size_bytes: Column) -> Column:
     """Pages (or bytes over 150 KiB, at least 1) and bytes over a GiB."""
     p = F.when(pages > 0, pages.cast("double")).otherwise(F.greatest(F.lit(1.0), size_bytes / F.lit(float(150 * 1024))))

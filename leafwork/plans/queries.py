@@ -163,6 +163,11 @@ def regions_of(words: DataFrame) -> DataFrame:
     return words.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("r")).select("doc_id", "page", "r", (r * 700).cast("long").alias("x1"), (r * 140 + 30).cast("long").alias("y1"), (r * 700 + 500).cast("long").alias("x2"), (r * 140 + 130).cast("long").alias("y2"))
 
 
+def page_join_of(words: DataFrame, regions: DataFrame) -> DataFrame:
+    """Words with the region that holds their centre."""
+    return spatial.page_join(words, regions, ["doc_id", "page"], G.center_in)
+
+
 INSIDE = "(w.x1 + w.x2) / 2.0 BETWEEN r.x1 AND r.x2 AND (w.y1 + w.y2) / 2.0 BETWEEN r.y1 AND r.y2"
 SHARE = "(greatest(0, least(w.x2, r.x2) - greatest(w.x1, r.x1)) * greatest(0, least(w.y2, r.y2) - greatest(w.y1, r.y1))) / greatest(1, (w.x2 - w.x1) * (w.y2 - w.y1))::DOUBLE"
 
