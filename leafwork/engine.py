@@ -11,6 +11,10 @@ from leafwork import schemas
 from leafwork.functions.text import confidence_tier, needs_review
 from leafwork.operators import batches, edits, folds, layout, registers, service
 from leafwork.sources import office
+from leafwork.sources.stores import Store
+
+# Where files of a document are kept.
+FOLDERS = ["original", "pages", "processed", "output"]
 
 
 class Engine:
@@ -41,6 +45,15 @@ class Engine:
         total = d.agg(F.count("*").alias("total"))  # one row
         return service.page_of_results(d.join(F.broadcast(total)), [F.desc("created_at"), F.asc("id")], page, size)
 
+    def regenerate(self, kind: str) -> DataFrame:
+        """The exports of processed documents, from their stored blocks alone."""
+        if kind not in ("DOCX", "PDF"):
+            raise ValueError(f"unknown export {kind}")
+        b = self.blocks()
+        words = layout.fallback_words(b).withColumn("li", F.col("z_order"))
+        sizes = b.select("doc_id", "page", "page_width", "page_height").distinct()
+        return office.write_exports(b, words, sizes).where(F.col("export_type") == kind)
+
     def stats(self) -> DataFrame:
         busy = ["UPLOADED", "QUEUED", "PROCESSING"]
         return service.status_counts(self.table("documents").where(~F.col("is_deleted")), "status", {"processing": busy, "completed": ["COMPLETED"], "failed": ["FAILED"]})
@@ -134,8 +147,13 @@ class Engine:
         return max((int(f) for f in found if f.isdigit()), default=0)
 
     def delete(self, ids: list[str]) -> None:
+        """Documents are marked as deleted, and their files go."""
         d = self.table("documents")
         self.upsert("documents", d.where(F.col("id").isin(ids)).withColumn("is_deleted", F.lit(True)), ["id"])
+        store = Store(self.spark, self.root)
+        for i in ids:
+            for folder in FOLDERS:
+                store.delete_prefix(f"{folder}/{i}")
 
     def register(self) -> DataFrame:
         return service.renumber(self.table("accession_records"), "accession_number")

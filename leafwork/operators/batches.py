@@ -7,6 +7,8 @@ not concern stays as it is, so each may be repeated."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,3 +169,21 @@ def leases(held: DataFrame, requests: DataFrame, now: Column, ttl_s: int = LEASE
     keeps = F.col("token").isNotNull() & ~F.coalesce((action == "release") & own, F.lit(False))
     until = F.when(takes | F.coalesce((action == "renew") & own, F.lit(False)), now + F.make_dt_interval(secs=F.lit(ttl_s))).otherwise(F.col("expires_at"))
     return met.where(takes | keeps).select("document_id", F.when(takes, F.col("_r.token")).otherwise(F.col("token")).alias("token"), until.alias("expires_at"))
+
+
+def run_rounds(items: DataFrame, work: Callable[[DataFrame], DataFrame], now: Callable[[], Column], limit: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Claims and works in rounds until no batch has a queued item: ``work`` takes the
+    claimed items (item_id, document_id, processing_job_id) and returns their jobs
+    (job_id, status, error_message), a job for each.  ``store`` writes the items of a
+    round and reads them back, so a round that is lost is taken up from there.  An item
+    whose job did not end is failed, so every round has fewer queued items."""
+    none = items.where("false").select("document_id")
+    while True:
+        items = store(claim(items, none, now(), limit)[0])
+        claimed = items.where("state = 'running'")
+        if not claimed.head(1):
+            return items
+        jobs = work(claimed.select("item_id", "document_id", "processing_job_id"))
+        items = sync(items, jobs)
+        lost = F.col("state") == "running"
+        items = store(_set(items.withColumn("_lost", lost), F.col("_lost"), error_message="Processing was lost", state="failed").drop("_lost"))

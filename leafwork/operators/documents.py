@@ -130,3 +130,12 @@ def geometry_unchanged(pages: DataFrame) -> Column:
     """Whether a page was neither turned, straightened nor resized."""
     same = (F.col("original_width") == F.col("width")) & (F.col("original_height") == F.col("height"))
     return (F.coalesce("rotation", F.lit(0.0)) == 0) & (F.coalesce("skew", F.lit(0.0)) == 0) & same
+
+
+def quality_pass(pages: DataFrame, rendered: DataFrame, keys: list[str]) -> DataFrame:
+    """The pages with how similar their image (PNG) and the one rendered again are; null
+    where one is missing or the sizes differ."""
+    from leafwork.sources.images import page_similarity
+
+    met = pages.drop("visual_similarity_score").join(rendered.select(*keys, F.col("image").alias("_again")), keys, "left")
+    return met.withColumn("visual_similarity_score", page_similarity(F.col("image"), F.col("_again"))["ssim"]).drop("_again")

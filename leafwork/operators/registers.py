@@ -80,6 +80,15 @@ def register_rows(records: DataFrame, documents: DataFrame, jobs: DataFrame, exp
     return renumber(out.select(*names), "accession_number", numeric).withColumnsRenamed(names | {"serial": "S.No"}).select(*[f"`{h}`" for h in HEADERS])
 
 
+def refresh(records: DataFrame, read: DataFrame, documents: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
+    """(records, summary): what was read anew from stored words of records that exist,
+    then numbers from the files' names; summary has one row of counts."""
+    again = read.join(records.select("document_id"), "document_id", "left_semi")
+    out = backfill_numbers(upsert_records(records, again, today), documents)
+    counts = out.agg(F.count_if(F.col("outcome") == "updated").alias("accession_numbers_updated"), F.count_if(F.col("outcome") == "skipped_taken").alias("skipped_taken"))
+    return out.drop("outcome"), counts.crossJoin(again.agg(F.count("*").alias("documents_refreshed")))  # one row each
+
+
 def header_matches(rows: DataFrame) -> bool:
     """Whether a stored register has the columns of this one, in order."""
     return rows.columns == HEADERS

@@ -264,7 +264,7 @@ def json_lenient(spark, d):
     return e.select("event_id", T.json_field(F.col("raw"), "k bigint").alias("k"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, li, upper(substr(text, 1, 60)) = substr(text, 1, 60) AND lower(substr(text, 1, 60)) <> substr(text, 1, 60) AS shout, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS n_letters FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, li, upper(text) = text AND lower(text) <> text AS shout, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS n_letters FROM lines")
 def line_letters(spark, d):
     lines = layout.group_lines(words_of(spark, d))
     t = F.col("text")

@@ -111,3 +111,44 @@ def test_maps_merge_and_pages_resume(spark):
     assert [r.id for r in documents.resumable(pages, key("a", 300)).collect()] == [1]
     same = spark.createDataFrame([(1, 0.0, None, 5, 5, 5, 5), (2, 90.0, 0.0, 5, 5, 5, 5), (3, None, None, 5, 5, 4, 5)], "i int, rotation double, skew double, original_width int, original_height int, width int, height int")
     assert by(same.select("i", documents.geometry_unchanged(same).alias("g")), "i", "g") == {1: True, 2: False, 3: False}
+
+
+def test_rounds_end(spark, tmp_path):
+    n = iter(range(100))
+
+    def store(df):
+        path = f"file://{tmp_path}/r{next(n)}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    taken = []
+
+    def work(claimed):
+        rows = claimed.collect()
+        taken.append(len(rows))
+        # one job is lost, one fails
+        ends = {"i0": "COMPLETED", "i1": "FAILED", "i2": "COMPLETED", "i4": "COMPLETED"}
+        return spark.createDataFrame([(r.processing_job_id, ends[r.item_id], None) for r in rows if r.item_id in ends], "job_id string, status string, error_message string")
+
+    i = items(spark, ("a", "queued", 1.0, None), ("a", "queued", 2.0, None), ("b", "queued", 1.0, None), ("b", "queued", 5.0, None), ("c", "queued", 1.0, None), ("c", "completed", 1.0, None))
+    out = by(batches.run_rounds(i, work, now, 2, store), "item_id", "state")
+    assert out == {"i0": "completed", "i1": "failed", "i2": "completed", "i3": "failed", "i4": "completed", "i5": "completed"}
+    assert max(taken) == 2 and sum(taken) == 5
+
+
+def test_refresh_and_quality(spark):
+    import numpy as np
+
+    from leafwork.sources import images
+
+    records = spark.createDataFrame([("d1", "D-7", "old", None, dt.date(2020, 1, 1)), ("d2", "D-8", "x", None, dt.date(2020, 1, 1))], "document_id string, accession_number string, book_name string, extraction_notes string, record_date date")
+    read = spark.createDataFrame([("d1", None, "new", []), ("d9", None, "unknown", [])], "document_id string, accession_number string, book_name string, notes array<string>")
+    docs = spark.createDataFrame([("d1", "ACC_NO_55.pdf"), ("d2", "plain.pdf")], "document_id string, original_filename string")
+    out, summary = registers.refresh(records, read, docs, F.lit("2024-01-01").cast("date"))
+    assert by(out, "document_id", "accession_number", "book_name") == {"d1": ("D-55", "new"), "d2": ("D-8", "x")}
+    assert tuple(summary.first()) == (1, 0, 1)
+    png = lambda v: images.encode_png(np.full((20, 20), v, np.uint8))
+    pages = spark.createDataFrame([(1, png(9)), (2, png(9)), (3, None)], "page int, image binary")
+    again = spark.createDataFrame([(1, png(9)), (3, png(9))], pages.schema)
+    got = by(documents.quality_pass(pages, again, ["page"]), "page", "visual_similarity_score")
+    assert round(got[1], 6) == 1.0 and got[2] is None and got[3] is None

@@ -252,6 +252,7 @@ def test_engine_facade(spark, sf, tmp_path):
     assert e.export(texts.where("doc_id = 3"), "DOCX").select("export_type").collect()[0][0] == "DOCX" and e.words(texts).count() > 0 and e.tables(texts).count() >= 0
     with pytest.raises(ValueError):
         e.export(texts, "XYZ")
+    assert e.regenerate("PDF").where("error is null and size > 0").count() == e.blocks().where("trim(text) <> ''").select("doc_id").distinct().count()
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     e.upsert("things", t, ["k"])
     seen = e.table("things")
@@ -260,3 +261,18 @@ def test_engine_facade(spark, sf, tmp_path):
     e.upsert("things", t.where("k = 2").withColumn("k", F.lit(3)), ["k"])
     assert sorted(map(tuple, e.table("things").collect())) == [(1, "new"), (2, "b"), (3, "b")]
     assert e.documents().count() == 0 and e.batches().count() == 0
+
+
+def test_deleting_a_document_takes_its_files(spark, tmp_path):
+    from leafwork import schemas
+    from leafwork.engine import Engine
+
+    e = Engine(spark, f"file://{tmp_path}/corpus")
+    d = spark.createDataFrame([{"id": i, "original_filename": "f", "is_deleted": False, "status": "QUEUED"} for i in ("a", "b")], schemas.TABLES["documents"])
+    e.upsert("documents", d, ["id"])
+    s = stores.Store(spark, f"file://{tmp_path}/corpus")
+    for i in ("a", "b"):
+        s.write(f"original/{i}/f.pdf", b"x")
+    e.delete(["a"])
+    assert [(r.id, r.total) for r in e.documents().collect()] == [("b", 1)]
+    assert not s.exists("original/a") and s.exists("original/b/f.pdf")
