@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions.text import accession_number, notes_text
-from leafwork.operators.service import latest_per_key, next_numbers, renumber
+from leafwork.operators.service import latest_per_key, lead_of, next_numbers, renumber
 
 #: What a document's reading gives, besides its number.
 READ = ["book_name", "creator", "author", "publisher", "language", "year_of_publication", "total_pages", "needs_review"]
@@ -45,7 +45,7 @@ def upsert_records(records: DataFrame, read: DataFrame, today: Column, prefix: s
     new = new.withColumn("notes", F.when(clash, F.array_append("notes", note)).otherwise(F.col("notes")))
     keep = new.where("_free")
     used = records.select("accession_number").union(keep.select("accession_number"))
-    dealt = next_numbers(new.where("not _free"), used, "accession_number", prefix, begin, [F.asc("document_id")])
+    dealt = next_numbers(new.where("not _free"), used, "accession_number", prefix, begin, [F.asc("document_id")], lead_of(new, "document_id"))
     fresh = keep.select(*dealt.columns).union(dealt).withColumn("extraction_notes", notes_text(F.col("notes"))).withColumn("record_date", today)
     missing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema.fields if f.name not in fresh.columns}
     return old.unionByName(fresh.select(*[missing.get(c, F.col(c)) for c in records.columns]))

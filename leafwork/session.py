@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -38,12 +40,14 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = os.path.dirname(os.path.realpath(__file__))
-    name = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="leafwork-")), "leafwork.zip")
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="leafwork-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, "leafwork.zip")
     with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in os.walk(here):
+        for inner, _, files in os.walk(here):
             for f in sorted(files):
                 if f.endswith(".py"):
-                    path = os.path.join(folder, f)
+                    path = os.path.join(inner, f)
                     z.write(path, os.path.relpath(path, os.path.dirname(here)))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)

@@ -31,15 +31,25 @@ def sniff(ext: Column, content: Column) -> Column:
     return ok
 
 
+def pdf_pages(content: Column) -> Column:
+    """How many pages a PDF's page tree counts; null where it is packed away."""
+    found = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"/Count\s+(\d{1,7})"), F.lit(1))
+    return F.array_max(F.transform(found, lambda n: n.cast("int")))
+
+
 def validate(files: DataFrame, most_mb: int = MOST_MB) -> DataFrame:
-    """Adds filename, extension, mime_type, document_hash and reject_reason (null if the file is accepted)."""
+    """Adds filename, extension, mime_type, document_hash, page_count (1 for images) and
+    reject_reason (null if the file is accepted).  A PDF whose trailer is encrypted is
+    refused, as is one without pages."""
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     size = F.coalesce(F.length("content"), F.lit(0))
     mime = F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), ext)
-    pdf_locked = (ext == "pdf") & F.coalesce(F.col("content").contains(F.lit(b"/Encrypt")), F.lit(False))
-    reason = F.when(~ext.isin(list(TYPES)), "extension").when(size == 0, "empty").when(size > most_mb * 1024 * 1024, "too large").when(~sniff(ext, F.col("content")), "content").when(pdf_locked, "encrypted")
-    return files.select("*", sanitize_filename(name).alias("filename"), ext.alias("extension"), mime.alias("mime_type"), content_hash(F.col("content")).alias("document_hash"), reason.alias("reject_reason"))
+    pdf = (ext == "pdf") & sniff(ext, F.col("content"))
+    locked = pdf & F.coalesce(F.decode("content", "ISO-8859-1").rlike(r"/Encrypt\s*(?:\d+\s+\d+\s+R|<<)"), F.lit(False))
+    pages = F.when(pdf, pdf_pages(F.col("content"))).when(ext.isin(list(TYPES)) & (ext != "pdf"), 1)
+    reason = F.when(~ext.isin(list(TYPES)), "extension").when(size == 0, "empty").when(size > most_mb * 1024 * 1024, "too large").when(~sniff(ext, F.col("content")), "content").when(locked, "encrypted").when(pdf & (pages == 0), "no pages")
+    return files.select("*", sanitize_filename(name).alias("filename"), ext.alias("extension"), mime.alias("mime_type"), content_hash(F.col("content")).alias("document_hash"), pages.alias("page_count"), reason.alias("reject_reason"))
 
 
 def safe_join(root: str, *parts: str) -> str:

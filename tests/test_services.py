@@ -152,3 +152,20 @@ def test_refresh_and_quality(spark):
     again = spark.createDataFrame([(1, png(9)), (3, png(9))], pages.schema)
     got = by(documents.quality_pass(pages, again, ["page"]), "page", "visual_similarity_score")
     assert round(got[1], 6) == 1.0 and got[2] is None and got[3] is None
+
+
+def test_numbers_are_dealt_in_parts(spark):
+    from leafwork.operators import service
+
+    data = [(f"D-{n}", n) for n in (1, 10, 2, 300000, 5000, 4097, 12, 4095)] + [("x", -1), (" d-7 ", 7), (None, -2)]
+    df = spark.createDataFrame(data, "number string, n int").repartition(4)
+    text = by(service.renumber(df, "number"), "n", "serial")
+    want = sorted(data, key=lambda r: (r[0] is not None, (r[0] or "").strip().lower()))
+    assert [text[n] for _, n in want] == list(range(1, len(data) + 1))
+    number = by(service.renumber(df.where("n > 0"), "number", numeric=True), "n", "serial")
+    assert sorted(number, key=number.get) == sorted(n for _, n in data if n > 0)
+    for column in ("number", "n"):
+        got = by(service.numbered(df, "k", [F.asc(column)], service.lead_of(df, column)), "n", "k")
+        plain = by(service.numbered(df, "k", [F.asc(column)]), "n", "k")
+        assert got == plain
+    assert service.numbered(df.limit(0), "k", [F.asc("n")], F.col("n")).count() == 0

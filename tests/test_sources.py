@@ -16,12 +16,13 @@ from leafwork.streaming import jobs
 
 def test_uploads_are_checked(spark, tmp_path):
     png = images.encode_png(np.zeros((3, 4), np.uint8))
-    for name, data in {"a b.pdf": b"%PDF-1.4 x", "lock.pdf": b"%PDF-1.4 /Encrypt", "no.pdf": b"hello", "p.png": png, "x.exe": b"MZ"}.items():
+    for name, data in {"a b.pdf": b"%PDF-1.4 << /Kids [] /Count 12 >> (a word: /Encrypt it)", "lock.pdf": b"%PDF-1.4 trailer << /Encrypt 5 0 R >>", "none.pdf": b"%PDF-1.4 /Count 0", "packed.pdf": b"%PDF-1.5 x", "no.pdf": b"hello", "p.png": png, "x.exe": b"MZ"}.items():
         (tmp_path / name).write_bytes(data)
     files = uploads.read_files(spark, str(tmp_path)).select("path", "content")  # the reader itself skips files of no length
     empty = spark.createDataFrame([("x/e.png", b"")], "path string, content binary")
     got = {r.filename: r for r in uploads.validate(files.union(empty)).collect()}
-    assert {k: v.reject_reason for k, v in got.items()} == {"a_b.pdf": None, "lock.pdf": "encrypted", "no.pdf": "content", "p.png": None, "e.png": "empty", "x.exe": "extension"}
+    assert {k: v.reject_reason for k, v in got.items()} == {"a_b.pdf": None, "lock.pdf": "encrypted", "none.pdf": "no pages", "packed.pdf": None, "no.pdf": "content", "p.png": None, "e.png": "empty", "x.exe": "extension"}
+    assert (got["a_b.pdf"].page_count, got["packed.pdf"].page_count, got["p.png"].page_count, got["no.pdf"].page_count) == (12, None, 1, None)
     assert got["p.png"].mime_type == "image/png" and len(got["p.png"].document_hash) == 64
     assert uploads.safe_join("/data", "a", "b") == "/data/a/b"
     for bad in ("../x", "/etc"):
