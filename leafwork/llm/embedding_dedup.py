@@ -201,8 +201,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     # what a class has is joined to classes, and then to their rows, of which one class may have many
     short = short.join(links, "node", "left").join(components, "node", "left")
-    short = short.select(*same, "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_ed_n"), F.coalesce("component", "node").alias("_ed_c"))
-    out = join_hot(known, short, same, "copies", total, "_ed_id").select(*keep, F.col("_ed_n").cast("long").alias("n_links"), F.col("_ed_c").alias("component_id"))
+    short = short.select(*same, F.col("copies").alias("_ed_w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_ed_n"), F.coalesce("component", "node").alias("_ed_c"))
+    out = join_hot(known, short, same, "_ed_w", total, "_ed_id").select(*keep, F.col("_ed_n").cast("long").alias("n_links"), F.col("_ed_c").alias("component_id"))
     rest = rows.where("_ed_v is null").select(*keep, F.lit(0).cast("long").alias("n_links"), own.alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True)))
 

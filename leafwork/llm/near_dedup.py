@@ -302,8 +302,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups_ = connected_components(links.where("u <> v"))
 
     # what a class has is joined to classes, and then to their rows, of which one class may have many
-    short = short.join(groups_, "node", "left").select(*same, "copies", F.coalesce("component", "node").alias("_nd_c"))
-    out = join_hot(known, short, same, "copies", total, own).select(*keep, F.col("_nd_n").alias("n_shingles"), F.col("_nd_c").alias("component_id"))
+    short = short.join(groups_, "node", "left").select(*same, F.col("copies").alias("_nd_w"), F.coalesce("component", "node").alias("_nd_c"))
+    out = join_hot(known, short, same, "_nd_w", total, own).select(*keep, F.col("_nd_n").alias("n_shingles"), F.col("_nd_c").alias("component_id"))
     rest = rows.where(F.col(doc_id).isNull() | (F.col("_nd_n") == 0)).select(*keep, F.col("_nd_n").alias("n_shingles"), own.alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True)))
 

@@ -20,7 +20,7 @@ def ranks():
 def odd(docs):
     """Repeated rows, a null id and columns with names that operators use."""
     rows = docs.union(docs.where("doc_id % 5 = 0")).union(docs.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
-    clash = {"score": F.lit("mine"), "kept": F.lit(1), "spans": F.lit(2), "base": F.lit(3), "ids": F.lit(4), "n_words": F.lit(5), "replica": F.lit(6), "component_id": F.lit(7), "n_shingles": F.lit(8), "extra col": F.lit("e")}
+    clash = {"score": F.lit("mine"), "kept": F.lit(1), "spans": F.lit(2), "base": F.lit(3), "ids": F.lit(4), "n_words": F.lit(5), "replica": F.lit(6), "component_id": F.lit(7), "n_shingles": F.lit(8), **{c: F.lit(9) for c in ("copies", "node", "size", "component", "n", "c", "many", "tree", "u", "v", "s", "e", "k", "token", "pattern", "string", "found", "host_docs", "rate_lines", "rate", "w", "text_", "y", "o", "t", "b", "i", "j")}, "extra col": F.lit("e")}
     return rows.withColumns(clash)
 
 
@@ -333,7 +333,7 @@ def test_near_vectors_in_blocks(spark, monkeypatch):
     x = (r.standard_normal(16) * 3 + 0.3 * r.standard_normal((150, 16))).astype(np.float32)
     x = np.concatenate((x, x[:30], np.repeat(x[5:6], 60, 0), r.standard_normal((40, 16)).astype(np.float32)))
     data = [(i, v.tolist(), "mine", 1) for i, v in enumerate(x)]
-    got = rows(embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, kept string, node int")))
+    got = rows(embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, kept string, node int").withColumn("copies", F.lit("c")).withColumn("links", F.lit("l")).withColumn("size", F.lit(1))))
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     links = unit @ unit.T >= 0.95
     np.fill_diagonal(links, False)
