@@ -50,8 +50,9 @@ def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([dim, bits, tables]).standard_normal((dim, max(SKETCH, bits * tables)))
 
 
-def _tables(bits: int, tables: int):
-    """(t, bucket, node, sketch) for each table of each class (node, vector)."""
+def _tables(bits: int, tables: int, sketched: bool):
+    """(t, bucket, node, sketch) for each table of each class (node, vector); without
+    node and sketch unless ``sketched``, where only the buckets' sizes are asked for."""
 
     def run(batches):
         import pyarrow as pa
@@ -68,14 +69,12 @@ def _tables(bits: int, tables: int):
                     x = flat[at[rows][:, None] + np.arange(dim)].astype(np.float64)
                     signs = x / np.abs(x).max(1, keepdims=True) @ planes > 0
                     keys = (signs[:, : bits * tables].reshape(len(rows), tables, bits) * (1 << np.arange(bits))).sum(2).astype(np.int64)
-                    sketches = [s.tobytes() for s in np.packbits(signs[:, :SKETCH], axis=1)]
-                    new = [
-                        pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))),
-                        pa.array((keys | int(dim) << 32).reshape(-1)),
-                        pa.array(np.repeat(np.asarray(batch.column(0))[rows], tables)),
-                        pa.array([s for s in sketches for _ in range(tables)], pa.binary()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(new, names=["t", "bucket", "node", "sketch"])
+                    new = {"t": pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), "bucket": pa.array((keys | int(dim) << 32).reshape(-1))}
+                    if sketched:
+                        packed = np.repeat(np.packbits(signs[:, :SKETCH], axis=1), tables, axis=0)
+                        sketches = pa.Array.from_buffers(pa.binary(SKETCH // 8), len(packed), [None, pa.py_buffer(packed.tobytes())])
+                        new |= {"node": pa.array(np.repeat(np.asarray(batch.column(0))[rows], tables)), "sketch": sketches.cast(pa.binary())}
+                    yield pa.RecordBatch.from_arrays(list(new.values()), names=list(new))
 
     return run
 
@@ -172,8 +171,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     different, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     bits, tables = layout(different, threshold)
 
-    spread = classes.select("node", "_ed_v").mapInArrow(_tables(bits, tables), "t int, bucket long, node long, sketch binary")
-    large = cut(spread.groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-buckets")
+    own_buckets = classes.select("node", "_ed_v").mapInArrow(_tables(bits, tables, False), "t int, bucket long")
+    spread = classes.select("node", "_ed_v").mapInArrow(_tables(bits, tables, True), "t int, bucket long, node long, sketch binary")
+    large = cut(own_buckets.groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-buckets")
     met = join_small(spread, large, ["t", "bucket"], "left")
     met = blocks(met, F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)).select("t", "bucket", "i", "j", "node", "sketch")
     near = met.repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j").mapInArrow(_candidates(most_differing(threshold)), "u long, v long")
