@@ -165,14 +165,14 @@ def number_backfill(spark, d):
 
 
 @query("""WITH l AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
-SELECT (row_number() OVER (ORDER BY 'd-' || c_custkey::VARCHAR))::INTEGER AS "S.No", c_name AS "Book Name", 'D-' || c_custkey::VARCHAR AS "Accession Number", (c_custkey % 90)::INTEGER AS "Pages" FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 2 = 0 AND c_custkey IN (SELECT o_custkey FROM l WHERE n = 1 AND o_orderstatus = 'F')""")
+SELECT (row_number() OVER (ORDER BY 'd-' || c_custkey::VARCHAR))::INTEGER AS serial, c_name AS book_name, 'D-' || c_custkey::VARCHAR AS accession_number, (c_custkey % 90)::INTEGER AS pages FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 2 = 0 AND c_custkey IN (SELECT o_custkey FROM l WHERE n = 1 AND o_orderstatus = 'F')""")
 def register_rebuild(spark, d):
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     records = c.select(k.alias("document_id"), F.concat(F.lit("D-"), k.cast("string")).alias("accession_number"), F.col("c_name").alias("book_name"), F.lit("a").alias("author"), F.lit("p").alias("publisher"), (k % 90).cast("int").alias("total_pages"), F.lit("en").alias("language"))
     jobs = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("job_id"))
     docs = c.select(k.alias("document_id"), (k % 5 == 0).alias("is_deleted"))
     exports = c.select(k.alias("document_id"), F.when(k % 2 == 0, "SEARCHABLE_PDF").otherwise("DOCX").alias("export_type"))
-    return registers.register_rows(records, docs, jobs, exports).select("`S.No`", "Book Name", "Accession Number", "Pages")
+    return registers.register_rows(records, docs, jobs, exports).select(F.col("`S.No`").alias("serial"), F.col("Book Name").alias("book_name"), F.col("Accession Number").alias("accession_number"), F.col("Pages").alias("pages"))
 
 
 @query("SELECT o_orderkey, total FROM (SELECT o_orderkey, count(*) OVER () AS total, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) = 3) WHERE n BETWEEN 21 AND 40")
