@@ -3,10 +3,11 @@
 1. Each text's set of word shingles becomes a sketch of registers: truncated
    minima on an exponential scale.  Registers merge by minimum, so a long text
    is sketched in pieces.  Texts with equal sets are one class.
-2. Registers are banded; classes that share a band meet in its bucket.  Large
-   buckets are split into pairs of blocks.  In a block, pairs are kept whose
-   joint likelihood of the registers allows the threshold, and a spanning
-   forest of them is returned, never all pairs.
+2. Registers are banded; classes that share a band meet in its bucket, a large
+   one in blocks.  In a block, pairs are kept whose joint likelihood of the
+   registers allows the threshold, and each tree of them is returned as links to
+   its smallest member, never all pairs.  Where a large bucket is then not one
+   tree, its other trees meet the largest one and each other.
 3. Components of those are clusters.  Inside a cluster texts are compared on
    full sets, in blocks that return a forest of the links: first within blocks,
    then between the trees that result, and only where they do not grow together,
@@ -136,43 +137,48 @@ def likely(plus: np.ndarray, minus: np.ndarray, same: np.ndarray, n1: np.ndarray
 
 
 def _near(threshold: float):
-    """From rows (key, i, j, side, node, n, regs) in order of key, i, j: a
-    forest of the pairs of nodes in each block that may reach the threshold."""
+    """From rows (key, i, j, node, n, regs, tree) in order of key, i, j, node: (u, v)
+    that link the trees of each block with a pair that may reach the threshold to
+    the first of them.  Members of one tree are not compared."""
     least = threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
     def run(batches):
         import pyarrow as pa
 
-        for rows in _buckets(batches):
-            gid, node, n, regs = rows
-            forest, made = Forest(len(node)), []
+        for gid, node, n, regs, tree in _buckets(batches):
+            _, first, own = np.unique(np.stack((gid, tree)), axis=1, return_index=True, return_inverse=True)
+            forest = Forest(len(node))
+            forest.up = first[own.reshape(-1)]
+            was = forest.up.copy()
             size = np.bincount(gid)
             for d in range(1, int(size.max())):
-                at = np.flatnonzero(gid[:-d] == gid[d:])
-                ratio = np.minimum(n[at], n[at + d]) >= threshold * np.maximum(n[at], n[at + d])
-                at = at[ratio & (node[at] != node[at + d])]
+                forest.flatten()
+                at = np.flatnonzero((gid[:-d] == gid[d:]) & (forest.up[:-d] != forest.up[d:]))
+                at = at[np.minimum(n[at], n[at + d]) >= threshold * np.maximum(n[at], n[at + d])]
                 for part in np.array_split(at, max(1, len(at) // 20000)):
                     if len(part):
                         a, b = regs[part], regs[part + d]
                         # a larger register is a smaller minimum
                         ok = part[likely((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), n[part], n[part + d], least)]
-                        made += forest.join_all(ok, ok + d)
-            if made:
-                x = np.array(made)
-                yield pa.RecordBatch.from_arrays([pa.array(node[x[:, 0]]), pa.array(node[x[:, 1]])], names=["u", "v"])
+                        forest.join_all(ok, ok + d)
+            forest.flatten()
+            every = np.arange(len(node))
+            at = np.flatnonzero((was == every) & (forest.up != every))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(tree[at]), pa.array(tree[forest.up[at]])], names=["u", "v"])
 
     return run
 
 
 def _buckets(batches, most: int = 4096):
-    """Joins small groups to runs of about ``most`` rows: (group, node, n, registers)."""
+    """Joins small groups to runs of about ``most`` rows: (group, node, n, registers, tree)."""
     ids, held, count = [], [], 0
 
     def out():
         import pyarrow as pa
 
         t = pa.concat_tables(held)
-        return np.concatenate(ids), np.asarray(t["node"]), np.asarray(t["n"]).astype(np.float64), np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        return np.concatenate(ids), np.asarray(t["node"]), np.asarray(t["n"]).astype(np.float64), np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint8).reshape(-1, REGISTERS), np.asarray(t["tree"])
 
     for t in groups(batches, 3):
         if t.num_rows < 2:
@@ -286,9 +292,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = classes.select("node", "regs").mapInArrow(_band_keys, "key long, node long")
     full = cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "full-bands")
     filled = full.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    met = join_hot(keys, full, ["key"], "size", filled, "node").join(classes.select("node", F.col("_nd_n").alias("n"), "regs"), "node")
-    met = blocks(met, F.ceil(F.col("size") / BUCKET_BLOCK)).select("key", "i", "j", "node", "n", "regs")
-    near = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near(percent / 100), "u long, v long")
+    sized = join_hot(keys, full, ["key"], "size", filled, "node")
+    near = _candidates(sized, classes.select("node", F.col("_nd_n").alias("n"), "regs"), percent / 100, full.where(F.col("size") > BUCKET_BLOCK).head(1))
     clusters = cut(connected_components(near), "clusters")
     links = _links(plain.select(F.col("_nd_text"), own.alias("node")), clusters, classes.select("node", F.col("_nd_n").alias("n")), shingle, percent)
 
@@ -308,6 +313,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True)))
 
 
+def _candidates(sized: DataFrame, sketches: DataFrame, threshold: float, large) -> DataFrame:
+    """Links (u, v) between the nodes of buckets (key, node, size) that may reach the
+    threshold, as many as join all that are candidates of each other.
+
+    A bucket of up to BUCKET_BLOCK nodes is compared in one block.  A larger one is
+    compared in blocks first; if all its nodes are then in one tree, by links of any
+    bucket, it is done.  Else the nodes outside of its largest tree meet each other
+    and those of that tree, all of them.  So the work of a bucket grows with its size
+    times the number of its nodes outside of that tree, and one block."""
+
+    def near(dealt: DataFrame) -> DataFrame:
+        met = dealt.join(sketches, "node").select("key", "i", "j", "node", "n", "regs", "tree")
+        return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_near(threshold), "u long, v long")
+
+    own = sized.withColumn("i", block_of(F.ceil(F.col("size") / BUCKET_BLOCK))).withColumn("j", F.col("i"))
+    found = near(own.withColumn("tree", F.col("node")))
+    if not large:
+        return found
+    trees = connected_components(found).withColumnRenamed("component", "tree")
+    found = trees.select(F.col("node").alias("u"), F.col("tree").alias("v"))
+    rows = sized.where(F.col("size") > BUCKET_BLOCK).join(trees, "node", "left").select("key", "node", F.coalesce("tree", "node").alias("tree"))
+    rows = cut(rows, "large-buckets")
+    sizes = rows.groupBy("key", "tree").agg(F.count("*").alias("c")).groupBy("key")
+    split = cut(sizes.agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("tree", "c").alias("main")).where("most < size"), "split-buckets")
+    n = split.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not n:
+        return found
+    return found.union(near(_between(join_hot(rows, split, ["key"], "size", n, "node"))))
+
+
+def _between(rows: DataFrame) -> DataFrame:
+    """Deals rows (key, node, tree, size, most, main) to pairs of blocks (i, j), so that
+    those outside of the tree ``main`` of their key, which has ``most`` of its ``size``
+    rows, meet each other and all of that tree."""
+    inner, few, many = F.col("tree") == F.col("main"), F.ceil((F.col("size") - F.col("most")) / BUCKET_BLOCK), F.ceil(F.col("most") / BUCKET_BLOCK)
+    rows = rows.withColumn("_b", F.when(inner, few + block_of(many)).otherwise(block_of(few)))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inner, few).otherwise(few + many) - 1)))
+    return rows.withColumn("i", F.least("_b", "_o")).withColumn("j", F.greatest("_b", "_o")).drop("_b", "_o")
+
+
 def _links(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """A forest (u, v) of the links of each cluster (node, component), exactly.
 

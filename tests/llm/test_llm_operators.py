@@ -201,6 +201,42 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_near_duplicates_edges_grow_with_the_members(spark, monkeypatch):
+    """A tight group of many blocks leaves as many edges a member as one of few, beside loose texts in the same buckets."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
+    made = []
+
+    def components(edges):
+        made.append(edges.count())
+        return common.connected_components(edges)
+
+    monkeypatch.setattr(near_dedup, "connected_components", components)
+    r, most = random.Random(7), []
+    for size in (40, 160):
+        base = [f"w{i}" for i in range(300)]
+        data = {i: " ".join([*base, f"own{i}"]) for i in range(size)}
+        for i in range(size, size + 6):  # share registers with the group, but are none of it
+            data[i] = " ".join(base[:220] + [f"e{r.randrange(1000)}" for _ in range(80)])
+        made.clear()
+        got = rows(near_dedup.near_duplicates(spark.createDataFrame(list(data.items()), "doc_id long, text string"), shingle=4))
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute.near(data, 4)
+        most.append(max(made))
+    assert most[0] < near_dedup.BANDS * 46 and most[1] < near_dedup.BANDS * 166
+    assert most[1] < 6 * most[0]
+
+
+def test_rows_outside_of_the_main_tree_meet_all(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 4)
+    dealt = spark.createDataFrame([(1, x, 0 if x < 30 else x, 41, 30, 0) for x in range(41)], "key long, node long, tree long, size long, most long, main long")
+    met = {}
+    for x in rows(near_dedup._between(dealt)):
+        met.setdefault((x["i"], x["j"]), []).append(x["node"])
+    pairs = {(min(a, b), max(a, b)) for group in met.values() for a in group for b in group if a != b}
+    assert pairs >= {(a, b) for b in range(30, 41) for a in range(b)}
+    assert all(any(x >= 30 for x in group) for group in met.values() if len(group) > 1 and len({x >= 30 for x in group}) == 2)
+    assert sum(map(len, met.values())) == 30 * 3 + 11 * (3 + 8)
+
+
 def test_near_duplicates_odd_rows(odd, texts):
     want = brute.near(texts, 5)
     got = rows(near_dedup.near_duplicates(odd))
@@ -568,6 +604,18 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_in_steps_and_in_one_task(spark, monkeypatch):
+    r = random.Random(11)
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1030)] + [(2000, i) for i in range(2001, 2060)] + [(-3, 5), (7, 7)]
+    want = brute.components({x for p in pairs for x in p}, pairs)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    monkeypatch.setattr(common, "HOT", 16)
+    for most in (0, 100, 1 << 17):  # all steps; steps, then one task at most; one task
+        monkeypatch.setattr(common, "TASK_EDGES", most)
+        got = common.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()
+        assert len(got) == len(linked) and {x["node"]: x["component"] for x in got} == {x: want[x] for x in linked}
+
+
 def test_very_long_texts(spark, ranks):
     """A megabyte of words, of one word and of marks, through every operator on texts."""
     r = random.Random(4)
