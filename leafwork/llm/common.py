@@ -4,73 +4,16 @@ components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.session import clean, cut, drop_table, read_cut, scratch_dir, write_cut  # noqa: F401  operators take them from here
+
 #: The white space that separates words: tab to carriage return, and the space.
 SPACE = r"[\x20\x09-\x0D]"
 NON_SPACE = r"[^\x20\x09-\x0D]"
 
-_scratch: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``, which the
-    driver and all executors share.  Only a local master may go without that
-    setting; it then gets a temporary folder of its own."""
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="leafwork-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        _scratch[app] = f"{base.rstrip('/')}/leafwork-{uuid.uuid4().hex}"
-        atexit.register(clean, spark)
-    return _scratch[app]
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Deletes a table that cut() wrote, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes all tables that cut() wrote in this application."""
-    path = _scratch.pop(spark.sparkContext.applicationId, None) if spark.sparkContext._jsc else None
-    if path:
-        try:
-            drop_table(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            pass
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared scratch folder and reads it back.
-
-    This cuts the lineage, so that a lost executor costs the recomputation of
-    the tasks since then only, and an expensive step runs once."""
-    return read_cut(df.sparkSession, write_cut(df, name), df)
-
-
-def write_cut(df: DataFrame, name: str) -> str:
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return path
-
-
-def read_cut(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -319,3 +262,15 @@ def _star(e: DataFrame, large: bool, total: int) -> DataFrame:
     met = join_hot(e.where("v > u" if large else "v < u"), least, ["u"], "_w", total, "v")
     rest = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest if large else rest.union(least.where("u <> m").select("u", F.col("m").alias("v")))
+
+
+# ------------------------------------------------------------------ CRC in SQL
+#: The CRC of each byte, as one list t of the relation ``crcs``.
+SQL_CRC_TABLE = """byte AS (SELECT b, list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b)),
+crcs AS (SELECT list(c ORDER BY b) AS t FROM byte)"""
+
+
+def sql_crc(text: str) -> str:
+    """The CRC of a string in SQL, where the relation ``crcs`` holds the table t."""
+    nibbles = f"list_transform(range(1, 2 * strlen({text}) + 1, 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {nibbles}), lambda c, b: xor(c >> 8, t[xor(c & 255, b)::INT + 1])), 4294967295::UBIGINT)"
