@@ -91,17 +91,49 @@ def clean(spark: SparkSession) -> None:
             pass
 
 
+class Scope:
+    """Tables that cut() writes inside ``with Scope(spark) as scope`` are deleted at its
+    end, but for those that ``scope.keep`` names: what is read after it."""
+
+    _open: list[Scope] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def __enter__(self) -> Scope:
+        Scope._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table that cut() returned stays, in the scope around this one if there is one."""
+        self.kept.append(df._cut_path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        Scope._open.remove(self)
+        for path in self.paths:
+            if path not in self.kept:
+                drop_table(self.spark, path)
+            elif Scope._open:
+                Scope._open[-1].paths.append(path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared scratch folder and reads it back.
 
     This cuts the lineage, so that a lost executor costs the recomputation of
     the tasks since then only, and an expensive step runs once."""
-    return read_cut(df.sparkSession, write_cut(df, name), df)
+    path = write_cut(df, name)
+    out = read_cut(df.sparkSession, path, df)
+    out._cut_path = path
+    return out
 
 
 def write_cut(df: DataFrame, name: str) -> str:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if Scope._open:
+        Scope._open[-1].paths.append(path)
     return path
 
 
