@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.session import clean, cut, drop_table, read_cut, scratch_dir, write_cut  # noqa: F401  operators take them from here
+from leafwork.session import Scope, clean, cut, drop_table, read_cut, scratch_dir, write_cut  # noqa: F401  operators take them from here
 
 #: The white space that separates words: tab to carriage return, and the space.
 SPACE = r"[\x20\x09-\x0D]"
@@ -193,41 +193,34 @@ class Forest:
 
 
 # ------------------------------------------------------- connected components
-#: Edges that one task turns into components, of 16 bytes each.
-TASK_EDGES = 1 << 17
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """The components of an undirected graph: (node, component), where the
     component is its smallest node.  edges: columns u and v (long, not null).
     Nodes without an edge to another node do not appear.
 
-    Alternates large-star and small-star steps: each is one aggregate that
-    Spark combines before its shuffle and one equi-join that deals the edges of
-    a hub to several tasks, so neither needs all of them in one.  The edges of
-    each step are written to the shared checkpoint folder, so that its join runs
-    once; only counts and checksums reach the driver.  Up to TASK_EDGES edges
-    need no steps: one task joins them."""
+    Alternates large-star and small-star steps until every component is a star
+    around its smallest node.  Each is one aggregate that Spark combines before its
+    shuffle and one equi-join that deals the edges of a hub to several tasks, so neither
+    needs all of them in one, and neither makes more rows than there are edges.  The
+    edges of each step are written to the shared checkpoint folder, so that its join
+    runs once; only counts reach the driver.  Whether all are stars is one aggregate,
+    so a graph of stars costs no join."""
     spark = edges.sparkSession
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     path = write_cut(now, "edges")
     like = now
-    before = None
     for _ in range(most_rounds):
         e = read_cut(spark, path, like)
-        mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if not mark["n"] or mark == before:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select("v", F.lit(0)))
+        # in stars, a node has one edge to a smaller one, or only edges to larger ones
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
+        n, open_ = ends.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count_if((F.col("up") > 0) & (F.col("all") > 1))).first()
+        if not open_:
             break
-        before = mark
-        if mark["n"] <= TASK_EDGES:
-            new = write_cut(e.repartition(1).mapInArrow(_joined, "u long, v long"), "edges")
-            drop_table(spark, path)
-            path = new
-            break
-        large = _star(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), True, 2 * mark["n"])
+        large = _star(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), True, n)
         both = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         half = write_cut(both, "stars")
-        small = _star(read_cut(spark, half, like), False, 2 * mark["n"]).distinct()
+        small = _star(read_cut(spark, half, like), False, n).distinct()
         new = write_cut(small, "edges")
         drop_table(spark, path)
         drop_table(spark, half)
@@ -239,21 +232,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _joined(batches):
-    """From all edges (u, v): each node but the smallest of its component, with that."""
-    import pyarrow as pa
-
-    held = [b for b in batches if b.num_rows]
-    if held:
-        t = pa.Table.from_batches(held)
-        node, ends = np.unique(np.concatenate((np.asarray(t["u"]), np.asarray(t["v"]))), return_inverse=True)
-        forest = Forest(len(node))
-        forest.join_all(ends[: t.num_rows], ends[t.num_rows :])
-        forest.flatten()
-        at = np.flatnonzero(forest.up != np.arange(len(node)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[forest.up[at]])], names=["u", "v"])
-
-
 def _star(e: DataFrame, large: bool, total: int) -> DataFrame:
     """For each node u of (u, v), of ``total`` rows at most: m is the smallest of u
     and its neighbours v.  The large star links each larger neighbour to m, the
