@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import Forest, connected_components, cut, groups, join_hot, mix, roots, slices, token_hashes, utf8
+from leafwork.llm.common import Forest, connected_components, cut, groups, join_hot, mix, roots, slices, utf8
 from leafwork.session import ship
 
 BANDS, ROWS = 45, 6
@@ -35,6 +35,8 @@ BASE, TOP = 1.1, 255
 BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 256
 #: Shingles of a block's texts together, about; they are held by one task as 8 bytes each.
 BLOCK_SHINGLES = 1 << 21
+#: Words whose hashes a worker keeps, and the seed of the hash.
+MOST_WORDS, SEED = 1 << 18, 20240501
 #: Standard errors by which the estimate may fall short.
 MARGIN = 4.5
 
@@ -44,14 +46,33 @@ _B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _MIX = [np.uint64(x | 1) for x in _rng.integers(0, 1 << 63, 64, dtype=np.uint64).tolist()]
 
 
+class WordHashes(dict):
+    """64-bit hashes of words' bytes by a strong seeded function, kept for words that come again."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return h
+
+
+_words = WordHashes()
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's k-word shingles; of all its words if it has fewer."""
-    h, doc, *_ = token_hashes(texts)
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    """The sorted distinct 64-bit hashes of each text's k-word shingles; of all its words if it has fewer.
+
+    Words are hashed by their bytes and shingles by a sum of words with odd factors, so
+    two unlike shingles of a pair of sets with m shingles share a hash with a chance of
+    m * m / 2**65: 3e-10 for a hundred thousand."""
     out = []
     with np.errstate(over="ignore"):
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            w, n = h[a:b], b - a
+        for text in texts:
+            words = text.lower().split()  # both are of ASCII alone for bytes
+            n = len(words)
+            w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
             if not n:
                 out.append(np.empty(0, np.uint64))
                 continue
@@ -343,11 +364,12 @@ def _candidates(sized: DataFrame, sketches: DataFrame, threshold: float, large)
     return found.union(near(_between(join_hot(rows, split, ["key"], "size", n, "node"))))
 
 
-def _between(rows: DataFrame) -> DataFrame:
+def _between(rows: DataFrame, block: int | None = None) -> DataFrame:
     """Deals rows (key, node, tree, size, most, main) to pairs of blocks (i, j), so that
     those outside of the tree ``main`` of their key, which has ``most`` of its ``size``
     rows, meet each other and all of that tree."""
-    inner, few, many = F.col("tree") == F.col("main"), F.ceil((F.col("size") - F.col("most")) / BUCKET_BLOCK), F.ceil(F.col("most") / BUCKET_BLOCK)
+    block = block or BUCKET_BLOCK
+    inner, few, many = F.col("tree") == F.col("main"), F.ceil((F.col("size") - F.col("most")) / block), F.ceil(F.col("most") / block)
     rows = rows.withColumn("_b", F.when(inner, few + block_of(many)).otherwise(block_of(few)))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inner, few).otherwise(few + many) - 1)))
     return rows.withColumn("i", F.least("_b", "_o")).withColumn("j", F.greatest("_b", "_o")).drop("_b", "_o")
