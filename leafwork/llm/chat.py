@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from leafwork.session import ship
 
-CONTROL = re.compile(r"(\\*)(###|</turn>)")
+#: A run of backslashes is tried from its first one only, so a text is read once whatever its marks.
+CONTROL = re.compile(r"(?<!\\)(\\*)(###|</turn>)")
 ROLE = re.compile(r"### ((?:[^\\:\n]|\\[\\:n])*): ")
 PLAIN_ROLE = re.compile(r"[^\\:\n]*")
 END = " </turn>\n"
@@ -115,7 +116,13 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 
 def digest_chats(formatted: DataFrame) -> DataFrame:
-    """What reads back from the output of format_chats: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What reads back from the output of format_chats: conv_id, n_turns, turns_sha256,
+    loss_chars, loss_sha256, formatted_chars.
+
+    One row for each row, so null and repeated conv_ids stay.  An empty text has no
+    turns; a text that is not of the grammar, null included, is an error.  Empty or
+    null spans: no loss characters.  Very long texts are read once.  Empty table: empty
+    result.  Further columns are ignored."""
 
     def run(batches):
         import pyarrow as pa
@@ -123,10 +130,10 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                turns = parse(text)
+                turns = None if text is None else parse(text)
                 if turns is None:
                     raise ValueError("a formatted text is not of the grammar")
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
+                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans or [])
                 whole = "".join(f"{r}\n{t}\n" for r, t, _, _ in turns)
                 out.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
@@ -134,6 +141,7 @@ def digest_chats(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     ship(formatted.sparkSession)
+    formatted = formatted.select("conv_id", "formatted", "loss_spans")
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
