@@ -25,6 +25,8 @@ LEAST_WORDS, REPEAT_PERCENT = 20, 30
 SYMBOL_PERCENT, LINE_PERCENT = 10, 50
 #: A shrunken rate of failures beyond which a host is rejected, and up to which single failures are forgiven.
 MOST_RATE, TRUST = 0.5, 0.02
+#: Documents that the prior of a rate is worth at least; at most, it is worth an average host.
+LEAST_STRENGTH = 2.0
 #: The rules, of which the first two are the contract's base.
 RULES = ["length", "repeats", "symbols", "lines"]
 
@@ -54,7 +56,12 @@ def with_repeated_words(df: DataFrame, words: str, name: str, window: int = WIND
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces ``text`` by n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (long)."""
+    """Replaces ``text`` by n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (long).
+
+    Null and empty texts measure 0 throughout.  Of equal lines all but the first are
+    duplicates, of equal windows all count.  Very long texts are measured as a whole.  One
+    row for each row, repeated ones too.  Empty table: empty result.  Columns of docs with
+    these names are replaced."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     keep = [c for c in docs.columns if c != text and c not in names and not c.startswith("_q_")]
     df = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_q_text"))
@@ -79,7 +86,7 @@ def failures() -> dict[str, Column]:
     }
 
 
-def judge(docs: DataFrame, host: str, text: str = "text", most_rate: float = MOST_RATE, trust: float = TRUST) -> DataFrame:
+def judge(docs: DataFrame, host: str, text: str = "text", most_rate: float = MOST_RATE, trust: float = TRUST, least_strength: float = LEAST_STRENGTH, most_strength: float | None = None) -> DataFrame:
     """One row for each row of docs: its columns except ``text``, the measures,
     base_failed, host_docs, rate_length, rate_repeats, rate_symbols, rate_lines
     (the host's, shrunken) and kept.
@@ -91,6 +98,12 @@ def judge(docs: DataFrame, host: str, text: str = "text", most_rate: float = MOS
     ``most_rate``, or it fails by symbols or lines and its host's rate of that rule
     exceeds ``trust``.
 
+    A host's rate is (failures + mean * strength) / (documents + strength), where the
+    strength that the moments of all hosts give is held between ``least_strength`` and
+    ``most_strength`` (an average host's documents, unless given): hosts that differ by
+    more than a beta prior allows would make it negative, and hosts that hardly differ
+    would make it outweigh any host.  Both bounds decide the verdicts of small hosts.
+
     Null text: no words, so it fails by length.  Very long texts are measured as a
     whole, in n log n.  Null host: documents without a host are one host.  Ties: a
     rate equal to a bound does not exceed it.  Repeated rows count and are returned
@@ -102,7 +115,7 @@ def judge(docs: DataFrame, host: str, text: str = "text", most_rate: float = MOS
     df = cut(df.withColumn("_q_host", F.coalesce(F.col(host).cast("string"), F.lit(""))), "quality-rules")
     fails = failures()
     hosts = df.groupBy("_q_host").agg(F.count("*").alias("host_docs"), *[F.count_if(v).alias(f"_q_{k}") for k, v in fails.items()])
-    hosts = cut(shrink(hosts, "host_docs", {f"rate_{k}": f"_q_{k}" for k in RULES}).select("_q_host", "host_docs", *[f"rate_{k}" for k in RULES]), "hosts")
+    hosts = cut(shrink(hosts, "host_docs", {f"rate_{k}": f"_q_{k}" for k in RULES}, least_strength, most_strength).select("_q_host", "host_docs", *[f"rate_{k}" for k in RULES]), "hosts")
     n, total = hosts.agg(F.count("*"), F.coalesce(F.sum("host_docs"), F.lit(0))).first()
     # a checked number of hosts is broadcast; of more, those with many documents are dealt to several tasks
     out = df.join(F.broadcast(hosts), "_q_host") if n <= MOST_SMALL else join_hot(df, hosts, ["_q_host"], "host_docs", total, F.struct("n_words", "word_chars", "n_symbols"))
@@ -115,21 +128,22 @@ def judge(docs: DataFrame, host: str, text: str = "text", most_rate: float = MOS
     return out.withColumn("kept", kept).drop("_q_host")
 
 
-def shrink(hosts: DataFrame, n: str, failed: dict[str, str]) -> DataFrame:
+def shrink(hosts: DataFrame, n: str, failed: dict[str, str], least: float = LEAST_STRENGTH, most: float | None = None) -> DataFrame:
     """Adds, for each (rate, failures), the posterior mean rate under a beta prior
     whose mean and strength come from all groups by the method of moments.
 
     The mean is that of all documents.  The variance between groups is the
     variance of their rates less the part due to their sizes; if nothing is
-    left of it, the prior is worth as many documents as an average group."""
+    left of it, the prior is worth ``most`` documents, by default as many as an average
+    group has; it is never worth more, nor less than ``least`` unless ``most`` is less."""
     sums = [F.avg(1 / F.col(n)).alias("_q_inv"), F.avg(n).alias("_q_size")]
     for i, f in enumerate(failed.values()):
         sums += [(F.sum(f) / F.sum(n)).alias(f"_q_mean{i}"), F.var_pop(F.col(f) / F.col(n)).alias(f"_q_var{i}")]
     total = hosts.agg(*sums)
     for i in range(len(failed)):
-        m = F.col(f"_q_mean{i}")
+        m, top = F.col(f"_q_mean{i}"), F.col("_q_size") if most is None else F.lit(float(most))
         between = F.col(f"_q_var{i}") - m * (1 - m) * F.col("_q_inv")
-        strength = F.when((between > 0) & (m > 0) & (m < 1), F.least(F.greatest(m * (1 - m) / between - 1, F.lit(2.0)), F.col("_q_size"))).otherwise(F.col("_q_size"))
+        strength = F.when((between > 0) & (m > 0) & (m < 1), F.least(F.greatest(m * (1 - m) / between - 1, F.lit(float(least))), top)).otherwise(top)
         total = total.withColumn(f"_q_strength{i}", strength)
     # one row of sums, so that the join is with a single row
     out = hosts.join(F.broadcast(total))
