@@ -8,10 +8,12 @@ tables, exact cosine in double precision, distributed components.
    threshold, so that a pair at it is missed by all tables with a chance of MISS
    at any size of the data.  Only sketches travel to the buckets, not vectors.
    There, pairs whose sketches differ in few enough signs for the threshold are
-   candidates; a bucket returns a forest of them, never the pairs.
+   candidates; a bucket returns a forest of them, never the pairs.  A bucket beyond
+   BLOCK vectors is compared in blocks first; only if its vectors are then not in one
+   tree, those outside of its largest tree meet each other and that tree.
 3. Components of the candidates are clusters.  Each vector of a cluster of two
-   or more is fetched once; clusters beyond BLOCK vectors are dealt to pairs of
-   blocks.  All pairs of a cluster are compared exactly; a block returns how many
+   or more is fetched once; clusters beyond LEAST_BLOCK vectors are dealt to pairs of
+   blocks, of up to BLOCK vectors.  All pairs of a cluster are compared exactly; a block returns how many
    links each vector has and a forest of them.
 4. Components of the links are the groups of near duplicates.
 """
@@ -24,11 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import connected_components, cut, groups, join_hot, join_small, roots
-from leafwork.llm.near_dedup import block_of, blocks
+from leafwork.llm.common import Scope, connected_components, cut, groups, join_hot, join_small, roots
+from leafwork.llm.near_dedup import _between, block_of, blocks
 from leafwork.session import ship
 
 BUCKET, BLOCK, MISS = 256, 1024, 1e-6
+#: A cluster has blocks of so many vectors until it has BLOCKS of them, which then grow up to BLOCK.
+LEAST_BLOCK, BLOCKS = 128, 8
 #: Signs of a sketch, and standard deviations by which two sketches at the threshold may differ more than on average.
 SKETCH, MARGIN = 512, 5.2
 
@@ -50,9 +54,9 @@ def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([dim, bits, tables]).standard_normal((dim, max(SKETCH, bits * tables)))
 
 
-def _tables(bits: int, tables: int, sketched: bool):
-    """(t, bucket, node, sketch) for each table of each class (node, vector); without
-    node and sketch unless ``sketched``, where only the buckets' sizes are asked for."""
+def _tables(bits: int, tables: int, sketched: bool | None):
+    """(t, bucket, node, sketch) for each table of each class (node, vector), without
+    sketch unless ``sketched``; if that is None, (node, sketch) of each class."""
 
     def run(batches):
         import pyarrow as pa
@@ -62,26 +66,29 @@ def _tables(bits: int, tables: int, sketched: bool):
                 continue
             col = batch.column(1)
             flat, at = np.asarray(col.flatten()), np.asarray(col.offsets) - col.offsets[0].as_py()
-            dims = np.diff(at)
+            dims, node = np.diff(at), np.asarray(batch.column(0))
             for dim in np.unique(dims):
                 every, planes = np.flatnonzero(dims == dim), _planes(int(dim), bits, tables)
                 for rows in np.array_split(every, max(1, len(every) // 1024)):
                     x = flat[at[rows][:, None] + np.arange(dim)].astype(np.float64)
                     signs = x / np.abs(x).max(1, keepdims=True) @ planes > 0
-                    keys = (signs[:, : bits * tables].reshape(len(rows), tables, bits) * (1 << np.arange(bits))).sum(2).astype(np.int64)
-                    new = {"t": pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), "bucket": pa.array((keys | int(dim) << 32).reshape(-1))}
-                    if sketched:
-                        packed = np.repeat(np.packbits(signs[:, :SKETCH], axis=1), tables, axis=0)
+                    times, new = 1 if sketched is None else tables, {}
+                    if sketched is not None:
+                        keys = (signs[:, : bits * tables].reshape(len(rows), tables, bits) * (1 << np.arange(bits))).sum(2).astype(np.int64)
+                        new = {"t": pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), "bucket": pa.array((keys | int(dim) << 32).reshape(-1))}
+                    new["node"] = pa.array(np.repeat(node[rows], times))
+                    if sketched is not False:
+                        packed = np.repeat(np.packbits(signs[:, :SKETCH], axis=1), times, axis=0)
                         sketches = pa.Array.from_buffers(pa.binary(SKETCH // 8), len(packed), [None, pa.py_buffer(packed.tobytes())])
-                        new |= {"node": pa.array(np.repeat(np.asarray(batch.column(0))[rows], tables)), "sketch": sketches.cast(pa.binary())}
+                        new["sketch"] = sketches.cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(list(new.values()), names=list(new))
 
     return run
 
 
 def _candidates(most: int):
-    """From rows (t, bucket, i, j, node, sketch) in order: (u, v) that link the
-    members of each tree of a group to its root."""
+    """From rows (t, bucket, i, j, node, sketch, tree) in order: (u, v) that link the
+    trees of each group that have candidates to the first of them."""
 
     def run(batches):
         import pyarrow as pa
@@ -92,10 +99,12 @@ def _candidates(most: int):
             node = np.asarray(t["node"])
             bits = np.unpackbits(np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(node), -1), axis=1)
             x = bits.astype(np.float32) * 2 - 1
-            up = roots(x @ x.T >= SKETCH - 2 * most)
-            at = np.flatnonzero(node != node[up])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[up[at]])], names=["u", "v"])
+            tree = np.asarray(t["tree"])
+            up = roots((x @ x.T >= SKETCH - 2 * most) | (tree[:, None] == tree[None, :]))
+            pairs = np.unique(np.stack((tree, tree[up])), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
     return run
 
@@ -171,17 +180,13 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     different, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     bits, tables = layout(different, threshold)
 
-    own_buckets = classes.select("node", "_ed_v").mapInArrow(_tables(bits, tables, False), "t int, bucket long")
-    spread = classes.select("node", "_ed_v").mapInArrow(_tables(bits, tables, True), "t int, bucket long, node long, sketch binary")
-    large = cut(own_buckets.groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-buckets")
-    met = join_small(spread, large, ["t", "bucket"], "left")
-    met = blocks(met, F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)).select("t", "bucket", "i", "j", "node", "sketch")
-    near = met.repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j").mapInArrow(_candidates(most_differing(threshold)), "u long, v long")
-    clusters = cut(connected_components(near), "clusters")
+    with Scope(vectors.sparkSession) as scope:
+        clusters = scope.keep(cut(connected_components(_near(classes.select("node", "_ed_v"), bits, tables, threshold)), "clusters"))
 
     sizes = cut(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     clustered = clusters.count()
-    sized = join_hot(clusters, sizes, ["component"], "size", clustered, "node").withColumn("many", F.ceil(F.col("size") / BLOCK))
+    many = F.least(F.ceil(F.col("size") / LEAST_BLOCK), F.greatest(F.lit(BLOCKS), F.ceil(F.col("size") / BLOCK)))
+    sized = join_hot(clusters, sizes, ["component"], "size", clustered, "node").withColumn("many", many.cast("long"))
     members = classes.select("node", "copies", "_ed_v").join(sized.select("node", "component", "many"), "node").select("node", "component", "many", "copies", F.col("_ed_v").alias("vector"))
     members = members.mapInArrow(_vectors, "node long, component long, many long, copies long, vector binary")
     pairs = blocks(members.withColumn("b", block_of(F.col("many"))), F.col("many")).select("component", "i", "j", "b", "node", "copies", "vector")
@@ -207,6 +212,40 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(True)))
 
 
+def _near(vectors: DataFrame, bits: int, tables: int, threshold: float) -> DataFrame:
+    """Links (u, v) between the nodes of vectors (node, vector) that may reach the
+    threshold, as many as join all that are candidates of each other.
+
+    The work of a bucket grows with its size times the number of its nodes outside of
+    its largest tree, and one block."""
+    keys = cut(vectors.mapInArrow(_tables(bits, tables, False), "t int, bucket long, node long"), "buckets")
+    spread = vectors.mapInArrow(_tables(bits, tables, True), "t int, bucket long, node long, sketch binary")
+    large = cut(keys.groupBy("t", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-buckets")
+
+    def near(dealt: DataFrame) -> DataFrame:
+        met = dealt.select("t", "bucket", "i", "j", "node", "sketch", "tree").repartition("t", "bucket", "i", "j").sortWithinPartitions("t", "bucket", "i", "j")
+        return met.mapInArrow(_candidates(most_differing(threshold)), "u long, v long")
+
+    met = join_small(spread, large, ["t", "bucket"], "left")
+    own = met.withColumn("i", block_of(F.ceil(F.coalesce("size", F.lit(1)) / BLOCK))).withColumn("j", F.col("i"))
+    found = near(own.withColumn("tree", F.col("node")))
+    total = large.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not total:
+        return found
+    trees = cut(connected_components(found), "trees").withColumnRenamed("component", "tree")
+    found = trees.select(F.col("node").alias("u"), F.col("tree").alias("v"))
+    rows = join_hot(keys, large, ["t", "bucket"], "size", total, "node").drop("size")
+    rows = cut(rows.join(trees, "node", "left").select("t", "bucket", "node", F.coalesce("tree", "node").alias("tree")), "trees-of-buckets")
+    per = rows.groupBy("t", "bucket", "tree").agg(F.count("*").alias("c")).groupBy("t", "bucket")
+    split = cut(per.agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("tree", "c").alias("main")).where("most < size"), "split-buckets")
+    n = split.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not n:
+        return found
+    again = join_hot(rows, split, ["t", "bucket"], "size", n, "node")
+    sketches = vectors.mapInArrow(_tables(bits, tables, None), "node long, sketch binary")
+    return found.union(near(_between(again, BLOCK).join(sketches, "node")))
+
+
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every row of embeddings."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
