@@ -164,6 +164,25 @@ def test_host_trust_decides_single_failures(spark, monkeypatch, most):
     assert len(got) == len(data) and {x["kept"] for x in got if x["id"] == 0} == {True} and not got[0]["base_failed"]
 
 
+def test_bounds_of_the_prior_act(spark):
+    """Two kinds of hosts that differ by more than a beta prior allows: the strength is held at its least; hosts that hardly differ: at its most."""
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
+    far = [(h * 10 + i, f"h{h}", bad if h % 2 else good) for h in range(20) for i in range(10)]
+    close = [(h * 10 + i, f"h{h}", bad if i == h % 10 else good) for h in range(20) for i in range(10)]
+
+    def rate(data, **bounds):
+        df = spark.createDataFrame(data, "id long, host string, text string")
+        return {r["host"]: r["rate_length"] for r in rows(quality_rules.judge(df, "host", **bounds))}
+
+    # mean 1/2, variance 1/4: the strength of the moments is about 0.1
+    assert rate(far)["h1"] == pytest.approx((10 + 1) / 12) and rate(far, least_strength=0.0)["h1"] > 0.98
+    assert rate(far, least_strength=50.0, most_strength=100.0)["h1"] == pytest.approx((10 + 25) / 60)
+    # no variance between hosts: the prior is worth ten documents, an average host, unless said otherwise
+    assert rate(close)["h3"] == pytest.approx(0.1) and rate(close, most_strength=90.0)["h3"] == pytest.approx(0.1)
+    odd_one = [*close, *[(900 + i, "new", bad) for i in range(2)]]
+    assert rate(odd_one, most_strength=1.0)["new"] > 0.6 > rate(odd_one, most_strength=1000.0)["new"]
+
+
 def test_rules_odd_rows(odd, texts):
     got = rows(quality_rules.judge(odd, "source"))
     assert len(got) == odd.count() and all(r["extra col"] == "e" for r in got)
@@ -181,6 +200,19 @@ def test_near_duplicates_match_all_pairs(docs, texts, k):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_words_that_share_a_polynomial_hash_are_not_linked(spark):
+    """The Thue-Morse word and its complement have one value in any polynomial hash modulo 2**64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    common_words = " ".join(f"w{i}" for i in range(6))
+    data = {0: word, 1: other, 2: f"{common_words} {word}", 3: f"{common_words} {other}", 4: word * 2, 5: other * 2, 6: word * 4, 7: other * 4}
+    got = rows(near_dedup.near_duplicates(spark.createDataFrame(list(data.items()), "doc_id long, text string"), shingle=4))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i in data} and brute.near(data, 4)[3][1] == 3
+    assert not set(near_dedup.shingle_sets([word.encode()], 4)[0].tolist()) & set(near_dedup.shingle_sets([other.encode()], 4)[0].tolist())
+
+
 def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """Blocks of a few members, so that groups are split; chains of edits, so that links matter."""
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
@@ -464,19 +496,51 @@ def test_mixing_reaches_high_rates(spark, monkeypatch):
     assert replicas(8000, 2, {"rare": 1.0, "common": 1.0}) == got
 
 
+@pytest.mark.parametrize("kind", ["null ids", "one id", "equal rows", "equal rows of null id"])
+def test_mixing_reaches_the_weights_of_rows_that_share_an_id(spark, kind):
+    """Ten thousand rows with nothing of their own, or with a text only: their mean count is the rate, and the counts spread as Poisson's do."""
+    doc_id = F.lit(None).cast("long") if "null" in kind else F.lit(5).cast("long")
+    text = F.lit("same") if "equal" in kind else F.concat(F.lit("text "), F.col("id").cast("string"))
+    rows_ = spark.range(10_000).select(doc_id.alias("doc_id"), F.lit("many").alias("source"), text.alias("text"))
+    docs = rows_.union(spark.range(2_000).select(F.col("id") + 10, F.lit("few"), F.lit("other")))
+    got = mixing.mix_sources(docs, weights={"many": 3.0, "few": 1.0}, total=20_000.0).where("source = 'many'")
+    n = got.count()
+    assert abs(n - 15_000) < 5 * 15_000**0.5
+    if "equal" not in kind:
+        counts = [r["count"] for r in got.groupBy("text").count().collect()]
+        assert abs(len(counts) / 10_000 - (1 - np.exp(-1.5))) < 0.03 and max(counts) < 12
+    assert got.where("replica = 1").count() == got.select("shuffle_key").where("replica = 1").distinct().count()
+
+
+def test_mixing_equals_its_sql_on_shared_ids_and_high_rates(spark):
+    """Null and repeated ids, equal rows, and a source whose rate needs several draws."""
+    import duckdb
+    import pandas as pd
+
+    rows_ = [(i % 40 if i % 3 else None, f"t{i % 50}", "en", "common", 3) for i in range(6000)] + [(10_000 + i, "rare text", None, f"rare{i}", 9) for i in range(2)]
+    frame = pd.DataFrame(rows_, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", frame)
+    sql = mixing.OP9_SQL.replace("0.7)", "0.05)")
+    cursor = con.execute(sql)
+    names = [c[0] for c in cursor.description]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    old = mixing.TEMPERATURE
+    mixing.TEMPERATURE = 0.05
+    try:
+        got = sorted(map(str, map(tuple, mixing.mix_sources(docs).select(*names).collect())))
+    finally:
+        mixing.TEMPERATURE = old
+    assert got == sorted(map(str, cursor.fetchall())) and max(n for n in (sum("rare0" in g for g in got),)) > 1024
+
+
 def test_mixing_odd_rows(odd, spark):
     got = mixing.mix_sources(odd)
     assert "extra col" in got.columns
-    # every row of an id and a source is repeated as often as the others
-    held, drawn = {}, {}
-    for r in odd.select("doc_id", "source").collect():
-        held[r] = held.get(r, 0) + 1
-    for r in got.select("doc_id", "source", "replica").collect():
-        drawn.setdefault((r.doc_id, r.source), []).append(r.replica)
-    assert drawn
-    for key, replicas in drawn.items():
-        most = max(replicas)
-        assert sorted(replicas) == sorted(list(range(1, most + 1)) * held[key])
+    own = [c for c in odd.columns if c not in {"replica", "shuffle_key"}]
+    assert {str(r) for r in got.select(*own).collect()} <= {str(r) for r in odd.select(*own).collect()}
+    again = mixing.mix_sources(odd.repartition(7))
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
     assert mixing.mix_sources(odd, weights={}).count() == 0
 
 
@@ -571,6 +635,28 @@ def test_chat_escapes_only_when_needed():
 
 
 # ---------------------------------------------------------------- shared parts
+@pytest.mark.parametrize("end", ["", "###", "</turn>", "x###"])
+def test_chat_reads_runs_of_backslashes_once(end):
+    """A megabyte of backslashes, with and without a control string behind it, in a second."""
+    import time
+
+    text = "\\" * 1_000_000 + end
+    start = time.time()
+    turns = [("user", text), ("assistant", text + " ok")]
+    whole, spans = chat.format_turns(turns)
+    assert [(r, t) for r, t, *_ in chat.parse(whole)] == turns and [chat.unescape(whole[a:b]) for _, a, b in spans] == [t for _, t in turns]
+    assert chat.unescape(chat.escape(text)) == text
+    assert time.time() - start < 2
+
+
+def test_digests_of_odd_rows(spark):
+    kind = "conv_id long, formatted string, loss_spans array<struct<start:int,end:int>>, n_turns string"
+    got = rows(chat.digest_chats(spark.createDataFrame([(None, "", [], "mine"), (1, "", None, "mine"), (1, "", [], "mine")], kind)))
+    assert [(r["conv_id"], r["n_turns"], r["loss_chars"], r["formatted_chars"]) for r in got] == [(None, 0, 0, 0), (1, 0, 0, 0), (1, 0, 0, 0)]
+    with pytest.raises(Exception, match="not of the grammar"):
+        chat.digest_chats(spark.createDataFrame([(1, None, [], "")], kind)).collect()
+
+
 def test_roots_of_matrices():
     r = np.random.default_rng(5)
     for n, p in ((1, 0.5), (30, 0.02), (80, 0.02), (60, 0.0), (50, 0.5)):
@@ -604,16 +690,41 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_components_in_steps_and_in_one_task(spark, monkeypatch):
+def test_components_in_steps(spark, monkeypatch):
     r = random.Random(11)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1030)] + [(2000, i) for i in range(2001, 2060)] + [(-3, 5), (7, 7)]
     want = brute.components({x for p in pairs for x in p}, pairs)
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     monkeypatch.setattr(common, "HOT", 16)
-    for most in (0, 100, 1 << 17):  # all steps; steps, then one task at most; one task
-        monkeypatch.setattr(common, "TASK_EDGES", most)
-        got = common.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()
-        assert len(got) == len(linked) and {x["node"]: x["component"] for x in got} == {x: want[x] for x in linked}
+    steps, made = common._star, []
+
+    def star(e, large, total):
+        out = steps(e, large, total)
+        made.append((out.count(), e.count()))
+        return out
+
+    monkeypatch.setattr(common, "_star", star)
+    got = common.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert len(got) == len(linked) and {x["node"]: x["component"] for x in got} == {x: want[x] for x in linked}
+    # no step makes more rows than it reads
+    assert made and all(rows_ <= read for rows_, read in made)
+    made.clear()
+    stars = [(7, i) for i in range(20, 60)] + [(3, 2), (9, 8), (-1, 70)]
+    assert {(x["node"], x["component"]) for x in common.connected_components(spark.createDataFrame(stars, "u long, v long")).collect()} == {(max(a, b), min(a, b)) for a, b in stars} | {(min(a, b), min(a, b)) for a, b in stars}
+    assert not made  # a graph of stars needs no step
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    def there(df):
+        return os.path.exists(df._cut_path.removeprefix("file://"))
+
+    with common.Scope(spark):
+        with common.Scope(spark) as inner:
+            a, b = common.cut(spark.range(3), "a"), inner.keep(common.cut(spark.range(4), "b"))
+        assert not there(a) and there(b) and b.count() == 4
+    assert not there(b)
 
 
 def test_very_long_texts(spark, ranks):

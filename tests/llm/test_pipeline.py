@@ -78,3 +78,48 @@ def test_deduplicate_drops_only_near_copies(spark, sf):
     # near copies that share an id: the first by its columns stays
     same = spark.createDataFrame([(7, t, "en", "a", 0) for t in (near, text, near)], docs.schema)
     assert [(r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, same, sf).collect()] == [(7, min(text, near))]
+
+
+def test_deduplicate_tells_all_rows_apart_whatever_hashes_say(spark, sf, monkeypatch):
+    """Rows are numbered, not hashed: with Spark's row hash cut to four bits, nothing is lost."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    docs = spark.createDataFrame([(i % 90, f"a text of its own with number {i} and word{i} word{i + 1} word{i + 2}" if i % 11 else None, "en", "a", 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(F, "xxhash64", lambda *c: real(*c).bitwiseAND(15))
+    got = corpus_pipeline.deduplicate(spark, docs, sf).collect()
+    rows = {tuple(r) for r in docs.collect()}
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+
+
+def test_stages_on_clashing_columns_and_very_long_texts(spark, sf):
+    """Columns of the operators' names beside the documents' are dropped; a megabyte of text goes through every stage."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    long = docs.limit(1).select(F.lit(10**6).cast("long").alias("doc_id"), F.concat(*[F.repeat(F.concat("text", F.lit(f" part{i} ")), 40) for i in range(3)]).alias("text"), "lang", "source", "n_chars")
+    clash = {c: F.lit("mine") for c in ("score", "kept", "component_id", "n_shingles", "_node", "n", "spans", "base", "whole", "replica", "shuffle_key", "ids", "n_tokens", "component", "predicted", "held_out")}
+    plain = docs.union(long)
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, plain, sf), stage(spark, plain.withColumns(clash), sf)
+        assert got.columns == want.columns, name
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+
+
+def test_classifier_keeps_scores_at_the_threshold(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5)
+    for score, n in ((0.3, 5), (0.29999, 0)):
+        monkeypatch.setattr(quality_classifier, "fit", lambda *_, score=score: (__import__("numpy").zeros(quality_classifier.DIMENSIONS, "float32"), math.log(score / (1 - score)) + (1e-12 if score == 0.3 else 0)))
+        assert corpus_pipeline.classify(spark, docs, sf).count() == n
+
+
+def test_runs_leave_only_their_result_behind(spark, sf, whole):
+    import os
+
+    from leafwork.llm.common import scratch_dir
+
+    folder = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf)
+    new = set(os.listdir(folder)) - before
+    assert len(new) == 1 and next(iter(new)).startswith("stage4") and out.count() == len(whole)
