@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.llm import bpe, mixing, near_dedup, pii, quality_classifier
-from leafwork.llm.common import cut, drop_table, scratch_dir
+from leafwork.llm.common import Scope, cut, drop_table, join_small, scratch_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,20 +30,29 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the
     smallest id; of its near copies with that id, the first by its other columns.
 
-    Rows that share an id but not a text are documents of their own, known by a
-    64-bit hash of both.  Rows of null id stay as they are, and so does one of
-    the equal rows of an id whose text is null or has no words.  Ties of all columns
-    are equal rows, of which one stays.  Very long texts are compared as a whole.
-    Empty table: empty result.  Columns beyond the documents' are dropped."""
-    node = F.xxhash64("doc_id", "text")
-    known = docs.select(*COLUMNS).where("doc_id is not null").withColumn("_node", node)
-    found = near_dedup.near_duplicates(known.select("doc_id", "text", "_node"), doc_id="_node").select("doc_id", "_node", "component_id")
-    found = cut(found, "components")
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    kept = found.join(first, ["component_id", "doc_id"]).distinct()
-    rows = known.join(kept, ["doc_id", "_node"])
-    rows = rows.groupBy("component_id", "doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*").select(*COLUMNS)
-    return rows.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    Each row is a node of its own, numbered once as the rows are written, so rows that
+    share an id but not a text are documents of their own, and no two rows are taken for
+    one.  Rows of null id stay as they are.  Of the rows of an id with equal texts
+    without words, null or not, one stays.  Ties of all columns are equal rows, of which
+    one stays.  Very long texts are compared as a whole.  Empty table: empty result.
+    Columns beyond the documents' are dropped."""
+    rows = cut(docs.select(*COLUMNS).where("doc_id is not null").withColumn("_node", F.monotonically_increasing_id()), "numbered")
+    with Scope(spark) as scope:
+        found = near_dedup.near_duplicates(rows.select("doc_id", "text", "_node"), doc_id="_node")
+        found = scope.keep(cut(found.select("doc_id", "_node", "n_shingles", "component_id"), "components"))
+    # the winners are sought without texts, which are looked at only where an id is tied with itself
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+    ahead = found.join(first, ["component_id", "doc_id"]).groupBy("component_id").agg(F.min("_node").alias("_node"), F.count("*").alias("n"))
+    ahead = cut(ahead, "ahead")
+    winners = ahead.where("n = 1").select("_node")
+    tied = cut(found.join(first, ["component_id", "doc_id"]).join(ahead.where("n > 1").select("component_id"), "component_id").select("component_id", "_node"), "tied")
+    if tied.head(1):
+        rest = join_small(rows, tied, ["_node"]).groupBy("component_id").agg(F.min_by("_node", F.struct("text", "lang", "source", "n_chars", "_node")).alias("_node"))
+        winners = winners.union(rest.select("_node"))
+    kept = rows.join(winners, "_node", "leftsemi")
+    wordless = join_small(rows, found.where("n_shingles = 0").select("_node"), ["_node"], "leftsemi")
+    wordless = wordless.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("x")).select("doc_id", "text", "x.*")
+    return kept.select(*COLUMNS).unionByName(wordless).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,7 +97,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         path = f"{scratch_dir(spark)}/stage{i}-{uuid.uuid4().hex[:12]}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with Scope(spark):  # what a stage writes on the way goes once its rows are written
+            stage(spark, docs, sf_dir).write.parquet(path)
         if old:
             drop_table(spark, old)
         docs, old = spark.read.parquet(path), path
