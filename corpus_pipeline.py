@@ -49,7 +49,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if tied.head(1):
         rest = join_small(rows, tied, ["_node"]).groupBy("component_id").agg(F.min_by("_node", F.struct("text", "lang", "source", "n_chars", "_node")).alias("_node"))
         winners = winners.union(rest.select("_node"))
-    kept = rows.join(winners, "_node", "leftsemi")
+    # winners grow with the rows, so this is a merge join at any size and never a broadcast
+    kept = rows.join(winners.hint("merge"), "_node", "leftsemi")
     wordless = join_small(rows, found.where("n_shingles = 0").select("_node"), ["_node"], "leftsemi")
     wordless = wordless.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("x")).select("doc_id", "text", "x.*")
     return kept.select(*COLUMNS).unionByName(wordless).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
