@@ -204,7 +204,8 @@ def extract_pii(docs: DataFrame, text: str = "text", support: int = 5, confidenc
     added = tokens.where(F.col("k").isNull() & F.col("ok")).select("_pii_row", "s", "e", F.explode("patterns").alias("pattern"), F.col("token").alias("m"))
     added = _kind_by_patterns(join_small(added, confident, ["pattern"]), ["_pii_row", "s", "e", "m"])
     added = added.groupBy("_pii_row").agg(F.collect_list(F.struct("s", F.col("found").alias("k"), "e", "m")).alias("_pii_more"))
-    out = scanned.join(added, "_pii_row", "left").withColumn("spans", F.when(F.col("_pii_more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "_pii_more"))))
+    # rows with found spans are few as a rule, and scanned may carry texts
+    out = join_small(scanned, cut(added, "pii-added"), ["_pii_row"], "left").withColumn("spans", F.when(F.col("_pii_more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "_pii_more"))))
     return out.select(*keep, "base", "spans")
 
 
