@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafwork import schemas
 from leafwork.functions.text import confidence_tier, needs_review
-from leafwork.operators import batches, edits, folds, layout, registers, service
+from leafwork.operators import bands, batches, edits, layout, registers, service
 from leafwork.sources import office
 from leafwork.sources.stores import Store
 
@@ -96,7 +96,7 @@ class Engine:
     def tables(self, texts: DataFrame) -> DataFrame:
         """Cells of the tables that aligned words make."""
         w = layout.word_boxes(texts)
-        return folds.borderless_tables(w, layout.page_sizes(w))
+        return bands.borderless_tables(w, layout.page_sizes(w))
 
     def export(self, texts: DataFrame, kind: str | None = None) -> DataFrame:
         """Files of documents, one row each (doc_id, export_type, content, size, error);

@@ -97,6 +97,13 @@ def edit_cells(cells: DataFrame, patches: DataFrame) -> DataFrame:
     return met.withColumns(values).drop("_p")
 
 
+def edit_elements(blocks: DataFrame, patches: DataFrame, key: str = "cell_id") -> DataFrame:
+    """Elements of pages with patches (key, ordinal, text, alignment, each or null)."""
+    met = _patch(blocks, patches, key, ["text", "alignment"])
+    text = F.col("_p.text")
+    return met.withColumns({"edited_text": F.coalesce(text, "edited_text"), "is_edited": F.col("is_edited") | text.isNotNull(), "alignment": F.coalesce("_p.alignment", "alignment")}).drop("_p")
+
+
 def table_trees(cells: DataFrame) -> DataFrame:
     """(table_id, rows): each table's cells by row, both in order."""
     cell = F.struct(*[c for c in ("column", "row", "rowspan", "colspan", "text", "align_h", "align_v", "confidence", "is_header", "is_edited") if c in cells.columns])

@@ -1,6 +1,6 @@
-"""Operators whose result depends on an order of visits: greedy folds over the
-boxes of one page.  Each runs as a grouped map on (doc_id, page); a page holds
-hundreds of boxes, so groups are small and the shuffle is the only cost.
+"""Operators whose result depends on an order of visits: greedy choices among the
+boxes of one page, as grouped maps on (doc_id, page), and what tables with rules
+need of a page's words beside its image.  Folds that need no Python are in bands.py.
 
 Every fold sorts by a total order first, so results do not depend on how rows
 arrive."""
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from leafwork.session import ship
 
 PAGE = ["doc_id", "page"]
-#: Fixed values of table detection without rules: least rows and columns, tolerance by page width, share of rows a column must hit.
-LEAST_ROWS, LEAST_COLUMNS, BAND_TOLERANCE, ROW_SHARE = 4, 3, 0.02, 0.85
 
 
 def running_mean_rows(y: np.ndarray, height: np.ndarray, reach: float) -> np.ndarray:
@@ -37,129 +35,6 @@ def running_mean_rows(y: np.ndarray, height: np.ndarray, reach: float) -> np.nda
     return np.repeat(rows, count)
 
 
-def cluster_rows(words: pd.DataFrame, reach: float = 0.6) -> pd.DataFrame:
-    """Adds row; words in order of row and x."""
-    mid = (words.y1 + words.y2) / 2
-    w = words.assign(_mid=mid).sort_values(["_mid", "x1", "wi"], kind="stable")
-    w["row"] = running_mean_rows(w._mid.to_numpy(float), (w.y2 - w.y1).to_numpy(float), reach)
-    return w.drop(columns="_mid").sort_values(["row", "x1", "wi"], kind="stable")
-
-
-def row_clusters(words: DataFrame) -> DataFrame:
-    """(doc_id, page, row, n_words, y1, y2, text) of rows of words by height."""
-
-    def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        order, row = _rows(pdf, 0.6)
-        at = np.flatnonzero(np.diff(row, prepend=-1))
-        text = pdf.text.to_numpy()[order]
-        ends = [*at[1:], len(row)]
-        return pd.DataFrame(
-            {
-                "doc_id": key[0],
-                "page": key[1],
-                "row": row[at],
-                "n_words": np.diff([*at, len(row)]),
-                "y1": np.minimum.reduceat(pdf.y1.to_numpy()[order], at),
-                "y2": np.maximum.reduceat(pdf.y2.to_numpy()[order], at),
-                "text": [" ".join(text[i:j]) for i, j in zip(at, ends, strict=True)],
-            }
-        )
-
-    ship(words.sparkSession)
-    return words.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, row int, n_words long, y1 long, y2 long, text string")
-
-
-def _rows(words: pd.DataFrame, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """The order of words by row and x, and the row of each in that order."""
-    x, wi, y1, y2 = (words[c].to_numpy() for c in ("x1", "wi", "y1", "y2"))
-    mid = (y1 + y2) / 2
-    down = np.lexsort((wi, x, mid))
-    row = running_mean_rows(mid[down], (y2 - y1)[down], reach)
-    across = np.lexsort((wi[down], x[down], row))
-    return down[across], row[across]
-
-
-def column_bands(x: np.ndarray, starts: np.ndarray, tolerance: float) -> np.ndarray:
-    """Centres of chains of left edges that most rows hit; x is in order of rows, which begin at starts."""
-    if not len(x):
-        return x
-    order = np.sort(x)
-    chain = np.concatenate(([0], np.cumsum(np.diff(order) > tolerance)))
-    centers = np.bincount(chain, order) / np.bincount(chain)
-    near = np.abs(x[:, None] - centers[None, :]) <= tolerance
-    hits = np.logical_or.reduceat(near, starts, axis=0).sum(0)
-    return centers[hits >= max(2, int(len(starts) * ROW_SHARE))]
-
-
-def has_numbers(w: pd.DataFrame, bands: np.ndarray, tolerance: float) -> bool:
-    """Whether some column holds mostly numbers."""
-    n = w.row.nunique()
-    for c in bands:
-        cell = w[(w.x1 - c).abs() <= 2 * tolerance].groupby("row").text.agg("".join)
-        numeric = cell.str.fullmatch(r"[+-]?[0-9,./%-]*[0-9][0-9,./%-]*").sum()
-        if len(cell) >= max(2, int(n * 0.6)) and numeric >= 0.6 * len(cell):
-            return True
-    return False
-
-
-def page_tables(words: pd.DataFrame, width: float) -> list[pd.DataFrame]:
-    """The cells of each table that aligned words make: runs of rows, as long as
-    three bands or more are common to all of a run."""
-    if not len(words):
-        return []
-    order, row = _rows(words, 0.6)
-    kept = np.bincount(row)[row] >= LEAST_COLUMNS
-    order, row = order[kept], row[kept]
-    begin = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
-    x, tolerance, n = words.x1.to_numpy(float)[order], width * BAND_TOLERANCE, len(begin) - 1
-    out, i = [], 0
-
-    def bands(i: int, j: int) -> np.ndarray:
-        return column_bands(x[begin[i] : begin[j]], begin[i:j] - begin[i], tolerance)
-
-    while n >= LEAST_ROWS and i < n:
-        j = i + 1
-        while j < n and len(bands(i, j + 1)) >= LEAST_COLUMNS:
-            j += 1
-        if j - i >= LEAST_ROWS and len(found := bands(i, j)) >= LEAST_COLUMNS:
-            run = words.iloc[order[begin[i] : begin[j]]].assign(row=row[begin[i] : begin[j]])
-            if has_numbers(run, found, tolerance):
-                out.append(_cells(run, found))
-        i = j
-    return out
-
-
-def _cells(run: pd.DataFrame, bands: np.ndarray) -> pd.DataFrame:
-    right = run.x2.max() + 1
-    edges = np.append(bands, right)
-    column = np.searchsorted(edges - 5, run.x1.to_numpy(float), "right") - 1
-    run = run.assign(column=column, r=run.row.rank(method="dense").astype(int) - 1)
-    inside = run[(run.column >= 0) & (run.column < len(bands))]
-    text = inside.groupby(["r", "column"]).agg(text=("text", " ".join), confidence=("confidence", "mean"))
-    grid = pd.MultiIndex.from_product([range(run.r.max() + 1), range(len(bands))], names=["r", "column"])
-    cells = text.reindex(grid).reset_index()
-    span = run.groupby("r").agg(y1=("y1", "min"), y2=("y2", "max"))
-    return cells.assign(text=cells.text.fillna(""), confidence=cells.confidence.fillna(0.0), x1=bands[cells.column], x2=edges[cells.column + 1], y1=span.y1.reindex(cells.r).to_numpy(float), y2=span.y2.reindex(cells.r).to_numpy(float))
-
-
-def borderless_tables(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """Cells of tables without rules: (doc_id, page, table_no, row, column, text, box, confidence, table_confidence)."""
-
-    def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for n, c in enumerate(page_tables(pdf, float(pdf.page_width.iloc[0]))):
-            sure = c.confidence[c.confidence > 0].mean() * 0.85 if (c.confidence > 0).any() else 0.4
-            found.append(c.rename(columns={"r": "row"}).assign(table_no=n, table_confidence=sure))
-        names = ["doc_id", "page", "table_no", "row", "column", "text", "x1", "y1", "x2", "y2", "confidence", "table_confidence"]
-        return pd.concat(found).assign(doc_id=key[0], page=key[1])[names] if found else pd.DataFrame(columns=names)
-
-    ship(words.sparkSession)
-    # a table has a column of numbers: pages without two words of digits and marks have none
-    numeric = words.where(F.col("text").rlike(r"^[0-9,./%+-]*[0-9][0-9,./%-]*$")).groupBy(*PAGE).agg(F.count("*").alias("_n")).where("_n >= 2")
-    some = words.join(numeric.select(*PAGE), PAGE, "left_semi")
-    return some.join(pages.select(*PAGE, "page_width"), PAGE).groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, table_no int, row int, column int, text string, x1 double, y1 double, x2 double, y2 double, confidence double, table_confidence double")
-
-
 def _shares(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intersections of all boxes with each other, and areas."""
     w = np.clip(np.minimum(b[:, None, 2], b[None, :, 2]) - np.maximum(b[:, None, 0], b[None, :, 0]), 0, None)
@@ -264,26 +139,21 @@ def text_row_bounds(words: pd.DataFrame, offset: float, length: int, reach: floa
 
 
 def text_column_bounds(words: pd.DataFrame, offset: float, length: int, gap: int = 8, least_rows: int = 4, share: float = 0.75) -> list[int]:
-    """Boundaries of columns: left edges that recur in most rows, parted in the middle
-    of the space before them; none with fewer than ``least_rows`` rows or two columns."""
-    if not len(words):
-        return []
-    w = cluster_rows(words, 0.7)
+    """Boundaries of columns: left edges that recur in most rows give a column's place, their
+    mean; inner boundaries are midway between places.  None with fewer than ``least_rows`` rows or two columns."""
+    w = words.assign(_mid=(words.y1 + words.y2) / 2).sort_values(["_mid", "x1"], kind="stable")
+    w["row"] = running_mean_rows(w._mid.to_numpy(float), (w.y2 - w.y1).to_numpy(float), 0.6)
     rows = w.row.nunique()
     if rows < least_rows:
         return []
     tolerance = max(gap, 0.03 * length)
     w = w.sort_values("x1")
-    chain = (w.x1.diff().fillna(0) > tolerance).cumsum()
-    hits = w.groupby(chain).agg(left=("x1", "min"), right=("x2", "max"), rows=("row", "nunique"))
-    good = hits[hits.rows >= max(3, int(share * rows))]
+    w["place"] = w.x1.groupby((w.x1.diff().fillna(0) > tolerance).cumsum()).transform("mean")
+    hits = w[(w.x1 - w.place).abs() <= tolerance].groupby("place").row.nunique()
+    good = hits.index[hits >= max(3, int(share * rows))].to_numpy()
     if len(good) < 2:
         return []
-    inner = []
-    for left in good.left.iloc[1:]:
-        before = w.x2[w.x2 <= left].max()
-        inner.append((before + left) / 2 if before == before else left)
-    edges = [good.left.iloc[0], *inner, w.x2.max()]
+    edges = [good[0], *(good[:-1] + good[1:]) / 2, w.x2.max()]
     return [int(round(min(max(0.0, e - offset), length))) for e in edges]
 
 
@@ -303,14 +173,3 @@ def supplement_bounds(lines: list[int], text: list[int], gap: int = 8) -> tuple[
     reach = max(gap, int(steps[len(steps) // 2] * 0.4)) if steps else gap
     bounds = cluster_positions(union, reach)
     return bounds, {b for b in bounds if all(abs(b - x) > reach for x in lines)}
-
-
-def page_bounds(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, rows, columns): boundaries that the words of each page suggest."""
-
-    def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(pdf.page_width.iloc[0]), int(pdf.page_height.iloc[0])
-        return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "rows": [text_row_bounds(pdf, 0, height)], "columns": [text_column_bounds(pdf, 0, width)]})
-
-    ship(words.sparkSession)
-    return words.join(pages.select(*PAGE, "page_width", "page_height"), PAGE).groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, rows array<int>, columns array<int>")

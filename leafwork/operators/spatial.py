@@ -115,13 +115,3 @@ def boundaries(rows: DataFrame, keys: list[str], edges: list[str]) -> DataFrame:
     """The distinct positions of all edges, and each one's gap to the next."""
     at = rows.select(*keys, F.explode(F.array(*edges)).alias("edge")).distinct()
     return at.withColumn("gap", F.lead("edge").over(Window.partitionBy(*keys).orderBy("edge")) - F.col("edge"))
-
-
-def column_bands(words: DataFrame, keys: list[str], line: str, tolerance: float = 0.02, share: float = 0.85) -> DataFrame:
-    """Chains of left edges whose gaps are within ``tolerance`` of the page's width, that
-    two lines or more, and a share of them, hit: band, n words and hit lines."""
-    page, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("x1", line)
-    s = words.withColumn("_tol", F.max("x2").over(page) * tolerance).withColumn("_new", F.when(F.col("x1") - F.lag("x1").over(order) <= F.col("_tol"), 0).otherwise(1))
-    c = s.withColumn("band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    b = c.groupBy(*keys, "band").agg(F.count("*").alias("n"), F.count_distinct(line).alias("hit"))
-    return b.join(words.groupBy(*keys).agg(F.count_distinct(line).alias("_lines")), keys).where(F.col("hit") >= F.greatest(F.lit(2), F.floor(F.col("_lines") * share))).select(*keys, "band", "n", "hit")

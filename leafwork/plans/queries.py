@@ -205,7 +205,10 @@ def overlap_semi(spark, d):
     return spatial.overlapping(w, regions_of(w), ["doc_id", "page"]).select("doc_id", "page", "li", "wi")
 
 
-@query(f"""WITH {WORDS.replace('words AS (', 'words AS MATERIALIZED (')}, {REGIONS.replace('regions AS (', 'regions AS MATERIALIZED (')}, _r AS (SELECT w.doc_id, w.page, r.r, least(1.0, sum((w.x2 - w.x1) * (w.y2 - w.y1)) / 50000.0) AS coverage, avg(w.confidence) AS wc FROM words w JOIN regions r ON r.doc_id = w.doc_id AND r.page = w.page AND {INSIDE} GROUP BY 1, 2, 3),
+# the region of a word by arithmetic: regions are a grid, so the join is by equality
+@query(f"""WITH {WORDS}, {REGIONS},
+_w4 AS (SELECT doc_id, page, floor(((y1 + y2) / 2.0 - 30) / 140)::INTEGER AS r, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy, (x2 - x1) * (y2 - y1) AS a, confidence FROM words),
+_r AS (SELECT doc_id, page, r, least(1.0, sum(a) / 50000.0) AS coverage, avg(confidence) AS wc FROM _w4 WHERE r BETWEEN 0 AND 4 AND cy <= r * 140 + 130 AND cx BETWEEN r * 700 AND r * 700 + 500 GROUP BY 1, 2, 3),
 _k AS (SELECT r.doc_id, r.page, r.r, round(coalesce(coverage, 0), 6) AS coverage, CASE WHEN wc < 0.45 THEN 'HANDWRITTEN' WHEN r.y1 / 800.0 > 0.65 AND 5.0 >= 2.2 AND 100 < 64 THEN 'SIGNATURE' WHEN 5.0 BETWEEN 0.6 AND 1.6 THEN 'STAMP' ELSE 'IMAGE' END AS block_type FROM regions r LEFT JOIN _r USING (doc_id, page, r))
 SELECT * FROM _k WHERE coverage <= 0.35""")
 def graphic_regions(spark, d):
@@ -460,9 +463,9 @@ def cells_by_row(spark, d):
 # ------------------------------------------- folds: tested against plain Python
 @query(f"WITH {WORDS} SELECT doc_id, page, (li % 40)::INTEGER AS row, count(*) AS n_words, min(y1) AS y1, max(y2) AS y2, string_agg(text, ' ' ORDER BY x1, wi) AS text FROM words GROUP BY doc_id, page, li")
 def row_clusters(spark, d):
-    from leafwork.operators import folds
+    from leafwork.operators import bands
 
-    return folds.row_clusters(words_of(spark, d))
+    return bands.row_clusters(words_of(spark, d))
 
 
 GRID = "grid AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)"
@@ -479,22 +482,22 @@ def grid_of(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {GRID}, z AS (SELECT doc_id, count(*) // 3 AS rows FROM grid GROUP BY 1)
-SELECT doc_id, (n // 3)::INTEGER AS row, (n % 3)::INTEGER AS column, k::VARCHAR AS text, 0.425::DOUBLE AS table_confidence FROM grid JOIN z USING (doc_id) WHERE rows >= 4 AND n // 3 < rows""")
+SELECT doc_id, 0 AS table_no, (n // 3)::INTEGER AS row, (n % 3)::INTEGER AS column, k::VARCHAR AS text, 0.425::DOUBLE AS table_confidence FROM grid JOIN z USING (doc_id) WHERE rows >= 4 AND n // 3 < rows""")
 def grid_tables(spark, d):
     """Tables without rules where there are some: four full rows or more of numbers."""
-    from leafwork.operators import folds
+    from leafwork.operators import bands
 
     w = grid_of(spark, d)
     pages = w.select("doc_id", "page").distinct().withColumn("page_width", F.lit(1000)).withColumn("page_height", F.lit(2000))
-    return folds.borderless_tables(w, pages).where("table_no = 0").select("doc_id", "row", "column", "text", F.round("table_confidence", 6).alias("table_confidence"))
+    return bands.borderless_tables(w, pages).select("doc_id", "table_no", "row", "column", "text", F.round("table_confidence", 6).alias("table_confidence"))
 
 
 @query()
 def borderless_tables(spark, d):
-    from leafwork.operators import folds
+    from leafwork.operators import bands
 
     w = words_of(spark, d)
-    return folds.borderless_tables(w, layout.page_sizes(w))
+    return bands.borderless_tables(w, layout.page_sizes(w))
 
 
 @query(f"""WITH {CELLS}, n AS (SELECT *, row_number() OVER (PARTITION BY table_id, r ORDER BY c) AS k, count(*) OVER (PARTITION BY table_id, r) AS m FROM cells)
@@ -634,18 +637,30 @@ def clamped_boxes(spark, d):
     return w.select("doc_id", "page", "li", "wi", F.round(c.x1 + 1e-7, 4).alias("x1"), F.round(c.y2 + 1e-7, 4).alias("y2"), G.is_graphic(kind, b).alias("graphic"))
 
 
-@query()
-def page_bounds(spark, d):
-    from leafwork.operators import folds
-
-    w = words_of(spark, d)
-    return folds.page_bounds(w, layout.page_sizes(w))
-
-
-@query(f"""WITH {WORDS}, s AS (SELECT doc_id, page, li, x1, max(x2) OVER (PARTITION BY doc_id, page) * 0.02 AS tol FROM words),
+_CHAINS = """s AS (SELECT doc_id, page, li, x1, {tol} AS tol FROM words),
 g AS (SELECT *, CASE WHEN x1 - lag(x1) OVER w <= tol THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY doc_id, page ORDER BY x1, li)),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY x1, li ROWS UNBOUNDED PRECEDING) AS band FROM g),
-b AS (SELECT doc_id, page, band, count(*) AS n, count(DISTINCT li) AS hit FROM c GROUP BY 1, 2, 3), r AS (SELECT doc_id, page, count(DISTINCT li) AS lines FROM words GROUP BY 1, 2)
+m AS (SELECT *, avg(x1) OVER (PARTITION BY doc_id, page, band) AS center FROM c),
+b AS (SELECT doc_id, page, band, center, count(*) AS n, count(DISTINCT CASE WHEN abs(x1 - center) <= tol THEN li END) AS hit FROM m GROUP BY ALL), r AS (SELECT doc_id, page, count(DISTINCT li) AS lines FROM words GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {WORDS}, {_CHAINS.replace('{tol}', 'max(x2) OVER (PARTITION BY doc_id, page) * 0.02')}
 SELECT doc_id, page, (band - 1)::BIGINT AS band, n, hit FROM b JOIN r USING (doc_id, page) WHERE hit >= greatest(2, floor(lines * 0.85))""")
 def column_bands(spark, d):
-    return spatial.column_bands(words_of(spark, d), ["doc_id", "page"], "li")
+    from leafwork.operators import bands
+
+    return bands.column_bands(words_of(spark, d), ["doc_id", "page"], "li")
+
+
+@query(f"""WITH {WORDS}, {_CHAINS.replace('{tol}', 'greatest(8.0, 0.03 * max(x2) OVER (PARTITION BY doc_id, page))')},
+p AS (SELECT doc_id, page, max(x2) AS width, min(y1) AS y1, max(y2) AS y2, list_sort(list(DISTINCT y1)) AS tops FROM words GROUP BY 1, 2),
+k AS (SELECT doc_id, page, list_sort(list(center)) AS c FROM b JOIN r USING (doc_id, page) WHERE lines >= 4 AND hit >= greatest(3, floor(lines * 0.75)) GROUP BY 1, 2)
+SELECT p.doc_id, p.page, CASE WHEN len(tops) < 2 THEN '' ELSE array_to_string(list_transform(range(0, len(tops) + 1), lambda i: CASE WHEN i = 0 THEN y1 WHEN i = len(tops) THEN y2 ELSE (tops[i] + 16 + tops[i + 1]) // 2 END), ',') END AS rows,
+ CASE WHEN len(c) >= 2 THEN array_to_string(list_transform(range(0, len(c) + 1), lambda i: round_even(greatest(0.0, least(width::DOUBLE, CASE WHEN i = 0 THEN c[1] WHEN i = len(c) THEN width::DOUBLE ELSE (c[i] + c[i + 1]) / 2 END)), 0)::INTEGER), ',') ELSE '' END AS columns
+FROM p LEFT JOIN k USING (doc_id, page)""")
+def page_bounds(spark, d):
+    from leafwork.operators import bands
+
+    w = words_of(spark, d)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return bands.page_bounds(w, layout.page_sizes(w)).select("doc_id", "page", joined("rows"), joined("columns"))

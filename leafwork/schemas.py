@@ -25,3 +25,14 @@ _DDL = {
 }
 #: The schema of each table, in DDL.
 TABLES: dict[str, str] = {name: f"{COMMON}, {ddl}" for name, ddl in _DDL.items()}
+
+_BOX = "x1 double, y1 double, x2 double, y2 double"
+_KEY = "doc_id long, page int, version long"
+#: The tables of a PageStore, each keyed by document and page.
+STORED: dict[str, str] = {
+    "pages": f"{_KEY}, page_width int, page_height int, config_hash string, ocr_confidence_avg double, layout_confidence_avg double, table_confidence_avg double, is_deleted boolean",
+    "words": f"{_KEY}, li int, wi int, text string, {_BOX}, font_size int, confidence double, corrected_text string",
+    "blocks": f"{_KEY}, z_order int, block_type string, {_BOX}, confidence double, text string, font double, alignment string, table_no int, image_ref string, edited_text string, is_edited boolean",
+    "tables": f"{_KEY}, table_no int, {_BOX}, confidence double, method string",
+    "cells": f"{_KEY}, table_no int, row int, column int, rowspan int, colspan int, text string, {_BOX}, confidence double, align_h string, align_v string, is_header boolean, edited_text string, is_edited boolean",
+}
