@@ -15,7 +15,6 @@ current as one segment."""
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from leafwork.operators import documents, page_plan
 from leafwork.schemas import STORED
+from leafwork.sources.commit_log import CommitLog
 
 PAGE = ["doc_id", "page"]
 
@@ -39,62 +39,29 @@ class PageStore:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 32):
         self.spark, self.root = spark, root.rstrip("/")
-        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path("").getFileSystem(self._conf)
-        if not self._fs.exists(self._path("_log/settings.json")):
-            self._put("settings.json", {"buckets": buckets})
-        self.buckets = json.loads(self._read("settings.json"))["buckets"]
+        self.log = CommitLog(spark, f"{self.root}/_log")
+        self.log.put("settings.json", {"buckets": buckets})
+        self.buckets = self.log.get("settings.json")["buckets"]
         self.database = "pages_" + hashlib.md5(self.root.encode()).hexdigest()[:16]
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
         for name, ddl in STORED.items():
             spark.sql(f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({ddl}, segment string) USING parquet PARTITIONED BY (segment) CLUSTERED BY (doc_id, page) SORTED BY (doc_id, page) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
 
-    # ------------------------------------------------------------------- the log
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def _put(self, name: str, value: dict) -> bool:
-        """Puts an entry in place at once; False if it is there already."""
-        new = self._path(f"_log/.{uuid.uuid4().hex}")
-        out = self._fs.create(new, False)
-        try:
-            out.write(bytearray(json.dumps(value).encode()))
-        finally:
-            out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self._conf)
-        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(context.makeQualified(new), context.makeQualified(self._path(f"_log/{name}")), none)
-        except Exception as e:
-            self._fs.delete(new, False)
-            if "FileAlreadyExists" in str(e):
-                return False
-            raise
-        return True
-
-    def _read(self, name: str) -> str:
-        source = self._fs.open(self._path(f"_log/{name}"))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
-        finally:
-            source.close()
-
+    # ------------------------------------------------------------------- reading
     def version(self) -> int:
         """The last committed version; 0 before the first."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("_log"))]
-        return max((int(n[:10]) for n in names if n[:10].isdigit()), default=0)
+        return self.log.last()
 
     def segments(self, version: int | None = None) -> list[str]:
         """The segments of a version: those of the entries since the last compaction before it."""
         out: list[str] = []
         for n in range(self.version() if version is None else version, 0, -1):
-            entry = json.loads(self._read(f"{n:010d}.json"))
+            entry = self.log.entry(n)
             out.append(entry["segment"])
             if entry["kind"] == "compact":
                 break
         return out[::-1]
 
-    # ------------------------------------------------------------------- reading
     def _rows(self, name: str, segments: list[str]) -> DataFrame:
         table = f"{self.database}.{name}"
         for s in segments:  # those of other sessions; known ones cost nothing
@@ -174,12 +141,12 @@ class PageStore:
         """Deletes segments that the last version does not read; for when no writer and no older reader is at work."""
         live, gone = set(self.segments()), 0
         for name in STORED:
-            folder = self._path(name)
-            for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            for s in self.log.fs.listStatus(folder) if self.log.fs.exists(folder) else []:
                 segment = s.getPath().getName().removeprefix("segment=")
                 if s.isDirectory() and segment not in live and not segment.startswith("_"):
                     self.spark.sql(f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION (segment = '{segment}')")
-                    self._fs.delete(s.getPath(), True)
+                    self.log.fs.delete(s.getPath(), True)
                     self._known.get(name, set()).discard(segment)
                     gone += 1
         return gone
@@ -192,7 +159,7 @@ class PageStore:
             segment = f"{n:010d}-{uuid.uuid4().hex[:12]}"
             for name, df in rows.items():
                 self._write(name, df, segment, None if kind == "compact" else n)
-            if self._put(f"{n:010d}.json", {"segment": segment, "kind": kind}):
+            if self.log.commit(n, {"segment": segment, "kind": kind}):
                 return n
         raise Conflict(f"another writer made version {n}")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafwork.operators import layout, page_plan
 from leafwork.plans import page_queries
+from leafwork.sources.commit_log import CommitLog
 from leafwork.sources.page_store import Conflict, PageStore
 
 PAGE = ["doc_id", "page"]
@@ -88,7 +89,7 @@ def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch, dies_a
     store, words = stored(spark, tmp_path)
     before = told(store)
     sizes, parts = results(spark, word_table(spark, {0: [("new", 0, 0, 50, 20)]}), {0: "fresh"})
-    write, put = PageStore._write, PageStore._put
+    write, put = PageStore._write, CommitLog.commit
 
     def dying(self, name, *rest):
         write(self, name, *rest)
@@ -100,11 +101,11 @@ def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch, dies_a
 
     monkeypatch.setattr(PageStore, "_write", dying)
     if dies_at == "log":
-        monkeypatch.setattr(PageStore, "_put", dying_log)
+        monkeypatch.setattr(CommitLog, "commit", dying_log)
     with pytest.raises(SystemError):
         store.replace(sizes, **parts)
     monkeypatch.setattr(PageStore, "_write", write)
-    monkeypatch.setattr(PageStore, "_put", put)
+    monkeypatch.setattr(CommitLog, "commit", put)
     assert store.version() == 1 and told(store) == before and told(PageStore(spark.newSession(), store.root)) == before
     assert store.replace(sizes, **parts) == 2 and told(store)[0] == (["new"], ["fresh", "fixed"])
     assert store.vacuum() > 0 and told(store)[0] == (["new"], ["fresh", "fixed"])
@@ -115,15 +116,15 @@ def test_of_two_writers_one_is_told(spark, tmp_path, monkeypatch):
     other = PageStore(spark, store.root)
     sizes, parts = results(spark, words, {0: "mine"})
     theirs = results(spark, words, {0: "theirs"})
-    put = PageStore._put
+    put = CommitLog.commit
     done = []
 
     def late(self, name, value):
-        if self is store and not done:  # the other writer commits between this one's rows and its entry
+        if self is store.log and not done:  # the other writer commits between this one's rows and its entry
             done.append(other.replace(theirs[0], **theirs[1]))
         return put(self, name, value)
 
-    monkeypatch.setattr(PageStore, "_put", late)
+    monkeypatch.setattr(CommitLog, "commit", late)
     with pytest.raises(Conflict):
         store.replace(sizes, expected=1, **parts)
     assert told(store)[0][1] == ["theirs", "fixed"] and store.version() == 2
