@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions.text import accession_number, notes_text
-from leafwork.operators.service import latest_per_key, lead_of, next_numbers, renumber
+from leafwork.operators.changes import changed_keys
+from leafwork.operators.service import latest_per_key, next_numbers, renumber
 
 #: What a document's reading gives, besides its number.
 READ = ["book_name", "creator", "author", "publisher", "language", "year_of_publication", "total_pages", "needs_review"]
-# The columns of the register's sheet, in order.
+# The columns of the register's sheet, in order, and those of records that they show; the note on a number that is taken.
 HEADERS = ["S.No", "Book Name", "Accession Number", "Author Name", "Publisher Name", "Pages", "Language"]
+NAMES = {"book_name": "Book Name", "accession_number": "Accession Number", "author": "Author Name", "publisher": "Publisher Name", "total_pages": "Pages", "language": "Language"}
+TAKEN = ("accession_number: extracted '", "' is already assigned to another document; generated a new one instead")
 
 
 def upsert_records(records: DataFrame, read: DataFrame, today: Column, prefix: str = "D", begin: int = 1) -> DataFrame:
@@ -40,12 +43,12 @@ def upsert_records(records: DataFrame, read: DataFrame, today: Column, prefix: s
     first = F.row_number().over(Window.partitionBy("accession_number").orderBy("document_id")) == 1
     free = F.col("accession_number").isNotNull() & F.col("_taken").isNull() & first
     new = new.withColumn("_free", free)
-    note = F.concat(F.lit("accession_number: extracted '"), "accession_number", F.lit("' is already assigned to another document; generated a new one instead"))
+    note = F.concat(F.lit(TAKEN[0]), "accession_number", F.lit(TAKEN[1]))
     clash = ~F.col("_free") & F.col("accession_number").isNotNull()
     new = new.withColumn("notes", F.when(clash, F.array_append("notes", note)).otherwise(F.col("notes")))
     keep = new.where("_free")
     used = records.select("accession_number").union(keep.select("accession_number"))
-    dealt = next_numbers(new.where("not _free"), used, "accession_number", prefix, begin, [F.asc("document_id")], lead_of(new, "document_id"))
+    dealt = next_numbers(new.where("not _free"), used, "accession_number", prefix, begin, [F.asc("document_id")])
     fresh = keep.select(*dealt.columns).union(dealt).withColumn("extraction_notes", notes_text(F.col("notes"))).withColumn("record_date", today)
     missing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema.fields if f.name not in fresh.columns}
     return old.unionByName(fresh.select(*[missing.get(c, F.col(c)) for c in records.columns]))
@@ -67,17 +70,42 @@ def backfill_numbers(records: DataFrame, documents: DataFrame, prefix: str = "D"
     return met.withColumn("outcome", outcome).withColumn("accession_number", number).select(*records.columns, "outcome")
 
 
-def register_rows(records: DataFrame, documents: DataFrame, jobs: DataFrame, exports: DataFrame, numeric: bool = False) -> DataFrame:
-    """The whole register anew: rows of documents that exist, whose last job is
-    COMPLETED and that have a searchable PDF, numbered in order of their number."""
+def listed(records: DataFrame, documents: DataFrame, jobs: DataFrame, exports: DataFrame) -> DataFrame:
+    """document_id and what the register shows of records whose document exists, whose
+    last job is COMPLETED and that have a searchable PDF."""
     last = latest_per_key(jobs.select("document_id", "status", "created_at", "job_id"), ["document_id"], [F.desc("created_at"), F.desc("job_id")]).where("status = 'COMPLETED'")
     there = documents.where(~F.col("is_deleted")).select("document_id")
     searchable = exports.where("export_type = 'SEARCHABLE_PDF'").select("document_id")
     out = records
     for side in (there, last, searchable):
         out = out.join(side.select("document_id"), "document_id", "left_semi")
-    names = {"book_name": "Book Name", "accession_number": "Accession Number", "author": "Author Name", "publisher": "Publisher Name", "total_pages": "Pages", "language": "Language"}
-    return renumber(out.select(*names), "accession_number", numeric).withColumnsRenamed(names | {"serial": "S.No"}).select(*[f"`{h}`" for h in HEADERS])
+    return out.select("document_id", *NAMES)
+
+
+def register_rows(records: DataFrame, documents: DataFrame, jobs: DataFrame, exports: DataFrame, numeric: bool = False) -> DataFrame:
+    """The whole register anew: the listed records, numbered in order of their number."""
+    return sheet(listed(records, documents, jobs, exports), numeric)
+
+
+def sheet(rows: DataFrame, numeric: bool = False) -> DataFrame:
+    """Listed records as the register's sheet has them."""
+    return renumber(rows.select(*NAMES), "accession_number", numeric).withColumnsRenamed(NAMES | {"serial": "S.No"}).select(*[f"`{h}`" for h in HEADERS])
+
+
+def refresh_listed(old: DataFrame, before: dict[str, DataFrame], after: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(the listed records after, the document_ids that were looked at again) from those
+    before and two versions of each table (records, documents, jobs, exports).
+
+    Only documents with a row that was added, changed or gone in any table are listed
+    anew; the listed rows of all others are taken over.  The result is that of listed()."""
+    keys = {"records": ["document_id"], "documents": ["document_id"], "jobs": ["document_id", "job_id"], "exports": ["document_id", "export_type"]}
+    touched = None
+    for name, key in keys.items():
+        ids = changed_keys(before[name], after[name], key).select("document_id")
+        touched = ids if touched is None else touched.union(ids)
+    touched = touched.distinct()
+    again = listed(*[after[n].join(touched, "document_id", "left_semi") for n in ("records", "documents", "jobs", "exports")])
+    return old.join(touched, "document_id", "left_anti").unionByName(again), touched
 
 
 def refresh(records: DataFrame, read: DataFrame, documents: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:

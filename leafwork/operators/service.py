@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions.text import dedupe_key
+from leafwork.operators.numbering import number_rows
 
 
 def page_of_results(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
@@ -86,32 +87,16 @@ def calendar_rollup(df: DataFrame, date: str) -> DataFrame:
     return d.rollup("year", "month").agg(F.count("*").alias("n"))
 
 
-def lead_of(df: DataFrame, column: str) -> Column | None:
-    """A coarse value that rises with a column: the first characters of a text, an
-    integer by steps of a million; None for other types."""
-    kind = df.schema[column].dataType.simpleString()
-    if kind == "string":
-        return F.substring(column, 1, 5)
-    return F.shiftright(column, 20) if kind in ("int", "bigint") else None
+def numbered(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """Adds 1, 2, 3, ... in the given order, by ranges of it: see number_rows()."""
+    return number_rows(df, order, name).withColumn(name, F.col(name).cast("int"))
 
 
-def numbered(df: DataFrame, name: str, order: list[Column], lead: Column | None = None) -> DataFrame:
-    """Adds 1, 2, 3, ... in the given order.  With a coarse value that rises with the
-    order, rows are numbered within it, and only its counts meet in one task."""
-    if lead is None:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-    led = df.withColumn("_lead", F.struct(lead.alias("v")))
-    before = F.sum("_c").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1))
-    counts = led.groupBy("_lead").agg(F.count("*").alias("_c")).select("_lead", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_lead").orderBy(*order))
-    return led.withColumn("_own", own).join(counts, led["_lead"].eqNullSafe(counts["_lead"])).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_lead", "_own", "_before")
-
-
-def next_numbers(new: DataFrame, existing: DataFrame, number: str, prefix: str, start: int, order: list[Column], lead: Column | None = None) -> DataFrame:
+def next_numbers(new: DataFrame, existing: DataFrame, number: str, prefix: str, start: int, order: list[Column]) -> DataFrame:
     """New rows with consecutive numbers after the largest of the prefix, see numbered()."""
     n = F.regexp_extract(number, rf"^{prefix}-([0-9]+)$", 1)
     last = existing.where(F.col(number).startswith(f"{prefix}-") & (n != "")).agg(F.coalesce(F.max(n.cast("long")), F.lit(start - 1)).alias("_last"))
-    return numbered(new, "_n", order, lead).join(F.broadcast(last)).withColumn(number, F.concat(F.lit(f"{prefix}-"), (F.col("_last") + F.col("_n")).cast("string"))).drop("_n", "_last")
+    return numbered(new, "_n", order).join(F.broadcast(last)).withColumn(number, F.concat(F.lit(f"{prefix}-"), (F.col("_last") + F.col("_n")).cast("string"))).drop("_n", "_last")
 
 
 def renumber(df: DataFrame, number: str, numeric: bool = False) -> DataFrame:
@@ -119,9 +104,8 @@ def renumber(df: DataFrame, number: str, numeric: bool = False) -> DataFrame:
     key = dedupe_key(F.col(number))
     head, tail = F.regexp_extract(key, "^(.*?)-?[0-9]*$", 1), F.regexp_extract(key, "([0-9]+)$", 1)
     if not numeric:
-        return numbered(df, "serial", [key], F.substring(key, 1, 5))
-    digits = F.try_to_number(tail, F.lit("9" * 18)).cast("long")
-    return numbered(df, "serial", [head, digits, key], F.struct(head.alias("a"), F.shiftright(digits, 12).alias("b")))
+        return numbered(df, "serial", [key])
+    return numbered(df, "serial", [head, F.try_to_number(tail, F.lit("9" * 18)).cast("long"), key])
 
 
 def register_append(register: DataFrame, candidates: DataFrame, number: str) -> DataFrame:

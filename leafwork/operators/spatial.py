@@ -1,9 +1,8 @@
 """Spatial joins of boxes that share a page.
 
 The equi-key (document, page) comes first, so Catalyst hashes or sorts by it and
-applies the box predicate to what meets.  For dense pages, tiled_join() adds a
-grid cell to the key: boxes are listed under each cell they touch, so no task
-compares all boxes of a page."""
+applies the box predicate to what meets.  For dense pages, grid_join() adds cells of a
+grid of several levels to the key, so no task compares all boxes of a page."""
 
 from __future__ import annotations
 
@@ -13,29 +12,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import geometry as G
+from leafwork.session import cut
 
+#: The side of the grid's smallest cells, and its levels: each doubles the side.
+CELL, LEVELS = 16, 12
+BOX = ["x1", "y1", "x2", "y2"]
 
-def tiled_join(left: DataFrame, right: DataFrame, keys: list[str], rule: Callable[[G.Box, G.Box], Column], tile: int = 512, how: str = "inner") -> DataFrame:
-    """Joins boxes of the same keys that satisfy rule(left box, right box), which
-    must imply that the boxes touch.  The right side's box columns get the
-    prefix r_.  A pair counts in the cell of its intersection's top left corner
-    only, so it appears once."""
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        span = lambda a, b: F.sequence(F.floor(F.col(p + a) / tile), F.floor(F.col(p + b) / tile))
-        return df.withColumn("_tx", F.explode(span("x1", "x2"))).withColumn("_ty", F.explode(span("y1", "y2")))
+def _level(box: G.Box) -> Column:
+    """The level whose cells a box fits in, so that it touches two of them in a row at most."""
+    side = F.greatest(box.x2 - box.x1, box.y2 - box.y1, F.lit(1.0))
+    return F.least(F.greatest(F.ceil(F.log2(side / CELL)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], rule: Callable[[G.Box, G.Box], Column], how: str = "inner") -> DataFrame:
+    """Joins boxes of the same keys that satisfy rule(left box, right box), which must
+    imply that the boxes touch.  The right side's box columns get the prefix r_.
+
+    A box lives at the level of its size, in four cells at most, and meets boxes of its
+    own level and of all finer ones there: those are listed at each coarser level too, in
+    four cells at most.  A pair meets at the coarser box's level only, and counts in the
+    cell of its intersection's top left corner, so it appears once; two fine boxes never
+    meet in a coarse cell.  Boxes of more than CELL * 2**LEVELS touch more cells.
 
-    box = ["x1", "y1", "x2", "y2"]
-    r = right.withColumnsRenamed({c: f"r_{c}" for c in box})
-    a, b = G.box(), G.box("r_")
-    first = (F.floor(F.greatest(a.x1, b.x1) / tile) == F.col("_tx")) & (F.floor(F.greatest(a.y1, b.y1) / tile) == F.col("_ty"))
-    if how == "inner":
-        return cells(left, "").join(cells(r, "r_"), [*keys, "_tx", "_ty"]).where(rule(a, b) & first).drop("_tx", "_ty")
-    if how not in {"left_semi", "left_anti"}:
+    For left_semi and left_anti, rows are numbered once, and only numbers and boxes are
+    joined: the rows themselves travel to the pairs' numbers and nowhere else."""
+    if how not in {"inner", "left_semi", "left_anti"}:
         raise ValueError(f"how = {how}")
-    rows = left.withColumn("_row", F.struct(*left.columns))
-    met = cells(left.select("*", F.struct(*left.columns).alias("_row")), "").join(cells(r, "r_"), [*keys, "_tx", "_ty"]).where(rule(a, b)).select("_row").distinct()
-    return rows.join(met, "_row", how).drop("_row")
+    box = G.box()
+    semi = how != "inner"
+    rows = cut(left.withColumn("_row", F.monotonically_increasing_id()), "boxes") if semi else left
+    a = (rows.select("_row", *keys, *BOX) if semi else rows).withColumn("_la", _level(box))
+    b = (right.select(*keys, *BOX) if semi else right).withColumn("_lb", _level(box)).withColumnsRenamed({c: f"r_{c}" for c in BOX})
+
+    def cells(df: DataFrame, p: str, levels: Column) -> DataFrame:
+        df = df.withColumn("_l", F.explode(levels))
+        side = F.lit(float(CELL)) * F.pow(F.lit(2.0), F.col("_l"))
+        span = lambda lo, hi: F.sequence(F.floor(F.col(p + lo) / side), F.floor(F.col(p + hi) / side))
+        return df.withColumn("_tx", F.explode(span("x1", "x2"))).withColumn("_ty", F.explode(span("y1", "y2")))
+
+    above = lambda own: F.when(own < LEVELS - 1, F.sequence(own + 1, F.lit(LEVELS - 1))).otherwise(F.array().cast("array<int>"))
+    own_a, own_b = cells(a, "", F.array("_la")), cells(b, "r_", F.array("_lb"))
+    on = [*keys, "_l", "_tx", "_ty"]
+    met = own_a.join(own_b.unionByName(cells(b, "r_", above(F.col("_lb")))), on).unionByName(cells(a, "", above(F.col("_la"))).join(own_b, on))
+    p, q = G.box(), G.box("r_")
+    side = F.lit(float(CELL)) * F.pow(F.lit(2.0), F.col("_l"))
+    first = (F.floor(F.greatest(p.x1, q.x1) / side) == F.col("_tx")) & (F.floor(F.greatest(p.y1, q.y1) / side) == F.col("_ty"))
+    met = met.where(rule(p, q) & first).drop("_l", "_tx", "_ty", "_la", "_lb")
+    return rows.join(met.select("_row").distinct(), "_row", how).drop("_row") if semi else met
 
 
 def page_join(left: DataFrame, right: DataFrame, keys: list[str], rule: Callable[[G.Box, G.Box], Column], how: str = "inner") -> DataFrame:
@@ -49,33 +73,38 @@ def page_join(left: DataFrame, right: DataFrame, keys: list[str], rule: Callable
     return left.join(r, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def words_outside(words: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+def _join(dense: bool) -> Callable[..., DataFrame]:
+    """How boxes of a page meet: all of them, or by cells of a grid where pages are dense."""
+    return grid_join if dense else page_join
+
+
+def words_outside(words: DataFrame, regions: DataFrame, keys: list[str], dense: bool = False) -> DataFrame:
     """Words whose centre lies in no region."""
-    return page_join(words, regions, keys, G.center_in, "left_anti")
+    return _join(dense)(words, regions, keys, G.center_in, "left_anti")
 
 
-def words_in_cells(words: DataFrame, cells: DataFrame, keys: list[str], cell: list[str], tile: int | None = None) -> DataFrame:
+def words_in_cells(words: DataFrame, cells: DataFrame, keys: list[str], cell: list[str], dense: bool = False) -> DataFrame:
     """For each cell: the words centred in it, in reading order, and their mean confidence."""
-    met = tiled_join(words, cells, keys, G.center_in, tile) if tile else page_join(words, cells, keys, G.center_in)
+    met = _join(dense)(words, cells, keys, G.center_in)
     order = F.array_sort(F.collect_list(F.struct(F.bround(F.col("y1") / 8).alias("y"), F.col("x1"), F.col("text"))))
     return met.groupBy(*keys, *cell).agg(F.array_join(F.transform(order, lambda w: w["text"]), " ").alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"))
 
 
-def not_covered(rows: DataFrame, regions: DataFrame, keys: list[str], share: float) -> DataFrame:
+def not_covered(rows: DataFrame, regions: DataFrame, keys: list[str], share: float, dense: bool = False) -> DataFrame:
     """Rows of which no region covers more than ``share``."""
-    return page_join(rows, regions, keys, lambda a, b: G.overlap_of(a, b) > share, "left_anti")
+    return _join(dense)(rows, regions, keys, lambda a, b: G.overlap_of(a, b) > share, "left_anti")
 
 
-def overlapping(rows: DataFrame, regions: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
+def overlapping(rows: DataFrame, regions: DataFrame, keys: list[str], share: float = 0.3, dense: bool = False) -> DataFrame:
     """Rows of which some region covers at least ``share``."""
-    return page_join(rows, regions, keys, lambda a, b: G.overlap_of(a, b) >= share, "left_semi")
+    return _join(dense)(rows, regions, keys, lambda a, b: G.overlap_of(a, b) >= share, "left_semi")
 
 
-def claimed(tiers: list[DataFrame], keys: list[str], share: float = 0.3) -> DataFrame:
+def claimed(tiers: list[DataFrame], keys: list[str], share: float = 0.3, dense: bool = False) -> DataFrame:
     """Detections by priority: those of a later tier that overlap an earlier one's are dropped."""
     kept = None
     for tier in tiers:
-        fresh = tier if kept is None else not_covered(tier, kept.select(*keys, "x1", "y1", "x2", "y2"), keys, share)
+        fresh = tier if kept is None else not_covered(tier, kept.select(*keys, "x1", "y1", "x2", "y2"), keys, share, dense)
         kept = fresh if kept is None else kept.unionByName(fresh)
     return kept
 

@@ -189,7 +189,7 @@ def word_to_cell(spark, d):
 def word_to_cell_tiled(spark, d):
     """The same by grid cells, as dense pages need it."""
     w = words_of(spark, d)
-    out = spatial.words_in_cells(w, regions_of(w), ["doc_id", "page"], ["r"], tile=256)
+    out = spatial.words_in_cells(w, regions_of(w), ["doc_id", "page"], ["r"], dense=True)
     return out.withColumn("confidence", F.round("confidence", 9))
 
 
@@ -357,7 +357,7 @@ def register_summary(spark, d):
 @query("SELECT s_suppkey, 'D-' || (2000 + row_number() OVER (ORDER BY s_name, s_suppkey))::VARCHAR AS number FROM supplier")
 def next_numbers(spark, d):
     held = table(spark, d, "part").select(F.concat(F.lit("D-"), (F.col("p_partkey") % 2001).cast("string")).alias("number")).union(spark.range(1).select(F.lit("D-2000")))
-    return service.next_numbers(table(spark, d, "supplier").select("s_suppkey", "s_name"), held, "number", "D", 1, [F.asc("s_name"), F.asc("s_suppkey")], F.substring("s_name", 1, 14)).select("s_suppkey", "number")
+    return service.next_numbers(table(spark, d, "supplier").select("s_suppkey", "s_name"), held, "number", "D", 1, [F.asc("s_name"), F.asc("s_suppkey")]).select("s_suppkey", "number")
 
 
 @query("SELECT p_partkey, (row_number() OVER (ORDER BY 'd-' || p_partkey::VARCHAR))::INTEGER AS serial FROM part")

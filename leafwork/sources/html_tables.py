@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.session import ship
@@ -82,3 +82,31 @@ def table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c != html]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
     return pages.select(*keep, F.col(html).alias("_html")).mapInPandas(run, fields + FIELDS)
+
+
+class HtmlCells:
+    """The cells of the tables of a page, as a table function.
+
+    Lateral: SELECT ... FROM pages, LATERAL html_cells(html).  By partitions:
+    SELECT * FROM html_cells(TABLE(SELECT page_id, html FROM pages) PARTITION BY page_id), where
+    table_no goes on from one row of a partition to the next, as in one page sent in parts.
+    Null or plain text has no cells; nested tables and ones that are never closed are found."""
+
+    def __init__(self):
+        self.tables = 0
+
+    def eval(self, page):
+        html = page if page is None or isinstance(page, str) else page["html"]
+        found = grid(html) if html and "<t" in html.lower() else []
+        for table_no, *rest in found:
+            yield (self.tables + table_no, *rest)
+        self.tables += max((c[0] for c in found), default=-1) + 1
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes html_cells(page), and org_fuzzy(text) of the cover reader, callable from SQL."""
+    from leafwork.operators.covers import org_fuzzy
+
+    ship(spark)
+    spark.udtf.register("html_cells", F.udtf(HtmlCells, returnType=FIELDS))
+    spark.udf.register("org_fuzzy", org_fuzzy)

@@ -85,19 +85,49 @@ def words(spark, seed=1, pages=3, n=60):
     return rows, spark.createDataFrame(rows, "doc_id long, page int, wi int, text string, x1 long, y1 long, x2 long, y2 long, confidence double")
 
 
-def test_tiled_join_equals_page_join(spark):
+def test_grid_join_equals_page_join(spark):
     _, a = words(spark, 1)
     _, b = words(spark, 2)
     b = b.select("doc_id", "page", F.col("wi").alias("j"), "x1", "y1", "x2", "y2")
     rule = lambda p, q: G.intersection(p, q) > 0
     keys = ["doc_id", "page"]
     want = sorted(map(tuple, spatial.page_join(a, b, keys, rule).select("page", "wi", "j").collect()))
-    assert want and sorted(map(tuple, spatial.tiled_join(a, b, keys, rule, tile=64).select("page", "wi", "j").collect())) == want
+    assert want and sorted(map(tuple, spatial.grid_join(a, b, keys, rule).select("page", "wi", "j").collect())) == want
     for how in ("left_semi", "left_anti"):
-        got = sorted(map(tuple, spatial.tiled_join(a, b, keys, rule, 64, how).select("page", "wi").collect()))
+        got = sorted(map(tuple, spatial.grid_join(a, b, keys, rule, how).select("page", "wi").collect()))
         assert got == sorted(map(tuple, spatial.page_join(a, b, keys, rule, how).select("page", "wi").collect()))
 
 
+def test_grid_join_on_boxes_of_all_sizes(spark):
+    """Points, page-sized boxes, boxes at cells' edges and left of the page; each pair once, nothing listed more than four times a level."""
+    r, rows = random.Random(6), []
+    for i in range(400):
+        side = r.choice([0, 1, 15, 16, 17, 64, 300, 2000])
+        x, y = r.choice([r.randrange(-50, 2000), 16 * r.randrange(100)]), r.choice([r.randrange(-50, 2000), 64 * r.randrange(20)])
+        rows.append((1, i % 2, i, f"w{i}", x, y, x + side, y + r.choice([side, side // 2]), 0.5))
+    kind = "doc_id long, page int, wi int, text string, x1 long, y1 long, x2 long, y2 long, confidence double"
+    a, b = spark.createDataFrame(rows[:200], kind), spark.createDataFrame(rows[200:], kind).select("doc_id", "page", F.col("wi").alias("j"), "x1", "y1", "x2", "y2")
+    keys = ["doc_id", "page"]
+    touch = lambda p, q: (p.x1 <= q.x2) & (q.x1 <= p.x2) & (p.y1 <= q.y2) & (q.y1 <= p.y2)
+    for rule in (touch, G.center_in, lambda p, q: G.overlap_of(p, q) >= 0.3):
+        want = sorted(map(tuple, spatial.page_join(a, b, keys, rule).select("page", "wi", "j").collect()))
+        assert want and sorted(map(tuple, spatial.grid_join(a, b, keys, rule).select("page", "wi", "j").collect())) == want
+        for how in ("left_semi", "left_anti"):
+            assert sorted(r.wi for r in spatial.grid_join(a, b, keys, rule, how).collect()) == sorted(r.wi for r in spatial.page_join(a, b, keys, rule, how).collect())
+    tiers = [a.drop("text"), b.withColumnRenamed("j", "wi").withColumn("confidence", F.lit(0.1))]
+    assert sorted(r.wi for r in spatial.claimed(tiers, keys, dense=True).collect()) == sorted(r.wi for r in spatial.claimed(tiers, keys).collect())
+    assert sorted(r.wi for r in spatial.words_outside(a, b, keys, dense=True).collect()) == sorted(r.wi for r in spatial.words_outside(a, b, keys).collect())
+
+
+def test_grid_join_on_a_dense_page(spark):
+    """A page of a hundred thousand words and some regions of all sizes: pairs by arithmetic."""
+    w = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("wi"), (F.col("id") % 400 * 10).alias("x1"), (F.floor(F.col("id") / 400) * 12).alias("y1")).withColumns({"x2": F.col("x1") + 8, "y2": F.col("y1") + 10})
+    regions = spark.createDataFrame([(1, 0, 0, 0, 4000, 3000), (1, 1, 100, 120, 199, 131), (1, 2, 5, 5, 5, 5), (1, 3, 2000, 0, 2999, 1199)], "doc_id int, r int, x1 long, y1 long, x2 long, y2 long")
+    got = {r["r"]: r["count"] for r in spatial.grid_join(w, regions, ["doc_id"], G.center_in).groupBy("r").count().collect()}
+    assert got == {0: 100_000, 1: 10, 3: 100 * 100}
+    assert spatial.words_outside(w, regions.where("r in (1, 3)"), ["doc_id"], dense=True).count() == 100_000 - 10_010
+
+
 def share(a, b):
     w, h = min(a[6], b[6]) - max(a[4], b[4]), min(a[7], b[7]) - max(a[5], b[5])
     return max(0, w) * max(0, h)
