@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from leafwork import schemas
 from leafwork.functions.text import confidence_tier, needs_review
-from leafwork.operators import bands, batches, edits, layout, registers, service
+from leafwork.operators import bands, batches, edits, layout, page_plan, registers, service
+from leafwork.session import cut
 from leafwork.sources import office
+from leafwork.sources.page_store import PageStore
 from leafwork.sources.stores import Store
 
 # Where files of a document are kept.
@@ -26,6 +28,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._store: PageStore | None = None
 
     def _exists(self, name: str) -> bool:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -114,10 +117,48 @@ class Engine:
     def pages(self) -> DataFrame:
         return layout.page_ir(self.blocks())
 
-    def quality(self) -> DataFrame:
-        """Each document's mean confidence, its tier and whether it needs a review."""
+    def quality(self, similarity: DataFrame | None = None) -> DataFrame:
+        """Each document's mean confidence, its similarity (doc_id, similarity) to what is
+        made of it where that is given, its tier and whether it needs a review."""
         q = self.blocks().groupBy("doc_id").agg(F.avg("confidence").alias("confidence"))
-        return q.select("doc_id", "confidence", confidence_tier(F.col("confidence")).alias("tier"), needs_review(F.col("confidence"), F.lit(None).cast("double")).alias("needs_review"))
+        like = similarity.groupBy("doc_id").agg(F.avg("similarity").alias("similarity")) if similarity is not None else None
+        q = q.withColumn("similarity", F.lit(None).cast("double")) if like is None else q.join(like, "doc_id", "left")
+        return q.select("doc_id", "confidence", "similarity", confidence_tier(F.col("confidence")).alias("tier"), needs_review(F.col("confidence"), F.col("similarity")).alias("needs_review"))
+
+    @property
+    def store(self) -> PageStore:
+        """The versioned store of pages and their results."""
+        if self._store is None:
+            self._store = PageStore(self.spark, f"{self.root}/page_store")
+        return self._store
+
+    def process_pages(self, texts: DataFrame, config: str) -> int:
+        """Derives words, tables, blocks and cells of the pages of documents (doc_id, text)
+        that have none under this configuration, and replaces their results in one commit;
+        returns how many pages that were.  A run that broke off is taken up by pages."""
+        words = layout.word_boxes(texts, by_page=True)
+        todo = self.store.pending(words.select("doc_id", "page").distinct(), config)
+        todo = cut(todo, "pending-pages")
+        n = todo.count()
+        if n:
+            words = cut(words.join(todo, ["doc_id", "page"], "left_semi"), "pending-words")
+            sizes = layout.page_sizes(words)
+            cells = cut(bands.borderless_tables(words, sizes), "pending-cells")
+            hull = [f(c).alias(c) for c, f in (("x1", F.min), ("y1", F.min), ("x2", F.max), ("y2", F.max))]
+            tables = cells.groupBy("doc_id", "page", "table_no").agg(*hull, F.max("table_confidence").alias("confidence")).withColumn("method", F.lit("words"))
+            found = page_plan.elements(words, sizes, [tables])
+            self.store.replace(sizes.withColumn("config_hash", F.lit(config)), words=words, blocks=found, tables=tables, cells=cells.drop("table_confidence"))
+        return n
+
+    def trees(self, version: int | None = None) -> DataFrame:
+        """The nested tree of each page, as of a version of the store."""
+        return self.store.trees(version)
+
+    def edit_cells(self, patches: DataFrame) -> int:
+        return self.store.edit_cells(patches)
+
+    def edit_blocks(self, patches: DataFrame) -> int:
+        return self.store.edit_blocks(patches)
 
     def edit_table(self, cells: DataFrame, operation: str, argument) -> DataFrame:
         return edits.edit(cells, operation, argument)

@@ -3,7 +3,12 @@ Spark reaches.  The scheme chooses the connector; nothing else differs."""
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import mimetypes
+import uuid
+from datetime import UTC, datetime
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +29,21 @@ def resolve(root: str) -> str:
     return f"{scheme}://{rest.rstrip('/')}"
 
 
+def presigned(host: str, path: str, key: str, secret: str, region: str, seconds: int, now: datetime) -> str:
+    """An address of an object that anyone may get for some seconds, by the public fourth
+    version of the signature: its query is signed with a key derived from day, region and service."""
+    at = now.strftime("%Y%m%dT%H%M%SZ")
+    scope = f"{at[:8]}/{region}/s3/aws4_request"
+    fields = {"X-Amz-Algorithm": "AWS4-HMAC-SHA256", "X-Amz-Credential": f"{key}/{scope}", "X-Amz-Date": at, "X-Amz-Expires": str(seconds), "X-Amz-SignedHeaders": "host"}
+    query = "&".join(f"{k}={quote(v, safe='')}" for k, v in sorted(fields.items()))
+    request = "\n".join(["GET", quote(path), query, f"host:{host}", "", "host", "UNSIGNED-PAYLOAD"])
+    signed = "\n".join(["AWS4-HMAC-SHA256", at, scope, hashlib.sha256(request.encode()).hexdigest()])
+    own = f"AWS4{secret}".encode()
+    for part in scope.split("/"):
+        own = hmac.new(own, part.encode(), hashlib.sha256).digest()
+    return f"https://{host}{quote(path)}?{query}&X-Amz-Signature={hmac.new(own, signed.encode(), hashlib.sha256).hexdigest()}"
+
+
 class Store:
     """Files below a root; paths that would leave it are refused."""
 
@@ -40,14 +60,31 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(self.url_for(path))
 
     def write(self, path: str, data: bytes) -> str:
-        """Puts a file in place of the one that is there; readers see one or the other."""
-        out = self._fs.create(self._at(path), True)
+        """Puts a file in place of the one that is there: it is written beside it and then
+        renamed, so readers see one or the other where the file system renames at once."""
+        place = self._at(path)
+        new = self._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+        out = self._fs.create(new, False)
         try:
             out.write(bytearray(data))
         finally:
             out.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(context.makeQualified(new), context.makeQualified(place), options)
         return path
 
+    def address(self, path: str, seconds: int = 3600, key: str = "", secret: str = "", region: str = "us-east-1", endpoint: str | None = None) -> str:
+        """Where a client gets a file: below /files for folders, a signed address that ends
+        after some seconds for buckets."""
+        scheme, _, rest = self.url_for(path).partition("://")
+        if scheme != "s3a":
+            return "/files/" + quote(self.url_for(path)[len(self.root) :].lstrip("/"))
+        bucket, _, name = rest.partition("/")
+        host, place = (f"{bucket}.s3.{region}.amazonaws.com", f"/{name}") if endpoint is None else (endpoint, f"/{bucket}/{name}")
+        return presigned(host, place, key, secret, region, seconds, datetime.now(UTC))
+
     def read(self, path: str) -> bytes:
         rows = self.spark.read.format("binaryFile").load(self.url_for(path)).select("content").head(1)
         if not rows:

@@ -32,9 +32,12 @@ def sniff(ext: Column, content: Column) -> Column:
 
 
 def pdf_pages(content: Column) -> Column:
-    """How many pages a PDF's page tree counts; null where it is packed away."""
-    found = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"/Count\s+(\d{1,7})"), F.lit(1))
-    return F.array_max(F.transform(found, lambda n: n.cast("int")))
+    """How many pages the root of a PDF's page tree counts, of several the largest; null
+    where the tree is packed away in object streams.  Counts of outlines are none of it."""
+    objects = F.filter(F.split(F.decode(content, "ISO-8859-1"), "endobj"), lambda o: o.rlike(r"/Type\s*/Pages(?![A-Za-z])"))
+    # an object's text begins at its last "obj", as what precedes it in the file may be anything
+    roots = F.filter(F.transform(objects, lambda o: F.element_at(F.split(o, r"\bobj\b"), -1)), lambda o: ~o.rlike(r"/Parent(?![A-Za-z])"))
+    return F.array_max(F.transform(roots, lambda o: F.nullif(F.regexp_extract(o, r"/Count\s+(\d{1,7})", 1), F.lit("")).cast("int")))
 
 
 def validate(files: DataFrame, most_mb: int = MOST_MB) -> DataFrame:

@@ -1,20 +1,11 @@
-"""Streams of progress events: job states, time-outs, sessions and register appends."""
+"""Streams of progress events: reading, sessions and windows.  Job states and the register
+are in job_states.py and register_stream.py, messages in sources/progress_source.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.session import ship
-
-#: Terminal states, and how long a silent job is believed.
-TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
-SILENCE_MS = 900_000
-STATE = "status string, stage string, percent int, started_at timestamp, finished_at timestamp, updated_at timestamp, n_events long"
-
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream of event files; their times become timestamps, which watermarks need."""
@@ -27,37 +18,6 @@ def parse_events(raw: DataFrame, schema: str, column: str = "value") -> DataFram
     return raw.select(F.from_json(F.col(column).cast("string"), schema).alias("e")).where("e is not null").select("e.*")
 
 
-def job_states(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The state of each job after each batch of its events (job_id, ts, status, stage,
-    percent): it starts with the first event, moves forward only, ends in a
-    terminal state and stays there; without an event for SILENCE_MS of event time it fails."""
-    ship(events.sparkSession)
-    rows = events.withWatermark("ts", delay)
-
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [None, None, 0, None, None, None, 0]
-        if state.hasTimedOut:
-            if held[0] not in TERMINAL:
-                held[0], held[4] = "FAILED", held[5]
-            state.remove()
-        else:
-            found = pd.concat(list(batches)).sort_values(["ts", "percent"])
-            for e in found.itertuples():
-                held[6] += 1
-                if held[0] in TERMINAL:
-                    continue
-                held[3] = held[3] if held[3] is not None else e.ts.to_pydatetime()
-                held[0], held[1], held[2], held[5] = e.status, e.stage, max(held[2], int(e.percent)), e.ts.to_pydatetime()
-                if e.status in TERMINAL:
-                    held[4] = e.ts.to_pydatetime()
-            state.update(tuple(held))
-            mark = max(state.getCurrentWatermarkMs(), int(held[5].timestamp() * 1000))
-            state.setTimeoutTimestamp(mark + SILENCE_MS)
-        yield pd.DataFrame([[key[0], *held]], columns=["job_id", *[f.split()[0] for f in STATE.split(", ")]])
-
-    return rows.groupBy("job_id").applyInPandasWithState(update, f"job_id long, {STATE}", STATE, "update", "EventTimeTimeout")
-
-
 def sessions(events: DataFrame, key: str = "user_id", gap: str = "30 minutes", delay: str | None = "1 hour") -> DataFrame:
     """Runs of events with no pause of ``gap``: batch or stream."""
     rows = events.withWatermark("ts", delay) if delay else events
@@ -71,37 +31,6 @@ def windows(events: DataFrame, size: str = "1 hour", delay: str | None = "1 hour
     return rows.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def append_register(events: DataFrame, path: str, checkpoint: str, number: str = "number"):
-    """Appends finished documents to the register at path, one file set a batch.  A
-    number that the register or the batch has already is skipped, so a batch that
-    is run again after a failure adds nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumn("_k", F.lower(F.trim(number))).dropDuplicates(["_k"])
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            fresh = fresh.join(spark.read.parquet(path).select(F.lower(F.trim(number)).alias("_k")), "_k", "left_anti")
-        fresh.drop("_k").write.mode("append").parquet(path)
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def publish(events: DataFrame, path: str, checkpoint: str, key: str = "job_id"):
-    """Sends events as JSON messages (channel, value) to files below path, a batch at a
-    time.  Progress is best effort: a batch that cannot be sent is dropped and the
-    stream goes on."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        try:
-            batch.select(F.concat(F.lit("doc_progress:"), F.col(key).cast("string")).alias("channel"), F.to_json(F.struct(*batch.columns)).alias("value")).write.mode("append").parquet(path)
-        except Exception:  # noqa: BLE001  see above
-            return
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there into an in-memory table and returns it."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -230,15 +230,16 @@ def test_resources(tmp_path):
 
 
 def test_progress_is_published(spark, tmp_path):
-    from leafwork.streaming import jobs
+    from leafwork.sources import progress_source
 
-    src = f"file://{tmp_path}/in"
-    spark.createDataFrame([(1, "COMPLETED", 100)], "job_id long, status string, percent int").write.parquet(src)
-    stream = spark.readStream.schema("job_id long, status string, percent int").parquet(src)
-    q = jobs.publish(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/c")
+    progress_source.register_source(spark)
+    src, kind = f"file://{tmp_path}/in", "document_id long, job_id long, status string, percent int"
+    spark.createDataFrame([(7, 1, "COMPLETED", 100)], kind).write.parquet(src)
+    stream = spark.readStream.schema(kind).parquet(src)
+    q = stream.writeStream.format("progress").option("path", f"{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    r = spark.read.parquet(f"file://{tmp_path}/out").first()
-    assert r.channel == "doc_progress:1" and json.loads(r.value) == {"job_id": 1, "status": "COMPLETED", "percent": 100}
+    r = spark.read.format("progress").option("path", f"{tmp_path}/out").load().first()
+    assert (r.document_id, r.job_id, r.status, r.percent, r.stage) == ("7", "1", "COMPLETED", 100, None)
 
 
 def test_engine_facade(spark, sf, tmp_path):
