@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.operators import layout, page_plan, spatial
-from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, TYPED, WORDS, query, regions_of, words_of
-from leafwork.session import scratch_dir
+from leafwork.operators import changes, covers, layout, page_plan, spatial
+from leafwork.operators.numbering import number_rows
+from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, SQL, TYPED, WORDS, cells_of, query, regions_of, words_of
+from leafwork.session import cut, scratch_dir, table
+from leafwork.sources import html_tables
 from leafwork.sources.page_store import PageStore
 
 PAGE = ["doc_id", "page"]
@@ -65,7 +67,7 @@ FROM parts p LEFT JOIN rows t ON t.doc_id = p.doc_id AND t.page = p.page AND t.t
 @query(PAGE_TREE)
 def page_tree(spark, d):
     """Pages with text, tables, rules and pictures, stored and read back as trees: their types in reading order, and digests of their texts and cells."""
-    words = words_of(spark, d)
+    words = cut(words_of(spark, d), "words")
     sizes, parts = layout.page_sizes(words), page_parts(words)
     found = page_plan.elements(words, sizes, parts["tiers"], parts["rules"], parts["regions"])
     store = PageStore(spark, f"{scratch_dir(spark)}/pages-{uuid.uuid4().hex[:12]}", 8)
@@ -78,3 +80,62 @@ def tree_digests(trees: DataFrame) -> DataFrame:
     cells = lambda b: F.array_join(F.transform(F.flatten(F.transform(b["table"]["rows"], lambda r: r["cells"])), lambda c: c["text"]), "|")
     tables = F.transform(F.filter("blocks", lambda b: b["type"] == "TABLE"), cells)
     return trees.select(*PAGE, F.size("blocks").cast("long").alias("n_blocks"), F.array_join(F.transform("blocks", lambda b: b["type"]), ",").alias("types"), F.md5(F.array_join(texts, "\n")).alias("text_md5"), F.md5(F.array_join(tables, "\n")).alias("tables_md5"))
+
+
+# ------------------------------------------------- dense pages, ranges, changes, functions
+@query(SQL["overlap_anti"])
+def overlap_anti_dense(spark, d):
+    """By a grid of levels, as dense pages need it."""
+    w = words_of(spark, d)
+    return spatial.not_covered(w, regions_of(w), PAGE, 0.3, dense=True).select(*PAGE, "li", "wi")
+
+
+@query(SQL["overlap_semi"])
+def overlap_semi_dense(spark, d):
+    w = words_of(spark, d)
+    return spatial.overlapping(w, regions_of(w), PAGE, dense=True).select(*PAGE, "li", "wi")
+
+
+@query(SQL["claimed_regions"])
+def claimed_regions_dense(spark, d):
+    first = regions_of(words_of(spark, d))
+    move = {"x1": 100, "x2": 100, "y1": 60, "y2": 60}
+    second = first.select(*PAGE, (F.col("r") + 10).alias("r"), *[(F.col(c) + move[c]).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return spatial.claimed([first, second], PAGE, dense=True).select(*PAGE, "r")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS number FROM orders")
+def numbers_by_range(spark, d):
+    """Numbers of all orders by a text of five values first, of which one range could hold no more than its share."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return number_rows(o, [F.asc("o_orderpriority"), F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "number")
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance FROM customer), b AS (SELECT k, CASE WHEN balance < 0 THEN upper(name) || ' X' ELSE name END AS name, balance FROM a WHERE k % 7 <> 0 UNION ALL SELECT k + 10000000, name, balance FROM a WHERE k % 11 = 0)
+SELECT b.k, b.name, CASE WHEN a.k IS NULL THEN 'added' ELSE 'changed' END AS _change FROM b LEFT JOIN a ON a.k = b.k WHERE a.k IS NULL OR a.name <> b.name UNION ALL SELECT a.k, a.name, 'gone' FROM a WHERE k % 7 = 0""")
+def change_feed(spark, d):
+    """What differs between two versions of a table of customers."""
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    b = a.where("k % 7 <> 0").withColumn("name", F.when(F.col("balance") < 0, F.concat(F.upper("name"), F.lit(" X"))).otherwise(F.col("name")))
+    b = b.union(a.where("k % 11 = 0").withColumn("k", F.col("k") + 10000000))
+    return changes.changes(a, b, ["k"]).select("k", "name", "_change")
+
+
+@query(SQL["html_cells"].replace("SELECT DISTINCT table_id AS page_id, 0 AS row", "SELECT DISTINCT table_id AS page_id, 0 AS table_no, 0 AS row").replace("UNION ALL SELECT table_id, r + 1", "UNION ALL SELECT table_id, 0, r + 1"))
+def html_cells_lateral(spark, d):
+    """The cells of html_cells by the table function, called for each page from SQL."""
+    html_tables.register_functions(spark)
+    c = cells_of(spark, d).withColumn("td", F.concat(F.when(F.col("column") == 0, "<td colspan=2> ").otherwise("<td>"), F.col("text"), F.lit("</td>")))
+    row = c.groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "td"))), lambda x: x["td"]), "").alias("tr"))
+    body = row.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "tr"))), lambda x: F.concat(F.lit("<tr>"), x["tr"], F.lit("</tr>"))), "\n").alias("body"))
+    head = F.concat(F.lit("<p>x</p><TABLE><tr><th colspan='4'>orders of "), F.col("table_id").cast("string"), F.lit("</th></tr>"))
+    body.select(F.col("table_id").alias("page_id"), F.concat(head, "body", F.lit("</TABLE>")).alias("html")).createOrReplaceTempView("html_of_orders")
+    return spark.sql("SELECT page_id, c.* FROM html_of_orders, LATERAL html_cells(html) AS c")
+
+
+@query(f"""WITH {WORDS}, l AS (SELECT doc_id, page, li, string_agg(text, ' ' ORDER BY x1, wi) AS text, min(y1)::DOUBLE AS y1, max(y1 + font_size)::DOUBLE AS y2, coalesce(max(font_size) FILTER (regexp_matches(text, '[\\p{{L}}\\p{{N}}]')), 0)::DOUBLE AS h, avg(y1 + font_size / 2.0) AS yc
+FROM words WHERE page < 3 AND trim(text) <> '' GROUP BY 1, 2, 3) SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY yc) - 1)::INTEGER AS k, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') AS text, y1, y2, h FROM l""")
+def cover_lines(spark, d):
+    """The lines of the first three pages of each document, of words whose height is their lettering."""
+    w = words_of(spark, d).withColumn("y2", F.col("y1") + F.col("font_size"))
+    return covers.cover_lines(w.where(F.col("page") < covers.TITLE_PAGES))

@@ -96,11 +96,13 @@ class HtmlCells:
         self.tables = 0
 
     def eval(self, page):
-        html = page if page is None or isinstance(page, str) else page["html"]
+        # a lateral call is a page of its own, though one instance may serve many
+        part = page is not None and not isinstance(page, str)
+        html = page["html"] if part else page
         found = grid(html) if html and "<t" in html.lower() else []
         for table_no, *rest in found:
             yield (self.tables + table_no, *rest)
-        self.tables += max((c[0] for c in found), default=-1) + 1
+        self.tables += part * (max((c[0] for c in found), default=-1) + 1)
 
 
 def register_functions(spark: SparkSession) -> None:

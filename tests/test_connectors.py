@@ -154,7 +154,7 @@ def test_html_cells_from_sql(spark):
     html_tables.register_functions(spark)
     nested = "<table><tr><td>a<table><tr><td>inner</td></tr></table></td><td rowspan=2>b</td></tr><tr><td>c</table>"
     open_ = "<p>x</p><table><tr><th colspan='2'>head<tr><td>1<td>2"
-    pages = spark.createDataFrame([(1, nested), (2, open_), (3, None), (4, "no table"), (5, "<table></table>")], "page_id int, html string")
+    pages = spark.createDataFrame([(1, nested), (2, open_), (3, None), (4, "no table"), (5, "<table></table>")], "page_id int, html string").coalesce(1)
     pages.createOrReplaceTempView("html_pages")
     want = sorted(map(tuple, html_tables.table_cells(pages).collect()))
     got = spark.sql("SELECT page_id, c.* FROM html_pages, LATERAL html_cells(html) AS c")
