@@ -4,10 +4,12 @@ A store is a folder of immutable shards (Parquet files) and of manifests.
 Arrivals are appended as small shards.  Compaction groups shards by size tier
 and merges each run of similar size into one file of about the target size; it reads
 and writes whole files by DataFrame jobs without a shuffle.  A manifest lists
-the shards of one version.  It is written beside its place and put there by a
-rename that fails if that version exists, so a reader sees one version or the
-next, and of two writers one must start again.  The driver holds manifests,
-that is names and sizes of files, never rows.
+the segments of one version, and a segment some thousand shards; segments are
+immutable, so a commit writes those that changed and the list of their names.  A
+manifest is written beside its place and put there by a rename that fails if that
+version exists, so a reader sees one version or the next, and of two writers one
+must start again; on object stores whose connector copies instead of renaming,
+writers must take turns.  The driver holds names and sizes of files, never rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from leafwork.llm.common import scratch_dir
 TARGET_BYTES, FAN = 64 << 20, 4
 #: Runs that one job merges; a bound on the size of a plan.
 RUNS_A_JOB = 128
+#: Shards that a segment of a manifest lists at most; segments of less than a quarter of it are joined when there are as many as this share.
+SEGMENT, SMALL_SEGMENTS = 4096, 16
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,7 @@ class ShardStore:
         self.jvm = spark.sparkContext._jvm
         self.hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self._path(self.root).getFileSystem(self.hadoop)
+        self._known: dict[str, list[Shard]] = {}  # segments that were read or written; they never change
 
     def _path(self, p: str):
         return self.jvm.org.apache.hadoop.fs.Path(p)
@@ -65,33 +70,65 @@ class ShardStore:
         names = [s.getPath().getName() for s in self.fs.listStatus(where)] if self.fs.exists(where) else []
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def _json(self, path: str) -> dict:
+        stream = self.fs.open(self._path(path))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _write(self, path: str, value: dict):
+        place = self._path(path)
+        out = self.fs.create(place, False)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        return place
+
+    def segments(self, version: int) -> list[str]:
+        """The names of the segments that a version lists."""
+        return self._json(f"{self.root}/manifests/{version:020d}.json")["segments"] if version else []
+
+    def segment(self, name: str) -> list[Shard]:
+        if name not in self._known:
+            self._known[name] = [Shard(**s) for s in self._json(f"{self.root}/segments/{name}")["shards"]]
+        return self._known[name]
+
     def manifest(self, version: int | None = None) -> tuple[int, str | None, list[Shard]]:
         """(version, schema, shards); version 0 is the empty store."""
         version = max(self.versions(), default=0) if version is None else version
         if not version:
             return 0, None, []
-        stream = self.fs.open(self._path(f"{self.root}/manifests/{version:020d}.json"))
-        try:
-            text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        found = json.loads(text)
-        return version, found["schema"], [Shard(**s) for s in found["shards"]]
+        found = self._json(f"{self.root}/manifests/{version:020d}.json")
+        return version, found["schema"], [s for name in found["segments"] for s in self.segment(name)]
 
     def commit(self, base: int, schema: str, shards: list[Shard]) -> int:
-        """Puts version base + 1 in place, or raises Conflict if it is there."""
+        """Puts version base + 1 in place, or raises Conflict if it is there.  Segments of the
+        version before whose shards all stay are taken over; only the others are written."""
+        rest = {s.path: s for s in shards}
+        kept = [name for name in self.segments(base) if base in self.versions() and all(rest.get(s.path) == s for s in self.segment(name))]
+        small = [name for name in kept if len(self.segment(name)) < SEGMENT // 4]
+        if len(small) >= SMALL_SEGMENTS:
+            kept = [name for name in kept if name not in small]
+        for name in kept:
+            for s in self.segment(name):
+                del rest[s.path]
+        new, left = [], list(rest.values())
+        for at in range(0, len(left), SEGMENT):
+            name = f"{uuid.uuid4().hex}.json"
+            self._write(f"{self.root}/segments/{name}", {"shards": [asdict(s) for s in left[at : at + SEGMENT]]})
+            self._known[name] = left[at : at + SEGMENT]
+            new.append(name)
         folder = f"{self.root}/manifests"
-        self.fs.mkdirs(self._path(folder))
-        final, temporary = self._path(f"{folder}/{base + 1:020d}.json"), self._path(f"{folder}/.{uuid.uuid4().hex}.tmp")
-        out = self.fs.create(temporary, False)
-        out.write(bytearray(json.dumps({"schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
-        out.close()
+        final = self._path(f"{folder}/{base + 1:020d}.json")
+        temporary = self._write(f"{folder}/.{uuid.uuid4().hex}.tmp", {"schema": schema, "segments": [*kept, *new]})
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.hadoop)
         try:
             # without OVERWRITE this fails if the version exists
             context.rename(temporary, final, self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Exception as e:
             self.fs.delete(temporary, False)
+            for name in new:
+                self.fs.delete(self._path(f"{self.root}/segments/{name}"), False)
             if base + 1 in self.versions():
                 raise Conflict(f"version {base + 1} exists") from e
             raise
@@ -111,7 +148,10 @@ class ShardStore:
         of a column ``arrival``, each of its values is an arrival with shards and
         a version of its own: one job writes them all, and they are committed one
         after the other in order of their folders' names.  ``then`` runs after
-        each commit.  Returns the last version."""
+        each commit.  Returns the last version.
+
+        Rows are kept as they are, nulls, repeated ones and long texts included; rows whose
+        arrival is null are one arrival.  An empty df is a version with nothing new."""
         folder, part = f"{self.root}/shards/{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
         writer = df.withColumn(part, F.col(arrival)).write.partitionBy(part) if arrival else df.write
         writer.parquet(folder)
@@ -195,12 +235,17 @@ class ShardStore:
         return [*[s for s in held if s.path not in gone], *new]
 
     def vacuum(self, keep_versions: int = 1) -> None:
-        """Deletes manifests but the last ones, and shards that those do not list.  Not for use while a writer runs."""
+        """Deletes manifests but the last ones, and segments and shards that those do not list.  Not for use while a writer runs."""
         versions = self.versions()
         keep = versions[-keep_versions:]
         listed = {s.path for v in keep for s in self.manifest(v)[2]}
         for v in versions[:-keep_versions]:
             self.fs.delete(self._path(f"{self.root}/manifests/{v:020d}.json"), False)
+        names = {name for v in keep for name in self.segments(v)}
+        where = self._path(f"{self.root}/segments")
+        for s in self.fs.listStatus(where) if self.fs.exists(where) else []:
+            if s.getPath().getName() not in names:
+                self.fs.delete(s.getPath(), False)
         if self.fs.exists(self._path(f"{self.root}/shards")):
             for s in self._files(f"{self.root}/shards"):
                 if s.path not in listed:
