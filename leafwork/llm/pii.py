@@ -232,7 +232,9 @@ def _patterns() -> list[Column]:
 
 def mask_spans(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; where spans
-    overlap, the first one wins and the rest of the other is dropped.
+    overlap, the first one wins and the rest of the other is dropped.  Null text: null;
+    no spans: the text as it is.  Spans are in order of start; of two with one start the
+    first in the array wins.  Equal spans are replaced once.
 
     The text is cut in runs of spans first, then each run at its spans, so that no
     place of a long text is sought from its beginning once for each span."""

@@ -39,6 +39,11 @@ def load_pieces(path: str) -> dict[str, float]:
 class Counter:
     """Counts the tokens of words under a unigram model.
 
+    The trie of the words is the order in which counts() walks them: ``score`` and
+    ``tokens`` hold the forward score and token count of each prefix on the path to the
+    last word, the node of a word is cut from the path when the next one leaves it, and
+    what stands at a terminal is put into the result.
+
     A character that no piece covers becomes its UTF-8 bytes, each a token with
     the score of ``byte_score``.  Of equally probable sequences the one with
     fewer tokens counts."""
