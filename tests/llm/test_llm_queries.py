@@ -135,6 +135,16 @@ def test_op6(run, spark, sf, tables):
     assert sum(got[i]["predicted"] for i in good) >= 0.98 * len(good)
 
 
+def test_op6_ranks_held_out_rows(run, tables):
+    """Of a held-out row of each label the better one scores higher, nearly always; equal scores count half."""
+    got = by_id(run("op6_quality_classifier"))
+    label = {r["doc_id"]: r["quality"] for r in tables["labels"] if r["doc_id"] in got and brute.held_out(r["doc_id"])}
+    good, bad = ([got[i]["score"] for i, q in label.items() if q == want] for want in (1, 0))
+    assert len(good) > 5 and len(bad) > 1
+    pairs = [(a > b) + 0.5 * (a == b) for a in good for b in bad]
+    assert sum(pairs) / len(pairs) > 0.9
+
+
 def test_op7(run, tables):
     own, got = brute.tokenizer(), by_id(run("op7_byte_bpe"))
     for d in tables["documents"]:
