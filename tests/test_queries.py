@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from leafwork.plans import function_queries, service_queries  # noqa: F401  they add to the queries
+from leafwork.plans import function_queries, page_queries, service_queries  # noqa: F401  they add to the queries
 from leafwork.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
