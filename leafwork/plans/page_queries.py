@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwork.functions import text as T
 from leafwork.operators import changes, covers, layout, page_plan, spatial
 from leafwork.operators.numbering import number_rows
 from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, SQL, TYPED, WORDS, cells_of, query, regions_of, words_of
@@ -139,3 +140,42 @@ def cover_lines(spark, d):
     """The lines of the first three pages of each document, of words whose height is their lettering."""
     w = words_of(spark, d).withColumn("y2", F.col("y1") + F.col("font_size"))
     return covers.cover_lines(w.where(F.col("page") < covers.TITLE_PAGES))
+
+
+_LETTERS, _YEAR, _JOINTS = "length(regexp_replace({}, '[^\\p{{L}}]', '', 'g'))", "'^(1[89][0-9]{2}|20[0-3][0-9])([-–/][0-9]{2,4})?$'", "(" + ", ".join(f"'{c}'" for c in T.CONNECTORS) + ")"
+_TIDY = "trim(substr(regexp_replace(regexp_replace({}, '^[ \\t,;:.\\-–—]+', ''), '[ \\t,;:.\\-–—]+$', ''), 1, 250))"
+_N = {c: _LETTERS.format(c) for c in ("x", "text", "name")}
+_REAL = f"NOT regexp_matches(x, {_YEAR}) AND lower(x) NOT IN {_JOINTS}"
+COVERS = f"""WITH {WORDS},
+_ln AS (SELECT doc_id, page, li, string_agg(text, ' ' ORDER BY x1, wi) AS raw, min(y1)::DOUBLE AS y1, max(y1 + font_size)::DOUBLE AS y2, coalesce(max(font_size) FILTER (regexp_matches(text, '[\\p{{L}}\\p{{N}}]')), 0)::DOUBLE AS h FROM words WHERE page < 3 AND trim(text) <> '' GROUP BY 1, 2, 3),
+_t AS (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y1 + y2) - 1)::INTEGER AS k, y1, y2, h, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS ts FROM _ln),
+_x AS (SELECT *, array_to_string(ts, ' ') AS text, list_filter(ts, lambda x: regexp_matches(x, {_YEAR})) AS ys, list_filter(ts, lambda x: {_N['x']} > 0 AND {_REAL}) AS alpha FROM _t),
+_s AS (SELECT *, {_N['text']} >= 4 AND len(list_filter(ts, lambda x: {_N['x']} >= 3)) > 0 AS big, regexp_matches(regexp_replace(upper(text), '[^\\p{{L}}]', '', 'g'), '{"|".join(T.ORG_KEYWORDS)}') AS org,
+ len(alpha) = 0 OR len(list_filter(alpha, lambda x: {_N['x']} >= 3)) >= 0.6 * len(alpha) AS clean, {_TIDY.format("string_split(text, ',')[1]")} AS name,
+ CASE WHEN len(list_filter(ts, lambda x: {_REAL} AND {_N['x']} > 1)) > 0 OR len(ys) = 0 THEN NULL WHEN len(ys) = 1 THEN ys[1] ELSE ys[1] || CASE WHEN len(list_filter(ys, lambda x: regexp_matches(x, '[-–/]'))) = len(ys) THEN ' to ' ELSE '-' END || ys[2] END AS year,
+ regexp_matches(text, '(?i)^\\s*by[:.]?\\s*$') AS by, regexp_matches(text, '(?i)^\\s*(and|&)\\s*$') AS joint FROM _x),
+w AS (SELECT *, y1 - lag(y2) OVER p AS above, lead(y1) OVER p - y2 AS below, lag(h) OVER p AS prev, CASE WHEN {_N['name']} >= 3 THEN name END AS author FROM _s WINDOW p AS (PARTITION BY doc_id, page ORDER BY k)),
+_m AS (SELECT doc_id, page, count(*) AS n, max(h) FILTER (big AND NOT org AND y1 < 680) AS top, max(h) FILTER (big AND NOT org) / 800.0 AS share FROM w GROUP BY 1, 2),
+_a AS (SELECT doc_id, page, n, share, CASE WHEN top > 0 THEN top END AS most, min(k) FILTER (big AND NOT org AND y1 < 680 AND h = top AND top > 0) AS anchor FROM w JOIN _m USING (doc_id, page) GROUP BY ALL),
+_b AS (SELECT doc_id, page, n, share, most, anchor, coalesce(max(k) FILTER (k < anchor AND NOT (big AND NOT org AND h >= 0.75 * most AND below <= 2 * most)) + 1, 0) AS start, coalesce(min(k) FILTER (k > anchor AND NOT (big AND NOT org AND h >= 0.75 * most AND above <= 2 * most)), n) AS stop1 FROM w JOIN _a USING (doc_id, page) GROUP BY doc_id, page, n, share, most, anchor),
+_c AS (SELECT doc_id, page, n, share, anchor, start, CASE WHEN anchor IS NULL THEN 0 ELSE least(coalesce(min(k) FILTER (k >= stop1 AND NOT (NOT org AND above <= 2.5 * most AND h >= 0.5 * most AND (big OR year IS NOT NULL) AND clean)), n), stop1 + 3) END AS stop FROM w JOIN _b USING (doc_id, page) GROUP BY doc_id, page, n, share, most, anchor, start, stop1),
+_h AS (SELECT doc_id, page, n, share, anchor, start, stop, min(k) FILTER (k >= stop AND org AND big) AS house FROM w JOIN _c USING (doc_id, page) GROUP BY ALL),
+_y AS (SELECT doc_id, page, n, share, anchor, start, stop, house, coalesce(min(k) FILTER (k > house AND NOT (big AND year IS NULL AND above <= 1.5 * greatest(prev, h, 1) AND (org OR h / greatest(prev, 1) BETWEEN 0.7 AND 1.4))), n) AS yard FROM w JOIN _h USING (doc_id, page) GROUP BY doc_id, page, n, share, anchor, start, stop, house),
+_e AS (SELECT m.doc_id, m.page, m.k AS mark, coalesce(min(w.k) FILTER (w.above > 3 * greatest(w.prev, w.h, 1) OR (NOT w.joint AND (NOT w.big OR w.org))), m.k + 9) AS fin FROM w m LEFT JOIN w ON w.doc_id = m.doc_id AND w.page = m.page AND w.k > m.k AND w.k <= m.k + 8 WHERE m.by GROUP BY m.doc_id, m.page, m.k),
+_n AS (SELECT w.doc_id, w.page, mark, author, min(k) AS k FROM _e JOIN w ON w.doc_id = _e.doc_id AND w.page = _e.page AND k > mark AND k < fin WHERE NOT joint AND author IS NOT NULL GROUP BY ALL),
+_o AS (SELECT doc_id, page, mark, string_agg(author, ' / ' ORDER BY k) AS names FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, mark ORDER BY k) AS r FROM _n) WHERE r <= 6 GROUP BY ALL),
+_u AS (SELECT doc_id, page, arg_min(names, mark) AS author FROM _o GROUP BY 1, 2),
+_r AS (SELECT doc_id, page, share, nullif({_TIDY.format("string_agg(text, ' ' ORDER BY k) FILTER (anchor IS NOT NULL AND k >= start AND k < stop)")}, '') AS title, nullif({_TIDY.format("regexp_replace(string_agg(text, ' ' ORDER BY k) FILTER (k >= house AND k < yard), '(?i)^\\s*published\\s+by\\s+', '')")}, '') AS publisher,
+ coalesce(arg_max(year, k) FILTER (y1 >= 480 AND year IS NOT NULL), arg_min(year, k) FILTER (k >= stop AND year IS NOT NULL)) AS year, string_agg(text, ' ' ORDER BY k) AS lines_text FROM w JOIN _y USING (doc_id, page) GROUP BY ALL),
+_d AS (SELECT doc_id, max(share) FILTER (page = 0) AS s0, max(share) FILTER (page = 1) AS s1, max(share) FILTER (page = 2) AS s2, string_agg(lines_text, ' ' ORDER BY page) AS lines_text FROM _r GROUP BY 1),
+_p AS (SELECT *, coalesce(s1, 0) > coalesce(s0, 0) * 1.0001 AS p1 FROM _d),
+_q AS (SELECT *, CASE WHEN coalesce(s2, 0) > (CASE WHEN p1 THEN s1 ELSE coalesce(s0, 0) END) * 1.0001 THEN 2 WHEN p1 THEN 1 WHEN s0 > 0 THEN 0 END AS page FROM _p)
+SELECT _q.doc_id, _q.page, title, author, publisher, year, md5(_q.lines_text) AS lines_md5 FROM _q LEFT JOIN _r ON _r.doc_id = _q.doc_id AND _r.page = _q.page LEFT JOIN _u ON _u.doc_id = _q.doc_id AND _u.page = _q.page"""
+
+
+@query(COVERS)
+def cover_reading(spark, d):
+    """Covers read without likeness of misread words, so that SQL can follow; cover_metadata has that."""
+    w = words_of(spark, d)
+    found = covers.cover_metadata(w.withColumn("y2", F.col("y1") + F.col("font_size")), layout.page_sizes(w), fuzzy=False)
+    return found.select("doc_id", "page", "title", "author", "publisher", "year", F.md5("lines_text").alias("lines_md5"))
