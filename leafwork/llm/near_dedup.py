@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import Forest, connected_components, cut, groups, join_hot, mix, roots, slices, utf8
+from leafwork.llm.common import Forest, Scope, connected_components, cut, groups, join_hot, mix, roots, slices, utf8
 from leafwork.session import ship
 
 BANDS, ROWS = 45, 6
@@ -310,22 +310,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = cut(classes, "classes")
     total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
 
-    keys = classes.select("node", "regs").mapInArrow(_band_keys, "key long, node long")
-    full = cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "full-bands")
-    filled = full.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    sized = join_hot(keys, full, ["key"], "size", filled, "node")
-    near = _candidates(sized, classes.select("node", F.col("_nd_n").alias("n"), "regs"), percent / 100, full.where(F.col("size") > BUCKET_BLOCK).head(1))
-    clusters = cut(connected_components(near), "clusters")
-    links = _links(plain.select(F.col("_nd_text"), own.alias("node")), clusters, classes.select("node", F.col("_nd_n").alias("n")), shingle, percent)
+    # what is written on the way to the clusters, and then to the groups, goes once they are there
+    spark = docs.sparkSession
+    with Scope(spark) as scope:
+        keys = classes.select("node", "regs").mapInArrow(_band_keys, "key long, node long")
+        full = cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "full-bands")
+        filled = full.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        sized = join_hot(keys, full, ["key"], "size", filled, "node")
+        near = _candidates(sized, classes.select("node", F.col("_nd_n").alias("n"), "regs"), percent / 100, full.where(F.col("size") > BUCKET_BLOCK).head(1))
+        clusters = scope.keep(cut(connected_components(near), "clusters"))
 
     # rows that share an id but not a text are one document
     short = classes.select(*same, "node", "copies")
-    repeated = cut(known.groupBy(own.alias("_nd_id")).agg(F.count("*").alias("c")).where("c > 1"), "repeated")
-    n = repeated.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    if n:
-        twins = join_hot(known.select(own.alias("_nd_id"), *same), repeated, ["_nd_id"], "c", n, "_nd_one").drop("c")
-        links = links.union(join_hot(twins, short, same, "copies", total, "_nd_id").select(F.col("_nd_id").alias("u"), F.col("node").alias("v")))
-    groups_ = connected_components(links.where("u <> v"))
+    with Scope(spark) as scope:
+        links = _links(plain.select(F.col("_nd_text"), own.alias("node")), clusters, classes.select("node", F.col("_nd_n").alias("n")), shingle, percent)
+        repeated = cut(known.groupBy(own.alias("_nd_id")).agg(F.count("*").alias("c")).where("c > 1"), "repeated")
+        n = repeated.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        if n:
+            twins = join_hot(known.select(own.alias("_nd_id"), *same), repeated, ["_nd_id"], "c", n, "_nd_one").drop("c")
+            links = links.union(join_hot(twins, short, same, "copies", total, "_nd_id").select(F.col("_nd_id").alias("u"), F.col("node").alias("v")))
+        groups_ = scope.keep(cut(connected_components(links.where("u <> v")), "groups"))
 
     # what a class has is joined to classes, and then to their rows, of which one class may have many
     short = short.join(groups_, "node", "left").select(*same, F.col("copies").alias("_nd_w"), F.coalesce("component", "node").alias("_nd_c"))

@@ -26,7 +26,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import SQL_CRC_TABLE, cut, drop_table, join_hot, read_cut, sql_crc, write_cut
+from leafwork.llm.common import SQL_CRC_TABLE, Scope, cut, drop_table, join_hot, read_cut, sql_crc, write_cut
 from leafwork.session import ship
 
 #: Letters of words.
@@ -265,17 +265,18 @@ def spelling_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table: empty result.  Further columns of docs are ignored."""
     ship(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("i"), F.col(text).cast("string").cast("binary").alias("t"))
-    words = plain.mapInArrow(_count(least, every), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
-    words = cut(words, "words")
-    met = _dealt(words, least).select("length", "group", "word", "n").repartition("length", "group").sortWithinPartitions("length", "group", "word")
-    # a pair may meet in two groups
-    pairs = cut(met.mapInArrow(_pairs, "u string, nu long, v string, nv long").distinct(), "pairs")
-    both = pairs.select(F.col("u").alias("word"), F.col("v").alias("near"), F.col("nv").alias("n")).union(pairs.select("v", "u", "nu"))
-    best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("n"), "near")).alias("best"))
-    out = words.join(best, "word", "left").withColumn("_ok", -F.col("best.n") >= ratio * F.col("n"))
-    out = out.select("word", F.when(F.col("_ok"), F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("_ok"), -F.col("best.n")).alias("form_n"))
-    out = cut(out, "forms")
-    roots = _roots(out.where("form is not null"))
+    with Scope(docs.sparkSession) as scope:  # only the last two tables stay
+        words = plain.mapInArrow(_count(least, every), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
+        words = cut(words, "words")
+        met = _dealt(words, least).select("length", "group", "word", "n").repartition("length", "group").sortWithinPartitions("length", "group", "word")
+        # a pair may meet in two groups
+        pairs = cut(met.mapInArrow(_pairs, "u string, nu long, v string, nv long").distinct(), "pairs")
+        both = pairs.select(F.col("u").alias("word"), F.col("v").alias("near"), F.col("nv").alias("n")).union(pairs.select("v", "u", "nu"))
+        best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("n"), "near")).alias("best"))
+        out = words.join(best, "word", "left").withColumn("_ok", -F.col("best.n") >= ratio * F.col("n"))
+        out = out.select("word", F.when(F.col("_ok"), F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("_ok"), -F.col("best.n")).alias("form_n"))
+        out = scope.keep(cut(out, "forms"))
+        roots = scope.keep(_roots(out.where("form is not null")))
     return out.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
