@@ -105,10 +105,12 @@ def job_states(events: DataFrame, silence_ms: int = SILENCE_MS, keep_ms: int = 7
     events: job_id, ts, status, stage, percent, and worker and lease_s in rows without a
     status, which say that a worker has the job for so many seconds from now.  A job moves
     forward only, ends in a terminal state and stays there; percent never falls.  Events
-    without a job_id are dropped.  Events of a batch come by ts, then percent."""
+    without a job_id are dropped.  Events of a batch come by ts, then percent.
+
+    The session's state store becomes RocksDB, see use_rocksdb()."""
     spark = events.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    use_rocksdb(spark)
     missing = {c: F.lit(None).cast(t).alias(c) for c, t in (("worker", "string"), ("lease_s", "double")) if c not in events.columns}
     kind = events.schema["job_id"].dataType.simpleString()
     rows = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "status", "stage", F.coalesce("percent", F.lit(0)).cast("int").alias("percent"), missing.get("worker", F.col("worker")), missing.get("lease_s", F.col("lease_s").cast("double")))
@@ -125,5 +127,6 @@ def copy_to_documents(documents: DataFrame, jobs: DataFrame, states: DataFrame,
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Streams with lists or timers in their state need this store."""
+    """Streams with lists or timers in their state need this store.  It is a setting of the
+    session: a stream that was begun with another store is restarted in a session of its own."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
