@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Patterns and word lists that results depend on.
 YEAR = r"(?<![A-Za-z0-9_])((?:1[89][0-9]{2}|20[0-3][0-9])(?![A-Za-z0-9_])(?:\s*[-–]\s*[0-9]{2,4})?)"
 YEAR_TOKEN = r"^(1[89][0-9]{2}|20[0-3][0-9])([-–/][0-9]{2,4})?$"
-ACCESSION = r"(?i)ACC(?:ESSION)?[._\s-]*NO\.?[._\s:-]*([A-Za-z]?[-\s]?[0-9]{2,6})"
+ACCESSION = r"(?i)ACC(?:ESSION)?[._\s-]*NO\.?[._\s:-]*([A-Za-z]?[-\s]?[0-9]{2,})"
 PAGE_NUMBER = r"(?iu)^[-–—]?\s*[0-9\x{0966}-\x{096F}]{1,4}\s*[-–—]?$|^(?:page|पृष्ठ|पृ\.?)\s*\.?\s*[0-9]{1,4}$"
 CONNECTORS = ["to", "and", "&", "-", "–", "—", "/"]
 ORG_KEYWORDS = [
