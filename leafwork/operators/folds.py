@@ -1,5 +1,5 @@
 """Operators whose result depends on an order of visits: greedy choices among the
-boxes of one page, as grouped maps on (doc_id, page), and what tables with rules
+boxes of one page, over whole pages in Arrow batches, and what tables with rules
 need of a page's words beside its image.  Folds that need no Python are in bands.py.
 
 Every fold sorts by a total order first, so results do not depend on how rows
@@ -7,14 +7,18 @@ arrive."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.session import ship
 
 PAGE = ["doc_id", "page"]
+BOX = ["x1", "y1", "x2", "y2"]
 
 
 def running_mean_rows(y: np.ndarray, height: np.ndarray, reach: float) -> np.ndarray:
@@ -35,60 +39,121 @@ def running_mean_rows(y: np.ndarray, height: np.ndarray, reach: float) -> np.nda
     return np.repeat(rows, count)
 
 
-def _shares(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Intersections of all boxes with each other, and areas."""
-    w = np.clip(np.minimum(b[:, None, 2], b[None, :, 2]) - np.maximum(b[:, None, 0], b[None, :, 0]), 0, None)
-    h = np.clip(np.minimum(b[:, None, 3], b[None, :, 3]) - np.maximum(b[:, None, 1], b[None, :, 1]), 0, None)
-    return w * h, np.clip(b[:, 2] - b[:, 0], 0, None) * np.clip(b[:, 3] - b[:, 1], 0, None)
+def meetings(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, area) of pairs of boxes that meet on a page, first < second.  Boxes
+    are swept from the left, so those are compared whose x-ranges meet; about ``most`` at a time."""
+    lost = (np.empty(0, int), np.empty(0, int), np.empty(0))
+    ok = np.flatnonzero(np.isfinite(x1 + y1 + x2 + y2))
+    if len(ok) < 2:
+        return lost
+    o = ok[np.lexsort((x1[ok], page[ok]))]
+    p, a, b, c, d = page[o], x1[o], x2[o], y1[o], y2[o]
+    # one line of all pages, with a little room, as what is found is compared in full
+    low = a.min()
+    room = max(a.max(), b.max()) - low + 2
+    end = np.searchsorted(p * room + (a - low), p * room + np.minimum(b - low + 1, room), "right")
+    n = np.maximum(np.minimum(end, np.searchsorted(p, p, "right")) - np.arange(len(o)) - 1, 0)
+    cuts = np.searchsorted(np.cumsum(n), np.arange(most, n.sum(), most))
+    found = [lost]
+    for s, e in zip([0, *cuts + 1], [*cuts + 1, len(o)], strict=True):
+        i = np.repeat(np.arange(s, e), n[s:e])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[s:e]) - n[s:e], n[s:e])
+        w, h = np.minimum(b[i], b[j]) - np.maximum(a[i], a[j]), np.minimum(d[i], d[j]) - np.maximum(c[i], c[j])
+        met = (w > 0) & (h > 0)
+        u, v = o[i[met]], o[j[met]]
+        found.append((np.minimum(u, v), np.maximum(u, v), (w * h)[met]))
+    first, second, area = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((first, second))
+    return first[order], second[order], area[order]
+
+
+def _pages(rows: DataFrame, order: list, choose: Callable[[dict[str, np.ndarray]], np.ndarray], need: list[str], out: list[str]) -> DataFrame:
+    """The rows that ``choose`` keeps of pages, which it has whole and in order, many at a
+    time: it gets arrays of the columns ``need`` and of the page's number, and returns flags."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_n").to_numpy() == 1)
+            if len(begins):
+                if held or begins[-1]:
+                    yield pa.Table.from_batches([*held, batch.slice(0, begins[-1])])
+                held, batch = [], batch.slice(begins[-1])
+            held.append(batch)
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole(batches):
+            arrays = {c: t.column(c).to_numpy().astype(float) for c in need} | {"page": np.cumsum(t.column("_n").to_numpy() == 1)}
+            yield from t.select(out).filter(pa.array(choose(arrays))).to_batches()
+
+    ship(rows.sparkSession)
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order)))
+    return numbered.mapInArrow(kept, rows.select(*out).schema)
 
 
 def greedy_suppression(regions: DataFrame, region: str, share: float = 0.6) -> DataFrame:
     """Regions, largest first, without those that a kept one covers by ``share`` or more."""
 
-    def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_a=(pdf.x2 - pdf.x1) * (pdf.y2 - pdf.y1)).sort_values(["_a", region], ascending=[False, True]).drop(columns="_a")
-        common, area = _shares(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float))
-        keep: list[int] = []
-        for i in range(len(pdf)):
-            if not (common[i, keep] >= share * max(1.0, area[i])).any():
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    ship(regions.sparkSession)
-    return regions.groupBy(*PAGE).applyInPandas(page, regions.schema)
+    def choose(r: dict[str, np.ndarray]) -> np.ndarray:
+        area = np.clip(r["x2"] - r["x1"], 0, None) * np.clip(r["y2"] - r["y1"], 0, None)
+        first, second, common = meetings(r["page"], *[r[c] for c in BOX])
+        covered = common >= share * np.maximum(1.0, area[second])
+        keep = np.ones(len(area), bool)
+        for k, i in zip(first[covered].tolist(), second[covered].tolist(), strict=True):  # by the smaller one, so what is before it is settled
+            if keep[k]:
+                keep[i] = False
+        return keep
+
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return _pages(regions, [area.desc(), F.col(region)], choose, BOX, regions.columns)
+
+
+def merged(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, sure: np.ndarray, further: np.ndarray, share: float) -> np.ndarray:
+    """The places that boxes of pages have in the end, first ones and ``further`` ones, in
+    order; -1 if they do not stay.  A further one that meets a kept one by ``share`` of the
+    smaller box takes its place if it is surer.  Boxes that meet one other box, and it no
+    third, are settled at once."""
+    area = np.clip(x2 - x1, 0, None) * np.clip(y2 - y1, 0, None)
+    first, second, common = meetings(page, x1, y1, x2, y2)
+    hit = further[second] & (common >= share * np.minimum(area[first], area[second]))
+    first, second = first[hit], second[hit]
+    place = np.arange(len(x1))
+    degree = np.bincount(first, minlength=len(x1)) + np.bincount(second, minlength=len(x1))
+    alone = (degree[first] == 1) & (degree[second] == 1)
+    k, i = first[alone], second[alone]
+    surer = sure[i] > sure[k]
+    place[i], place[k] = np.where(surer, k, -1), np.where(surer, -1, k)
+    met: dict[int, list[int]] = {}
+    for k, i in zip(first[~alone].tolist(), second[~alone].tolist(), strict=True):
+        met.setdefault(i, []).append(k)
+    for i, before in met.items():
+        held = [k for k in before if place[k] >= 0]
+        if held:
+            k = min(held, key=place.__getitem__)
+            place[i] = -1
+            if sure[i] > sure[k]:
+                place[i], place[k] = place[k], -1
+    return place
 
 
 def merged_places(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, sure: np.ndarray, n: int, share: float) -> np.ndarray:
-    """Which boxes stay of n first ones and further ones, in order: a further one that
-    meets a kept one by ``share`` of the smaller box takes its place if it is surer."""
-    area = np.clip(x2 - x1, 0, None) * np.clip(y2 - y1, 0, None)
-    kept = np.zeros(len(x1), int)  # places in order; the first n are those of the first pass
-    kept[:n] = np.arange(n)
-    for i in range(n, len(x1)):
-        k = kept[:n]
-        w = np.minimum(x2[i], x2[k]) - np.maximum(x1[i], x1[k])
-        h = np.minimum(y2[i], y2[k]) - np.maximum(y1[i], y1[k])
-        hit = np.flatnonzero((w > 0) & (h > 0) & (w * h >= share * np.minimum(area[i], area[k])))
-        if not len(hit):
-            kept[n] = i
-            n += 1
-        elif sure[i] > sure[kept[hit[0]]]:
-            kept[hit[0]] = i
-    return kept[:n]
+    """Which boxes of one page stay, by their places; the first ``n`` are those of the first pass."""
+    every = np.arange(len(x1))
+    place = merged(np.zeros(len(x1), int), x1, y1, x2, y2, sure, every >= n, share)
+    return np.argsort(np.where(place < 0, len(x1), place), kind="stable")[: (place >= 0).sum()]
 
 
 def overlap_merge(existing: DataFrame, new: DataFrame, item: str, share: float = 0.5) -> DataFrame:
     """Detections of two passes: a new one that meets a kept one by ``share`` of the
     smaller box takes its place if it is surer, and is dropped if not; others are added."""
 
-    def page(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_pass", item]).reset_index(drop=True)
-        x1, y1, x2, y2, sure = (pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2", "confidence"))
-        return pdf.iloc[merged_places(x1, y1, x2, y2, sure, int((pdf._pass == 0).sum()), share)].drop(columns="_pass")
+    def choose(r: dict[str, np.ndarray]) -> np.ndarray:
+        return merged(r["page"], *[r[c] for c in BOX], r["confidence"], r["_pass"] == 1, share) >= 0
 
     both = existing.withColumn("_pass", F.lit(0)).unionByName(new.withColumn("_pass", F.lit(1)))
-    ship(both.sparkSession)
-    return both.groupBy(*PAGE).applyInPandas(page, existing.schema)
+    return _pages(both, ["_pass", item], choose, [*BOX, "confidence", "_pass"], existing.columns)
 
 
 def grid_cells(boundaries: DataFrame, walls: DataFrame) -> DataFrame:
