@@ -113,7 +113,7 @@ def column_bounds(words: DataFrame, offset: float = 0.0) -> DataFrame:
 
 def page_bounds(words: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, rows, columns): boundaries that the words of each page suggest."""
-    w = words.join(pages.select(*PAGE, "page_width", "page_height"), PAGE)
+    w = words.join(pages.select(*PAGE, "page_width", "page_height").hint("shuffle_hash"), PAGE)
     return row_bounds(w).join(column_bounds(w), PAGE)
 
 
