@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.functions.arrays import let
+from leafwork.functions.arrays import let, parted
 
 PAGE = ["doc_id", "page"]
 # How far from a row's mean a word may lie, by its height, for rows of words and for bounds of rows.
@@ -38,21 +38,39 @@ def row_numbers(runs: Column, reach: float) -> Column:
     return F.aggregate(runs, start, step, lambda acc: acc["out"])
 
 
-def rows_of(words: DataFrame, reach: float = ROW_REACH, *more: str) -> DataFrame:
-    """(doc_id, page, row, words) of each row of words, from the top; words are structs
-    (x1, wi, x2, y1, y2, text and ``more``) from left to right.  Of words with one middle, the lower come first."""
+def page_runs(words: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, page, runs): the words of each page in runs (mid, height, n, words) of one
+    height and place; words are structs (x1, wi, x2, y1, y2, text and ``more``).  Where
+    words come of texts, layout.page_runs() gives the same without a row for each word."""
     mid, height = (F.col("y1") + F.col("y2")) / 2, (F.col("y2") - F.col("y1")).cast("double")
     word = F.struct("x1", "wi", "x2", "y1", "y2", "text", *more)
     runs = words.groupBy(*PAGE, mid.alias("mid"), height.alias("height")).agg(F.count("*").alias("n"), F.collect_list(word).alias("words"))
-    pages = runs.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("mid", "height", "n", "words"))).alias("runs"))
-    put = pages.select(*PAGE, F.explode(F.arrays_zip("runs", row_numbers(F.col("runs"), reach).alias("row"))).alias("z"))
-    return put.groupBy(*PAGE, F.col("z.row").alias("row")).agg(F.sort_array(F.flatten(F.collect_list("z.runs.words"))).alias("words"))
+    return runs.groupBy(*PAGE).agg(F.collect_list(F.struct("mid", "height", "n", "words")).alias("runs"))
+
+
+def rows_in(pages: DataFrame, reach: float = ROW_REACH) -> DataFrame:
+    """(doc_id, page, row, words) of each row of words, from the top, of a page's runs; words
+    go from left to right.  Of words with one middle, the lower come first.  All of it
+    happens within the page's row."""
+    put = let(F.sort_array("runs"), lambda runs: F.zip_with(runs, row_numbers(runs, reach), lambda r, row: F.struct(row.alias("row"), r["words"].alias("words"))))
+    rows = F.transform(parted(put, lambda a, b: a["row"] != b["row"]), lambda r: F.sort_array(F.flatten(F.transform(r, lambda x: x["words"]))))
+    return pages.select(*PAGE, F.posexplode(rows).alias("row", "words"))
+
+
+def rows_of(words: DataFrame, reach: float = ROW_REACH, *more: str) -> DataFrame:
+    """The same of words, with ``more`` of their columns."""
+    return rows_in(page_runs(words, *more), reach)
 
 
 def row_clusters(words: DataFrame) -> DataFrame:
     """(doc_id, page, row, n_words, y1, y2, text) of rows of words by height."""
+    return row_texts(rows_of(words))
+
+
+def row_texts(rows: DataFrame) -> DataFrame:
+    """The same of rows."""
     each = lambda c: F.transform("words", lambda w: w[c])
-    return rows_of(words).select(*PAGE, "row", F.size("words").cast("long").alias("n_words"), F.array_min(each("y1")).alias("y1"), F.array_max(each("y2")).alias("y2"), F.array_join(each("text"), " ").alias("text"))
+    return rows.select(*PAGE, "row", F.size("words").cast("long").alias("n_words"), F.array_min(each("y1")).alias("y1"), F.array_max(each("y2")).alias("y2"), F.array_join(each("text"), " ").alias("text"))
 
 
 def _bounds(edges: Column, length: Column, offset: float) -> Column:
