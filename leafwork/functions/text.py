@@ -118,7 +118,7 @@ def clean_tokens(text: Column) -> Column:
     latin_only = lambda t: t.rlike(rf"^(?:[\x00-\x7F]|{digit})+$") & t.rlike("[A-Za-z]")
     mended = F.transform(tokens(text), lambda t: F.when(t.rlike(digit) & latin_only(t), F.replace(t, F.lit("०"), F.when(t.rlike("[a-z]"), "o").otherwise("O"))).otherwise(t))
     kept = F.filter(mended, lambda t: ~(t.rlike(digit) & (latin_only(t) | (F.length(t) == 1))))
-    return F.array_join(kept, " ")
+    return F.array_join(F.when(text.rlike(digit), kept).otherwise(tokens(text)), " ")
 
 
 def confidence_tier(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafwork.functions import text as T
 from leafwork.operators import changes, covers, layout, page_plan, spatial
 from leafwork.operators.numbering import number_rows
-from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, SQL, TYPED, WORDS, cells_of, lines_of, query, regions_of, words_of
+from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, SQL, TYPED, WORDS, cells_of, cover_lines_of, lines_of, query, regions_of, words_of
 from leafwork.session import cut, scratch_dir, table
 from leafwork.sources import html_tables
 from leafwork.sources.page_store import PageStore
@@ -138,8 +138,7 @@ def html_cells_lateral(spark, d):
 FROM words WHERE page < 3 AND trim(text) <> '' GROUP BY 1, 2, 3) SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY yc) - 1)::INTEGER AS k, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') AS text, y1, y2, h FROM l""")
 def cover_lines(spark, d):
     """The lines of the first three pages of each document, of words whose height is their lettering."""
-    w = words_of(spark, d).withColumn("y2", F.col("y1") + F.col("font_size"))
-    return covers.cover_lines(w.where(F.col("page") < covers.TITLE_PAGES))
+    return cover_lines_of(spark, d)
 
 
 _LETTERS, _YEAR, _JOINTS = "length(regexp_replace({}, '[^\\p{{L}}]', '', 'g'))", "'^(1[89][0-9]{2}|20[0-3][0-9])([-–/][0-9]{2,4})?$'", "(" + ", ".join(f"'{c}'" for c in T.CONNECTORS) + ")"

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from leafwork.operators import bands, layout
+from leafwork.operators import bands, covers, layout
+from leafwork.plans import page_queries  # noqa: F401  it adds to the queries
 from leafwork.plans.queries import QUERIES
 
 ODD = [(1, "one  two\n\n   \nend of  it "), (2, None), (3, ""), (4, "\n".join(f"line {i} \U0001f600 x" for i in range(95))), (5, "a " * 300 + "\nb"), (6, "\n" * 80)]
@@ -35,3 +36,12 @@ def test_row_clusters_of_texts_sort_no_words(spark, sf, tmp_path):
     assert rows(got) == rows(bands.row_clusters(layout.word_boxes(texts(spark))))
     plan = plan_of(QUERIES["row_clusters"](spark, sf))
     assert plan.count("Exchange") == 1 and "Sort" not in plan and "Aggregate" not in plan
+
+
+def test_cover_lines_of_texts_sort_no_words(spark, sf, tmp_path):
+    texts(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    words = layout.word_boxes(texts(spark)).where(F.col("page") < covers.TITLE_PAGES)
+    want = rows(covers.cover_lines(words.withColumn("y2", F.col("y1") + F.col("font_size"))))
+    assert rows(QUERIES["cover_lines"](spark, str(tmp_path))) == want and len(want) == 99
+    plan = plan_of(QUERIES["cover_lines"](spark, sf))
+    assert plan.count("Exchange") == 1 and "Sort" not in plan and "Aggregate" not in plan
