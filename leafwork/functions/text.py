@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafwork.functions.arrays import let
+
 # Patterns and word lists that results depend on.
 YEAR = r"(?<![A-Za-z0-9_])((?:1[89][0-9]{2}|20[0-3][0-9])(?![A-Za-z0-9_])(?:\s*[-–]\s*[0-9]{2,4})?)"
 YEAR_TOKEN = r"^(1[89][0-9]{2}|20[0-3][0-9])([-–/][0-9]{2,4})?$"
@@ -37,6 +39,11 @@ def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
 
 
+def has_letters(text: Column, n: int) -> Column:
+    """Whether letters(text) >= n, found without a copy of the letters."""
+    return text.rlike(r"[^\p{L}]*".join([r"\p{L}"] * n))
+
+
 def tidy(text: Column, limit: int = 250) -> Column:
     """Without marks at either end, and cut."""
     ends = r"[ \t,;:.\-–—]+"
@@ -79,12 +86,12 @@ def tokens(text: Column) -> Column:
 
 
 def substantial(text: Column) -> Column:
-    return (letters(text) >= 4) & F.exists(tokens(text), lambda t: letters(t) >= 3)
+    return has_letters(text, 4) & F.exists(tokens(text), lambda t: has_letters(t, 3))
 
 
 def clean_enough(text: Column) -> Column:
-    alpha = F.filter(tokens(text), lambda t: (letters(t) > 0) & ~t.rlike(YEAR_TOKEN) & ~F.lower(t).isin(CONNECTORS))
-    return (F.size(alpha) == 0) | (F.size(F.filter(alpha, lambda t: letters(t) >= 3)) >= 0.6 * F.size(alpha))
+    alpha = F.filter(tokens(text), lambda t: has_letters(t, 1) & ~t.rlike(YEAR_TOKEN) & ~F.lower(t).isin(CONNECTORS))
+    return let(alpha, lambda a: (F.size(a) == 0) | (F.size(F.filter(a, lambda t: has_letters(t, 3))) >= 0.6 * F.size(a)))
 
 
 def creator_like(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafwork.functions import text as T
 from leafwork.operators import changes, covers, layout, page_plan, spatial
 from leafwork.operators.numbering import number_rows
-from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, SQL, TYPED, WORDS, cells_of, cover_lines_of, lines_of, query, regions_of, words_of
+from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, SQL, TYPED, WORDS, cells_of, cover_lines_of, covers_of, query, regions_of, words_of
 from leafwork.session import cut, scratch_dir, table
 from leafwork.sources import html_tables
 from leafwork.sources.page_store import PageStore
@@ -175,6 +175,4 @@ SELECT _q.doc_id, _q.page, title, author, publisher, year, md5(_q.lines_text) AS
 @query(COVERS)
 def cover_reading(spark, d):
     """Covers read without likeness of misread words, so that SQL can follow; cover_metadata has that."""
-    w = words_of(spark, d)
-    found = covers.cover_metadata(w.withColumn("y2", F.col("y1") + F.col("font_size")), layout.line_page_sizes(lines_of(spark, d)), fuzzy=False)
-    return found.select("doc_id", "page", "title", "author", "publisher", "year", F.md5("lines_text").alias("lines_md5"))
+    return covers_of(spark, d, fuzzy=False).select("doc_id", "page", "title", "author", "publisher", "year", F.md5("lines_text").alias("lines_md5"))

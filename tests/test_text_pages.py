@@ -45,3 +45,16 @@ def test_cover_lines_of_texts_sort_no_words(spark, sf, tmp_path):
     assert rows(QUERIES["cover_lines"](spark, str(tmp_path))) == want and len(want) == 99
     plan = plan_of(QUERIES["cover_lines"](spark, sf))
     assert plan.count("Exchange") == 1 and "Sort" not in plan and "Aggregate" not in plan
+
+
+def test_covers_of_texts_are_those_of_the_words(spark, sf, tmp_path):
+    # words that are null or blank, pages beyond the third, and a cover behind the first page
+    texts(spark).union(spark.createDataFrame([(7, "\n".join(["GREAT BOOK"] + ["x"] * 42 + ["THE LARGER TITLE", "BY", "Ann Writer"]))], "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    d, docs = str(tmp_path), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    words = layout.word_boxes(docs).withColumn("y2", F.col("y1") + F.col("font_size"))
+    want = rows(covers.cover_metadata(words, layout.page_sizes(words)))
+    assert rows(QUERIES["cover_metadata"](spark, d)) == want and any("THE LARGER TITLE" in r for r in want)
+    # one exchange of texts, and one more behind the Python function; none of words
+    for name, most in (("cover_reading", 1), ("cover_metadata", 2)):
+        plan = plan_of(QUERIES[name](spark, sf))
+        assert plan.count("Exchange") == most and "SortMergeJoin" not in plan and "Window" not in plan
