@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafwork.functions import text as T
 from leafwork.operators import changes, covers, layout, page_plan, spatial
 from leafwork.operators.numbering import number_rows
-from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, SQL, TYPED, WORDS, cells_of, cover_lines_of, covers_of, query, regions_of, words_of
+from leafwork.plans.queries import BLOCKS, INSIDE, LINES, REGIONS, SHARE, SQL, TYPED, WORDS, cells_of, cover_lines_of, covers_of, page_numbers_of, query, regions_of, words_of
 from leafwork.session import cut, scratch_dir, table
 from leafwork.sources import html_tables
 from leafwork.sources.page_store import PageStore
@@ -99,7 +99,7 @@ def overlap_semi_dense(spark, d):
 
 @query(SQL["claimed_regions"])
 def claimed_regions_dense(spark, d):
-    first = regions_of(words_of(spark, d))
+    first = regions_of(page_numbers_of(spark, d))
     move = {"x1": 100, "x2": 100, "y1": 60, "y2": 60}
     second = first.select(*PAGE, (F.col("r") + 10).alias("r"), *[(F.col(c) + move[c]).alias(c) for c in ("x1", "y1", "x2", "y2")])
     return spatial.claimed([first, second], PAGE, dense=True).select(*PAGE, "r")

@@ -58,3 +58,8 @@ def test_covers_of_texts_are_those_of_the_words(spark, sf, tmp_path):
     for name, most in (("cover_reading", 1), ("cover_metadata", 2)):
         plan = plan_of(QUERIES[name](spark, sf))
         assert plan.count("Exchange") == most and "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_regions_are_made_without_words(spark, sf):
+    for name in ("claimed_regions", "claimed_regions_dense"):
+        assert "posexplode" not in plan_of(QUERIES[name](spark, sf))
