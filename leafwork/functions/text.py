@@ -85,13 +85,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def _letters_within(n: int) -> str:
+    """A pattern of n letters of one token."""
+    return r"[^\p{L}\s]*".join([r"\p{L}"] * n)
+
+
 def substantial(text: Column) -> Column:
-    return has_letters(text, 4) & F.exists(tokens(text), lambda t: has_letters(t, 3))
+    return has_letters(text, 4) & text.rlike(_letters_within(3))
 
 
 def clean_enough(text: Column) -> Column:
-    alpha = F.filter(tokens(text), lambda t: has_letters(t, 1) & ~t.rlike(YEAR_TOKEN) & ~F.lower(t).isin(CONNECTORS))
-    return let(alpha, lambda a: (F.size(a) == 0) | (F.size(F.filter(a, lambda t: has_letters(t, 3))) >= 0.6 * F.size(a)))
+    """Whether, of the tokens with letters that are no connectors, three in five have three letters; counted without an array of tokens."""
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    joints = {n: count(rf"(?<!\S)(?i:{'|'.join(c for c in CONNECTORS if c.isalpha() and len(c) >= n)})(?!\S)") for n in (1, 3)}
+    counts = F.struct((count(rf"{_letters_within(1)}\S*") - joints[1]).alias("some"), (count(rf"{_letters_within(3)}\S*") - joints[3]).alias("three"))
+    return let(counts, lambda n: (n["some"] == 0) | (n["three"] >= 0.6 * n["some"]))
 
 
 def creator_like(text: Column) -> Column:
@@ -100,8 +108,9 @@ def creator_like(text: Column) -> Column:
 
 
 def org_keyword(text: Column) -> Column:
-    squashed = F.regexp_replace(F.upper(text), r"[^\p{L}]", "")
-    return squashed.rlike("|".join(ORG_KEYWORDS))
+    squashed = F.regexp_replace(F.upper(text), r"[^\p{L}]+", "")
+    by_letter = {k[0]: [w[1:] for w in ORG_KEYWORDS if w[0] == k[0]] for k in ORG_KEYWORDS}
+    return squashed.rlike("|".join(f"{k}(?:{'|'.join(ends)})" for k, ends in by_letter.items()))
 
 
 def year_only(text: Column) -> Column:
@@ -111,11 +120,13 @@ def year_only(text: Column) -> Column:
     other = F.exists(t, lambda x: ~x.rlike(YEAR_TOKEN) & ~F.lower(x).isin(CONNECTORS) & (letters(x) > 1))
     ranges = F.forall(years, lambda x: x.rlike("[-–/]"))
     two = F.concat(F.get(years, F.lit(0)), F.when(ranges, " to ").otherwise("-"), F.get(years, F.lit(1)))
-    return F.when(~other & (F.size(years) == 1), F.get(years, F.lit(0))).when(~other & (F.size(years) > 1), two)
+    found = F.when(~other & (F.size(years) == 1), F.get(years, F.lit(0))).when(~other & (F.size(years) > 1), two)
+    # a token of more letters than any connector has is something else, so most lines need no tokens
+    return F.when(~text.rlike(_letters_within(max(map(len, CONNECTORS)) + 1)), found)
 
 
 def author_name(text: Column) -> Column:
-    name = tidy(F.get(F.split(text, ","), F.lit(0)))
+    name = tidy(F.substring_index(text, ",", 1))
     return F.when(letters(name) >= 3, name)
 
 
@@ -125,7 +136,7 @@ def clean_tokens(text: Column) -> Column:
     latin_only = lambda t: t.rlike(rf"^(?:[\x00-\x7F]|{digit})+$") & t.rlike("[A-Za-z]")
     mended = F.transform(tokens(text), lambda t: F.when(t.rlike(digit) & latin_only(t), F.replace(t, F.lit("०"), F.when(t.rlike("[a-z]"), "o").otherwise("O"))).otherwise(t))
     kept = F.filter(mended, lambda t: ~(t.rlike(digit) & (latin_only(t) | (F.length(t) == 1))))
-    return F.array_join(F.when(text.rlike(digit), kept).otherwise(tokens(text)), " ")
+    return F.when(text.rlike(digit), F.array_join(kept, " ")).otherwise(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def confidence_tier(c: Column) -> Column:

@@ -6,7 +6,9 @@ collected but the winners."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions.text import accession_number, creator_like, first_year, notes_text
@@ -25,17 +27,21 @@ def _first(value: Column, when: Column) -> Column:
     return F.min_by(value, F.when(when, F.struct("page", "z_order")))
 
 
-def book_names(blocks: DataFrame) -> DataFrame:
-    """(doc_id, book_name, name_block): the longest title of the first page that has
-    one, else heading, else paragraph, cut."""
-    c = _candidates(blocks)
+def _book_name(over: Callable[[Column], Column]) -> Column:
+    """(name, at) of a document's candidates, whose aggregates ``over`` takes."""
     rank = F.struct(-F.col("page"), F.length("t"), -F.col("z_order"))
     found = []
     for kind in ("TITLE", "HEADING", "PARAGRAPH"):
         text = F.substring("t", 1, PARAGRAPH_CUT) if kind == "PARAGRAPH" else F.col("t")
         found.append(F.max_by(F.struct(text.alias("name"), F.struct("page", "z_order").alias("at")), F.when(F.col("block_type") == kind, rank)))
-    best = F.coalesce(*found)
-    return c.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.col("b.name").alias("book_name"), F.col("b.at").alias("name_block"))
+    return F.coalesce(*map(over, found))
+
+
+def book_names(blocks: DataFrame) -> DataFrame:
+    """(doc_id, book_name, name_block): the longest title of the first page that has
+    one, else heading, else paragraph, cut."""
+    best = _book_name(lambda c: c)
+    return _candidates(blocks).groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.col("b.name").alias("book_name"), F.col("b.at").alias("name_block"))
 
 
 # What is noted where something was not found.
@@ -58,8 +64,9 @@ def book_metadata(blocks: DataFrame, files: DataFrame, covers: DataFrame | None
     first in the blocks; a number that of the file's name, else that of the cover's
     lines.  A missing name, author and publisher, year or language needs a review; a
     missing number does not, as one is generated.  languages: (doc_id, majority)."""
-    n = book_names(blocks)
-    c = _candidates(blocks).join(n, "doc_id")
+    # beside each candidate, so that blocks are made and dealt by document once
+    best = _book_name(lambda c: c.over(Window.partitionBy("doc_id")))
+    c = _candidates(blocks).withColumn("_best", best).withColumns({"book_name": F.col("_best.name"), "name_block": F.col("_best.at")})
     heading = F.col("block_type").isin("TITLE", "HEADING", "SUBHEADING") & F.coalesce(F.struct("page", "z_order") != F.col("name_block"), F.lit(True))
     line = (F.col("block_type") == "PARAGRAPH") & creator_like(F.col("t"))
     year = first_year(F.col("t"))

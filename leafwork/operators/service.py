@@ -153,7 +153,19 @@ def majority_language(words: DataFrame, key: str, language: str = "language") ->
     en = F.count_if(F.col(language).isin("en", "hi-en"))
     hi = F.count_if(F.col(language).isin("hi", "hi-en"))
     num, total = F.count_if(F.col(language) == "num"), F.count_if(F.col(language).isin("en", "hi", "num", "hi-en"))
-    n = words.groupBy(key).agg(en.alias("en"), hi.alias("hi"), num.alias("num"), total.alias("total"))
+    return _majority(words.groupBy(key).agg(en.alias("en"), hi.alias("hi"), num.alias("num"), total.alias("total")))
+
+
+def text_languages(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The same of texts whose words end at spaces and line feeds; counted within the text,
+    without a row for each word.  Null text has no language."""
+    latin, deva = "A-Za-z", r"\x{0900}-\x{097F}"
+    having = lambda signs: F.sum(F.regexp_count(text, F.lit(rf"[{signs}][^ \n]*"))).cast("long")
+    n = docs.where(F.col(text).isNotNull()).groupBy(key).agg(having(latin).alias("en"), having(deva).alias("hi"), having(latin + deva).alias("_words"), having(f"{latin}{deva}0-9").alias("total"))
+    return _majority(n.withColumn("num", F.col("total") - F.col("_words")).select(key, "en", "hi", "num", "total"))
+
+
+def _majority(n: DataFrame) -> DataFrame:
     e, h, m = F.col("en"), F.col("hi"), F.col("num")
     label = F.when(F.col("total") == 0, None).when((e > 0.15 * F.col("total")) & (h > 0.15 * F.col("total")), "HINDI/ENGLISH").when((e >= h) & (e >= m), "ENGLISH").when(h >= m, "HINDI").otherwise("NUMERICAL")
     return n.withColumn("majority", label)

@@ -1,8 +1,11 @@
 """Pages of plain texts as rows: the same results as by rows of words, without sorts of all words."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from leafwork.operators import bands, covers, layout
+from leafwork.functions import text as T
+from leafwork.operators import bands, covers, layout, service
 from leafwork.plans import page_queries  # noqa: F401  it adds to the queries
 from leafwork.plans.queries import QUERIES
 
@@ -63,3 +66,32 @@ def test_covers_of_texts_are_those_of_the_words(spark, sf, tmp_path):
 def test_regions_are_made_without_words(spark, sf):
     for name in ("claimed_regions", "claimed_regions_dense"):
         assert "posexplode" not in plan_of(QUERIES[name](spark, sf))
+
+
+def test_catalogue_makes_its_blocks_once_and_no_words(spark, sf):
+    """Lines become rows for blocks and for their pages' sizes, which share an exchange; pages and lines once for covers; nothing else."""
+    assert plan_of(QUERIES["catalogue"](spark, sf)).count("Generate posexplode") == 4
+
+
+def test_covers_make_no_words(spark, sf):
+    plan = plan_of(QUERIES["cover_metadata"](spark, sf))
+    assert plan.count("Generate posexplode") == 2 and "aggregate(" not in plan.split("ArrowEvalPython")[1]
+
+
+def test_languages_of_texts_are_those_of_the_words(spark):
+    more = [(8, "हिन्दी word\nहिx 12 १२ -- x1 \t"), (9, "१२ 34\n5-6 --"), (10, "é -- \n"), (11, "nur\tein Wort")]
+    docs = texts(spark).union(spark.createDataFrame(more, "doc_id long, text string"))
+    words = layout.word_boxes(docs).withColumn("language", T.detect_script(F.col("text")))
+    assert rows(service.text_languages(docs, "doc_id")) == rows(service.majority_language(words, "doc_id"))
+
+
+def test_clean_lines_by_tokens(spark):
+    """Counted in the text as by tokens one at a time."""
+    cases = ["", "to and TO & 1990", "NO a ry Ta ble s", "real words to 1973", "and, to. a1b2c3 x", "ab\tcde\nf  गीता-ली 12", "and and xyz qq", "band tom"]
+
+    def want(text):
+        alpha = [t for t in text.split() if any(map(str.isalpha, t)) and t.lower() not in T.CONNECTORS]
+        return not alpha or sum(sum(unicodedata.category(c)[0] == "L" for c in t) >= 3 for t in alpha) >= 0.6 * len(alpha)
+
+    got = spark.createDataFrame([(c,) for c in cases], "t string").select("t", T.clean_enough(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == {c: want(c) for c in cases}
