@@ -48,12 +48,17 @@ def page_runs(words: DataFrame, *more: str) -> DataFrame:
     return runs.groupBy(*PAGE).agg(F.collect_list(F.struct("mid", "height", "n", "words")).alias("runs"))
 
 
+def _parted_rows(runs: Column | str, reach: float) -> Column:
+    """An array of rows of words from the top, each an array of its runs (row, words)."""
+    put = let(F.sort_array(runs), lambda runs: F.zip_with(runs, row_numbers(runs, reach), lambda r, row: F.struct(row.alias("row"), r["words"].alias("words"))))
+    return parted(put, lambda a, b: a["row"] != b["row"])
+
+
 def rows_in(pages: DataFrame, reach: float = ROW_REACH) -> DataFrame:
     """(doc_id, page, row, words) of each row of words, from the top, of a page's runs; words
     go from left to right.  Of words with one middle, the lower come first.  All of it
     happens within the page's row."""
-    put = let(F.sort_array("runs"), lambda runs: F.zip_with(runs, row_numbers(runs, reach), lambda r, row: F.struct(row.alias("row"), r["words"].alias("words"))))
-    rows = F.transform(parted(put, lambda a, b: a["row"] != b["row"]), lambda r: F.sort_array(F.flatten(F.transform(r, lambda x: x["words"]))))
+    rows = F.transform(_parted_rows("runs", reach), lambda r: F.sort_array(F.flatten(F.transform(r, lambda x: x["words"]))))
     return pages.select(*PAGE, F.posexplode(rows).alias("row", "words"))
 
 
@@ -77,17 +82,35 @@ def _bounds(edges: Column, length: Column, offset: float) -> Column:
     return F.transform(edges, lambda e: F.bround(F.greatest(F.lit(0.0), F.least(length.cast("double"), e - offset))).cast("int"))
 
 
-def row_bounds(words: DataFrame, offset: float = 0.0) -> DataFrame:
-    """(doc_id, page, rows): the outer edges of the rows of a page's words and the middles
-    of the gaps between them, from ``offset``, within page_height; none of one row."""
-    each = lambda c: F.transform("words", lambda w: w[c].cast("double"))
-    rows = rows_of(words, BOUND_REACH, "page_height").select(*PAGE, "row", F.array_min(each("y1")).alias("top"), F.array_max(each("y2")).alias("bottom"), F.element_at("words", 1)["page_height"].alias("length"))
-    page = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("row", "top", "bottom"))).alias("r"), F.max("length").alias("length"))
-    n = F.size("r")
-    at = lambda i: F.get("r", i)
-    inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.when(at(i)["top"] > at(i - 1)["bottom"], (at(i - 1)["bottom"] + at(i)["top"]) / 2).otherwise(at(i - 1)["bottom"]))
-    edges = F.concat(F.array(at(F.lit(0))["top"]), inner, F.array(at(n - 1)["bottom"]))
-    return page.select(*PAGE, F.when(n < 2, F.array().cast("array<int>")).otherwise(_bounds(edges, F.col("length"), offset)).alias("rows"))
+def _row_edges(rows: Column, length: Column, offset: float) -> Column:
+    """The outer edges of rows of runs and the middles of the gaps between them; none of one row."""
+    edge = lambda r, c: F.transform(r, lambda x: F.get(x["words"], F.lit(0))[c].cast("double"))  # noqa: E731  words of a run share their edges
+    told = F.transform(rows, lambda r: F.struct(F.array_min(edge(r, "y1")).alias("top"), F.array_max(edge(r, "y2")).alias("bottom")))
+
+    def edges(r: Column) -> Column:
+        at = lambda i: F.get(r, i)
+        inner = F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.when(at(i)["top"] > at(i - 1)["bottom"], (at(i - 1)["bottom"] + at(i)["top"]) / 2).otherwise(at(i - 1)["bottom"]))
+        return F.when(F.size(r) >= 2, _bounds(F.concat(F.array(at(F.lit(0))["top"]), inner, F.array(at(F.size(r) - 1)["bottom"])), length, offset))
+
+    return F.coalesce(let(told, edges), F.array().cast("array<int>"))
+
+
+def _column_edges(rows: Column, length: Column, offset: float) -> Column:
+    """The first column's place, the middles between neighbouring columns' places and the
+    right edge, of rows of runs.  A column's place is the mean of left edges that recur in
+    most rows; none with less than four rows or two columns."""
+    words = lambda r, of: F.flatten(F.transform(r, lambda x: F.transform(x["words"], of)))
+    tolerance = F.greatest(F.lit(BOUND_GAP), BOUND_TOLERANCE * length)
+
+    def found(r: Column, n: Column) -> Column:
+        lefts = F.flatten(F.transform(r, lambda row, i: words(row, lambda w: F.struct(w["x1"].cast("double").alias("x1"), i.alias("row")))))
+        right = F.array_max(F.transform(r, lambda row: F.array_max(words(row, lambda w: w["x2"].cast("double")))))
+        chains = parted(F.sort_array(lefts), lambda a, b: b["x1"] - a["x1"] > tolerance)
+        told = F.transform(chains, lambda c: let(F.aggregate(c, F.lit(0.0), lambda t, x: t + x["x1"]) / F.size(c), lambda m: F.struct(m.alias("m"), F.size(F.array_distinct(F.transform(F.filter(c, lambda x: F.abs(x["x1"] - m) <= tolerance), lambda x: x["row"]))).alias("hit"))))
+        good = F.transform(F.filter(told, lambda c: c["hit"] >= F.greatest(F.lit(BOUND_ROWS), F.floor(BOUND_SHARE * n))), lambda c: c["m"])
+        return let(good, lambda c: F.when(F.size(c) >= 2, _bounds(F.concat(F.array(F.get(c, F.lit(0))), F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: (F.get(c, i - 1) + F.get(c, i)) / 2), F.array(right)), length, offset)))
+
+    return F.coalesce(let(rows, lambda r: F.when(F.size(r) >= LEAST_ROWS, found(r, F.size(r)))), F.array().cast("array<int>"))
 
 
 def chained(words: DataFrame, keys: list[str], row: str, tolerance: Column | str) -> DataFrame:
@@ -112,27 +135,16 @@ def column_bands(words: DataFrame, keys: list[str], line: str, tolerance: float
     return met.where(F.col("hit") >= F.greatest(F.lit(2), F.floor(F.col("_lines") * share))).select(*keys, "band", "n", "hit")
 
 
-def column_bounds(words: DataFrame, offset: float = 0.0) -> DataFrame:
-    """(doc_id, page, columns): the first column's place, the middles between neighbouring
-    columns' places and the right edge, from ``offset``, within page_width.  A column's place
-    is the mean of left edges that recur in most rows; none with less than four rows or two columns."""
-    rows = rows_of(words, ROW_REACH, "page_width").select(*PAGE, "row", F.explode("words").alias("w")).select(*PAGE, "row", F.col("w.x1").cast("double").alias("x1"), "w.x2", "w.page_width")
-    page = rows.groupBy(*PAGE).agg(F.count_distinct("row").alias("rows"), F.max("x2").cast("double").alias("right"), F.max("page_width").alias("length"))
-    wide = rows.withColumn("_width", F.greatest(F.lit(BOUND_GAP), BOUND_TOLERANCE * F.col("page_width")))
-    good = chained(wide, PAGE, "row", "_width").join(page, PAGE).where((F.col("rows") >= LEAST_ROWS) & (F.col("hit") >= F.greatest(F.lit(BOUND_ROWS), F.floor(BOUND_SHARE * F.col("rows")))))
-    at = good.groupBy(*PAGE).agg(F.sort_array(F.collect_list("center")).alias("c"))
-    n = F.size("c")
-    place = lambda i: F.get("c", i)
-    inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: (place(i - 1) + place(i)) / 2)
-    edges = F.concat(F.array(place(F.lit(0))), inner, F.array(F.col("right")))
-    found = F.when(n >= 2, _bounds(edges, F.col("length"), offset))
-    return page.join(at, PAGE, "left").select(*PAGE, F.coalesce(found, F.array().cast("array<int>")).alias("columns"))
-
-
 def page_bounds(words: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, rows, columns): boundaries that the words of each page suggest."""
-    w = words.join(pages.select(*PAGE, "page_width", "page_height").hint("shuffle_hash"), PAGE)
-    return row_bounds(w).join(column_bounds(w), PAGE)
+    sizes = pages.select(*PAGE, "page_width", "page_height")
+    return bounds_in(page_runs(words).join(sizes.hint("shuffle_hash"), PAGE))
+
+
+def bounds_in(pages: DataFrame, offset: float = 0.0) -> DataFrame:
+    """The same of pages' runs, page_width and page_height, from ``offset``.  All of it
+    happens within the page's row: words are neither listed nor sorted as rows."""
+    return pages.select(*PAGE, _row_edges(_parted_rows("runs", BOUND_REACH), F.col("page_height"), offset).alias("rows"), _column_edges(_parted_rows("runs", ROW_REACH), F.col("page_width"), offset).alias("columns"))
 
 
 # ------------------------------------------------------------- tables without rules

@@ -95,3 +95,14 @@ def test_clean_lines_by_tokens(spark):
 
     got = spark.createDataFrame([(c,) for c in cases], "t string").select("t", T.clean_enough(F.col("t")).alias("c")).collect()
     assert {r.t: r.c for r in got} == {c: want(c) for c in cases}
+
+
+def test_page_bounds_sort_no_words(spark, sf, tmp_path):
+    docs = texts(spark).union(spark.createDataFrame([(12, "\n".join(f"{i:02} abcdefgh{' ' * 40}{i % 7} x" for i in range(50)))], "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    words = layout.word_boxes(docs)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    want = rows(bands.page_bounds(words, layout.page_sizes(words)).select("doc_id", "page", joined("rows"), joined("columns")))
+    assert rows(QUERIES["page_bounds"](spark, str(tmp_path))) == want
+    plan = plan_of(QUERIES["page_bounds"](spark, sf))
+    assert plan.count("Exchange") == 1 and "Sort" not in plan and "Join" not in plan
