@@ -88,13 +88,13 @@ def tree_digests(trees: DataFrame) -> DataFrame:
 def overlap_anti_dense(spark, d):
     """By a grid of levels, as dense pages need it."""
     w = words_of(spark, d)
-    return spatial.not_covered(w, regions_of(w), PAGE, 0.3, dense=True).select(*PAGE, "li", "wi")
+    return spatial.not_covered(w, regions_of(page_numbers_of(spark, d)), PAGE, 0.3, dense=True).select(*PAGE, "li", "wi")
 
 
 @query(SQL["overlap_semi"])
 def overlap_semi_dense(spark, d):
     w = words_of(spark, d)
-    return spatial.overlapping(w, regions_of(w), PAGE, dense=True).select(*PAGE, "li", "wi")
+    return spatial.overlapping(w, regions_of(page_numbers_of(spark, d)), PAGE, dense=True).select(*PAGE, "li", "wi")
 
 
 @query(SQL["claimed_regions"])

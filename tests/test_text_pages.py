@@ -5,7 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from leafwork.functions import text as T
-from leafwork.operators import bands, covers, layout, service
+from leafwork.operators import bands, covers, layout, service, spatial
 from leafwork.plans import page_queries  # noqa: F401  it adds to the queries
 from leafwork.plans.queries import QUERIES
 
@@ -106,3 +106,15 @@ def test_page_bounds_sort_no_words(spark, sf, tmp_path):
     assert rows(QUERIES["page_bounds"](spark, str(tmp_path))) == want
     plan = plan_of(QUERIES["page_bounds"](spark, sf))
     assert plan.count("Exchange") == 1 and "Sort" not in plan and "Join" not in plan
+
+
+def test_grid_join_deals_only_what_can_meet(spark, sf):
+    """Boxes outside of all regions' span, without edges and on pages without regions: as by the page alone; cells are not asked for in the first join."""
+    boxes = [(p, i, x, y, x + w, y + w) for i, (p, x, y, w) in enumerate([(0, 0, 0, 5), (0, 95, 95, 10), (0, 400, 0, 900), (0, 900, 900, 3), (0, -50, 30, 2000), (1, 1, 1, 1)])]
+    a = spark.createDataFrame([*boxes, (0, 9, None, 1, 5, None)], "page int, i int, x1 long, y1 long, x2 long, y2 long")
+    b = spark.createDataFrame([(0, 7, 100, 100, 200, 200), (0, 8, 450, 150, 500, 170)], "page int, r int, x1 long, y1 long, x2 long, y2 long")
+    for join in (spatial.overlapping, spatial.not_covered):
+        assert rows(join(a, b, ["page"], 0.01, dense=True).select("i")) == rows(join(a, b, ["page"], 0.01).select("i"))
+    for name in ("overlap_semi_dense", "word_to_cell_tiled"):
+        plan = plan_of(QUERIES[name](spark, sf))
+        assert "isnotnull(CASE" not in plan and "_hx1" in plan and plan.count("Generate posexplode") == 2
